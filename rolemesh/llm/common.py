@@ -46,8 +46,12 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
-    """The texts of a batch with 64-bit offsets; null is the empty text."""
-    return pc.fill_null(batch.column(column).cast(pa.large_string()), "")
+    """The texts of a batch with 64-bit offsets that begin at 0 (Arrow's string functions go wrong on some slices); null is the empty text."""
+    array = pc.fill_null(batch.column(column).cast(pa.large_string()), "")
+    _, offsets, data = array.buffers()
+    at = np.frombuffer(offsets, dtype=np.int64)[array.offset : array.offset + len(array) + 1] if len(array) else np.zeros(1, dtype=np.int64)
+    data = data.slice(at[0], at[-1] - at[0]) if data is not None else None
+    return pa.LargeStringArray.from_buffers(len(array), pa.py_buffer((at - at[0]).tobytes()), data)
 
 
 def split_words(array: pa.Array, lower: bool = True) -> tuple[pa.DictionaryArray, np.ndarray]:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from rolemesh.llm import quality_rules, secret_scans
 from rolemesh.llm.packing import op4_packing
 from rolemesh.llm.token_counts import op7_token_counts
 from rolemesh.llm.token_files import op10_token_files
 
 QUERIES = {
+    "op2_quality_rules": quality_rules.op2_quality_rules,
     "op4_packing": op4_packing,
+    "op6_secret_scans": secret_scans.op6_secret_scans,
     "op7_token_counts": op7_token_counts,
     "op10_token_files": op10_token_files,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op2_quality_rules": quality_rules.ORACLE, "op6_secret_scans": secret_scans.ORACLE}

@@ -1,0 +1,175 @@
+"""Secret scans over an incremental ledger of blobs, with DataFrame functions only.
+
+Every version of every document is addressed by the SHA-256 of its text, its blob. The ledger holds,
+for each blob, the rule versions that have scanned it and the spans they found; a scan reads only
+pairs of a blob and a rule version that the ledger lacks, each blob once however many documents and
+versions share it, and `findings` joins the ledger back to all of them.
+
+Spark's regular expressions give matches but not positions. A match starts where the text before
+it ends: `split` gives the gaps between the matches that `regexp_extract_all` gives, and running
+sums over both give code-point offsets. These sums run over rows of matches, so a text with very
+many secrets is no burden on one row.
+
+Defined cases: a null text is the empty text; repeated rows share a blob; an empty table gives an
+empty ledger; other columns of docs are ignored, or kept by `redacted` whatever their names.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from rolemesh.llm.common import written
+
+
+@dataclass(frozen=True)
+class Rule:
+    """pattern finds leftmost matches that don't overlap; those whose `group` is shorter than `least` are dropped.
+
+    hint: a plain string that every match contains, looked for first.
+    """
+
+    kind: str
+    pattern: str
+    group: int = 0
+    least: int = 0
+    version: int = 1
+    hint: str = ""
+
+    @property
+    def key(self) -> str:
+        return f"{self.kind}@{self.version}"
+
+
+#: The first three are the base kinds; the others are public formats of keys.
+RULES = (
+    Rule("assign", "((?i:password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)", group=2, least=12),
+    Rule("access", "AKIA[A-Z0-9]{14,}", hint="AKIA"),
+    Rule("hex", "[0-9a-f]{16,}"),
+    Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", hint="PRIVATE KEY-----"),
+    Rule("web_token", "eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}", hint="eyJ"),
+    Rule("host_token", "gh[opsur]_[A-Za-z0-9]{36,}", hint="gh"),
+    Rule("chat_token", "xox[abprs]-[A-Za-z0-9-]{10,}", hint="xox"),
+    Rule("map_key", "AIza[A-Za-z0-9_-]{35}", hint="AIza"),
+    Rule("pay_key", "[rs]k_live_[A-Za-z0-9]{16,}", hint="k_live_"),
+    Rule("url_login", "[a-z]{3,12}://[A-Za-z0-9._%+-]+:[A-Za-z0-9._%+!-]+@", hint="://"),
+)
+BASE = ("assign", "access", "hex")
+SPAN = "array<struct<start:long,place:int,end:long,kind:string,version:int>>"
+
+
+def blob_id(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
+def _matches(text: Column, rule: Rule, todo: Column | None) -> Column:
+    """Array of (place of the rule, number of the match, gap before it, its length, length of the group)."""
+    index = [r.key for r in RULES].index(rule.key) if rule in RULES else len(RULES)
+    value = (lambda m: F.length(F.regexp_extract(m, rule.pattern, rule.group))) if rule.group else F.length
+    gaps = F.split(text, rule.pattern, -1)
+    found = F.transform(
+        F.arrays_zip(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)).alias("m"), gaps.alias("g")),
+        lambda x, i: F.struct(F.lit(index).alias("place"), F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("version"), i.alias("i"), F.length(x["g"]).cast("long").alias("gap"), F.length(x["m"]).cast("long").alias("n"), (value(x["m"]) >= rule.least).alias("long_enough")),
+    )
+    there = text.rlike(rule.pattern)
+    if rule.hint:
+        there = F.contains(text, F.lit(rule.hint)) & there
+    if todo is not None:
+        there = F.array_contains(todo, rule.key) & there
+    return F.when(there, found)
+
+
+def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """New ledger rows (blob_id, scanned: rule keys, spans), one for each blob with a rule that has not yet seen it."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    blobs = docs.select(blob_id(F.col("text")).alias("blob_id"), text.alias("text"))
+    keys = F.array(*[F.lit(r.key) for r in rules])
+    if ledger is None:
+        todo, unseen = None, blobs.dropDuplicates(["blob_id"]).withColumn("todo", keys)
+    else:
+        seen = ledger.select("blob_id", F.explode("scanned").alias("key")).groupBy("blob_id").agg(F.collect_set("key").alias("seen"))  # at most one entry a rule version
+        done = seen.where(F.size(F.array_except(keys, "seen")) == 0)
+        left = blobs.join(done, "blob_id", "left_anti").dropDuplicates(["blob_id"])
+        unseen = left.join(seen, "blob_id", "left").withColumn("todo", F.array_except(keys, F.coalesce("seen", F.array().cast("array<string>"))))
+        todo = F.col("todo")
+    arrays = [F.coalesce(_matches(F.col("text"), r, todo), F.array().cast("array<struct<place:int,kind:string,version:int,i:int,gap:bigint,n:bigint,long_enough:boolean>>")) for r in rules]
+    # the last element of a rule's zip is the gap behind its last match, which has no match
+    found = F.filter(F.concat(*arrays), lambda m: m["n"].isNotNull())
+    scanned = unseen.select("blob_id", "todo", found.alias("found"))
+    rows = scanned.select("blob_id", "todo", F.explode_outer("found").alias("m")).select("blob_id", "todo", "m.*")
+    order = Window.partitionBy("blob_id", "place").orderBy("i")
+    start = F.sum("gap").over(order) + F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = rows.withColumn("start", start).withColumn("span", F.when(F.col("long_enough"), F.struct("start", "place", (F.col("start") + F.col("n")).alias("end"), "kind", "version")))
+    grouped = spans.groupBy("blob_id").agg(F.first("todo").alias("scanned"), F.sort_array(F.collect_list("span")).cast(SPAN).alias("spans"))
+    return grouped
+
+
+def findings(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(doc_id, spans) for every row of docs: the spans that the given rule versions found in its blob, by start and then by rule."""
+    paths = docs.select("doc_id", blob_id(F.col("text")).alias("blob_id"))
+    return paths.join(_current(ledger, rules), "blob_id", "left").select("doc_id", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
+
+
+def _current(ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(blob_id, spans) of the blobs with any span of these rule versions."""
+    keys = [r.key for r in rules]
+    wanted = F.filter("spans", lambda s: F.concat_ws("@", s["kind"], s["version"].cast("string")).isin(keys))
+    part = ledger.select("blob_id", wanted.alias("spans")).where(F.size("spans") > 0)
+    return part.groupBy("blob_id").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))  # a row for each scan of a blob
+
+
+def written_as(spans: Column) -> Column:
+    """kind:start:end, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def redacted(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secret]") -> DataFrame:
+    """docs with every span replaced by a mark (overlapping spans by one), and n_chars, if there, counted anew."""
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    text = names[docs.columns.index("text")]
+    rows = docs.toDF(*names).withColumn("blob_id", blob_id(F.col(text))).join(_current(ledger, rules), "blob_id", "left")
+    begin = F.struct(F.lit(0).cast("long").alias("upto"), F.array().cast("array<string>").alias("parts"))
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.when(s["start"] >= acc["upto"], F.array(F.substring(F.col(text), (acc["upto"] + 1).cast("int"), (s["start"] - acc["upto"]).cast("int")), F.lit(mark))).otherwise(F.array().cast("array<string>"))
+        return F.struct(F.greatest(acc["upto"], s["end"]).alias("upto"), F.concat(acc["parts"], gap).alias("parts"))
+
+    whole = F.aggregate("spans", begin, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(F.col(text), (acc["upto"] + 1).cast("int"), F.lit(2**31 - 1))))
+    out = rows.withColumn(text, F.when(F.col("spans").isNotNull(), whole).otherwise(F.col(text)))
+    if "n_chars" in docs.columns:
+        n = names[docs.columns.index("n_chars")]
+        out = out.withColumn(n, F.when(F.col("spans").isNotNull(), F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(n)))
+    return out.select(*names).toDF(*docs.columns)
+
+
+def op6_secret_scans(spark, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = findings(docs, written(scan(docs), "secret-ledger"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    return found.select("doc_id", *counts, F.sha2(written_as(base), 256).alias("base_sha256"), written_as(F.col("spans")).alias("spans"))
+
+
+def _oracle() -> str:
+    quoted = {r.kind: r.pattern.replace("(?i:password|passwd|secret|token|api_?key)", "(?i)password|passwd|secret|token|api_?key)(?-i)", 1).replace("((?i)", "((?i)").replace("'", "''") for r in RULES}
+    quoted["assign"] = quoted["assign"].replace("api_?key)(?-i))", "api_?key)")
+    parts = [
+        f"SELECT r, {k} AS place, '{x.kind}' AS kind, {x.least} AS least, regexp_extract_all(t, '{quoted[x.kind]}', 0) AS m, regexp_extract_all(t, '{quoted[x.kind]}', {x.group}) AS v, string_split_regex(t, '{quoted[x.kind]}') AS g FROM d WHERE regexp_matches(t, '{quoted[x.kind]}')"
+        for k, x in enumerate(RULES)
+    ]
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+a AS ({" UNION ALL ".join(parts)}),
+e AS (SELECT r, place, kind, least, i, length(m[i]) AS n, length(v[i]) AS k, length(g[i]) AS gap FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM a)),
+s AS (SELECT *, sum(gap + n) OVER (PARTITION BY r, place ORDER BY i) AS stop FROM e),
+x AS (SELECT r, place, kind, (stop - n)::BIGINT AS start, kind || ':' || (stop - n)::BIGINT || ':' || stop::BIGINT AS w FROM s WHERE k >= least),
+c AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  coalesce(string_agg(w, ',' ORDER BY start, place) FILTER (place < 3), '') AS base, string_agg(w, ',' ORDER BY start, place) AS spans FROM x GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN c USING (r)
+"""
+
+
+ORACLE = _oracle()
