@@ -148,8 +148,11 @@ def op6_secret_scans(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = findings(docs, written(scan(docs), "secret-ledger"))
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
-    return found.select("doc_id", *counts, F.sha2(written_as(base), 256).alias("base_sha256"), written_as(F.col("spans")).alias("spans"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *[count(k) for k in BASE], F.sha2(written_as(base), 256).alias("base_sha256"), written_as(F.col("spans")).alias("spans"))
 
 
 def _oracle() -> str:
