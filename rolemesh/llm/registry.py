@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rolemesh.llm import lm_scoring, quality_rules, secret_scans
+from rolemesh.llm import exact_topk, lm_scoring, quality_classifier, quality_rules, secret_scans
 from rolemesh.llm.packing import op4_packing
 from rolemesh.llm.token_counts import op7_token_counts
 from rolemesh.llm.token_files import op10_token_files
@@ -13,6 +13,8 @@ QUERIES = {
     "op5_lm_scoring": lm_scoring.op5_lm_scoring,
     "op6_secret_scans": secret_scans.op6_secret_scans,
     "op7_token_counts": op7_token_counts,
+    "op8_quality_classifier": quality_classifier.op8_quality_classifier,
+    "op9_exact_topk": exact_topk.op9_exact_topk,
     "op10_token_files": op10_token_files,
 }
-ORACLES = {"op2_quality_rules": quality_rules.ORACLE, "op6_secret_scans": secret_scans.ORACLE}
+ORACLES = {"op2_quality_rules": quality_rules.ORACLE, "op9_exact_topk": exact_topk.ORACLE, "op6_secret_scans": secret_scans.ORACLE}
