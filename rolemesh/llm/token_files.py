@@ -87,7 +87,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2,
         if docs_in:
             yield row()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(shards, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select("doc_id", "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
     chunks = ordered.mapInArrow(shard, "shard long, chunk long, doc_ids array<long>, lengths array<long>, n_ids long, payload binary")
     chunks.write.option("compression", "none").parquet(f"{path}/chunks")
     kept = spark.read.parquet(f"{path}/chunks").select("shard", "chunk", "n_ids", F.size("doc_ids").alias("n_docs"), F.element_at("doc_ids", 1).alias("first_doc"), F.element_at("doc_ids", -1).alias("last_doc"))
