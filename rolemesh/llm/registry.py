@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rolemesh.llm import exact_topk, jaccard_join, lm_scoring, quality_classifier, quality_rules, secret_scans
+from rolemesh.llm import exact_topk, jaccard_join, lm_scoring, mixing, quality_classifier, quality_rules, secret_scans
 from rolemesh.llm.packing import op4_packing
 from rolemesh.llm.token_counts import op7_token_counts
 from rolemesh.llm.token_files import op10_token_files
@@ -10,6 +10,7 @@ from rolemesh.llm.token_files import op10_token_files
 QUERIES = {
     "op1_jaccard_join": jaccard_join.op1_jaccard_join,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_mixing": mixing.op3_mixing,
     "op4_packing": op4_packing,
     "op5_lm_scoring": lm_scoring.op5_lm_scoring,
     "op6_secret_scans": secret_scans.op6_secret_scans,
