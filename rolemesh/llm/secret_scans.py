@@ -117,7 +117,8 @@ def _current(ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     keys = [r.key for r in rules]
     wanted = F.filter("spans", lambda s: F.concat_ws("@", s["kind"], s["version"].cast("string")).isin(keys))
     part = ledger.select("blob_id", wanted.alias("spans")).where(F.size("spans") > 0)
-    return part.groupBy("blob_id").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))  # a row for each scan of a blob
+    merged = part.groupBy("blob_id").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))  # a row for each scan of a blob
+    return written(merged, "blob-spans")  # a table of its own, so that the join with all paths may split a blob that very many share
 
 
 def written_as(spans: Column) -> Column:
