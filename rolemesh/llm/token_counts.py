@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolemesh.llm.common import slices, texts
+from rolemesh.llm.common import slices, texts, written
 from rolemesh.llm.encoding import encoder
 
 #: Lengths in a segment.
-SEGMENT = 1024
+SEGMENT = 128
 
 
 def token_lengths(docs: DataFrame, tokenizer_path: str, keeps_spaces: bool, end_id: int | None = None) -> DataFrame:
@@ -49,8 +49,8 @@ def limit_curve(histogram: DataFrame) -> DataFrame:
     later = Window.orderBy(F.col("segment").desc()).rowsBetween(Window.unboundedPreceding, -1)
     after = sums.select("segment", *[F.coalesce(F.sum(c).over(later), F.lit(0)).alias(f"{c}_after") for c in ("docs", "tokens")])
     inside = Window.partitionBy("segment").orderBy(F.col("length").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    whole = sums.agg(F.sum("docs").alias("all_docs"), F.sum("tokens").alias("all_tokens"))
-    joined = rows.join(after, "segment").crossJoin(F.broadcast(whole))  # one row of totals
+    docs, tokens = sums.agg(F.sum("docs"), F.sum("tokens")).first()  # two numbers
+    joined = rows.join(after, "segment").withColumns({"all_docs": F.lit(docs or 0), "all_tokens": F.lit(tokens or 0)})
     over = joined.select(
         "length", "n_docs", "all_docs", "all_tokens",
         (F.col("docs_after") + F.coalesce(F.sum("n_docs").over(inside), F.lit(0))).alias("docs_over"),
@@ -78,4 +78,4 @@ def op7_token_counts(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return limit_curve(length_histogram(token_lengths(docs, public_tokenizers.path("byte_bpe_50k.json"), True)))
+    return limit_curve(written(length_histogram(token_lengths(docs, public_tokenizers.path("byte_bpe_50k.json"), True)), "length-histogram"))
