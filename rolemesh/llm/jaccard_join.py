@@ -251,10 +251,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def further_links(members: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between sets of different components that stand under one leader. members: (leader, member, root), the leader among its members."""
+    """Links (a, b) between sets of different components that stand under one leader, as many as unite them (no link that others of its cell imply). members: (leader, member, root), the leader among its members."""
     by_root = members.groupBy("leader", "root").agg(F.count("*").alias("k"))
     groups = by_root.groupBy("leader").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.sum("k").alias("size"), F.count("*").alias("roots"), F.max("k").alias("most"))
     groups = groups.where("roots > 1").select("leader", "main", F.ceil(F.col("size") / CHUNK).alias("chunks"), F.ceil((F.col("size") - F.col("most")) / CHUNK).alias("out_chunks"))
+    groups = written(groups, "groups")  # a table of its own, so that the join may split a leader of very many sets
     rows = members.join(groups, "leader").withColumn("outside", F.col("root") != F.col("main"))
     rows = rows.join(tokens, F.col("member") == F.col("fp1")).select("leader", "member", "root", "outside", "chunks", "out_chunks", "tokens")
     place = F.xxhash64("member")
@@ -275,15 +276,25 @@ def further_links(members: DataFrame, tokens: DataFrame, percent: int) -> DataFr
         adds = [np.setdiff1d(s, leader, assume_unique=True) for s in sets]
         sizes, n_adds = np.array([len(s) for s in sets]), np.array([len(s) for s in adds])
         roots, ids = held["root"].to_numpy(), held["member"].to_numpy()
-        out = []
+        out, united = [], {}
+
+        def find(root: int) -> int:
+            while root in united:
+                root = united[root]
+            return root
+
         for x, root, tokens_x in zip(asks["member"], asks["root"], asks["tokens"], strict=True):
             t = np.frombuffer(tokens_x, dtype=np.uint64)
             common = np.intersect1d(t, leader, assume_unique=True)
             # the leader's answer bounds every member's: no more than the common elements and what the member adds
             open_ = np.flatnonzero((roots != root) & near(np.minimum(len(common) + n_adds, np.minimum(sizes, len(t))), sizes, len(t), percent))
             for k in open_:
+                a, b = find(root), find(roots[k])
+                if a == b:  # linked already through other sets of this cell
+                    continue
                 overlap = len(common) - len(np.intersect1d(common, lacks[k], assume_unique=True)) + len(np.intersect1d(t, adds[k], assume_unique=True))
                 if near(overlap, sizes[k], len(t), percent):
+                    united[a] = b
                     out.append((x, ids[k]))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
