@@ -251,22 +251,22 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def further_links(members: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between sets of different components that stand under one leader, as many as unite them (no link that others of its cell imply). members: (leader, member, root), the leader among its members."""
-    by_root = members.groupBy("leader", "root").agg(F.count("*").alias("k"))
-    groups = by_root.groupBy("leader").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.sum("k").alias("size"), F.count("*").alias("roots"), F.max("k").alias("most"))
-    groups = groups.where("roots > 1").select("leader", "main", F.ceil(F.col("size") / CHUNK).alias("chunks"), F.ceil((F.col("size") - F.col("most")) / CHUNK).alias("out_chunks"))
+    """Links (a, b) between sets of different components that stand under one leader, as many as unite them (no link that others of its cell imply). members: (leader, member, root, tested: was compared with this leader), the leader among its members."""
+    by_root = members.groupBy("leader", "root").agg(F.count("*").alias("k"), F.count_if(~F.col("tested")).alias("untested"))
+    groups = by_root.groupBy("leader").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.sum("k").alias("size"), F.count("*").alias("roots"), F.max("k").alias("most"), F.sum("untested").alias("untested"))
+    # a leader and one other set, which were compared before, have nothing more to tell
+    groups = groups.where("roots > 1 AND (size > 2 OR untested > 0)").select("leader", "main", F.ceil(F.col("size") / CHUNK).alias("chunks"), F.ceil((F.col("size") - F.col("most")) / CHUNK).alias("out_chunks"))
     groups = written(groups, "groups")  # a table of its own, so that the join may split a leader of very many sets
     rows = members.join(groups, "leader").withColumn("outside", F.col("root") != F.col("main"))
     rows = rows.join(tokens, F.col("member") == F.col("fp1")).select("leader", "member", "root", "outside", "chunks", "out_chunks", "tokens")
     place = F.xxhash64("member")
     every = [F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1)) for c in ("out_chunks", "chunks")]
     inside = rows.select("*", F.pmod(place, "chunks").alias("mc")).select("*", every[0].alias("oc")).withColumn("asks", F.lit(False))
-    asking = rows.where("outside").select("*", F.pmod(place, "out_chunks").alias("oc")).select("*", every[1].alias("mc")).withColumn("asks", F.lit(True))
-    cells = inside.unionByName(asking).select("leader", "oc", "mc", "member", "root", "asks", "tokens")
+    asking = rows.where("outside AND (chunks > 1 OR out_chunks > 1)").select("*", F.pmod(place, "out_chunks").alias("oc")).select("*", every[1].alias("mc")).withColumn("asks", F.lit(True))
+    cells = inside.unionByName(asking).select("leader", "oc", "mc", "member", "root", "asks", "tokens", (F.col("outside") & (F.col("chunks") == 1) & (F.col("out_chunks") == 1)).alias("both"))
 
     def compare(cell: pd.DataFrame) -> pd.DataFrame:
-        tables = {a: cell[cell["asks"] == a] for a in (False, True)}
-        asks, held = tables[True], tables[False]
+        asks, held = cell[cell["asks"] | cell["both"]], cell[~cell["asks"]]  # in a group of one cell, a set that asks is also held
         if not len(asks) or not len(held):
             return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
         sets = [np.frombuffer(t, dtype=np.uint64) for t in held["tokens"]]
@@ -323,8 +323,9 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80) -> Dat
     pairs = one.join(tokens.select(F.col("fp1").alias("member"), F.col("tokens").alias("tb")), "member").join(tokens.select(F.col("fp1").alias("leader"), F.col("tokens").alias("ta")), "leader")
     links = written(verified(pairs.select(F.col("leader").alias("a"), F.col("member").alias("b"), "ta", "tb"), percent), "links")
     roots = components(links)
-    members = stars.union(stars.select("leader", "leader").distinct()).join(roots.select(F.col("node").alias("member"), "root"), "member", "left")
-    members = written(members.select("leader", "member", F.coalesce("root", "member").alias("root")), "members")
+    tested = stars.join(one.select("member", F.col("leader").alias("first")), "member").select("leader", "member", (F.col("leader") == F.col("first")).alias("tested"))
+    members = tested.union(stars.select("leader", "leader", F.lit(True)).distinct()).join(roots.select(F.col("node").alias("member"), "root"), "member", "left")
+    members = written(members.select("leader", "member", F.coalesce("root", "member").alias("root"), "tested"), "members")
     more = written(further_links(members, tokens, percent), "links")
     if more.take(1):
         roots = components(links.union(more))
