@@ -1,0 +1,184 @@
+"""Queries on jobs, metrics, logs, texts, matches and quality of the bound tables, with their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rolemesh.operators import jobs as jb
+from rolemesh.operators import matches as mt
+from rolemesh.operators import text as tx
+from rolemesh.plans import bindings as b
+
+NOW = "2024-01-31"
+
+
+def _jobs(spark, d):
+    return b.table(spark, d, "events").selectExpr("event_id AS id", "event_type AS kind", "user_id AS payload", "element_at(array('queued', 'running', 'succeeded', 'failed'), cast(event_id % 4 + 1 AS int)) AS status", "event_id % 3 AS priority", "ts AS run_at", "event_id % 4 AS attempts", "3 AS max_attempts")
+
+
+JOBS = "job AS (SELECT event_id AS id, event_type AS kind, user_id AS payload, ['queued', 'running', 'succeeded', 'failed'][event_id % 4 + 1] AS status, event_id % 3 AS priority, ts AS run_at, event_id % 4 AS attempts, 3 AS max_attempts FROM events)"
+_NOW = lambda: F.lit(NOW).cast("timestamp_ntz")
+#: Price of a million tokens; one kind has none.
+PRICES = {"click": 0.5, "error": 1.25, "purchase": 3.0, "signup": 0.0}
+
+
+def _runs(spark, d):
+    rows = b.table(spark, d, "events").selectExpr("event_id", "event_type AS model", "cast(floor(value * 100) AS long) AS total_ms", "event_id % 4 AS llm_calls", "cast(get_json_object(props, '$.k') AS long) * 100 AS tokens_in", "event_id % 20 AS candidates")
+    return jb.cost(rows, spark.createDataFrame(list(PRICES.items()), "model string, price double"))
+
+
+_PRICE = ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in PRICES.items())
+RUNS = f"price AS (SELECT * FROM (VALUES {_PRICE}) t(model, price)), run AS (SELECT event_id, event_type AS model, floor(value * 100)::BIGINT AS total_ms, event_id % 4 AS llm_calls, (props->>'$.k')::BIGINT * 100 AS tokens_in, event_id % 20 AS candidates, round((props->>'$.k')::BIGINT * 100 * price / 1e6, 6) AS cost FROM events LEFT JOIN price ON model = event_type)"
+
+
+def _lines(spark, d):
+    e = b.table(spark, d, "events").selectExpr("event_id", "ts", "value AS duration", "concat('r', cast(floor(event_id / 2) AS string)) AS request_id")
+    return e.withColumn("service", F.lit("api")).union(e.where("event_id % 3 <> 0").withColumn("service", F.lit("ai")))
+
+
+def _judged(spark, d):
+    """All pairs of which candidate and role keys agree modulo 11, with levels from their keys."""
+    roles = b.roles(spark, d).select("role_id", (F.col("role_id") % 11).alias("m"), (F.size("required_software") > 0).alias("soft"))
+    people = b.candidates(spark, d).select("candidate_id", (F.col("candidate_id") % 11).alias("m"))
+    pairs = people.join(F.broadcast(roles), "m")
+    level = lambda k: ((3 * F.col("candidate_id") + 5 * F.col("role_id") + 7 * k) % 5).cast("int")
+    return pairs.select("role_id", "candidate_id", *[(F.when(F.col("soft"), level(k)) if k == 1 else level(k)).alias(f"l{k}") for k in range(5)])
+
+
+JUDGED = f"""{b.SQL}, judged AS (SELECT role_id, candidate_id, ((3 * candidate_id + 5 * role_id) % 5)::INTEGER AS l0, CASE WHEN len(required_software) > 0 THEN ((3 * candidate_id + 5 * role_id + 7) % 5)::INTEGER END AS l1,
+  ((3 * candidate_id + 5 * role_id + 14) % 5)::INTEGER AS l2, ((3 * candidate_id + 5 * role_id + 21) % 5)::INTEGER AS l3, ((3 * candidate_id + 5 * role_id + 28) % 5)::INTEGER AS l4 FROM role JOIN cand ON candidate_id % 11 = role_id % 11),
+bc AS (SELECT *, (40 * l0 + 25 * coalesce(l1, 0) + 15 * l2 + 10 * l3 + 10 * l4)::DOUBLE / (300 + CASE WHEN l1 IS NULL THEN 0 ELSE 100 END) AS before_cap FROM judged),
+sc AS (SELECT *, round(CASE l0 WHEN 0 THEN least(before_cap, 0.3) WHEN 1 THEN least(before_cap, 0.5) ELSE before_cap END, 3) AS score FROM bc),
+rk AS (SELECT *, (row_number() OVER (PARTITION BY role_id ORDER BY score DESC, before_cap DESC, candidate_id))::INTEGER AS rank FROM sc),
+prev AS (SELECT role_id, candidate_id, ['proposed', 'pending_review', 'approved', 'rejected', 'swapped', 'proposed'][candidate_id % 6 + 1] AS status, candidate_id % 6 = 2 AND candidate_id % 4 = 0 AS released, candidate_id % 6 = 5 AS by_hand FROM role JOIN cand ON (candidate_id + role_id) % 9 = 0),
+q AS (SELECT rk.role_id, rk.candidate_id, rank, score, coalesce(status = 'swapped', false) AS swapped, sum(CASE WHEN coalesce(status = 'swapped', false) THEN 0 ELSE 1 END) OVER (PARTITION BY rk.role_id ORDER BY rank) AS place FROM rk LEFT JOIN prev USING (role_id, candidate_id)),
+nw AS (SELECT role_id, candidate_id, rank, CASE WHEN place <= 5 AND score >= 0.6 THEN 'pending_review' ELSE 'proposed' END AS new_status, swapped FROM q)"""
+
+
+def _previous(spark, d):
+    roles = b.roles(spark, d).select("role_id", F.pmod(-F.col("role_id"), F.lit(9)).alias("m"))
+    people = b.candidates(spark, d).select("candidate_id", (F.col("candidate_id") % 9).alias("m"))
+    return people.join(F.broadcast(roles), "m").selectExpr("role_id", "candidate_id", "element_at(array('proposed', 'pending_review', 'approved', 'rejected', 'swapped', 'proposed'), cast(candidate_id % 6 + 1 AS int)) AS status", "candidate_id % 6 = 2 AND candidate_id % 4 = 0 AS released", "candidate_id % 6 = 5 AS by_hand")
+
+
+def rubric_scores(spark, d):
+    return mt.scored(_judged(spark, d)).withColumn("before_cap", F.round("before_cap", 6))
+
+
+def review_queue(spark, d):
+    return mt.queued(mt.scored(_judged(spark, d)), _previous(spark, d))
+
+
+def match_merge(spark, d):
+    return mt.merged(_previous(spark, d), review_queue(spark, d))
+
+
+def software_f1(spark, d):
+    """Each profile's software against that of the role whose key its own gives."""
+    roles = b.roles(spark, d).select("role_id", "required_software")
+    p = b.profiles(spark, d).withColumn("role_id", F.col("candidate_id") % b.ROLES)
+    return p.join(F.broadcast(roles), "role_id").select("candidate_id", F.round(mt.set_f1(F.col("software"), F.col("required_software")), 6).alias("f1"))
+
+
+def population_summary(spark, d):
+    """Candidates and percent for each software and certification."""
+    p = b.profiles(spark, d)
+    n = p.count()
+    each = p.select(F.lit("software").alias("attribute"), F.explode("software").alias("value")).union(p.select(F.lit("certification"), F.explode("certifications")))
+    return each.groupBy("attribute", "value").agg(F.count("*").alias("n")).withColumn("percent", F.round(100.0 * F.col("n") / n, 4))
+
+
+def years_buckets(spark, d):
+    y = F.col("years_experience")
+    bucket = F.when(y.isNull(), "unknown").when(y <= 2, "0-2").when(y <= 5, "3-5").when(y <= 10, "6-10").when(y <= 20, "11-20").otherwise("20+")
+    return b.profiles(spark, d).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def domain_violations(spark, d):
+    """(rule, id) for every availability row or role that breaks a range rule."""
+    a, r = b.availability(spark, d), b.roles(spark, d)
+    known = [F.lit(z) for z in b.ZONES]
+    rules = [
+        (a, "candidate_id", "hours_below_20", F.col("hours_per_week") < 20), (a, "candidate_id", "past_midnight", F.col("work_end") <= F.col("work_start")),
+        (a, "candidate_id", "unknown_zone", ~F.col("timezone").isin(*known)), (r, "role_id", "overlap_above_4", F.col("min_overlap_hours") > 4), (r, "role_id", "no_start", F.col("starts_on").isNull()),
+    ]
+    parts = [t.where(broken).select(F.lit(rule).alias("rule"), F.col(key).alias("id")) for t, key, rule, broken in rules]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3]).union(parts[4])
+
+
+def orphan_profiles(spark, d):
+    return b.profiles(spark, d).join(b.availability(spark, d), "candidate_id", "left_anti").select("candidate_id")
+
+
+def alias_keys(spark, d):
+    name = F.expr("CASE p_partkey % 3 WHEN 0 THEN concat(upper(p_brand), ' & (Certified) ', p_name) WHEN 1 THEN concat('The Certified ', p_name) ELSE concat(p_name, '-', lower(p_type), ' license') END")
+    return b.table(spark, d, "part").select("p_partkey", tx.alias_key(name).alias("key"), tx.alias_key(name, True).alias("cert_key"))
+
+
+def _names(spark, d):
+    words = F.explode(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) >= 5))
+    one = b.table(spark, d, "benchmark").where("item_id < 6").select(words.alias("name")).distinct()
+    return one.select("name", F.col("name").alias("term"))
+
+
+def term_mentions(spark, d):
+    return tx.mentions(b.table(spark, d, "documents"), _names(spark, d))
+
+
+_WORDS = "[w FOR w IN string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+') IF w <> '']"
+QUERIES = {
+    "queued_once": lambda s, d: jb.queued_once(_jobs(s, d)),
+    "ready_jobs": lambda s, d: jb.ready_order(_jobs(s, d), _NOW()),
+    "retry_schedule": lambda s, d: jb.retry_schedule(_jobs(s, d)),
+    "stale_running": lambda s, d: jb.stale_running(_jobs(s, d), F.lit("2024-01-15").cast("timestamp_ntz"), 300),
+    "latest_jobs": lambda s, d: jb.latest(_jobs(s, d)),
+    "pending_dependencies": lambda s, d: jb.pending(_jobs(s, d), _jobs(s, d).select("payload").distinct(), ["signup"]),
+    "run_costs": lambda s, d: _runs(s, d),
+    "runs_per_model": lambda s, d: jb.per_model(_runs(s, d)),
+    "request_traces": lambda s, d: jb.request_trace(_lines(s, d)),
+    "rubric_scores": rubric_scores,
+    "review_queue": review_queue,
+    "match_merge": match_merge,
+    "release_rule": lambda s, d: mt.release_rule(_previous(s, d)),
+    "next_in_reserve": lambda s, d: mt.reserve(mt.scored(_judged(s, d)), _previous(s, d)),
+    "software_f1": software_f1,
+    "population_summary": population_summary,
+    "years_buckets": years_buckets,
+    "domain_violations": domain_violations,
+    "orphan_profiles": orphan_profiles,
+    "alias_keys": alias_keys,
+    "contacts": lambda s, d: tx.contacts(b.table(s, d, "documents")),
+    "head_lines": lambda s, d: tx.head_line(b.table(s, d, "documents")),
+    "term_mentions": term_mentions,
+    "hashed_embeddings": lambda s, d: tx.hashed_embedding(b.table(s, d, "documents")),
+    "embed_once": lambda s, d: tx.embed_once(b.table(s, d, "documents"), b.table(s, d, "documents").where("doc_id % 3 = 0").select(F.sha2("text", 256).alias("key")).distinct()),
+}
+_KEY = "regexp_replace(replace(lower(name), '&', ' and '), '\\([^()]*\\)', ' ', 'g')"
+_DROP = ", ".join(f"'{w}'" for w in tx.CREDENTIAL_WORDS)
+ORACLES = {
+    "queued_once": f"WITH {JOBS} SELECT kind, payload, min(id) AS id, count(*) - 1 AS suppressed FROM job WHERE status = 'queued' GROUP BY kind, payload",
+    "ready_jobs": f"WITH {JOBS} SELECT id, kind, row_number() OVER (PARTITION BY kind ORDER BY priority DESC, run_at, id)::INTEGER AS place FROM job WHERE status = 'queued' AND run_at <= TIMESTAMP '{NOW}'",
+    "retry_schedule": f"WITH {JOBS}, f AS (SELECT *, attempts >= max_attempts OR EXISTS (SELECT 1 FROM job q WHERE q.status = 'queued' AND q.kind = j.kind AND q.payload = j.payload) AS final FROM job j WHERE status = 'failed') SELECT id, CASE WHEN final THEN 'failed' ELSE 'queued' END AS next_status, CASE WHEN NOT final THEN least(600, 5 * pow(4, greatest(attempts - 1, 0)))::INTEGER END AS wait_s FROM f",
+    "stale_running": f"WITH {JOBS} SELECT id, CASE WHEN row_number() OVER (PARTITION BY kind, payload ORDER BY id DESC) = 1 AND attempts < max_attempts THEN 'queued' ELSE 'failed' END AS next_status FROM job WHERE status = 'running' AND run_at + INTERVAL 300 SECOND < TIMESTAMP '2024-01-15'",
+    "latest_jobs": f"WITH {JOBS} SELECT kind, payload, max(id) AS id, arg_max(status, id) AS status FROM job GROUP BY kind, payload",
+    "pending_dependencies": f"WITH {JOBS} SELECT payload, CASE WHEN bool_or(kind = 'signup' AND status IN ('queued', 'running')) THEN 'wait' ELSE 'now' END AS state FROM job GROUP BY payload",
+    "run_costs": f"WITH {RUNS} SELECT * FROM run",
+    "runs_per_model": f"WITH {RUNS} SELECT model, count(*) AS runs, round(avg(candidates), 4) AS avg_candidates, round(quantile_cont(total_ms, 0.5), 4) AS p50_ms, round(quantile_cont(total_ms, 0.95), 4) AS p95_ms, CASE WHEN NOT bool_or(cost IS NULL) THEN round(sum(cost), 6) END AS cost, round(sum(cost) / nullif(sum(candidates), 0), 8) AS cost_per_candidate FROM run WHERE llm_calls > 0 GROUP BY model",
+    "request_traces": "WITH e AS (SELECT event_id, ts, value AS duration, 'r' || (event_id // 2) AS request_id FROM events), l AS (SELECT *, 'api' AS service FROM e UNION ALL SELECT *, 'ai' FROM e WHERE event_id % 3 <> 0) SELECT request_id, count(*) AS lines, count(*) FILTER (service = 'ai') AS ai_lines, round(sum(duration), 4) AS duration, string_agg(service, '>' ORDER BY ts, service) AS path FROM l GROUP BY request_id",
+    "rubric_scores": f"WITH {JUDGED} SELECT role_id, candidate_id, l0, l1, l2, l3, l4, round(before_cap, 6) AS before_cap, score, rank FROM rk",
+    "review_queue": f"WITH {JUDGED} SELECT * FROM nw",
+    "match_merge": f"WITH {JUDGED}, m AS (SELECT role_id, candidate_id, status AS was, new_status, status IN ('proposed', 'pending_review') AND NOT released AND NOT by_hand AS free FROM prev FULL JOIN nw USING (role_id, candidate_id)), c AS (SELECT *, CASE WHEN was IS NULL THEN 'inserted' WHEN free AND new_status IS NOT NULL THEN 'replaced' WHEN free THEN 'removed' ELSE 'kept' END AS change FROM m) SELECT role_id, candidate_id, change, CASE WHEN change IN ('inserted', 'replaced') THEN new_status WHEN change = 'kept' THEN was END AS status FROM c",
+    "release_rule": f"WITH {JUDGED}, c AS (SELECT role_id, count(*) FILTER (status = 'approved') AS approved, count(*) FILTER (released AND status <> 'approved') AS odd, count(*) FILTER (released) AS released FROM prev GROUP BY role_id) SELECT role_id, approved, released, CASE WHEN odd > 0 THEN 'refuse: released without approval' WHEN approved < 2 THEN 'refuse: too few approved' WHEN approved > 2 THEN 'refuse: too many approved' ELSE 'release' END AS action FROM c",
+    "next_in_reserve": f"WITH {JUDGED}, k AS (SELECT role_id, candidate_id, score, row_number() OVER (PARTITION BY role_id ORDER BY score DESC, rank, candidate_id) AS k FROM rk JOIN prev USING (role_id, candidate_id) WHERE status = 'proposed' AND NOT released AND score >= 0.6) SELECT role_id, candidate_id, score FROM k WHERE k = 1",
+    "software_f1": f"WITH {b.SQL} SELECT candidate_id, round(CASE WHEN len(software) + len(required_software) = 0 THEN 1.0 ELSE 2.0 * len(list_intersect(software, required_software)) / (len(software) + len(required_software)) END, 6)::DOUBLE AS f1 FROM prof JOIN role ON role_id = candidate_id % {b.ROLES}",
+    "population_summary": f"WITH {b.SQL}, e AS (SELECT 'software' AS attribute, unnest(software) AS value FROM prof UNION ALL SELECT 'certification', unnest(certifications) FROM prof) SELECT attribute, value, count(*) AS n, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM prof), 4) AS percent FROM e GROUP BY attribute, value",
+    "years_buckets": f"WITH {b.SQL} SELECT CASE WHEN years_experience IS NULL THEN 'unknown' WHEN years_experience <= 2 THEN '0-2' WHEN years_experience <= 5 THEN '3-5' WHEN years_experience <= 10 THEN '6-10' WHEN years_experience <= 20 THEN '11-20' ELSE '20+' END AS bucket, count(*) AS n FROM prof GROUP BY 1",
+    "domain_violations": f"WITH {b.SQL} SELECT 'hours_below_20' AS rule, candidate_id AS id FROM avail WHERE hours_per_week < 20 UNION ALL SELECT 'past_midnight', candidate_id FROM avail WHERE work_end <= work_start UNION ALL SELECT 'unknown_zone', candidate_id FROM avail WHERE timezone = 'XYZ5' UNION ALL SELECT 'overlap_above_4', role_id FROM role WHERE min_overlap_hours > 4 UNION ALL SELECT 'no_start', role_id FROM role WHERE starts_on IS NULL",
+    "orphan_profiles": f"WITH {b.SQL} SELECT candidate_id FROM prof WHERE candidate_id NOT IN (SELECT candidate_id FROM avail)",
+    "alias_keys": f"WITH n AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN upper(p_brand) || ' & (Certified) ' || p_name WHEN 1 THEN 'The Certified ' || p_name ELSE p_name || '-' || lower(p_type) || ' license' END AS name FROM part) SELECT p_partkey, regexp_replace({_KEY}, '[^a-z0-9]', '', 'g') AS key, array_to_string([w FOR w IN string_split_regex({_KEY}, '[^a-z0-9]+') IF w NOT IN ({_DROP})], '') AS cert_key FROM n",
+    "contacts": f"WITH e AS (SELECT doc_id, regexp_extract_all(text, '{tx.EMAIL}', 0) AS e FROM documents) SELECT doc_id, e[1] AS email, len(e)::INTEGER AS n_emails FROM e",
+    "head_lines": "SELECT doc_id, trim(regexp_replace([x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '[^\\x20\\x09-\\x0D]')][1], '[|(–—-].*$', '')) AS title FROM documents",
+    "term_mentions": f"WITH n AS (SELECT DISTINCT name FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS name FROM benchmark WHERE item_id < 6) WHERE length(name) >= 5), w AS (SELECT doc_id, {_WORDS} AS ws FROM documents), g AS (SELECT doc_id, i - 1 AS p, ws[i] AS name FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM w)) SELECT doc_id, name AS term, count(*) AS n, min(p)::INTEGER AS first_at FROM g JOIN n USING (name) GROUP BY doc_id, name",
+    "hashed_embeddings": f"WITH c AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest({_WORDS}) AS w FROM documents) GROUP BY ALL), h AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT AS h, n FROM c), s AS (SELECT doc_id, h % 64 AS bucket, sum((CASE WHEN (h // 64) % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) * (1 + ln(n))) AS x FROM h GROUP BY 1, 2), m AS (SELECT doc_id, sqrt(sum(x * x)) AS norm FROM s GROUP BY 1) SELECT doc_id, bucket, round(x / norm, 6) + 0.0::DOUBLE AS weight FROM s JOIN m USING (doc_id) WHERE norm > 0",
+    "embed_once": "SELECT sha256(coalesce(text, '')) AS key, count(*) AS rows, bool_or(doc_id % 3 = 0) AS hit FROM documents GROUP BY 1",
+}
