@@ -1,7 +1,7 @@
 """Six ordered hard filters over all roles and candidates, their funnel, and exact retrieval of the nearest survivors.
 
-Roles are a stated set of queries, broadcast in blocks of at most MOST_ROLES; candidates are never
-shuffled to be filtered. What is not known is false: every test is coalesced.
+Roles are a stated set of queries, broadcast while there are at most MOST_ROLES of them (beyond that
+Spark chooses the join); candidates are never shuffled to be filtered. What is not known is false: every test is coalesced.
 """
 
 from __future__ import annotations
@@ -12,7 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STAGES = ("profile", "certifications", "software", "experience", "availability", "overlap")
-MOST_ROLES = 2_000
+#: Rows up to which roles, and distinct overlaps, are broadcast.
+MOST_ROLES, MOST_OVERLAPS = 2_000, 500_000
+
+
+def small(df: DataFrame, most: int) -> DataFrame:
+    """df, marked for broadcast if it has no more rows than that."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def acceptable_ids(terms: DataFrame) -> DataFrame:
@@ -40,18 +46,19 @@ def overlap_minutes(tuples: DataFrame, known_zones: DataFrame) -> DataFrame:
     An unknown zone is replaced before it is used and its result dropped after: guarding with a condition alone isn't enough, as expressions may be hoisted out of it.
     """
     known = F.broadcast(known_zones.select("zone").distinct())
-    rows = tuples.distinct().join(known.select(F.col("zone").alias("role_zone"), F.lit(True).alias("k1")), "role_zone", "left").join(known.withColumn("k2", F.lit(True)), "zone", "left")
-    safe = rows.withColumns({"_r": F.when(F.col("k1"), F.col("role_zone")).otherwise("UTC"), "_c": F.when(F.col("k2"), F.col("zone")).otherwise("UTC")})
+    # the clock of a zone is converted once for a role's day, not once for each shift
+    days = tuples.select("role_zone", "day", "zone").distinct().join(known.select(F.col("zone").alias("role_zone"), F.lit(True).alias("k1")), "role_zone", "left").join(known.withColumn("k2", F.lit(True)), "zone", "left")
+    safe = days.withColumns({"_r": F.when(F.col("k1"), F.col("role_zone")).otherwise("UTC"), "_c": F.when(F.col("k2"), F.col("zone")).otherwise("UTC")})
     start = F.col("day").cast("timestamp")
 
     def local(i: Column) -> Column:
         there = F.from_utc_timestamp(F.to_utc_timestamp(F.timestamp_add("MINUTE", (i + 540).cast("int"), start), F.col("_r")), F.col("_c"))
         return F.hour(there) * 60 + F.minute(there)
 
-    at = F.transform(F.sequence(F.lit(0), F.lit(479)), local)
-    works = F.filter(at, lambda m: F.when(F.col("work_end") > F.col("work_start"), (m >= F.col("work_start")) & (m < F.col("work_end"))).otherwise((m >= F.col("work_start")) | (m < F.col("work_end"))))
-    minutes = F.when(F.col("k1") & F.col("k2"), F.size(works))
-    return safe.select("role_zone", "day", "zone", "work_start", "work_end", minutes.alias("minutes"))
+    clocks = safe.select("role_zone", "day", "zone", (F.col("k1") & F.col("k2")).alias("known"), F.transform(F.sequence(F.lit(0), F.lit(479)), local).alias("at"))
+    works = F.filter("at", lambda m: F.when(F.col("work_end") > F.col("work_start"), (m >= F.col("work_start")) & (m < F.col("work_end"))).otherwise((m >= F.col("work_start")) | (m < F.col("work_end"))))
+    joined = tuples.distinct().join(clocks, ["role_zone", "day", "zone"], "left")
+    return joined.select("role_zone", "day", "zone", "work_start", "work_end", F.when(F.col("known"), F.size(works)).alias("minutes"))
 
 
 def checked(roles: DataFrame, candidates: DataFrame, profiles: DataFrame, availability: DataFrame, terms: DataFrame, known_zones: DataFrame, today: str) -> DataFrame:
@@ -64,7 +71,7 @@ def checked(roles: DataFrame, candidates: DataFrame, profiles: DataFrame, availa
     shifts = answers.select("zone", "work_start", "work_end").distinct()
     days = asked.where("role_zone IS NOT NULL").select("role_zone", "day").distinct()
     minutes = overlap_minutes(days.join(F.broadcast(shifts), how="cross"), known_zones)  # distinct days of roles against distinct shifts
-    pairs = pool.join(F.broadcast(asked), how="cross").join(F.broadcast(minutes), ["role_zone", "day", "zone", "work_start", "work_end"], "left")
+    pairs = pool.join(small(asked, MOST_ROLES), how="cross").join(small(minutes, MOST_OVERLAPS), ["role_zone", "day", "zone", "work_start", "work_end"], "left")
     c = F.col
     tests = [
         c("has_profile"),
