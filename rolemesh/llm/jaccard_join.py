@@ -9,18 +9,23 @@ only where a whole block agrees; all other positions are skipped. Block counts d
 class, and a set is listed in its own class and in that below, so no pair of sizes is missed.
 
 *Answers from a highly similar set.* In each list the least set is the leader. Every set is
-verified against one leader and joined to its component. Lists whose sets are then all in one
-component hold no further news. In the others, the sets outside the main component are compared
-with all sets of the list without intersecting them anew: a member's overlap with x follows from
-the leader's overlap with x, corrected by the few elements in which member and leader differ, and
-is skipped unread where the leader's answer already bounds it below the threshold.
+verified against the leader with which it shares most lists, and joined to its component. Lists whose
+sets are then all in one component hold no further news. In the others, the sets outside the main
+component are compared with all sets of the list without intersecting them anew: a member's overlap
+with x follows from the leader's overlap with x, corrected by the few elements in which member and
+leader differ, and is skipped unread where the leader's answer already bounds it below the threshold.
+
+*Sketches before sets.* A set's sketch has 2 to 4 bits an element, each the parity of the elements hashed
+to it, so two sketches differ in no more bits than their sets differ in elements. Pairs whose sketches
+differ too much are passed over for certain, and only sets of the other pairs are read: unlike texts that
+share a passage cost a sketch, not a set.
 
 Components are exact: a link between sets of different components would share a list, and every
 such pair is decided. Within a component not every link is listed.
 
 Nothing about whole documents reaches the driver, and no group is taken whole: list rows are dealt by
 hash, hot leaders are joined by Spark's skew-aware join, and comparisons run in chunks of CHUNK x CHUNK
-sets.
+sets or SKETCHED x SKETCHED sketches.
 
 Defined cases: texts without words (null, empty, blank) have no n-grams and no links; with fewer
 words than n, the whole sequence is the one n-gram; repeated rows and repeated doc_ids are rows of
@@ -41,8 +46,8 @@ from pyspark.sql import functions as F
 
 from rolemesh.llm.common import hashes, mix, slices, split_words, texts, written
 
-#: Entries of index lists held by a task before they are handed on; sets in a chunk of comparisons.
-HELD, CHUNK = 1_500_000, 256
+#: Entries of index lists held by a task before they are handed on; sets, and sketches, in a chunk of comparisons.
+HELD, CHUNK, SKETCHED = 1_500_000, 256, 2048
 #: Up to so many ids (8 bytes each) are broadcast to pick texts; beyond that the texts are shuffled.
 MOST_IDS = 2_000_000
 NO_ID = -(2**63)
@@ -128,6 +133,45 @@ def fingerprints(sizes: np.ndarray, elements: np.ndarray) -> tuple[np.ndarray, n
     return out[0], out[1]
 
 
+def sketches(sizes: np.ndarray, elements: np.ndarray) -> list[bytes]:
+    """Each set's sketch: bit k is the parity of the elements hashed to k, in a power of two of at least twice the size (256 bits at least)."""
+    widths = np.maximum(256, 1 << np.ceil(np.log2(np.maximum(2 * sizes, 1))).astype(np.int64))
+    ends = np.cumsum(widths)
+    at = mix(elements ^ np.uint64(0x9FB21C651E98DF25)).view(np.int64) & np.repeat(widths - 1, sizes)
+    bits = np.bincount(at + np.repeat(ends - widths, sizes), minlength=int(widths.sum())).astype(np.uint8) & 1
+    data = np.packbits(bits, bitorder="little").tobytes()
+    return [data[(e - w) // 8 : e // 8] for e, w in zip(ends.tolist(), widths.tolist(), strict=True)]
+
+
+def folded(words: np.ndarray, n_words: int) -> np.ndarray:
+    """Sketches (one a row, 64-bit words) as they were in a narrower width: places that agree modulo the width fall together."""
+    return np.bitwise_xor.reduce(words.reshape(*words.shape[:-1], -1, n_words), axis=-2)
+
+
+class SketchIndex:
+    """Sketches by size; `near_to` gives the numbers of those that may be within the threshold of another (none that is is missed)."""
+
+    def __init__(self, sizes: np.ndarray, packed: list[bytes], percent: int) -> None:
+        self.percent, self.order = percent, np.argsort(sizes, kind="stable")
+        self.sizes, self.classes, first = sizes[self.order], [], 0
+        lengths = np.array([len(packed[k]) for k in self.order])
+        for last in [*(np.flatnonzero(np.diff(lengths)) + 1).tolist(), len(lengths)]:
+            if last > first:
+                self.classes.append((first, last, np.frombuffer(b"".join(packed[k] for k in self.order[first:last]), dtype=np.uint64).reshape(last - first, -1)))
+            first = last
+
+    def near_to(self, size: int, packed: bytes) -> np.ndarray:
+        own, found = np.frombuffer(packed, dtype=np.uint64), []
+        lo, hi = np.searchsorted(self.sizes, [-(-size * self.percent // 100), size * 100 // self.percent + 1])
+        for first, last, words in self.classes:
+            a, b = max(first, lo), min(last, hi)
+            if a < b:
+                width = min(words.shape[1], len(own))
+                apart = np.bitwise_count(folded(words[a - first : b - first], width) ^ folded(own, width)).sum(axis=1, dtype=np.int64)
+                found.append(a + np.flatnonzero(apart * (100 + self.percent) <= (100 - self.percent) * (self.sizes[a:b] + size)))
+        return self.order[np.concatenate(found)] if found else np.zeros(0, dtype=np.int64)
+
+
 def _pack48(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
@@ -139,7 +183,7 @@ def _unpack48(data: bytes) -> np.ndarray:
 
 
 def sets_and_stars(docs: DataFrame, n_words: int, percent: int) -> DataFrame:
-    """One table of two kinds of rows: documents (doc_id, row, n, fp1, fp2), and stars (leader, member) of 48-bit set keys that share a list.
+    """One table of two kinds of rows: documents (doc_id, row, n, fp1, fp2), and stars (leader, member, k) of 48-bit set keys that share k lists.
 
     docs has doc_id, text and row (a number for its content). List entries are handed on as packed bytes, dealt by the hash of the list.
     """
@@ -176,7 +220,7 @@ def sets_and_stars(docs: DataFrame, n_words: int, percent: int) -> DataFrame:
         if held:
             yield flush()
 
-    columns = ["doc_id", "row", "n", "fp1", "fp2", "leader", "member"]
+    columns = ["doc_id", "row", "n", "fp1", "fp2", "leader", "member", "k"]
 
     def rows_of(values: np.ndarray, first: int) -> pa.Table:
         none = pa.nulls(values.shape[1], pa.int64())
@@ -190,32 +234,58 @@ def sets_and_stars(docs: DataFrame, n_words: int, percent: int) -> DataFrame:
             keys, ids = keys[order], ids[order]
             new = np.concatenate([[True], keys[1:] != keys[:-1]])
             leader = ids[np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))]
-            pairs = np.unique(np.stack([leader, ids])[:, leader != ids], axis=1).astype(np.int64)
-            out.append(rows_of(pairs, 5))
+            leader, ids = leader[leader != ids], ids[leader != ids]
+            order = np.lexsort((ids, leader))
+            leader, ids = leader[order], ids[order]
+            new = np.flatnonzero(np.concatenate([[True], (leader[1:] != leader[:-1]) | (ids[1:] != ids[:-1])])[: len(ids)])
+            out.append(rows_of(np.stack([leader[new], ids[new], np.diff([*new, len(ids)])]).astype(np.int64), 5))
         return pa.concat_tables(out)
 
     packed = docs.select("doc_id", "text", "row").mapInArrow(index, "bucket long, a binary, b binary, docs binary")
     return packed.groupBy("bucket").applyInArrow(read, ", ".join(f"{c} long" for c in columns))
 
 
-def tokens_of(docs: DataFrame, n_words: int) -> DataFrame:
-    """(fp1, n, tokens) of each row: tokens are the set's elements, ascending unsigned 64-bit integers, as bytes."""
+def tokens_of(docs: DataFrame, n_words: int, sketched: bool = False) -> DataFrame:
+    """(fp1, n, tokens) of each row: the set's elements, ascending unsigned 64-bit integers, as bytes; or (fp1, n, sketch)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 sizes, elements = shingle_sets(texts(part), n_words)
-                data, ends = elements.tobytes(), (8 * np.cumsum(sizes)).tolist()
-                tokens = [data[e - 8 * n : e] for e, n in zip(ends, sizes.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(fingerprints(sizes, elements)[0]), pa.array(sizes), pa.array(tokens, pa.binary())], names=["fp1", "n", "tokens"])
+                if sketched:
+                    held = sketches(sizes, elements)
+                else:
+                    data, ends = elements.tobytes(), (8 * np.cumsum(sizes)).tolist()
+                    held = [data[e - 8 * n : e] for e, n in zip(ends, sizes.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(fingerprints(sizes, elements)[0]), pa.array(sizes), pa.array(held, pa.binary())], names=["fp1", "n", name])
+
+    name = "sketch" if sketched else "tokens"
+    return docs.select("text").mapInArrow(make, f"fp1 long, n long, {name} binary")
 
-    return docs.select("text").mapInArrow(make, "fp1 long, n long, tokens binary")
+
+def of_sets(docs: DataFrame, sets: DataFrame, n_words: int, sketched: bool = False) -> DataFrame:
+    """The tokens, or sketches, of the sets (fp1, a_row), from the texts of their rows: a written table with a row for each set."""
+    ids = sets.select(F.col("a_row").alias("row"))
+    picked = docs.select("row", "text").join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, "row", "left_semi")
+    return written(tokens_of(picked, n_words, sketched).dropDuplicates(["fp1"]), "sketches" if sketched else "tokens")
 
 
 def near(overlap, a, b, percent: int):
     return 100 * overlap >= percent * (a + b - overlap)
 
 
+def maybe_near(pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of columns a, b, na, nb, sa, sb whose sketches don't rule out that their sets are within the threshold."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("na", "nb", "sa", "sb")]
+            keep = [bool(len(SketchIndex(np.array([m]), [p], percent).near_to(n, q))) for m, n, p, q in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
+
+    return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(check, "a long, b long")
+
+
 def verified(pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of columns a, b, ta, tb whose token sets are within the threshold."""
 
@@ -250,23 +320,56 @@ def components(edges: DataFrame) -> DataFrame:
         now = written(down.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "edges")
 
 
-def further_links(members: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between sets of different components that stand under one leader, as many as unite them (no link that others of its cell imply). members: (leader, member, root, tested: was compared with this leader), the leader among its members."""
+def in_cells(members: DataFrame, things: DataFrame, chunk: int) -> DataFrame:
+    """Cells (leader, oc, mc) of at most about chunk sets that ask and chunk sets that are held: (member, root, asks, both, columns of things).
+
+    members: (leader, member, root, tested: was compared with this leader), the leader among them; things has fp1. Sets outside the main
+    component of a leader ask all its sets. Leaders with nothing more to tell have no cells.
+    """
     by_root = members.groupBy("leader", "root").agg(F.count("*").alias("k"), F.count_if(~F.col("tested")).alias("untested"))
     groups = by_root.groupBy("leader").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.sum("k").alias("size"), F.count("*").alias("roots"), F.max("k").alias("most"), F.sum("untested").alias("untested"))
     # a leader and one other set, which were compared before, have nothing more to tell
-    groups = groups.where("roots > 1 AND (size > 2 OR untested > 0)").select("leader", "main", F.ceil(F.col("size") / CHUNK).alias("chunks"), F.ceil((F.col("size") - F.col("most")) / CHUNK).alias("out_chunks"))
+    groups = groups.where("roots > 1 AND (size > 2 OR untested > 0)").select("leader", "main", F.ceil(F.col("size") / chunk).alias("chunks"), F.ceil((F.col("size") - F.col("most")) / chunk).alias("out_chunks"))
     groups = written(groups, "groups")  # a table of its own, so that the join may split a leader of very many sets
+    told = [c for c in things.columns if c != "fp1"]
     rows = members.join(groups, "leader").withColumn("outside", F.col("root") != F.col("main"))
-    rows = rows.join(tokens, F.col("member") == F.col("fp1")).select("leader", "member", "root", "outside", "chunks", "out_chunks", "tokens")
+    rows = rows.join(things, F.col("member") == F.col("fp1")).select("leader", "member", "root", "outside", "chunks", "out_chunks", *told)
     place = F.xxhash64("member")
     every = [F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1)) for c in ("out_chunks", "chunks")]
     inside = rows.select("*", F.pmod(place, "chunks").alias("mc")).select("*", every[0].alias("oc")).withColumn("asks", F.lit(False))
     asking = rows.where("outside AND (chunks > 1 OR out_chunks > 1)").select("*", F.pmod(place, "out_chunks").alias("oc")).select("*", every[1].alias("mc")).withColumn("asks", F.lit(True))
-    cells = inside.unionByName(asking).select("leader", "oc", "mc", "member", "root", "asks", "tokens", (F.col("outside") & (F.col("chunks") == 1) & (F.col("out_chunks") == 1)).alias("both"))
+    alone = F.col("outside") & (F.col("chunks") == 1) & (F.col("out_chunks") == 1)  # in a group of one cell, a set that asks is also held
+    return inside.unionByName(asking).select("leader", "oc", "mc", "member", "root", "asks", alone.alias("both"), *told)
+
+
+def open_members(members: DataFrame, sketches_: DataFrame, percent: int) -> DataFrame:
+    """The rows of members whose sketch leaves it open that they link to a set of another component under the same leader."""
+
+    def compare(cell: pd.DataFrame) -> pd.DataFrame:
+        asks, held = cell[cell["asks"] | cell["both"]], cell[~cell["asks"]]
+        index = SketchIndex(held["n"].to_numpy(), held["sketch"].tolist(), percent)
+        roots, ids = held["root"].to_numpy(), held["member"].to_numpy()
+        hit, found = np.zeros(len(held), dtype=bool), []
+        for x, root, n, sketch in zip(asks["member"], asks["root"], asks["n"], asks["sketch"], strict=True):
+            others = index.near_to(n, sketch)
+            others = others[roots[others] != root]
+            if len(others):
+                hit[others] = True
+                found.append(x)
+        sets = np.unique(np.concatenate([np.array(found, dtype=np.int64), ids[hit]]))
+        return pd.DataFrame({"leader": np.full(len(sets), cell["leader"].iloc[0]), "member": sets})
+
+    cells = in_cells(members, sketches_, SKETCHED)
+    open_ = written(cells.groupBy("leader", "oc", "mc").applyInPandas(compare, "leader long, member long").distinct(), "open")
+    return written(members.join(open_, ["leader", "member"], "left_semi"), "open-members")
+
+
+def further_links(members: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between sets of different components that stand under one leader, as many as unite them (no link that others of its cell imply)."""
+    cells = in_cells(members, tokens.select("fp1", "tokens"), CHUNK)
 
     def compare(cell: pd.DataFrame) -> pd.DataFrame:
-        asks, held = cell[cell["asks"] | cell["both"]], cell[~cell["asks"]]  # in a group of one cell, a set that asks is also held
+        asks, held = cell[cell["asks"] | cell["both"]], cell[~cell["asks"]]
         if not len(asks) or not len(held):
             return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
         sets = [np.frombuffer(t, dtype=np.uint64) for t in held["tokens"]]
@@ -276,6 +379,7 @@ def further_links(members: DataFrame, tokens: DataFrame, percent: int) -> DataFr
         adds = [np.setdiff1d(s, leader, assume_unique=True) for s in sets]
         sizes, n_adds = np.array([len(s) for s in sets]), np.array([len(s) for s in adds])
         roots, ids = held["root"].to_numpy(), held["member"].to_numpy()
+        index = SketchIndex(sizes, sketches(sizes, np.concatenate(sets)), percent)
         out, united = [], {}
 
         def find(root: int) -> int:
@@ -285,9 +389,13 @@ def further_links(members: DataFrame, tokens: DataFrame, percent: int) -> DataFr
 
         for x, root, tokens_x in zip(asks["member"], asks["root"], asks["tokens"], strict=True):
             t = np.frombuffer(tokens_x, dtype=np.uint64)
+            open_ = index.near_to(len(t), sketches(np.array([len(t)]), t)[0])
+            open_ = open_[roots[open_] != root]
+            if not len(open_):
+                continue
             common = np.intersect1d(t, leader, assume_unique=True)
             # the leader's answer bounds every member's: no more than the common elements and what the member adds
-            open_ = np.flatnonzero((roots != root) & near(np.minimum(len(common) + n_adds, np.minimum(sizes, len(t))), sizes, len(t), percent))
+            open_ = open_[near(len(common) + n_adds[open_], sizes[open_], len(t), percent)]
             for k in open_:
                 a, b = find(root), find(roots[k])
                 if a == b:  # linked already through other sets of this cell
@@ -309,26 +417,26 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80) -> Dat
     classes = rows.where("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("first"), F.min("row").alias("a_row"))
     classes = written(classes, "classes")
     keyed = classes.select("fp1", F.col("fp1").bitwiseAND(F.lit(LOW48)).alias("key"))
-    stars = table.where("leader IS NOT NULL").select("leader", "member").distinct()
+    stars = table.where("leader IS NOT NULL").groupBy("leader", "member").agg(F.sum("k").alias("k"))
     stars = stars.join(keyed.select(F.col("key").alias("leader"), F.col("fp1").alias("l")), "leader").join(keyed.select(F.col("key").alias("member"), F.col("fp1").alias("m")), "member")
-    stars = written(stars.where("l <> m").select(F.col("l").alias("leader"), F.col("m").alias("member")), "stars")
-
-    wanted = stars.select(F.explode(F.array("leader", "member")).alias("fp1")).distinct()
-    picked = written(wanted.join(classes, "fp1").select("fp1", "a_row"), "picked")
-    ids = picked.select(F.col("a_row").alias("row"))
-    texts_ = docs.select("row", "text").join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, "row", "left_semi")
-    tokens = written(tokens_of(texts_, n_words).dropDuplicates(["fp1"]), "tokens")
-
-    one = stars.groupBy("member").agg(F.min("leader").alias("leader"))
-    pairs = one.join(tokens.select(F.col("fp1").alias("member"), F.col("tokens").alias("tb")), "member").join(tokens.select(F.col("fp1").alias("leader"), F.col("tokens").alias("ta")), "leader")
-    links = written(verified(pairs.select(F.col("leader").alias("a"), F.col("member").alias("b"), "ta", "tb"), percent), "links")
+    stars = written(stars.where("l <> m").select(F.col("l").alias("leader"), F.col("m").alias("member"), "k"), "stars")
+
+    picked = written(stars.select(F.explode(F.array("leader", "member")).alias("fp1")).distinct().join(classes, "fp1").select("fp1", "a_row"), "picked")
+    drawn = of_sets(docs, picked, n_words, sketched=True)
+    one = written(stars.groupBy("member").agg(F.max_by("leader", F.struct("k", "leader")).alias("leader")), "first-leaders")
+    pairs = one.join(drawn.select(F.col("fp1").alias("member"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "member").join(drawn.select(F.col("fp1").alias("leader"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "leader")
+    pairs = written(maybe_near(pairs.withColumnsRenamed({"leader": "a", "member": "b"}), percent), "maybe-links")
+    tokens = of_sets(docs, picked.join(pairs.select(F.explode(F.array("a", "b")).alias("fp1")).distinct(), "fp1", "left_semi"), n_words)
+    both = pairs.join(tokens.select(F.col("fp1").alias("b"), F.col("tokens").alias("tb")), "b").join(tokens.select(F.col("fp1").alias("a"), F.col("tokens").alias("ta")), "a")
+    links = written(verified(both, percent), "links")
     roots = components(links)
     tested = stars.join(one.select("member", F.col("leader").alias("first")), "member").select("leader", "member", (F.col("leader") == F.col("first")).alias("tested"))
     members = tested.union(stars.select("leader", "leader", F.lit(True)).distinct()).join(roots.select(F.col("node").alias("member"), "root"), "member", "left")
     members = written(members.select("leader", "member", F.coalesce("root", "member").alias("root"), "tested"), "members")
-    more = written(further_links(members, tokens, percent), "links")
-    if more.take(1):
-        roots = components(links.union(more))
+    members = open_members(members, drawn, percent)
+    if members.take(1):
+        tokens = of_sets(docs, picked.join(members.select(F.col("member").alias("fp1")).distinct(), "fp1", "left_semi"), n_words)
+        roots = components(links.union(written(further_links(members, tokens, percent), "links")))
     roots = written(roots, "roots")
 
     of_class = classes.join(roots.select(F.col("node").alias("fp1"), "root"), "fp1", "left").select("fp1", "first", F.coalesce("root", "fp1").alias("root"))
