@@ -37,7 +37,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mix", mix), ("pack", pack)]
-#: Tokenizer ids have no SQL; tests/llm/test_pipeline.py holds the rows against a plain version.
+#: Tokenizer ids have no SQL; the stages' operators have their own tests in tests/llm.
 ORACLE_SQL = None
 
 
