@@ -323,13 +323,13 @@ def components(edges: DataFrame) -> DataFrame:
 def in_cells(members: DataFrame, things: DataFrame, chunk: int) -> DataFrame:
     """Cells (leader, oc, mc) of at most about chunk sets that ask and chunk sets that are held: (member, root, asks, both, columns of things).
 
-    members: (leader, member, root, tested: was compared with this leader), the leader among them; things has fp1. Sets outside the main
-    component of a leader ask all its sets. Leaders with nothing more to tell have no cells.
+    members: (leader, member, root, tested: was compared with this leader), all of a leader's sets or those still open; things has fp1. Sets outside
+    the main component of a leader ask all its sets. Leaders with nothing more to tell have no cells.
     """
-    by_root = members.groupBy("leader", "root").agg(F.count("*").alias("k"), F.count_if(~F.col("tested")).alias("untested"))
-    groups = by_root.groupBy("leader").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.sum("k").alias("size"), F.count("*").alias("roots"), F.max("k").alias("most"), F.sum("untested").alias("untested"))
-    # a leader and one other set, which were compared before, have nothing more to tell
-    groups = groups.where("roots > 1 AND (size > 2 OR untested > 0)").select("leader", "main", F.ceil(F.col("size") / chunk).alias("chunks"), F.ceil((F.col("size") - F.col("most")) / chunk).alias("out_chunks"))
+    by_root = members.groupBy("leader", "root").agg(F.count("*").alias("k"), F.count_if(~F.col("tested")).alias("untested"), F.count_if(F.col("member") == F.col("leader")).alias("led"))
+    groups = by_root.groupBy("leader").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.sum("k").alias("size"), F.count("*").alias("roots"), F.max("k").alias("most"), F.sum("untested").alias("untested"), F.sum("led").alias("led"))
+    # a leader and one other set, which were compared before, have nothing more to tell; two sets left without their leader have
+    groups = groups.where("roots > 1 AND (size > 2 OR untested > 0 OR led = 0)").select("leader", "main", F.ceil(F.col("size") / chunk).alias("chunks"), F.ceil((F.col("size") - F.col("most")) / chunk).alias("out_chunks"))
     groups = written(groups, "groups")  # a table of its own, so that the join may split a leader of very many sets
     told = [c for c in things.columns if c != "fp1"]
     rows = members.join(groups, "leader").withColumn("outside", F.col("root") != F.col("main"))

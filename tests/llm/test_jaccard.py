@@ -90,3 +90,19 @@ def test_further_links_are_found(spark):
     docs = jj.with_row(spark.createDataFrame(rows, "doc_id long, text string"))
     got = jj.near_duplicates(docs, 3, 90).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got), key=str) == plain(rows, 3, 90)
+
+
+def test_two_sets_left_without_their_leader(spark):
+    """Short texts by threes: two are near each other, the third is near to neither and is often the leader of all lists that they share."""
+    r = random.Random(5)
+    rows = []
+    for k in range(400):
+        n = r.choice([12, 15, 20, 22, 25, 30, 36, 40])
+        x = [f"g{k}w{j}" for j in range(n)]
+        y = [*x[:-1], "y"] if n > 20 else [*x, "y"]
+        z = [*x[:-1], "z"]
+        z[: r.choice([1, 1, 2])] = ["z"]
+        rows += [(10 * k + j, " ".join(t)) for j, t in enumerate((x, y, z))]
+    docs = jj.with_row(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = jj.near_duplicates(docs, 3, 90).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got), key=str) == plain(rows, 3, 90)
