@@ -27,7 +27,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, in files that hold the sources mixed to their target weights."""
-    return mixing.mixed(docs, mixing.WEIGHTS, mixing.BLOCK_CHARS)
+    return mixing.mixed(docs, mixing.for_sources(docs, mixing.WEIGHTS), mixing.BLOCK_CHARS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,11 @@ Documents are placed in their stream by the hash of their doc_id, in two levels:
 each source, whose totals are summed first, then order inside a range. A source with a third of
 all rows is as finely divided as its rows demand.
 
-Defined cases: sources that the weights don't name, and null ones, form the source OTHER together;
+`for_sources` divides the weight of OTHER equally among the sources that occur unnamed, so that each has
+a stream and deadlines of its own. The driver holds the schedule, which grows with the square of their number.
+
+Defined cases: in `scheduled`, sources that the weights don't name, and null ones, form the source OTHER together;
+in `for_sources`, null ones and those called OTHER are one of the unnamed;
 a weight of 0 or a source without rows takes no part; sources of which only such weights are left
 follow at the end; null and empty texts count one unit; repeated rows are each placed, next to each
 other; an empty table gives no rows. Columns of docs may have any names.
@@ -20,8 +24,8 @@ other; an empty table gives no rows. Columns of docs may have any names.
 
 from __future__ import annotations
 
-from fractions import Fraction
-from math import ceil, floor
+from heapq import heapify, heappop, heappush
+from math import gcd
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,13 +39,17 @@ RANGE_ROWS = 20_000
 
 def period(weights: dict[str, int]) -> dict[str, list[int]]:
     """For each source, the places of its blocks in one period of sum(weights) places, by earliest deadline among the released."""
-    q = sum(weights.values())
-    nxt, places = dict.fromkeys(weights, 0), {s: [] for s in weights}
+    q, places = sum(weights.values()), {s: [] for s in weights}
+    waiting, ready = [(0, s) for s, w in weights.items() if w > 0], []  # the next block of each source: (release, source), (deadline, source)
+    heapify(waiting)
     for t in range(q):
-        ready = [(ceil(Fraction((nxt[s] + 1) * q, w)), s) for s, w in weights.items() if nxt[s] < w and floor(Fraction(nxt[s] * q, w)) <= t]
-        _, s = min(ready)
+        while waiting and waiting[0][0] <= t:
+            _, s = heappop(waiting)
+            heappush(ready, (-(-(len(places[s]) + 1) * q // weights[s]), s))
+        _, s = heappop(ready)
         places[s].append(t)
-        nxt[s] += 1
+        if len(places[s]) < weights[s]:
+            heappush(waiting, (len(places[s]) * q // weights[s], s))
     return places
 
 
@@ -65,6 +73,18 @@ def phases(weights: dict[str, int], blocks: dict[str, int]) -> list[dict]:
     return out
 
 
+def for_sources(docs: DataFrame, weights: dict[str, int]) -> dict[str, int]:
+    """Weights in the same proportions that name every source of docs: that of OTHER is divided equally among those not named."""
+    found = [r[0] for r in docs.select(F.coalesce("source", F.lit(OTHER)).alias("s")).distinct().collect()]  # a row for each source
+    named = {s: w for s, w in weights.items() if s != OTHER}
+    others = sorted(s for s in found if s not in named)
+    if not others:
+        return weights
+    out = {s: w * len(others) for s, w in named.items()} | dict.fromkeys(others, weights.get(OTHER, 0))
+    unit = max(1, gcd(*out.values()))
+    return {s: w // unit for s, w in out.items()}
+
+
 def scheduled(docs: DataFrame, weights: dict[str, int], block_units: int, units: Column) -> DataFrame:
     """docs with `_class`, `_block`, `_slot` (place of its block in the mix) and `_start` (units before it in its source).
 
@@ -102,12 +122,12 @@ def mixed(docs: DataFrame, weights: dict[str, int], block_units: int) -> DataFra
     return rows.repartitionByRange(parts, "_slot", "_start").sortWithinPartitions("_slot", "_start", "doc_id").select(*names).toDF(*docs.columns)
 
 
-#: Target weights of the sources in production, in twentieths, and characters in a block.
+#: Target weights of the sources in production, in twentieths (OTHER: of all others together), and characters in a block.
 WEIGHTS = {"src0": 4, "src1": 3, "src2": 2, "src3": 2, OTHER: 9}
 BLOCK_CHARS = 100_000
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", F.length("text").alias("n"))
-    rows = scheduled(docs, WEIGHTS, BLOCK_CHARS, F.col("n"))
+    rows = scheduled(docs, for_sources(docs, WEIGHTS), BLOCK_CHARS, F.col("n"))
     return rows.select("doc_id", F.col("_class").alias("source_class"), F.col("_block").alias("block"), F.col("_slot").alias("slot"), F.col("_start").alias("units_before"))

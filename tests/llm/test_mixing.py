@@ -77,3 +77,20 @@ def test_mixed_order_is_that_of_the_files(spark, tmp_path, monkeypatch):
 def test_no_rows(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mixed(docs, mixing.WEIGHTS, 10).count() == 0
+
+
+def test_each_unnamed_source_has_its_share(spark, tmp_path, monkeypatch):
+    """A hot source that the weights don't name takes no more than the others that they don't name."""
+    monkeypatch.setattr(mixing, "BLOCK_CHARS", 500)
+    of = [*["hot"] * 20, "rare", "rare", None, None, *["src0"] * 4, "src1", "src1", "src2", "src3"]
+    spark.createDataFrame([(i, "x" * 50, of[i % len(of)]) for i in range(3200)], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = mixing.op3_mixing(spark, str(tmp_path)).collect()
+    assert len(got) == 3200
+    slots = {}
+    for r in got:
+        slots.setdefault(r.source_class, set()).add(r.slot)
+    shares = {"src0": 12, "src1": 9, "src2": 6, "src3": 6, "hot": 9, "rare": 9, mixing.OTHER: 9}
+    assert set(slots) == set(shares)
+    for t in range(min(max(x) for x in slots.values())):
+        for s, w in shares.items():
+            assert abs(sum(p < t for p in slots[s]) - t * w / 60) < 1
