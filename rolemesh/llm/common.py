@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ def scratch_dir(spark: SparkSession) -> str:
     key = "spark.checkpoint.dir"
     found = spark.sparkContext.getConf().get(key) or spark.conf.get(key, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="rolemesh-")
         spark.conf.set(key, found)
     return found
@@ -30,10 +33,38 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage of df with a Parquet table in the shared folder: a lost executor costs no recomputation of what is above."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/rolemesh/{label}-{uuid.uuid4().hex}"
+    if _RECORDING is not None:
+        _RECORDING.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables written while a stage runs, and those of the stage before it.
+_RECORDING: list[str] | None = None
+_OF_LAST_STAGE: list[str] = []
+
+
+def stage(f: Callable) -> Callable:
+    """A pipeline stage (spark, docs, sf_dir): tables that the stage before wrote for itself are deleted as it begins, but for those that docs still reads."""
+
+    @wraps(f)
+    def staged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        global _RECORDING, _OF_LAST_STAGE
+        if _OF_LAST_STAGE:
+            read = docs.inputFiles()
+            for path in _OF_LAST_STAGE:
+                if not any(f"{path}/" in x for x in read):
+                    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+                    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+        _RECORDING = []
+        try:
+            return f(spark, docs, sf_dir)
+        finally:
+            _OF_LAST_STAGE, _RECORDING = _RECORDING, None
+
+    return staged
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut an Arrow batch so that each part holds about `most` bytes of text (one row at least)."""
     if not batch.num_rows:

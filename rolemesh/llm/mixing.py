@@ -8,9 +8,10 @@ within less than one block. The schedule repeats every Q blocks, so one period,
 weights alone, places every block of any corpus by arithmetic. When a source runs out, a new phase
 begins with the weights of the others: nothing is dropped or repeated.
 
-Documents are placed in their stream by the hash of their doc_id, in two levels: hash ranges inside
-each source, whose totals are summed first, then order inside a range. A source with a third of
-all rows is as finely divided as its rows demand.
+Documents are placed in their stream by the hash of their doc_id and text, in two levels: hash ranges
+inside each source, whose totals are summed first, then order inside a range. A source with a third of
+all rows, or very many rows without a doc_id, are as finely divided as their rows demand; only rows that
+agree in both doc_id and text stay together.
 
 `for_sources` divides the weight of OTHER equally among the sources that occur unnamed, so that each has
 a stream and deadlines of its own. The driver holds the schedule, which grows with the square of their number.
@@ -88,11 +89,12 @@ def for_sources(docs: DataFrame, weights: dict[str, int]) -> dict[str, int]:
 def scheduled(docs: DataFrame, weights: dict[str, int], block_units: int, units: Column) -> DataFrame:
     """docs with `_class`, `_block`, `_slot` (place of its block in the mix) and `_start` (units before it in its source).
 
-    docs needs doc_id and source; units is the size of a row.
+    docs needs doc_id and source; units is the size of a row. `_hash`, a hash of the row's content, tells rows of one doc_id apart where it is given.
     """
     spark = docs.sparkSession
     named = [s for s in weights if s != OTHER]
-    place = F.xxhash64("doc_id")
+    docs = docs if "_hash" in docs.columns else docs.withColumn("_hash", F.lit(0).cast("long"))
+    place = F.xxhash64("doc_id", "_hash")
     rows = docs.withColumns({"_class": F.when(F.col("source").isin(named), F.col("source")).otherwise(F.lit(OTHER)), "_units": F.greatest(F.lit(1), F.coalesce(units, F.lit(1))).cast("long"), "_place": place})
     n = max(1, -(-docs.count() // RANGE_ROWS))
     rows = rows.withColumn("_range", F.floor((F.shiftrightunsigned("_place", 33) * F.lit(n)) / F.lit(float(2**31))).cast("long"))
@@ -100,7 +102,7 @@ def scheduled(docs: DataFrame, weights: dict[str, int], block_units: int, units:
     before = Window.partitionBy("_class").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     bases = totals.select("_class", "_range", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("_base"))
     blocks = {r["_class"]: -(-r["units"] // block_units) for r in totals.groupBy("_class").agg(F.sum("total").alias("units")).collect()}  # a row for each weight
-    inside = Window.partitionBy("_class", "_range").orderBy("_place", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_class", "_range").orderBy("_place", "doc_id", "_hash").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("_within", F.coalesce(F.sum("_units").over(inside), F.lit(0))).join(bases, ["_class", "_range"])
     placed = placed.withColumn("_start", F.col("_base") + F.col("_within")).withColumn("_block", F.floor(F.col("_start") / block_units).cast("long"))
     plan = phases(weights, blocks)
@@ -109,14 +111,14 @@ def scheduled(docs: DataFrame, weights: dict[str, int], block_units: int, units:
     joined = placed.join(F.broadcast(table.withColumnsRenamed({c: f"_p_{c}" for c in table.columns})), (F.col("_class") == F.col("_p_source")) & F.col("_block").between(F.col("_p_first"), F.col("_p_last")))
     k = F.col("_block") - F.col("_p_first")
     slot = F.col("_p_base") + F.floor(k / F.col("_p_weight")) * F.col("_p_period") + F.get("_p_places", (k % F.col("_p_weight")).cast("int"))
-    return joined.withColumn("_slot", slot.cast("long")).drop("_units", "_place", "_range", "_within", "_base", *[f"_p_{c}" for c in table.columns])
+    return joined.withColumn("_slot", slot.cast("long")).drop("_units", "_hash", "_place", "_range", "_within", "_base", *[f"_p_{c}" for c in table.columns])
 
 
 def mixed(docs: DataFrame, weights: dict[str, int], block_units: int) -> DataFrame:
     """docs in mixed order, columns as given: range-partitioned and sorted by place, so that files written from it hold the mix in order."""
     names = [f"c{k}" for k in range(len(docs.columns))]
     of = {c: names[docs.columns.index(c)] for c in ("doc_id", "source", "text")}
-    plain = docs.toDF(*names).withColumns({"doc_id": F.col(of["doc_id"]), "source": F.col(of["source"])})
+    plain = docs.toDF(*names).withColumns({"doc_id": F.col(of["doc_id"]), "source": F.col(of["source"]), "_hash": F.xxhash64(of["text"])})
     rows = scheduled(plain, weights, block_units, F.length(of["text"]))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartitionByRange(parts, "_slot", "_start").sortWithinPartitions("_slot", "_start", "doc_id").select(*names).toDF(*docs.columns)
@@ -128,6 +130,6 @@ BLOCK_CHARS = 100_000
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", F.length("text").alias("n"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", F.length("text").alias("n"), F.xxhash64("text").alias("_hash"))
     rows = scheduled(docs, for_sources(docs, WEIGHTS), BLOCK_CHARS, F.col("n"))
     return rows.select("doc_id", F.col("_class").alias("source_class"), F.col("_block").alias("block"), F.col("_slot").alias("slot"), F.col("_start").alias("units_before"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolemesh.llm.common import slices, texts, written
-from rolemesh.llm.encoding import encoder
+from rolemesh.llm.encoding import AT_ONCE, encoder
 
 #: Up to so many run totals (about 60 bytes each) are broadcast; beyond that Spark chooses the join.
 MOST_RUNS = 500_000
@@ -41,7 +41,7 @@ def encoded_runs(docs: DataFrame, tokenizer_path: str, end_id: int, keeps_spaces
         own = f"{TaskContext.get().partitionId():012d}"
         made, run, upto = encoder(tokenizer_path, keeps_spaces, end_id), None, 0
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=AT_ONCE):
                 n, flat = made.ids(texts(part))
                 ends, data = np.cumsum(n), flat.tobytes()
                 where = zip(part.column("run_file").to_pylist(), part.column("run_row").to_pylist(), strict=True) if order else [(own, 0)] * len(n)

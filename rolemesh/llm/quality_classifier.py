@@ -7,12 +7,13 @@ two samples: among the texts that a first model finds most positive, unlabelled
 as positives times the prior.
 
 Features are shares and means over a whole text (letters, capitals, digits, marks, repeated
-words, line and word lengths), taken once for every document in one pass; what is fitted is a linear model on a bounded
-sample (`MOST_ROWS` positives and as many unlabelled texts, by hash of doc_id). Labels, lang, source
+words, line and word lengths), and the shares of its words and of its byte trigrams in hashed buckets, taken once
+for every document in one pass; what is fitted is a linear model on a bounded sample (about `MOST_ROWS`
+positives and as many unlabelled texts at most, chosen by the hash of doc_id alone). Labels, lang, source
 and doc_id are not inputs of a score.
 
-Defined cases: null and empty texts have all features 0 and a score as any other; repeated rows
-are each scored; without positive or unlabelled training rows every score is the prior of 0.5;
+Defined cases: null and empty texts have all features 0 and a score as any other; very long texts are
+measured whole; repeated rows are each scored; without positive or unlabelled training rows every score is the prior of 0.5;
 an empty table gives no rows. Extra columns are ignored.
 """
 
@@ -27,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolemesh.llm.common import slices, split_words, texts, written
+from rolemesh.llm.common import hashes, slices, split_words, texts, written
 
 MOST_ROWS = 20_000
 #: Kinds of bytes that are counted; a byte belongs to the first kind that has it.
@@ -43,20 +44,27 @@ KINDS = {
     "start": [*range(0xC0, 0x100)],
     "inside": [*range(0x80, 0xC0)],
 }
+#: Buckets of hashed words and of hashed byte trigrams.
+BUCKETS = 64
 TABLE = np.zeros(256, dtype=np.uint8)
 for _n, _bytes in reversed(list(enumerate(KINDS.values()))):
     TABLE[_bytes] = _n
-NAMES = [*(f"{k}_share" for k in KINDS), "capital_share", "distinct_share", "twice_share", "word_length", "words_a_line", "marked_words", "length"]
+NAMES = [*(f"{k}_share" for k in KINDS), "capital_share", "distinct_share", "twice_share", "word_length", "words_a_line", "marked_words", "length", *(f"word_{k}" for k in range(BUCKETS)), *(f"bytes_{k}" for k in range(BUCKETS))]
+
+
+#: Features before the hashed ones; the hashed ones count for less by so much; folds of the rows from which the prior is read.
+SHARES, HASHED, FOLDS = len(NAMES) - 2 * BUCKETS, 4.0, 4
 
 
 def features_of(array: pa.Array) -> np.ndarray:
     """A row of features for each text."""
     n = len(array)
     if not n:
-        return np.zeros((0, len(NAMES)))
+        return np.zeros((0, len(NAMES)), dtype=np.float32)
     _, offsets, data = array.buffers()
     at = np.frombuffer(offsets, dtype=np.int64)[: n + 1]
-    kinds = TABLE[np.frombuffer(data, dtype=np.uint8)[: at[-1]]] if data is not None else np.zeros(0, dtype=np.uint8)
+    raw = np.frombuffer(data, dtype=np.uint8)[: at[-1]] if data is not None else np.zeros(0, dtype=np.uint8)
+    kinds = TABLE[raw]
     doc = np.repeat(np.arange(n), np.diff(at))
     counts = np.bincount(doc * len(KINDS) + kinds, minlength=n * len(KINDS)).reshape(n, -1).astype(float)
     size = np.maximum(counts.sum(axis=1), 1)
@@ -69,10 +77,15 @@ def features_of(array: pa.Array) -> np.ndarray:
     twice = np.bincount(of_word[1:][(codes[1:] == codes[:-1]) & (of_word[1:] == of_word[:-1])], minlength=n)
     marked = pc.match_substring_regex(coded.dictionary, "[#*$%&|<>!]").to_numpy(zero_copy_only=False)
     lines = pc.count_substring(array, "\n").to_numpy() + 1
+    bucket = (hashes(coded.dictionary) % np.uint64(BUCKETS)).astype(np.int64)
+    hashed = np.bincount(of_word * BUCKETS + bucket[codes], minlength=n * BUCKETS).reshape(n, -1) / many[:, None]
+    three = (raw[:-2].astype(np.uint32) * 961 + raw[1:-1].astype(np.uint32) * 31 + raw[2:]) * np.uint32(2654435761) >> np.uint32(26) if len(raw) > 2 else np.zeros(0, dtype=np.uint32)
+    one_text = doc[: len(three)] == doc[2:]
+    grams = np.bincount(doc[: len(three)][one_text] * BUCKETS + three[one_text], minlength=n * BUCKETS).reshape(n, -1) / size[:, None]
     return np.column_stack([
         *(counts / size[:, None]).T, of["upper"] / letters, distinct / many, twice / many,
-        np.minimum((size - of["space"]) / many, 60) / 10, np.log1p(words / lines), np.bincount(of_word[marked[codes]], minlength=n) / many, np.log1p(size) / 10,
-    ])
+        np.minimum((size - of["space"]) / many, 60) / 10, np.log1p(words / lines), np.bincount(of_word[marked[codes]], minlength=n) / many, np.log1p(size) / 10, hashed, grams,
+    ]).astype(np.float32)
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -85,7 +98,7 @@ def features(docs: DataFrame) -> DataFrame:
                 f = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * len(NAMES), pa.int32()), pa.array(rows.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), f], names=["doc_id", "f"])
 
-    return docs.select("doc_id", "text").mapInArrow(measure, "doc_id long, f array<double>")
+    return docs.select("doc_id", "text").mapInArrow(measure, "doc_id long, f array<float>")
 
 
 @dataclass(frozen=True)
@@ -114,23 +127,35 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """Smallest ratio of the shares above a threshold, over thresholds that keep between a third and nearly all of the positives."""
-    cuts = np.quantile(positive, np.linspace(0.02, 0.67, 40))
-    ratios = [(unlabelled >= c).mean() / max((positive >= c).mean(), 1e-9) for c in cuts]
-    return float(np.clip(min(ratios), 0.05, 0.98))
+    """Ratio of the shares above a threshold, at the threshold with the least upper confidence bound of that ratio.
+
+    The least of many noisy ratios would be too low on small samples; the bound prefers thresholds that keep many rows of both.
+    """
+    noise = sum(np.sqrt(np.log(40) / (2 * len(x))) for x in (positive, unlabelled))
+    shares = [((unlabelled >= c).mean(), max((positive >= c).mean(), 1e-9)) for c in np.quantile(positive, np.linspace(0.01, 0.9, 90))]
+    u, p = min(shares, key=lambda s: (s[0] + noise) / s[1])
+    return float(np.clip(u / p, 0.05, 0.98))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, penalty: float = 1e-3) -> Model:
-    """Linear model of least non-negative risk (logistic loss)."""
+def fit(positive: np.ndarray, unlabelled: np.ndarray, penalty: float = 1e-2) -> Model:
+    """Linear model of least non-negative risk (logistic loss). The prior is read from scores of rows that the scoring model didn't see."""
     both = np.concatenate([positive, unlabelled])
     mean, scale = both.mean(axis=0), np.maximum(both.std(axis=0), 1e-6)
+    scale[SHARES:] *= HASHED
     p, u = (np.column_stack([np.clip((x - mean) / scale, -8, 8), np.ones(len(x))]) for x in (positive, unlabelled))
+    fold_p, fold_u = (np.arange(len(x)) % FOLDS for x in (p, u))
+    seen_p, seen_u = np.zeros(len(p)), np.zeros(len(u))
+    for k in range(FOLDS):
+        a, b = p[fold_p != k], u[fold_u != k]
+        if not len(a) or not len(b):
+            continue
 
-    def apart(theta: np.ndarray) -> np.ndarray:  # positives from unlabelled, for the prior
-        return -(p.T @ _sigmoid(-p @ theta)) / len(p) + u.T @ _sigmoid(u @ theta) / len(u) + penalty * theta
+        def apart(theta: np.ndarray, a: np.ndarray = a, b: np.ndarray = b) -> np.ndarray:  # positives from unlabelled
+            return -(a.T @ _sigmoid(-a @ theta)) / len(a) + b.T @ _sigmoid(b @ theta) / len(b) + penalty * theta
 
-    first = _descend(apart, p.shape[1])
-    prior = estimated_prior(p @ first, u @ first)
+        first = _descend(apart, p.shape[1])
+        seen_p[fold_p == k], seen_u[fold_u == k] = p[fold_p == k] @ first, u[fold_u == k] @ first
+    prior = estimated_prior(seen_p, seen_u)
 
     def risk(theta: np.ndarray) -> np.ndarray:
         yp, yu = p @ theta, u @ theta
@@ -138,7 +163,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, penalty: float = 1e-3) ->
         as_negative = u.T @ _sigmoid(yu) / len(u) - prior * (p.T @ _sigmoid(yp)) / len(p)
         value = np.logaddexp(0, yu).mean() - prior * np.logaddexp(0, yp).mean()
         regular = penalty * np.append(theta[:-1], 0)
-        return prior * on_p + (as_negative if value >= 0 else -as_negative) + regular
+        return prior * on_p + as_negative + regular if value >= 0 else regular - as_negative  # a negative part below zero is climbed back alone
 
     theta = _descend(risk, p.shape[1])
     return Model(mean, scale, theta[:-1], float(theta[-1]), prior)
@@ -148,8 +173,8 @@ def sampled(rows: DataFrame, most: int) -> np.ndarray:
     """Features of about `most` rows at most, by hash of doc_id."""
     n = rows.count()
     part = rows if n <= most else rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * most / n))
-    table = part.select("f").limit(2 * most).toArrow().column("f").combine_chunks()
-    return table.flatten().to_numpy().reshape(-1, len(NAMES))
+    table = part.select("f").toArrow().column("f").combine_chunks()
+    return table.flatten().to_numpy().astype(float).reshape(-1, len(NAMES))
 
 
 def train(measured: DataFrame, labels: DataFrame, trains: Column, most: int = MOST_ROWS) -> Model | None:
@@ -165,7 +190,7 @@ def score(measured: DataFrame, model: Model | None) -> DataFrame:
     if model is None:
         return measured.select("doc_id", F.lit(0.5).alias("score"))
     at = [F.array(*[F.lit(float(x)) for x in v]) for v in (model.mean, model.scale, model.w)]
-    terms = F.transform("f", lambda x, i: F.least(F.lit(8.0), F.greatest(F.lit(-8.0), (x - F.get(at[0], i)) / F.get(at[1], i))) * F.get(at[2], i))
+    terms = F.transform("f", lambda x, i: F.least(F.lit(8.0), F.greatest(F.lit(-8.0), (x.cast("double") - F.get(at[0], i)) / F.get(at[1], i))) * F.get(at[2], i))
     total = F.aggregate(terms, F.lit(model.b), lambda a, x: a + x)
     return measured.select("doc_id", (1 / (1 + F.exp(-total))).alias("score"))
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolemesh.llm.common import slices, texts, written
-from rolemesh.llm.encoding import encoder
+from rolemesh.llm.encoding import AT_ONCE, encoder
 
 #: Lengths in a segment.
 SEGMENT = 128
@@ -30,7 +30,7 @@ def token_lengths(docs: DataFrame, tokenizer_path: str, keeps_spaces: bool, end_
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = encoder(tokenizer_path, keeps_spaces, end_id)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=AT_ONCE):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(made.ids(texts(part))[0])], names=["doc_id", "n_tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(lengths, "doc_id long, n_tokens long")

@@ -8,7 +8,8 @@ are committed by Spark's own writer (a lost executor leaves no half file), and t
 chunk's first id, so that a range of documents is found without reading payloads.
 
 Defined cases: a null or empty text holds the end id alone; repeated rows and doc_ids are each
-written, ordered by doc_id and text, null doc_ids first; an empty table gives empty files. Extra
+written, ordered by doc_id, then by the text's hash, null doc_ids first, so that rows of one doc_id may
+be dealt over several shards; a very long text is one chunk; an empty table gives empty files. Extra
 columns are ignored.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rolemesh.llm.common import scratch_dir, slices, texts
-from rolemesh.llm.encoding import encoder
+from rolemesh.llm.encoding import AT_ONCE, encoder
 
 #: First bytes of a payload.
 MAGIC = b"IDPLANE1"
@@ -66,28 +67,29 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2,
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, made, chunk = TaskContext.get().partitionId(), encoder(tokenizer_path, keeps_spaces, end_id), 0
-        docs_in, lengths, parts, held = [], [], [], 0
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []  # doc_ids, lengths, ids
 
-        def row() -> pa.RecordBatch:
-            payload = to_planes(np.concatenate(parts), block_ids)
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((own, chunk, docs_in, lengths, held, payload), types, strict=True)], names=names)
+        def row(doc_ids: pa.Array, lengths: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(lengths)], pa.int32()), x) for x in (doc_ids, pa.array(lengths, pa.int64()))]
+            alone = [pa.array([x], t) for x, t in zip((own, chunk, len(ids), to_planes(ids, block_ids)), (types[0], types[1], types[4], types[5]), strict=True)]
+            return pa.RecordBatch.from_arrays([*alone[:2], *lists, *alone[2:]], names=names)
 
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=AT_ONCE):
                 n, flat = made.ids(texts(part))
-                ends = np.cumsum(n).tolist()
-                for doc, k, end in zip(part.column("doc_id").to_pylist(), n.tolist(), ends, strict=True):
-                    docs_in.append(doc)
-                    lengths.append(k)
-                    parts.append(flat[end - k : end])
-                    held += k
-                    if held >= chunk_ids:
-                        yield row()
-                        docs_in, lengths, parts, held, chunk = [], [], [], 0, chunk + 1
-        if docs_in:
-            yield row()
-
-    ordered = docs.select("doc_id", "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+                held.append((part.column("doc_id").cast(pa.int64()), n, flat))
+                if sum(len(x[2]) for x in held) < chunk_ids:
+                    continue
+                doc_ids, n, flat = pa.concat_arrays([x[0] for x in held]), *(np.concatenate([x[k] for x in held]) for k in (1, 2))
+                ends, first, at = np.cumsum(n), 0, 0
+                while (last := int(np.searchsorted(ends, at + chunk_ids)) + 1) <= len(n):
+                    yield row(doc_ids.slice(first, last - first), n[first:last], flat[at : ends[last - 1]])
+                    first, at, chunk = last, int(ends[last - 1]), chunk + 1
+                held = [(doc_ids.slice(first), n[first:], flat[at:])] if first < len(n) else []
+        if held:
+            yield row(pa.concat_arrays([x[0] for x in held]), *(np.concatenate([x[k] for x in held]) for k in (1, 2)))
+
+    ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).repartitionByRange(shards, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     chunks = ordered.mapInArrow(shard, "shard long, chunk long, doc_ids array<long>, lengths array<long>, n_ids long, payload binary")
     chunks.write.option("compression", "none").parquet(f"{path}/chunks")
     kept = spark.read.parquet(f"{path}/chunks").select("shard", "chunk", "n_ids", F.size("doc_ids").alias("n_docs"), F.element_at("doc_ids", 1).alias("first_doc"), F.element_at("doc_ids", -1).alias("last_doc"))
@@ -106,16 +108,17 @@ def read_ids(spark: SparkSession, path: str, **columns) -> DataFrame:
     where a chunk is expanded, so that the join with the index moves no ids.
     """
     names = ["shard", "chunk", "doc_id", "local_start", "n_tokens", "ids"]
-    types = [*[pa.int64()] * 5, pa.binary()]
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                shard, chunk, doc_ids, lengths, payload = (batch.column(c)[k].as_py() for c in ("shard", "chunk", "doc_ids", "lengths", "payload"))
-                data = from_planes(payload).tobytes()
-                starts = (np.cumsum(lengths) - lengths).tolist()
-                columns = [[shard] * len(starts), [chunk] * len(starts), doc_ids, starts, lengths, [data[4 * s : 4 * (s + n)] for s, n in zip(starts, lengths, strict=True)]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+                shard, chunk, payload = (batch.column(c)[k].as_py() for c in ("shard", "chunk", "payload"))
+                doc_ids, lengths = (batch.column(c)[k].values for c in ("doc_ids", "lengths"))
+                ends = np.cumsum(lengths.to_numpy())
+                starts = ends - lengths.to_numpy()
+                ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(4 * np.append(starts, ends[-1:])), pa.py_buffer(from_planes(payload))])
+                where = [pa.array(np.full(len(ends), x), pa.int64()) for x in (shard, chunk)]
+                yield pa.RecordBatch.from_arrays([*where, doc_ids, pa.array(starts), lengths, ids.cast(pa.binary())], names=names)
 
     wanted = columns or {"ids": F.col("ids")}
     chunks = spark.read.parquet(f"{path}/chunks").select("shard", "chunk", "doc_ids", "lengths", "payload")
