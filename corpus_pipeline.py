@@ -2,37 +2,45 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolemesh.llm import jaccard_join, mixing, packing, quality_rules, secret_scans
-from rolemesh.llm.common import written
+from rolemesh.llm.common import stage, written
 
 
+@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality policy in production keeps."""
     return quality_rules.filtered(docs, quality_rules.POLICY)
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
     return jaccard_join.deduplicated(docs, n_words=5, percent=80)
 
 
+@stage
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with the secrets found in it replaced by a mark."""
     return secret_scans.redacted(docs, written(secret_scans.scan(docs), "secret-ledger"))
 
 
+@stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, in files that hold the sources mixed to their target weights."""
     return mixing.mixed(docs, mixing.for_sources(docs, mixing.WEIGHTS), mixing.BLOCK_CHARS)
 
 
+@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences, in the order of the mix: doc_id, start, length, doc_tokens, sequence_id, offset, ids."""
-    ordered = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    import public_tokenizers
+
+    name = F.col("_metadata.file_name")
+    numbered = F.concat(F.lpad(F.regexp_extract(name, "^part-([0-9]+)", 1), 20, "0"), name)  # so that part-100000 follows part-99999
+    ordered = docs.select("doc_id", "text", numbered.alias("file"), F.col("_metadata.row_index").alias("row"))
     return packing.pack(ordered, public_tokenizers.path("word_bpe_49k.json"), order=("file", "row"))
 
 
