@@ -89,11 +89,11 @@ def for_sources(docs: DataFrame, weights: dict[str, int]) -> dict[str, int]:
 def scheduled(docs: DataFrame, weights: dict[str, int], block_units: int, units: Column) -> DataFrame:
     """docs with `_class`, `_block`, `_slot` (place of its block in the mix) and `_start` (units before it in its source).
 
-    docs needs doc_id and source; units is the size of a row. `_hash`, a hash of the row's content, tells rows of one doc_id apart where it is given.
+    docs needs doc_id and source; units is the size of a row. Rows of one doc_id are told apart by `_hash`, a hash of their content (of text if there is no such column).
     """
     spark = docs.sparkSession
     named = [s for s in weights if s != OTHER]
-    docs = docs if "_hash" in docs.columns else docs.withColumn("_hash", F.lit(0).cast("long"))
+    docs = docs if "_hash" in docs.columns else docs.withColumn("_hash", F.xxhash64("text") if "text" in docs.columns else F.lit(0).cast("long"))
     place = F.xxhash64("doc_id", "_hash")
     rows = docs.withColumns({"_class": F.when(F.col("source").isin(named), F.col("source")).otherwise(F.lit(OTHER)), "_units": F.greatest(F.lit(1), F.coalesce(units, F.lit(1))).cast("long"), "_place": place})
     n = max(1, -(-docs.count() // RANGE_ROWS))
