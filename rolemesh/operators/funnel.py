@@ -1,7 +1,10 @@
 """Six ordered hard filters over all roles and candidates, their funnel, and exact retrieval of the nearest survivors.
 
-Roles are a stated set of queries, broadcast while there are at most MOST_ROLES of them (beyond that
-Spark chooses the join); candidates are never shuffled to be filtered. What is not known is false: every test is coalesced.
+Roles and candidates are never paired all with all. A role's *lead* requirement (its first required
+certification, else its first required software) is met by an equi-join on exploded ids, so that only pairs which
+agree in it are tested further; a role that asks for neither is joined to the candidates under SALTS salted keys.
+What the pairs leave out is counted by subtraction: nobody who lacks the lead gets past its stage.
+Joins are left to Spark, which broadcasts by measured size. What is not known is false: every test is coalesced.
 """
 
 from __future__ import annotations
@@ -12,13 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STAGES = ("profile", "certifications", "software", "experience", "availability", "overlap")
-#: Rows up to which roles, and distinct overlaps, are broadcast.
-MOST_ROLES, MOST_OVERLAPS = 2_000, 500_000
-
-
-def small(df: DataFrame, most: int) -> DataFrame:
-    """df, marked for broadcast if it has no more rows than that."""
-    return F.broadcast(df) if df.count() <= most else df
+#: Parts into which the candidates are dealt for roles that ask for no certification and no software.
+SALTS = 64
 
 
 def acceptable_ids(terms: DataFrame) -> DataFrame:
@@ -34,8 +32,8 @@ def acceptable_ids(terms: DataFrame) -> DataFrame:
 
 
 def acceptable_sets(roles: DataFrame, terms: DataFrame) -> DataFrame:
-    """(role_id, sets): an array of acceptable ids for each required certification, in order; an unknown one has an empty set, which nobody meets."""
-    asked = roles.select("role_id", "accept_equivalents", F.posexplode("required_certifications").alias("pos", "required"))
+    """(role_id, sets): an array of acceptable ids for each required certification, in order; an unknown one has an empty set, which nobody meets. Equivalents are accepted unless the role says otherwise."""
+    asked = roles.select("role_id", F.coalesce("accept_equivalents", F.lit(True)).alias("accept_equivalents"), F.posexplode("required_certifications").alias("pos", "required"))
     per = asked.join(acceptable_ids(terms), ["required", "accept_equivalents"], "left").groupBy("role_id", "pos").agg(F.sort_array(F.collect_set("id")).alias("ids"))
     return per.groupBy("role_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"]).alias("sets"))
 
@@ -45,7 +43,7 @@ def overlap_minutes(tuples: DataFrame, known_zones: DataFrame) -> DataFrame:
 
     An unknown zone is replaced before it is used and its result dropped after: guarding with a condition alone isn't enough, as expressions may be hoisted out of it.
     """
-    known = F.broadcast(known_zones.select("zone").distinct())
+    known = known_zones.select("zone").distinct()
     # the clock of a zone is converted once for a role's day, not once for each shift
     days = tuples.select("role_zone", "day", "zone").distinct().join(known.select(F.col("zone").alias("role_zone"), F.lit(True).alias("k1")), "role_zone", "left").join(known.withColumn("k2", F.lit(True)), "zone", "left")
     safe = days.withColumns({"_r": F.when(F.col("k1"), F.col("role_zone")).otherwise("UTC"), "_c": F.when(F.col("k2"), F.col("zone")).otherwise("UTC")})
@@ -61,41 +59,80 @@ def overlap_minutes(tuples: DataFrame, known_zones: DataFrame) -> DataFrame:
     return joined.select("role_zone", "day", "zone", "work_start", "work_end", F.when(F.col("known"), F.size(works)).alias("minutes"))
 
 
-def checked(roles: DataFrame, candidates: DataFrame, profiles: DataFrame, availability: DataFrame, terms: DataFrame, known_zones: DataFrame, today: str) -> DataFrame:
-    """(role_id, candidate_id, full_name, cleared): how many filters in order an active candidate has cleared, 0 to 6."""
-    asked = roles.where("status = 'open'").join(acceptable_sets(roles, terms), "role_id", "left").withColumns({"sets": F.coalesce("sets", F.array().cast("array<array<string>>")), "day": F.coalesce("starts_on", F.lit(today).cast("date"))})
-    asked = asked.select("role_id", "sets", "required_software", "min_years", "day", F.col("hours_per_week").alias("asked_hours"), F.col("timezone").alias("role_zone"), "min_overlap_hours")
-    profile = profiles.select("candidate_id", "certifications", "software", "years_experience", F.lit(True).alias("has_profile"))
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
+
+def asked_of(roles: DataFrame, terms: DataFrame, today: str) -> DataFrame:
+    """Open roles with their acceptable sets, the day their overlap is worked out for, and `keys`: what a candidate must hold one of to be looked at."""
+    asked = roles.where("status = 'open'").join(acceptable_sets(roles, terms), "role_id", "left")
+    sets = F.coalesce("sets", F.array().cast("array<array<string>>"))
+    asked = asked.select("role_id", sets.alias("sets"), F.coalesce("required_software", _none()).alias("required_software"), "min_years", "starts_on", F.coalesce("starts_on", F.lit(today).cast("date")).alias("day"), F.col("hours_per_week").alias("asked_hours"), F.col("timezone").alias("role_zone"), "min_overlap_hours")
+    certs = F.transform(F.get("sets", F.lit(0)), lambda x: F.concat(F.lit("c:"), x))
+    soft = F.array(F.concat(F.lit("s:"), F.get("required_software", F.lit(0))))
+    anyone = F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.concat(F.lit("any:"), k.cast("string")))
+    return asked.withColumn("keys", F.when(F.size("sets") > 0, certs).when(F.size("required_software") > 0, soft).otherwise(anyone))
+
+
+def pool_of(candidates: DataFrame, profiles: DataFrame, availability: DataFrame) -> DataFrame:
+    """Active candidates that have a profile, with it and their answers, and `keys`: all they hold."""
+    profile = profiles.select("candidate_id", F.coalesce("certifications", _none()).alias("certifications"), F.coalesce("software", _none()).alias("software"), "years_experience")
     answers = availability.select("candidate_id", F.col("timezone").alias("zone"), "work_start", "work_end", "hours_per_week", "available_from", F.lit(True).alias("answered"))
-    pool = candidates.where("status = 'active'").select("candidate_id", "full_name").join(profile, "candidate_id", "left").join(answers, "candidate_id", "left")
-    shifts = answers.select("zone", "work_start", "work_end").distinct()
+    pool = candidates.where("status = 'active'").select("candidate_id", "full_name").join(profile, "candidate_id").join(answers, "candidate_id", "left")
+    salt = F.pmod(F.xxhash64("candidate_id"), F.lit(SALTS)).cast("string")
+    held = F.concat(F.transform("certifications", lambda x: F.concat(F.lit("c:"), x)), F.transform("software", lambda x: F.concat(F.lit("s:"), x)), F.array(F.concat(F.lit("any:"), salt)))
+    return pool.withColumn("held", F.array_distinct(held))
+
+
+def checked(roles: DataFrame, candidates: DataFrame, profiles: DataFrame, availability: DataFrame, terms: DataFrame, known_zones: DataFrame, today: str) -> DataFrame:
+    """(role_id, candidate_id, full_name, cleared): how many filters in order a candidate has cleared, 1 to 6, for every pair that agrees in the role's lead requirement.
+
+    All other pairs have cleared less: 0 without a profile, 1 or 2 with one (see `funnel`).
+    """
+    asked, pool = asked_of(roles, terms, today), pool_of(candidates, profiles, availability)
+    shifts = pool.where("answered").select("zone", "work_start", "work_end").distinct()
     days = asked.where("role_zone IS NOT NULL").select("role_zone", "day").distinct()
-    minutes = overlap_minutes(days.join(F.broadcast(shifts), how="cross"), known_zones)  # distinct days of roles against distinct shifts
-    pairs = pool.join(small(asked, MOST_ROLES), how="cross").join(small(minutes, MOST_OVERLAPS), ["role_zone", "day", "zone", "work_start", "work_end"], "left")
+    minutes = overlap_minutes(days.join(shifts, how="cross"), known_zones)  # distinct days of roles against distinct shifts: few, however many people
     c = F.col
-    tests = [
-        c("has_profile"),
+    # one row a pair: of the keys that a pair shares, the first counts
+    pairs = pool.select("*", F.explode("held").alias("key")).join(asked.select("*", F.explode("keys").alias("key")), "key")
+    pairs = pairs.where(c("key") == F.get(F.array_intersect("keys", "held"), F.lit(0))).drop("key", "keys", "held")
+    first = [
         F.forall("sets", lambda s: F.coalesce(F.arrays_overlap(s, c("certifications")), F.lit(False))),
         F.size(F.array_except("required_software", "software")) == 0,
         (F.coalesce("min_years", F.lit(0)) == 0) | F.coalesce(c("years_experience") >= c("min_years"), F.lit(False)),
-        c("answered") & (c("available_from") <= c("day")) & (c("asked_hours").isNull() | (c("hours_per_week") >= c("asked_hours"))),
-        F.when(c("role_zone").isNull(), F.coalesce("min_overlap_hours", F.lit(0)) == 0).otherwise(c("minutes") >= 60 * F.coalesce("min_overlap_hours", F.lit(0))),
+        c("answered") & (c("starts_on").isNull() | (c("available_from") <= c("starts_on"))) & (c("asked_hours").isNull() | (c("hours_per_week") >= c("asked_hours"))),
     ]
-    tests = [F.coalesce(t, F.lit(False)) for t in tests]
-    cleared = reduce(lambda rest, k: F.when(~tests[k], k).otherwise(rest), range(5, -1, -1), F.lit(6))
-    return pairs.select("role_id", "candidate_id", "full_name", cleared.alias("cleared"))
+    early = reduce(lambda rest, k: F.when(~F.coalesce(first[k], F.lit(False)), k + 1).otherwise(rest), range(3, -1, -1), F.lit(5))
+    tested = pairs.select("role_id", "candidate_id", "full_name", early.alias("early"), "role_zone", "day", "min_overlap_hours", "zone", "work_start", "work_end")
+    tested = tested.join(minutes, ["role_zone", "day", "zone", "work_start", "work_end"], "left")
+    last = F.when(c("role_zone").isNull(), c("min_overlap_hours").isNull()).otherwise(c("minutes") >= 60 * F.coalesce("min_overlap_hours", F.lit(0)))
+    return tested.select("role_id", "candidate_id", "full_name", F.when((c("early") == 5) & F.coalesce(last, F.lit(False)), 6).otherwise(c("early")).alias("cleared"))
+
 
+def funnel(roles: DataFrame, stages: DataFrame, candidates: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Per open role: pool, after_<filter> counts, and the filter after `profile` that excludes most (the earliest of equals, null if none).
 
-def funnel(roles: DataFrame, stages: DataFrame) -> DataFrame:
-    """Per open role: pool, after_<filter> counts, and the filter after `profile` that excludes most (the earliest of equals, null if none)."""
-    counts = stages.groupBy("role_id").agg(F.count("*").alias("pool"), *[F.count_if(F.col("cleared") > k).alias(f"after_{s}") for k, s in enumerate(STAGES)])
-    rows = roles.where("status = 'open'").select("role_id").join(counts, "role_id", "left").na.fill(0)
+    The pool, and who has a profile, are counted once for all roles; a role that asks for no certification loses nobody to that filter.
+    """
+    active = candidates.where("status = 'active'").select("candidate_id")
+    whole = active.join(profiles.select("candidate_id", F.lit(1).alias("p")), "candidate_id", "left").agg(F.count("*").alias("pool"), F.count("p").alias("after_profile"))
+    paired = stages.groupBy("role_id").agg(*[F.count_if(F.col("cleared") > k).alias(f"n_{s}") for k, s in enumerate(STAGES) if k])
+    rows = roles.where("status = 'open'").select("role_id", (F.size(F.coalesce("required_certifications", _none())) > 0).alias("certs")).join(paired, "role_id", "left").na.fill(0).join(whole, how="cross")  # whole is one row
+    rows = rows.select("role_id", "pool", "after_profile", F.when(F.col("certs"), F.col("n_certifications")).otherwise(F.col("after_profile")).alias("after_certifications"), *[F.col(f"n_{s}").alias(f"after_{s}") for s in STAGES[2:]])
     names = ["pool", *(f"after_{s}" for s in STAGES)]
     gone = [F.struct((F.col(names[k]) - F.col(names[k + 1])).alias("n"), F.lit(-k).alias("k"), F.lit(s).alias("filter")) for k, s in enumerate(STAGES) if k]
     top = F.array_max(F.array(*gone))
     return rows.withColumns({"top_filter": F.when(top["n"] > 0, top["filter"]), "top_excluded": F.when(top["n"] > 0, top["n"])})
 
 
+def cleared_counts(counts: DataFrame) -> DataFrame:
+    """(role_id, cleared, n): how many candidates of the pool got past exactly so many filters; zeros left out."""
+    names = ["pool", *(f"after_{s}" for s in STAGES)]
+    each = F.array(*[F.struct(F.lit(k).alias("cleared"), (F.col(names[k]) - (F.col(names[k + 1]) if k < 6 else F.lit(0))).alias("n")) for k in range(7)])
+    return counts.select("role_id", F.inline(each)).where("n > 0")
+
+
 def exclusions(counts: DataFrame) -> DataFrame:
     """(role_id, stage, filter, remaining, excluded), one row a filter."""
     names = ["pool", *(f"after_{s}" for s in STAGES)]
@@ -118,25 +155,47 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 
 def shortlist(stages: DataFrame, role_vectors: DataFrame, candidate_vectors: DataFrame, limit: int = 20) -> DataFrame:
-    """(role_id, rank, candidate_id, similarity) of the nearest candidates that passed all filters, vectors of one model only; limit is held to 1..50."""
+    """(role_id, rank, candidate_id, similarity) of the nearest candidates that passed all filters, vectors of one model only (or both of none); limit is held to 1..50."""
     k = max(1, min(50, limit))
     passed = stages.where("cleared = 6").select("role_id", "candidate_id", "full_name")
-    near = passed.join(candidate_vectors.where("v IS NOT NULL").select("candidate_id", "model", "v"), "candidate_id").join(F.broadcast(role_vectors.select("role_id", "model", F.col("v").alias("rv"))), ["role_id", "model"])
+    near = passed.join(candidate_vectors.where("v IS NOT NULL").select("candidate_id", "model", "v"), "candidate_id").join(role_vectors.select("role_id", F.col("model").alias("role_model"), F.col("v").alias("rv")), "role_id")
+    near = near.where(F.col("model").eqNullSafe(F.col("role_model")))
     scored = near.select("role_id", "candidate_id", "full_name", F.round(cosine_distance(F.col("v"), F.col("rv")), 6).alias("distance")).where("distance IS NOT NULL")
     order = Window.partitionBy("role_id").orderBy("distance", "full_name", "candidate_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("role_id", "rank", "candidate_id", F.round(1 - F.col("distance"), 6).alias("similarity"))
 
 
-def unranked(stages: DataFrame, listed: DataFrame, candidate_vectors: DataFrame, role_vectors: DataFrame) -> DataFrame:
-    """(role_id, candidate_id): passed all filters, but has no vector to compare with the role's."""
-    usable = candidate_vectors.where(F.exists("v", lambda x: x != 0)).select("candidate_id", "model")
-    pairs = stages.where("cleared = 6").select("role_id", "candidate_id").join(F.broadcast(role_vectors.select("role_id", "model")), "role_id", "left")
-    return pairs.join(usable, ["candidate_id", "model"], "left_anti").select("role_id", "candidate_id")
+def unranked(stages: DataFrame, role_vectors: DataFrame, candidate_vectors: DataFrame) -> DataFrame:
+    """(role_id, candidate_id, full_name, role_embedded) of those who passed all filters but have no vector to compare with the role's: none, a zero one, or one of another model. List them by full_name."""
+    def usable(v: DataFrame) -> DataFrame:
+        return v.where(F.exists("v", lambda x: x != 0))
 
+    people = usable(candidate_vectors).select("candidate_id", "model", F.lit(True).alias("there"))
+    wanted = usable(role_vectors).select("role_id", F.col("model").alias("role_model"), F.lit(True).alias("embedded"))
+    pairs = stages.where("cleared = 6").select("role_id", "candidate_id", "full_name").join(people, "candidate_id", "left").join(wanted, "role_id", "left")
+    compared = F.coalesce(F.col("there") & F.col("embedded") & F.col("model").eqNullSafe(F.col("role_model")), F.lit(False))
+    return pairs.where(~compared).select("role_id", "candidate_id", "full_name", F.coalesce("embedded", F.lit(False)).alias("role_embedded"))
 
-def run_record(counts: DataFrame, stages: DataFrame, listed: DataFrame, left_out: DataFrame) -> DataFrame:
-    """One row a role: its funnel, how many passed, the shortlist in rank order, and how many could not be ranked."""
+
+def passed_in_order(stages: DataFrame) -> DataFrame:
+    """(role_id, position, candidate_id): who passed all filters, by name. Rows rather than an array a role, as a role may be passed by any number of people."""
+    order = Window.partitionBy("role_id").orderBy("full_name", "candidate_id")
+    return stages.where("cleared = 6").select("role_id", F.row_number().over(order).alias("position"), "candidate_id")
+
+
+def run_record(counts: DataFrame, asked: DataFrame, listed: DataFrame, left_out: DataFrame, role_vectors: DataFrame) -> DataFrame:
+    """One row a role: its funnel, the day of the overlap, the shortlist in rank order with similarities, how many could not be ranked, and whether the role has a vector."""
     arrays = listed.groupBy("role_id").agg(F.sort_array(F.collect_list(F.struct("rank", "candidate_id", "similarity"))).alias("x"))  # at most 50 entries
-    arrays = arrays.select("role_id", F.array_join(F.transform("x", lambda r: r["candidate_id"].cast("string")), ",").alias("retrieved"), F.size("x").cast("long").alias("n_retrieved"))
+    ids, near = F.transform("x", lambda r: r["candidate_id"].cast("string")), F.transform("x", lambda r: F.format_string("%.6f", r["similarity"]))
+    arrays = arrays.select("role_id", F.array_join(ids, ",").alias("retrieved"), F.array_join(near, ",").alias("similarities"), F.size("x").cast("long").alias("n_retrieved"))
     out = left_out.groupBy("role_id").agg(F.count("*").alias("n_unranked"))
-    return counts.join(arrays, "role_id", "left").join(out, "role_id", "left").na.fill({"retrieved": "", "n_retrieved": 0, "n_unranked": 0}).drop("top_excluded")
+    embedded = role_vectors.where(F.exists("v", lambda x: x != 0)).select("role_id", F.lit(True).alias("role_embedded"))
+    rows = counts.drop("top_excluded").join(asked.select("role_id", F.col("day").alias("overlap_on")), "role_id").join(arrays, "role_id", "left").join(out, "role_id", "left").join(embedded, "role_id", "left")
+    return rows.na.fill({"retrieved": "", "similarities": "", "n_retrieved": 0, "n_unranked": 0, "role_embedded": False})
+
+
+def runs_page(runs: DataFrame, page: int, size: int = 50) -> DataFrame:
+    """A page of runs (role_id, created_at, id, ...) for each role, newest first; at most 200 a page."""
+    size = max(1, min(200, size))
+    place = F.row_number().over(Window.partitionBy("role_id").orderBy(F.col("created_at").desc(), "id"))
+    return runs.withColumn("place", place).where(F.col("place").between(page * size + 1, (page + 1) * size))

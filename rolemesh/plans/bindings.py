@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 #: Fixed values.
 ZONES = ("America/New_York", "America/Chicago", "America/Los_Angeles", "Europe/London", "Asia/Manila", "Asia/Kolkata", "Australia/Sydney", "America/Phoenix")
 TODAY = "2026-06-15"
-ROLES = 40
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,8 +53,9 @@ def availability(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def roles(spark: SparkSession, sf_dir: str, most: int = ROLES) -> DataFrame:
-    return table(spark, sf_dir, "part").where(F.col("p_partkey") < most).selectExpr(
+def roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part is a role."""
+    return table(spark, sf_dir, "part").selectExpr(
         "p_partkey AS role_id", "p_name AS title",
         "CASE WHEN p_partkey % 3 = 0 THEN array(lower(p_type)) ELSE cast(array() AS array<string>) END AS required_certifications",
         "CASE WHEN p_partkey % 2 = 0 THEN array(lower(p_brand)) ELSE cast(array() AS array<string>) END AS required_software",
@@ -88,27 +88,27 @@ def candidate_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("candidate_id", "model", value.alias("v"))
 
 
-def role_vectors(spark: SparkSession, sf_dir: str, most: int = ROLES) -> DataFrame:
+def role_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "embeddings").count()
-    keys = table(spark, sf_dir, "part").where(F.col("p_partkey") < most).selectExpr("p_partkey AS role_id", f"p_partkey % {n} AS vec_id", "CASE WHEN p_partkey % 11 = 0 THEN 'b' ELSE 'a' END AS model")
+    keys = table(spark, sf_dir, "part").selectExpr("p_partkey AS role_id", f"p_partkey % {n} AS vec_id", "CASE WHEN p_partkey % 11 = 0 THEN 'b' ELSE 'a' END AS model")
     return keys.join(vectors(spark, sf_dir), "vec_id").select("role_id", "model", "v")
 
 
 _LIST = ", ".join(repr(z) for z in ZONES)
 SQL = f"""
-cand AS (SELECT c_custkey AS candidate_id, c_name AS full_name, lower(c_name) || '@example.com' AS email, CASE WHEN c_custkey % 20 = 0 THEN 'archived' ELSE 'active' END AS status FROM customer),
-facts AS (SELECT o_custkey, o_orderpriority, year(o_orderdate) AS y, lower(p_type) AS cert, lower(p_brand) AS soft FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND l_linenumber = 1 JOIN part ON l_partkey = p_partkey),
-held AS (SELECT o_custkey, list_sort(list(DISTINCT cert) FILTER (o_orderpriority IN ('1-URGENT', '2-HIGH'))) AS c, list_sort(list(DISTINCT soft)) AS s, max(y) - min(y) AS years FROM facts GROUP BY 1),
-prof AS (SELECT c_custkey AS candidate_id, coalesce(c, []::VARCHAR[]) AS certifications, coalesce(s, []::VARCHAR[]) AS software, CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE years END AS years_experience FROM customer LEFT JOIN held ON c_custkey = o_custkey WHERE c_custkey % 13 <> 0),
-avail AS (SELECT c_custkey AS candidate_id, CASE WHEN c_custkey % 31 = 0 THEN 'XYZ5' ELSE [{_LIST}][c_nationkey % 8 + 1] END AS timezone,
+cand AS MATERIALIZED (SELECT c_custkey AS candidate_id, c_name AS full_name, lower(c_name) || '@example.com' AS email, CASE WHEN c_custkey % 20 = 0 THEN 'archived' ELSE 'active' END AS status FROM customer),
+facts AS MATERIALIZED (SELECT o_custkey, o_orderpriority, year(o_orderdate) AS y, lower(p_type) AS cert, lower(p_brand) AS soft FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND l_linenumber = 1 JOIN part ON l_partkey = p_partkey),
+held AS MATERIALIZED (SELECT o_custkey, list_sort(list(DISTINCT cert) FILTER (o_orderpriority IN ('1-URGENT', '2-HIGH'))) AS c, list_sort(list(DISTINCT soft)) AS s, max(y) - min(y) AS years FROM facts GROUP BY 1),
+prof AS MATERIALIZED (SELECT c_custkey AS candidate_id, coalesce(c, []::VARCHAR[]) AS certifications, coalesce(s, []::VARCHAR[]) AS software, CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE years END AS years_experience FROM customer LEFT JOIN held ON c_custkey = o_custkey WHERE c_custkey % 13 <> 0),
+avail AS MATERIALIZED (SELECT c_custkey AS candidate_id, CASE WHEN c_custkey % 31 = 0 THEN 'XYZ5' ELSE [{_LIST}][c_nationkey % 8 + 1] END AS timezone,
   (CASE WHEN c_custkey % 9 = 0 THEN 1260 ELSE 60 * (6 + c_custkey % 5) END)::INTEGER AS work_start, (CASE WHEN c_custkey % 9 = 0 THEN 360 ELSE 60 * (14 + c_custkey % 7) END)::INTEGER AS work_end,
   [15, 20, 40, 40][c_custkey % 4 + 1] AS hours_per_week, (DATE '2026-01-01' + (c_custkey % 300)::INTEGER)::DATE AS available_from FROM customer WHERE c_custkey % 7 <> 0),
-role AS (SELECT p_partkey AS role_id, p_name AS title, CASE WHEN p_partkey % 3 = 0 THEN [lower(p_type)] ELSE []::VARCHAR[] END AS required_certifications, CASE WHEN p_partkey % 2 = 0 THEN [lower(p_brand)] ELSE []::VARCHAR[] END AS required_software,
+role AS MATERIALIZED (SELECT p_partkey AS role_id, p_name AS title, CASE WHEN p_partkey % 3 = 0 THEN [lower(p_type)] ELSE []::VARCHAR[] END AS required_certifications, CASE WHEN p_partkey % 2 = 0 THEN [lower(p_brand)] ELSE []::VARCHAR[] END AS required_software,
   nullif(p_size % 6, 0) AS min_years, CASE WHEN p_partkey % 5 <> 0 THEN (DATE '2026-06-01' + (p_partkey % 60)::INTEGER)::DATE END AS starts_on, CASE WHEN p_partkey % 4 = 0 THEN 20 END AS hours_per_week,
   CASE WHEN p_partkey % 6 <> 5 THEN [{_LIST}][p_partkey % 8 + 1] END AS timezone, CASE WHEN p_partkey % 6 <> 5 THEN (1 + p_partkey % 5)::INTEGER END AS min_overlap_hours,
-  CASE WHEN p_partkey % 10 = 9 THEN 'closed' ELSE 'open' END AS status, CASE WHEN p_partkey % 5 = 4 THEN true ELSE p_partkey % 4 <> 3 END AS accept_equivalents FROM part WHERE p_partkey < {ROLES}),
+  CASE WHEN p_partkey % 10 = 9 THEN 'closed' ELSE 'open' END AS status, CASE WHEN p_partkey % 5 = 4 THEN true ELSE p_partkey % 4 <> 3 END AS accept_equivalents FROM part),
 term AS (SELECT * FROM (VALUES ('economy', 'g0', 'standard'), ('standard', 'g0', NULL), ('small', 'g0', 'standard'), ('medium', 'g1', NULL), ('large', 'g1', NULL), ('promo', 'g2', NULL)) t(id, grp, variant_of)),
 nvec AS (SELECT count(*) AS n FROM embeddings),
-cvec AS (SELECT c_custkey AS candidate_id, CASE WHEN c_custkey % 11 = 0 THEN 'b' ELSE 'a' END AS model, CASE WHEN c_custkey % 19 = 0 THEN NULL WHEN c_custkey % 23 = 0 THEN [x * 0 FOR x IN embedding::DOUBLE[]] ELSE embedding::DOUBLE[] END AS v FROM customer, nvec JOIN embeddings ON vec_id = (c_custkey * 7 + 1) % n),
-rvec AS (SELECT p_partkey AS role_id, CASE WHEN p_partkey % 11 = 0 THEN 'b' ELSE 'a' END AS model, embedding::DOUBLE[] AS v FROM part, nvec JOIN embeddings ON vec_id = p_partkey % n WHERE p_partkey < {ROLES})
+cvec AS MATERIALIZED (SELECT c_custkey AS candidate_id, CASE WHEN c_custkey % 11 = 0 THEN 'b' ELSE 'a' END AS model, CASE WHEN c_custkey % 19 = 0 THEN NULL WHEN c_custkey % 23 = 0 THEN [x * 0 FOR x IN embedding::DOUBLE[]] ELSE embedding::DOUBLE[] END AS v FROM customer, nvec JOIN embeddings ON vec_id = (c_custkey * 7 + 1) % n),
+rvec AS MATERIALIZED (SELECT p_partkey AS role_id, CASE WHEN p_partkey % 11 = 0 THEN 'b' ELSE 'a' END AS model, embedding::DOUBLE[] AS v FROM part, nvec JOIN embeddings ON vec_id = p_partkey % n)
 """

@@ -76,7 +76,7 @@ def match_merge(spark, d):
 def software_f1(spark, d):
     """Each profile's software against that of the role whose key its own gives."""
     roles = b.roles(spark, d).select("role_id", "required_software")
-    p = b.profiles(spark, d).withColumn("role_id", F.col("candidate_id") % b.ROLES)
+    p = b.profiles(spark, d).withColumn("role_id", F.col("candidate_id") % b.table(spark, d, "part").count())
     return p.join(F.broadcast(roles), "role_id").select("candidate_id", F.round(mt.set_f1(F.col("software"), F.col("required_software")), 6).alias("f1"))
 
 
@@ -170,7 +170,7 @@ ORACLES = {
     "match_merge": f"WITH {JUDGED}, m AS (SELECT role_id, candidate_id, status AS was, new_status, status IN ('proposed', 'pending_review') AND NOT released AND NOT by_hand AS free FROM prev FULL JOIN nw USING (role_id, candidate_id)), c AS (SELECT *, CASE WHEN was IS NULL THEN 'inserted' WHEN free AND new_status IS NOT NULL THEN 'replaced' WHEN free THEN 'removed' ELSE 'kept' END AS change FROM m) SELECT role_id, candidate_id, change, CASE WHEN change IN ('inserted', 'replaced') THEN new_status WHEN change = 'kept' THEN was END AS status FROM c",
     "release_rule": f"WITH {JUDGED}, c AS (SELECT role_id, count(*) FILTER (status = 'approved') AS approved, count(*) FILTER (released AND status <> 'approved') AS odd, count(*) FILTER (released) AS released FROM prev GROUP BY role_id) SELECT role_id, approved, released, CASE WHEN odd > 0 THEN 'refuse: released without approval' WHEN approved < 2 THEN 'refuse: too few approved' WHEN approved > 2 THEN 'refuse: too many approved' ELSE 'release' END AS action FROM c",
     "next_in_reserve": f"WITH {JUDGED}, k AS (SELECT role_id, candidate_id, score, row_number() OVER (PARTITION BY role_id ORDER BY score DESC, rank, candidate_id) AS k FROM rk JOIN prev USING (role_id, candidate_id) WHERE status = 'proposed' AND NOT released AND score >= 0.6) SELECT role_id, candidate_id, score FROM k WHERE k = 1",
-    "software_f1": f"WITH {b.SQL} SELECT candidate_id, round(CASE WHEN len(software) + len(required_software) = 0 THEN 1.0 ELSE 2.0 * len(list_intersect(software, required_software)) / (len(software) + len(required_software)) END, 6)::DOUBLE AS f1 FROM prof JOIN role ON role_id = candidate_id % {b.ROLES}",
+    "software_f1": f"WITH {b.SQL} SELECT candidate_id, round(CASE WHEN len(software) + len(required_software) = 0 THEN 1.0 ELSE 2.0 * len(list_intersect(software, required_software)) / (len(software) + len(required_software)) END, 6)::DOUBLE AS f1 FROM prof JOIN role ON role_id = candidate_id % (SELECT count(*) FROM part)",
     "population_summary": f"WITH {b.SQL}, e AS (SELECT 'software' AS attribute, unnest(software) AS value FROM prof UNION ALL SELECT 'certification', unnest(certifications) FROM prof) SELECT attribute, value, count(*) AS n, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM prof), 4) AS percent FROM e GROUP BY attribute, value",
     "years_buckets": f"WITH {b.SQL} SELECT CASE WHEN years_experience IS NULL THEN 'unknown' WHEN years_experience <= 2 THEN '0-2' WHEN years_experience <= 5 THEN '3-5' WHEN years_experience <= 10 THEN '6-10' WHEN years_experience <= 20 THEN '11-20' ELSE '20+' END AS bucket, count(*) AS n FROM prof GROUP BY 1",
     "domain_violations": f"WITH {b.SQL} SELECT 'hours_below_20' AS rule, candidate_id AS id FROM avail WHERE hours_per_week < 20 UNION ALL SELECT 'past_midnight', candidate_id FROM avail WHERE work_end <= work_start UNION ALL SELECT 'unknown_zone', candidate_id FROM avail WHERE timezone = 'XYZ5' UNION ALL SELECT 'overlap_above_4', role_id FROM role WHERE min_overlap_hours > 4 UNION ALL SELECT 'no_start', role_id FROM role WHERE starts_on IS NULL",
