@@ -36,43 +36,6 @@ def _lines(spark, d):
     return e.withColumn("service", F.lit("api")).union(e.where("event_id % 3 <> 0").withColumn("service", F.lit("ai")))
 
 
-def _judged(spark, d):
-    """All pairs of which candidate and role keys agree modulo 11, with levels from their keys."""
-    roles = b.roles(spark, d).select("role_id", (F.col("role_id") % 11).alias("m"), (F.size("required_software") > 0).alias("soft"))
-    people = b.candidates(spark, d).select("candidate_id", (F.col("candidate_id") % 11).alias("m"))
-    pairs = people.join(F.broadcast(roles), "m")
-    level = lambda k: ((3 * F.col("candidate_id") + 5 * F.col("role_id") + 7 * k) % 5).cast("int")
-    return pairs.select("role_id", "candidate_id", *[(F.when(F.col("soft"), level(k)) if k == 1 else level(k)).alias(f"l{k}") for k in range(5)])
-
-
-JUDGED = f"""{b.SQL}, judged AS (SELECT role_id, candidate_id, ((3 * candidate_id + 5 * role_id) % 5)::INTEGER AS l0, CASE WHEN len(required_software) > 0 THEN ((3 * candidate_id + 5 * role_id + 7) % 5)::INTEGER END AS l1,
-  ((3 * candidate_id + 5 * role_id + 14) % 5)::INTEGER AS l2, ((3 * candidate_id + 5 * role_id + 21) % 5)::INTEGER AS l3, ((3 * candidate_id + 5 * role_id + 28) % 5)::INTEGER AS l4 FROM role JOIN cand ON candidate_id % 11 = role_id % 11),
-bc AS (SELECT *, (40 * l0 + 25 * coalesce(l1, 0) + 15 * l2 + 10 * l3 + 10 * l4)::DOUBLE / (300 + CASE WHEN l1 IS NULL THEN 0 ELSE 100 END) AS before_cap FROM judged),
-sc AS (SELECT *, round(CASE l0 WHEN 0 THEN least(before_cap, 0.3) WHEN 1 THEN least(before_cap, 0.5) ELSE before_cap END, 3) AS score FROM bc),
-rk AS (SELECT *, (row_number() OVER (PARTITION BY role_id ORDER BY score DESC, before_cap DESC, candidate_id))::INTEGER AS rank FROM sc),
-prev AS (SELECT role_id, candidate_id, ['proposed', 'pending_review', 'approved', 'rejected', 'swapped', 'proposed'][candidate_id % 6 + 1] AS status, candidate_id % 6 = 2 AND candidate_id % 4 = 0 AS released, candidate_id % 6 = 5 AS by_hand FROM role JOIN cand ON (candidate_id + role_id) % 9 = 0),
-q AS (SELECT rk.role_id, rk.candidate_id, rank, score, coalesce(status = 'swapped', false) AS swapped, sum(CASE WHEN coalesce(status = 'swapped', false) THEN 0 ELSE 1 END) OVER (PARTITION BY rk.role_id ORDER BY rank) AS place FROM rk LEFT JOIN prev USING (role_id, candidate_id)),
-nw AS (SELECT role_id, candidate_id, rank, CASE WHEN place <= 5 AND score >= 0.6 THEN 'pending_review' ELSE 'proposed' END AS new_status, swapped FROM q)"""
-
-
-def _previous(spark, d):
-    roles = b.roles(spark, d).select("role_id", F.pmod(-F.col("role_id"), F.lit(9)).alias("m"))
-    people = b.candidates(spark, d).select("candidate_id", (F.col("candidate_id") % 9).alias("m"))
-    return people.join(F.broadcast(roles), "m").selectExpr("role_id", "candidate_id", "element_at(array('proposed', 'pending_review', 'approved', 'rejected', 'swapped', 'proposed'), cast(candidate_id % 6 + 1 AS int)) AS status", "candidate_id % 6 = 2 AND candidate_id % 4 = 0 AS released", "candidate_id % 6 = 5 AS by_hand")
-
-
-def rubric_scores(spark, d):
-    return mt.scored(_judged(spark, d)).withColumn("before_cap", F.round("before_cap", 6))
-
-
-def review_queue(spark, d):
-    return mt.queued(mt.scored(_judged(spark, d)), _previous(spark, d))
-
-
-def match_merge(spark, d):
-    return mt.merged(_previous(spark, d), review_queue(spark, d))
-
-
 def software_f1(spark, d):
     """Each profile's software against that of the role whose key its own gives."""
     roles = b.roles(spark, d).select("role_id", "required_software")
@@ -136,11 +99,6 @@ QUERIES = {
     "run_costs": lambda s, d: _runs(s, d),
     "runs_per_model": lambda s, d: jb.per_model(_runs(s, d)),
     "request_traces": lambda s, d: jb.request_trace(_lines(s, d)),
-    "rubric_scores": rubric_scores,
-    "review_queue": review_queue,
-    "match_merge": match_merge,
-    "release_rule": lambda s, d: mt.release_rule(_previous(s, d)),
-    "next_in_reserve": lambda s, d: mt.reserve(mt.scored(_judged(s, d)), _previous(s, d)),
     "software_f1": software_f1,
     "population_summary": population_summary,
     "years_buckets": years_buckets,
@@ -165,11 +123,6 @@ ORACLES = {
     "run_costs": f"WITH {RUNS} SELECT * FROM run",
     "runs_per_model": f"WITH {RUNS} SELECT model, count(*) AS runs, round(avg(candidates), 4) AS avg_candidates, round(quantile_cont(total_ms, 0.5), 4) AS p50_ms, round(quantile_cont(total_ms, 0.95), 4) AS p95_ms, CASE WHEN NOT bool_or(cost IS NULL) THEN round(sum(cost), 6) END AS cost, round(sum(cost) / nullif(sum(candidates), 0), 8) AS cost_per_candidate FROM run WHERE llm_calls > 0 GROUP BY model",
     "request_traces": "WITH e AS (SELECT event_id, ts, value AS duration, 'r' || (event_id // 2) AS request_id FROM events), l AS (SELECT *, 'api' AS service FROM e UNION ALL SELECT *, 'ai' FROM e WHERE event_id % 3 <> 0) SELECT request_id, count(*) AS lines, count(*) FILTER (service = 'ai') AS ai_lines, round(sum(duration), 4) AS duration, string_agg(service, '>' ORDER BY ts, service) AS path FROM l GROUP BY request_id",
-    "rubric_scores": f"WITH {JUDGED} SELECT role_id, candidate_id, l0, l1, l2, l3, l4, round(before_cap, 6) AS before_cap, score, rank FROM rk",
-    "review_queue": f"WITH {JUDGED} SELECT * FROM nw",
-    "match_merge": f"WITH {JUDGED}, m AS (SELECT role_id, candidate_id, status AS was, new_status, status IN ('proposed', 'pending_review') AND NOT released AND NOT by_hand AS free FROM prev FULL JOIN nw USING (role_id, candidate_id)), c AS (SELECT *, CASE WHEN was IS NULL THEN 'inserted' WHEN free AND new_status IS NOT NULL THEN 'replaced' WHEN free THEN 'removed' ELSE 'kept' END AS change FROM m) SELECT role_id, candidate_id, change, CASE WHEN change IN ('inserted', 'replaced') THEN new_status WHEN change = 'kept' THEN was END AS status FROM c",
-    "release_rule": f"WITH {JUDGED}, c AS (SELECT role_id, count(*) FILTER (status = 'approved') AS approved, count(*) FILTER (released AND status <> 'approved') AS odd, count(*) FILTER (released) AS released FROM prev GROUP BY role_id) SELECT role_id, approved, released, CASE WHEN odd > 0 THEN 'refuse: released without approval' WHEN approved < 2 THEN 'refuse: too few approved' WHEN approved > 2 THEN 'refuse: too many approved' ELSE 'release' END AS action FROM c",
-    "next_in_reserve": f"WITH {JUDGED}, k AS (SELECT role_id, candidate_id, score, row_number() OVER (PARTITION BY role_id ORDER BY score DESC, rank, candidate_id) AS k FROM rk JOIN prev USING (role_id, candidate_id) WHERE status = 'proposed' AND NOT released AND score >= 0.6) SELECT role_id, candidate_id, score FROM k WHERE k = 1",
     "software_f1": f"WITH {b.SQL} SELECT candidate_id, round(CASE WHEN len(software) + len(required_software) = 0 THEN 1.0 ELSE 2.0 * len(list_intersect(software, required_software)) / (len(software) + len(required_software)) END, 6)::DOUBLE AS f1 FROM prof JOIN role ON role_id = candidate_id % (SELECT count(*) FROM part)",
     "population_summary": f"WITH {b.SQL}, e AS (SELECT 'software' AS attribute, unnest(software) AS value FROM prof UNION ALL SELECT 'certification', unnest(certifications) FROM prof) SELECT attribute, value, count(*) AS n, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM prof), 4) AS percent FROM e GROUP BY attribute, value",
     "years_buckets": f"WITH {b.SQL} SELECT CASE WHEN years_experience IS NULL THEN 'unknown' WHEN years_experience <= 2 THEN '0-2' WHEN years_experience <= 5 THEN '3-5' WHEN years_experience <= 10 THEN '6-10' WHEN years_experience <= 20 THEN '11-20' ELSE '20+' END AS bucket, count(*) AS n FROM prof GROUP BY 1",
