@@ -2,58 +2,278 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Words that carry no identity in a certification's name.
-CREDENTIAL_WORDS = ("certified", "certification", "certificate", "chartered", "licensed", "license", "licence", "the")
-EMAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+"
-
-
-def alias_key(text: Column, certification: bool = False) -> Column:
-    """Lower case, & as `and`, parentheses dropped, credential words dropped for certifications, letters and digits only."""
-    plain = F.regexp_replace(F.replace(F.lower(text), F.lit("&"), F.lit(" and ")), "\\([^()]*\\)", " ")
-    if certification:
-        plain = F.array_join(F.filter(F.split(plain, "[^a-z0-9]+"), lambda w: ~w.isin(*CREDENTIAL_WORDS)), "")
-    return F.regexp_replace(plain, "[^a-z0-9]", "")
+#: Patterns of addresses, numbers and the end of a name, and words that say nothing.
+EMAIL = "[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+(?:\\.[A-Za-z0-9_-]+)+"
+PHONE = "\\+?\\(?[0-9][0-9\\s().-]{8,}[0-9]"
+NAME_END = "\\s{2,}|\\s[–—|-]+\\s|,|\\|"
+STOP_WORDS = (
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "to", "with",
+    "year", "years", "experience", "role", "qualifications", "software", "industries", "standards", "skills",
+)
 
 
 def comparison_form(text: Column) -> Column:
     """Dashes and apostrophes unified, white space collapsed, lower case, trimmed."""
-    same = F.translate(text, "‐‑‒–—‘’", "-----''")
+    same = F.translate(text, "‐‑‒–—−‘’", "------''")
     return F.trim(F.regexp_replace(F.lower(same), "[\\x20\\x09-\\x0D]+", " "))
 
 
+#: What readings, sections and figures are known by.
+NOT_A_HOLDING = "^(?i)\\s+(?:firms?|practices?|reporting|compliance|filings?|forms?)\\b"
+SOMEONE_ELSE = "(?i)(?:client's|clients'|outside|external|their)\\s$"
+STATE_LIST = "^,\\s*[A-Z]{2}\\b"
+CITY_BEFORE = "(?:[a-z][A-Za-z0-9_]*,|\\bin)\\s$"
+STANDARD = "(?<![A-Za-z0-9])(?:(?<![Nn]on-)(?<![Nn]on )(?:US |U\\.S\\. |UK |Canadian )?GAAP|(?:ASC|IAS|FRS|GASB|ASPE) [0-9]+(?:-[0-9]+)?|IFRS(?: [0-9]+)?|GASB|ASPE)(?![A-Za-z0-9])"
+AVAILABILITY = (
+    ("immediate", "(?i)\\b(available immediately|immediately available|immediate start|start immediately)\\b"),
+    ("two_weeks", "(?i)\\b(two|2) weeks?\\b"),
+    ("one_month", "(?i)\\b(one|1|a) month\\b|\\b(four|4) weeks\\b|\\b30 days\\b"),
+)
+BULLET = "^\\s*(?:[-*•>]|[0-9]+[.)])\\s+"
+MUST_HEADING = "(?i)^(requirements?|qualifications?|(?:you )?must[- ]haves?|required|what you(?:'ll)? (?:need|bring))\\b"
+NICE_HEADING = "(?i)^(preferred|nice[- ]to[- ]haves?|bonus|plus(?:es)?|desirable|desired)\\b"
+MIN_YEARS = "(?i)(^|[^0-9-])([0-9]{1,2})(?:\\s*\\+|\\s+or more|\\s*[-–]\\s*[0-9]{1,2})?\\s+years?\\b"
+HOURS_A_WEEK = "(?i)(^|[^0-9-])([0-9]{1,2})(?:\\s*(?:to|[-–])\\s*[0-9]{1,2})?\\s+hours\\s+(?:a|per|each)\\s+week\\b"
+OVERLAP_HOURS = "(?i)(^|[^0-9-])([0-9])\\+?\\s+(?:or more\\s+)?hours?\\s+(?:of\\s+)?overlap"
+NO_EQUIVALENTS = "(?i)\\b(?:active|current|valid)\\b[^\\n]*\\blicen[sc]e\\b|\\bno equivalents?\\b"
+EQUIVALENTS = "(?i)\\bequivalent"
+CLAUSE = "[;,|•\\n]|\\.\\s|\\band\\b"
+PART_QUALIFIED = "(?i)\\bpart[- ]qualifi(?:ed|cation)\\b|\\bfinalist\\b|\\bpapers (?:passed|remaining)\\b"
+IN_PROGRESS = "(?i)\\b(?:studying|in progress|pursuing|working towards?|candidate|student|trainee|eligible|sitting|exams? (?:passed|remaining|pending|scheduled|sections?)|passed [a-zA-Z0-9_]+ of|expected)\\b"
+YEAR_AFTER = "^[^\\n]{0,25}?(?<![0-9])((?:19|20)[0-9][0-9])(?![0-9])(?!\\s*[-–—])"
+POSITION = "^(.+?), (.+), ((?:19|20)[0-9]{2}) [-–] ((?:19|20)[0-9]{2}|[Pp]resent)$"
+
+
+def first_line(text: Column) -> Column:
+    """The first line with a word, trimmed; null if there is none."""
+    return F.trim(F.get(F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")), F.lit(0)))
+
+
 def contacts(docs: DataFrame) -> DataFrame:
-    """(doc_id, email, n_emails): the first address of each text, and how many there are."""
-    found = F.regexp_extract_all("text", F.lit(EMAIL), F.lit(0))
-    return docs.select("doc_id", found.alias("e")).select("doc_id", F.get("e", F.lit(0)).alias("email"), F.size("e").alias("n_emails"))
+    """(doc_id, full_name, email, phone): the first line up to a wide gap, a free-standing dash or bar, or a comma; the first address; the first number of 10 to 13 digits."""
+    name = F.trim(F.get(F.split(first_line(F.col("text")), NAME_END), F.lit(0)))
+    name = F.when((name == F.upper(name)) & (name != F.lower(name)), F.initcap(name)).otherwise(name)
+    numbers = F.filter(F.regexp_extract_all("text", F.lit(PHONE), F.lit(0)), lambda p: F.length(F.regexp_replace(p, "[^0-9]", "")).between(10, 13))
+    return docs.select("doc_id", F.nullif(name, F.lit("")).alias("full_name"), F.nullif(F.regexp_extract("text", EMAIL, 0), F.lit("")).alias("email"), F.trim(F.get(numbers, F.lit(0))).alias("phone"))
 
 
 def head_line(docs: DataFrame) -> DataFrame:
-    """(doc_id, title): the first line with a word, cut at a dash, bar or parenthesis."""
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    return docs.select("doc_id", F.trim(F.regexp_replace(F.get(lines, F.lit(0)), "[|(–—-].*$", "")).alias("title"))
+    """(doc_id, title): the first line with a word, cut at a dash, bar or parenthesis that white space goes before."""
+    return docs.select("doc_id", F.trim(F.get(F.split(first_line(F.col("text")), "[\\x20\\x09]+[(|–—-]"), F.lit(0))).alias("title"))
+
+
+PIECES = "([A-Za-z0-9]+|[^A-Za-z0-9]+)"
+
+
+def grams(docs: DataFrame, sizes: tuple[int, ...] = (1, 2)) -> DataFrame:
+    """(doc_id, at, upto, surface): every run of n words of a text as it is written, marks and spaces between them included.
+
+    The pieces of a text are its words and what stands between them, numbered from 0 (at: the first piece of the run, upto: the one behind
+    its last), so that equality with a name is a match on whole words.
+    """
+    rows = docs.select("doc_id", F.regexp_extract_all("text", F.lit(PIECES), F.lit(0)).alias("p"))
+
+    def run(n: int) -> Column:
+        found = F.transform("p", lambda x, i: F.struct(i.alias("at"), (i + 2 * n - 1).alias("upto"), F.array_join(F.slice("p", i + 1, 2 * n - 1), "").alias("surface"), x.rlike("^[A-Za-z0-9]").alias("word")))
+        return F.filter(found, lambda r: r["word"] & (r["upto"] <= F.size("p")))
+
+    return rows.select("doc_id", F.explode(F.concat(*[run(n) for n in sizes])).alias("r")).select("doc_id", "r.at", "r.upto", "r.surface")
+
 
+def spans(docs: DataFrame, names: DataFrame, sizes: tuple[int, ...] = (1, 2)) -> DataFrame:
+    """(doc_id, at, upto, surface, term): whole-word mentions of names (name, term) of so many words, by piece numbers. Names of up to four characters match in their own case only.
 
-def mentions(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """(doc_id, term, n, first_at): whole-word mentions of one- and two-word names. Word n-grams meet names by an equi-join, not every text with every name."""
-    words = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != "")
-    rows = docs.select("doc_id", words.alias("w"))
-    singles = F.transform("w", lambda x, i: F.struct(x.alias("name"), i.alias("at")))
-    doubles = F.slice(F.transform("w", lambda x, i: F.struct(F.concat_ws(" ", x, F.get("w", i + 1)).alias("name"), i.alias("at"))), 1, F.greatest(F.size("w") - 1, F.lit(0)))
-    grams = rows.select("doc_id", F.inline(F.concat(singles, doubles)))
-    return grams.join(names.select("name", "term").distinct(), "name").groupBy("doc_id", "term").agg(F.count("*").alias("n"), F.min("at").alias("first_at"))
+    Word runs meet names by an equi-join, not every text with every name. Names begin and end with a letter or digit.
+    """
+    wanted = names.select(F.lower("name").alias("low"), "name", "term").distinct()
+    met = grams(docs, sizes).withColumn("low", F.lower("surface")).join(wanted, "low").where((F.length("name") > 4) | (F.col("surface") == F.col("name")))
+    return met.select("doc_id", "at", "upto", "surface", "term").distinct()
+
+
+def located(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """Spans with start and end as code points of their texts, and the 40 characters before and behind them. doc_id is a key of docs."""
+    texts = docs.select("doc_id", "text", F.regexp_extract_all("text", F.lit(PIECES), F.lit(0)).alias("p"))
+    start = F.length(F.array_join(F.slice("p", 1, F.col("at")), ""))
+    rows = found.join(texts, "doc_id").withColumn("start", start).withColumn("end", F.col("start") + F.length("surface"))
+    ahead = F.substring(F.col("text"), F.greatest(F.col("start") - 39, F.lit(1)), F.least(F.col("start"), F.lit(40)))
+    return rows.select("doc_id", "at", "upto", "start", "end", "surface", "term", ahead.alias("ahead"), F.substring(F.col("text"), F.col("end") + 1, F.lit(40)).alias("behind"))
+
+
+def mentions(docs: DataFrame, names: DataFrame, sizes: tuple[int, ...] = (1, 2)) -> DataFrame:
+    """(doc_id, term, n, first_at): which terms each text names, how often, and the number of the piece where first."""
+    return spans(docs, names, sizes).groupBy("doc_id", "term").agg(F.count_distinct("at").alias("n"), F.min("at").alias("first_at"))
+
+
+def maximal(found: DataFrame) -> DataFrame:
+    """Spans without those that lie inside a longer span of their text: of all that begin no later, none may reach as far."""
+    places = found.select("doc_id", "at", "upto").distinct()
+    before = Window.partitionBy("doc_id").orderBy("at", F.col("upto").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    kept = places.withColumn("reach", F.max("upto").over(before)).where("reach IS NULL OR reach < upto").drop("reach")
+    return found.join(kept, ["doc_id", "at", "upto"], "left_semi")
 
 
 def hashed_embedding(docs: DataFrame, dim: int = 64) -> DataFrame:
-    """(doc_id, bucket, weight): signed hashing of words, each worth 1 + ln(count), scaled to unit length; empty buckets left out."""
-    words = F.explode(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != ""))
-    counts = docs.select("doc_id", words.alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("n"))
-    h = F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("long")
-    sums = counts.select("doc_id", (h % dim).alias("bucket"), (F.when(F.floor(h / dim) % 2 == 0, 1.0).otherwise(-1.0) * (1 + F.log("n"))).alias("x")).groupBy("doc_id", "bucket").agg(F.sum("x").alias("x"))
-    norms = sums.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return sums.join(norms, "doc_id").where("norm > 0").select("doc_id", "bucket", (F.round(F.col("x") / F.col("norm"), 6) + 0.0).alias("weight"))
+    """(row, doc_id, bucket, weight): signed hashing of words and of neighbouring words within a segment, each worth 1 + ln(count), scaled to unit length.
+
+    Empty buckets are left out; a text without words is a term itself, and a vector whose terms cancel is the first unit vector, so that none is zero.
+    Terms are counted inside the row (sorted, then by runs); only the sums of buckets are shuffled, at most dim a text.
+    """
+    segments = F.split(F.lower(F.coalesce("text", F.lit(""))), "[\n;:,()]|\\.[\\x20\\x09-\\x0D]")
+    words = F.transform(segments, lambda s: F.filter(F.regexp_extract_all(s, F.lit("([\\p{L}\\p{N}]+)"), F.lit(0)), lambda w: ~w.isin(*STOP_WORDS)))
+    pairs = F.transform(words, lambda ws: F.slice(F.transform(ws, lambda w, i: F.concat_ws(" ", w, F.get(ws, i + 1))), 1, F.greatest(F.size(ws) - 1, F.lit(0))))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), words.alias("w"), pairs.alias("p"), F.monotonically_increasing_id().alias("row"))
+    terms = rows.select("row", "doc_id", F.concat(F.flatten("w"), F.flatten("p")).alias("t"), "text")
+    terms = terms.select("row", "doc_id", F.sort_array(F.when(F.size("t") > 0, F.col("t")).otherwise(F.array("text"))).alias("t"))
+    begins = F.filter(F.transform("t", lambda x, i: F.when((i == 0) | (x != F.get("t", i - 1)), i)), lambda i: i.isNotNull())
+    counted = terms.select("row", "doc_id", "t", begins.alias("b"))
+    each = F.transform("b", lambda i, k: F.struct(F.get("t", i).alias("term"), (F.coalesce(F.get("b", k + 1), F.size("t")) - i).alias("n")))
+    hashed = counted.select("row", "doc_id", F.explode(each).alias("x")).select("row", "doc_id", F.conv(F.substring(F.md5("x.term"), 1, 8), 16, 10).cast("long").alias("h"), "x.n")
+    sums = hashed.groupBy("row", "doc_id", (F.col("h") % dim).alias("bucket")).agg(F.sum(F.when(F.floor(F.col("h") / dim) % 2 == 0, 1.0).otherwise(-1.0) * (1 + F.log("n"))).alias("x"))
+    full = sums.groupBy("row", "doc_id").agg(F.collect_list(F.struct("bucket", "x")).alias("v"))  # dim entries at most
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, y: s + y["x"] * y["x"]))
+    unit = F.array(F.struct(F.lit(0).cast("long").alias("bucket"), F.lit(1.0).alias("x")))
+    scaled = full.select("row", "doc_id", F.inline(F.when(norm > 1e-12, F.transform("v", lambda y: F.struct(y["bucket"], (y["x"] / norm).alias("x")))).otherwise(unit)))
+    return scaled.select("row", "doc_id", "bucket", (F.round("x", 6) + 0.0).alias("weight"))
+
+
+def in_context(found: DataFrame) -> DataFrame:
+    """Located spans of certifications with `reading`: employer ("CPA firm"), other (someone else's), place (a state after a city or in a list), else holding."""
+    two = F.length("surface") == 2
+    place = two & (F.col("ahead").rlike(CITY_BEFORE) | F.col("behind").rlike(STATE_LIST))
+    reading = F.when(F.col("behind").rlike(NOT_A_HOLDING), "employer").when(F.substring("ahead", -12, 12).rlike(SOMEONE_ELSE), "other").when(place, "place").otherwise("holding")
+    return found.withColumn("reading", reading)
+
+
+def standards(docs: DataFrame) -> DataFrame:
+    """(doc_id, standards): accounting frameworks and numbered standards in order of first mention, each once whatever its case."""
+    found = F.regexp_extract_all("text", F.lit(STANDARD), F.lit(0))
+    folded = F.transform(found, F.lower)
+    return docs.select("doc_id", F.filter(found, lambda x, i: F.array_position(folded, F.lower(x)) == i + 1).alias("standards"))
+
+
+def years_of_experience(docs: DataFrame, as_of: int) -> DataFrame:
+    """(doc_id, years): from the earliest year on the page, none later than as_of, to as_of; 70 at most; null without a year."""
+    years = F.filter(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0)), lambda x: x.rlike("^(19[7-9][0-9]|20[0-9][0-9])$"))
+    past = F.filter(F.transform(years, lambda x: x.cast("int")), lambda y: y <= as_of)
+    return docs.select("doc_id", F.least(as_of - F.array_min(past), F.lit(70)).alias("years"))
+
+
+def availability(docs: DataFrame) -> DataFrame:
+    """(doc_id, availability): the first that the text says of immediate, two_weeks and one_month, else unknown."""
+    said = F.lit("unknown")
+    for name, pattern in reversed(AVAILABILITY):
+        said = F.when(F.col("text").rlike(pattern), name).otherwise(said)
+    return docs.select("doc_id", said.alias("availability"))
+
+
+def sections(docs: DataFrame) -> DataFrame:
+    """(doc_id, must, nice): bullets under must-have and nice-to-have headings, without their marks and a last full stop. A bullet belongs to the nearest heading above it.
+
+    One pass over the lines of a row; nothing is shuffled.
+    """
+    none = F.array().cast("array<string>")
+    begin = F.struct(F.lit("").alias("section"), none.alias("must"), none.alias("nice"))
+
+    def step(s: Column, line: Column) -> Column:
+        bare, bullet = F.trim(F.regexp_replace(line, "[\\t\\r\\f]", " ")), line.rlike(BULLET)
+        heading = F.when(bare.rlike(MUST_HEADING), "must").when(bare.rlike(NICE_HEADING), "nice").otherwise("")
+        item = F.regexp_replace(F.trim(F.regexp_replace(line, BULLET, "")), "[.]+$", "")
+        return F.when(bare == "", s).otherwise(
+            F.struct(
+                F.when(bullet, s["section"]).otherwise(heading).alias("section"),
+                F.when(bullet & (s["section"] == "must"), F.array_append(s["must"], item)).otherwise(s["must"]).alias("must"),
+                F.when(bullet & (s["section"] == "nice"), F.array_append(s["nice"], item)).otherwise(s["nice"]).alias("nice"),
+            )
+        )
+
+    found = F.aggregate(F.split("text", "\n"), begin, step)
+    return docs.select("doc_id", found.alias("s")).select("doc_id", "s.must", "s.nice")
+
+
+def numeric_requirements(docs: DataFrame) -> DataFrame:
+    """(doc_id, min_years, hours_per_week, overlap_hours): years from the first must-have bullet that has them, the lower figures of hours from the whole text."""
+    def figure(text: Column, pattern: str) -> Column:
+        return F.nullif(F.regexp_extract(text, pattern, 2), F.lit("")).cast("int")
+
+    years = F.filter(F.transform("must", lambda m: figure(m, MIN_YEARS)), lambda y: y.isNotNull())
+    return sections(docs).join(docs, "doc_id").select("doc_id", F.get(years, F.lit(0)).alias("min_years"), figure(F.col("text"), HOURS_A_WEEK).alias("hours_per_week"), figure(F.col("text"), OVERLAP_HOURS).alias("overlap_hours"))
+
+
+def section_terms(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """(doc_id, part, term): terms named under must-haves (in the whole text if there are none), and under nice-to-haves."""
+    rows = sections(docs).join(docs, "doc_id")
+    required = F.when(F.size("must") > 0, F.array_join("must", "\n")).otherwise(F.col("text"))
+    texts = rows.select(F.struct("doc_id", F.lit("required").alias("part")).alias("doc_id"), required.alias("text")).union(rows.select(F.struct("doc_id", F.lit("preferred").alias("part")), F.array_join("nice", "\n")))
+    return mentions(texts, names).select("doc_id.doc_id", "doc_id.part", "term")
+
+
+def equivalents(lines: DataFrame) -> DataFrame:
+    """(doc_id, pos, at, term, accept_equivalents, stated) of terms named on requirement lines (doc_id, pos, line, at, term): strict if the line asks for an active licence or no equivalents;
+    of several on one line that speaks of equivalents, only the first is the requirement."""
+    strict, spoken = F.col("line").rlike(NO_EQUIVALENTS), F.col("line").rlike(EQUIVALENTS)
+    first = F.row_number().over(Window.partitionBy("doc_id", "line").orderBy("pos", "at", "term"))
+    rows = lines.withColumn("k", first).where((F.col("k") == 1) | ~spoken)
+    return rows.select("doc_id", "pos", "at", "term", (~strict).alias("accept_equivalents"), (strict | spoken).alias("stated"))
+
+
+def lines_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, pos, line) of every line with a word."""
+    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.col("line").rlike("[^\\x20\\x09-\\x0D]"))
+
+
+def on_lines(docs: DataFrame, names: DataFrame, sizes: tuple[int, ...] = (1, 2)) -> DataFrame:
+    """(doc_id, pos, line, at, upto, surface, term, ahead, behind): mentions with the line they stand on, longest names only."""
+    lines = lines_of(docs).select(F.struct("doc_id", "pos").alias("doc_id"), F.col("line").alias("text"))
+    found = located(maximal(spans(lines, names, sizes)), lines)
+    return found.join(lines, "doc_id").select("doc_id.doc_id", "doc_id.pos", F.col("text").alias("line"), "at", "upto", "surface", "term", "ahead", "behind")
+
+
+def qualification_status(line: Column, name: Column) -> Column:
+    """qualified, or what the words of the clauses that hold the name say instead: part_qualified or in_progress."""
+    clauses = F.filter(F.split(line, CLAUSE), lambda c: F.contains(F.lower(c), F.lower(name)))
+    context = F.when(F.size(clauses) > 0, F.concat_ws(" ", name, F.array_join(clauses, " "))).otherwise(F.concat_ws(" ", name, line))
+    return F.when(context.rlike(PART_QUALIFIED), "part_qualified").when(context.rlike(IN_PROGRESS), "in_progress").otherwise("qualified")
+
+
+def qualification_records(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """(doc_id, term, name, status, year, quote): one record for each certification a text names: its first held mention, else its first; quote is the line, year one that follows the name closely."""
+    found = in_context(on_lines(docs, names)).where("reading = 'holding'")
+    quote = F.trim(F.regexp_replace("line", BULLET, ""))
+    rows = found.withColumn("quote", quote).withColumn("status", qualification_status(F.col("quote"), F.col("surface")))
+    best = F.row_number().over(Window.partitionBy("doc_id", "term").orderBy(F.col("status") != "qualified", "pos", "at"))
+    year = F.regexp_extract("behind", YEAR_AFTER, 1)
+    return rows.withColumn("k", best).where("k = 1").select("doc_id", "term", F.col("surface").alias("name"), "status", F.nullif(year, F.lit("")).cast("int").alias("year"), "quote")
+
+
+def positions(docs: DataFrame) -> DataFrame:
+    """(doc_id, pos, title, employer, start_year, end_year, current): lines "title, employer, year - year or present" between the EXPERIENCE heading and the next heading in capitals."""
+    body = F.regexp_extract("text", "(?s)(?:^|\\n)EXPERIENCE\\n(.*?)(?:\\n[A-Z]{4,}(?:\\n|$)|$)", 1)
+    rows = docs.select("doc_id", F.posexplode(F.split(body, "\n")).alias("pos", "line"))
+    part = lambda k: F.trim(F.regexp_extract("line", POSITION, k))
+    end = part(4)
+    return rows.where(F.col("line").rlike(POSITION)).select("doc_id", "pos", part(1).alias("title"), part(2).alias("employer"), part(3).cast("int").alias("start_year"), F.when(end.rlike("^[0-9]+$"), end).cast("int").alias("end_year"), (~end.rlike("^[0-9]+$")).alias("current"))
+
+
+def read_off(docs: DataFrame, known: DataFrame, names: DataFrame) -> DataFrame:
+    """(doc_id, term, line, year) for terms known to be held (doc_id, term): the line under CERTIFICATIONS that names it, else a held line anywhere; year only if the line has exactly one."""
+    listed = docs.select("doc_id", F.split(F.regexp_extract("text", "(?s)(?:^|\\n)CERTIFICATIONS\\n(.*?)(?:\\n[A-Z]{4,}(?:\\n|$)|$)", 1), "\n").alias("section"))
+    found = on_lines(docs, names).join(known, ["doc_id", "term"], "left_semi").join(listed, "doc_id")
+    held = qualification_status(F.col("line"), F.col("surface")) == "qualified"
+    best = F.row_number().over(Window.partitionBy("doc_id", "term").orderBy(F.array_contains("section", F.col("line")).desc(), held.desc(), "pos", "at"))
+    years = F.filter(F.regexp_extract_all("line", F.lit("[0-9]+"), F.lit(0)), lambda x: x.rlike("^(19|20)[0-9][0-9]$"))
+    return found.withColumn("k", best).where("k = 1").select("doc_id", "term", "line", F.when(F.size(years) == 1, F.get(years, F.lit(0))).cast("int").alias("year"))
+
+
+def cleaned(text: Column) -> Column:
+    """Line ends as line feeds, unprintable characters dropped, ligatures written out, lines trimmed at the right, blank ends dropped (composed characters are left as they are)."""
+    same = F.regexp_replace(text, "\\r\\n?", "\n")
+    for one, two in (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
+        same = F.replace(same, F.lit(one), F.lit(two))
+    plain = F.regexp_replace(same, "[\\x00-\\x08\\x0B-\\x1F\\x7F]", "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, "[ \\t]+(\\n|$)", "$1"), "^\n+", ""), "\n+$", "")
 
 
 def embed_once(docs: DataFrame, cached: DataFrame) -> DataFrame:

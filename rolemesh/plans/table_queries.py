@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from rolemesh.operators import jobs as jb
 from rolemesh.operators import matches as mt
-from rolemesh.operators import text as tx
 from rolemesh.plans import bindings as b
 
 NOW = "2024-01-31"
@@ -73,22 +72,6 @@ def orphan_profiles(spark, d):
     return b.profiles(spark, d).join(b.availability(spark, d), "candidate_id", "left_anti").select("candidate_id")
 
 
-def alias_keys(spark, d):
-    name = F.expr("CASE p_partkey % 3 WHEN 0 THEN concat(upper(p_brand), ' & (Certified) ', p_name) WHEN 1 THEN concat('The Certified ', p_name) ELSE concat(p_name, '-', lower(p_type), ' license') END")
-    return b.table(spark, d, "part").select("p_partkey", tx.alias_key(name).alias("key"), tx.alias_key(name, True).alias("cert_key"))
-
-
-def _names(spark, d):
-    words = F.explode(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) >= 5))
-    one = b.table(spark, d, "benchmark").where("item_id < 6").select(words.alias("name")).distinct()
-    return one.select("name", F.col("name").alias("term"))
-
-
-def term_mentions(spark, d):
-    return tx.mentions(b.table(spark, d, "documents"), _names(spark, d))
-
-
-_WORDS = "[w FOR w IN string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+') IF w <> '']"
 QUERIES = {
     "queued_once": lambda s, d: jb.queued_once(_jobs(s, d)),
     "ready_jobs": lambda s, d: jb.ready_order(_jobs(s, d), _NOW()),
@@ -104,15 +87,7 @@ QUERIES = {
     "years_buckets": years_buckets,
     "domain_violations": domain_violations,
     "orphan_profiles": orphan_profiles,
-    "alias_keys": alias_keys,
-    "contacts": lambda s, d: tx.contacts(b.table(s, d, "documents")),
-    "head_lines": lambda s, d: tx.head_line(b.table(s, d, "documents")),
-    "term_mentions": term_mentions,
-    "hashed_embeddings": lambda s, d: tx.hashed_embedding(b.table(s, d, "documents")),
-    "embed_once": lambda s, d: tx.embed_once(b.table(s, d, "documents"), b.table(s, d, "documents").where("doc_id % 3 = 0").select(F.sha2("text", 256).alias("key")).distinct()),
 }
-_KEY = "regexp_replace(replace(lower(name), '&', ' and '), '\\([^()]*\\)', ' ', 'g')"
-_DROP = ", ".join(f"'{w}'" for w in tx.CREDENTIAL_WORDS)
 ORACLES = {
     "queued_once": f"WITH {JOBS} SELECT kind, payload, min(id) AS id, count(*) - 1 AS suppressed FROM job WHERE status = 'queued' GROUP BY kind, payload",
     "ready_jobs": f"WITH {JOBS} SELECT id, kind, row_number() OVER (PARTITION BY kind ORDER BY priority DESC, run_at, id)::INTEGER AS place FROM job WHERE status = 'queued' AND run_at <= TIMESTAMP '{NOW}'",
@@ -128,10 +103,4 @@ ORACLES = {
     "years_buckets": f"WITH {b.SQL} SELECT CASE WHEN years_experience IS NULL THEN 'unknown' WHEN years_experience <= 2 THEN '0-2' WHEN years_experience <= 5 THEN '3-5' WHEN years_experience <= 10 THEN '6-10' WHEN years_experience <= 20 THEN '11-20' ELSE '20+' END AS bucket, count(*) AS n FROM prof GROUP BY 1",
     "domain_violations": f"WITH {b.SQL} SELECT 'hours_below_20' AS rule, candidate_id AS id FROM avail WHERE hours_per_week < 20 UNION ALL SELECT 'past_midnight', candidate_id FROM avail WHERE work_end <= work_start UNION ALL SELECT 'unknown_zone', candidate_id FROM avail WHERE timezone = 'XYZ5' UNION ALL SELECT 'overlap_above_4', role_id FROM role WHERE min_overlap_hours > 4 UNION ALL SELECT 'no_start', role_id FROM role WHERE starts_on IS NULL",
     "orphan_profiles": f"WITH {b.SQL} SELECT candidate_id FROM prof WHERE candidate_id NOT IN (SELECT candidate_id FROM avail)",
-    "alias_keys": f"WITH n AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN upper(p_brand) || ' & (Certified) ' || p_name WHEN 1 THEN 'The Certified ' || p_name ELSE p_name || '-' || lower(p_type) || ' license' END AS name FROM part) SELECT p_partkey, regexp_replace({_KEY}, '[^a-z0-9]', '', 'g') AS key, array_to_string([w FOR w IN string_split_regex({_KEY}, '[^a-z0-9]+') IF w NOT IN ({_DROP})], '') AS cert_key FROM n",
-    "contacts": f"WITH e AS (SELECT doc_id, regexp_extract_all(text, '{tx.EMAIL}', 0) AS e FROM documents) SELECT doc_id, e[1] AS email, len(e)::INTEGER AS n_emails FROM e",
-    "head_lines": "SELECT doc_id, trim(regexp_replace([x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '[^\\x20\\x09-\\x0D]')][1], '[|(–—-].*$', '')) AS title FROM documents",
-    "term_mentions": f"WITH n AS (SELECT DISTINCT name FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS name FROM benchmark WHERE item_id < 6) WHERE length(name) >= 5), w AS (SELECT doc_id, {_WORDS} AS ws FROM documents), g AS (SELECT doc_id, i - 1 AS p, ws[i] AS name FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM w)) SELECT doc_id, name AS term, count(*) AS n, min(p)::INTEGER AS first_at FROM g JOIN n USING (name) GROUP BY doc_id, name",
-    "hashed_embeddings": f"WITH c AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest({_WORDS}) AS w FROM documents) GROUP BY ALL), h AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT AS h, n FROM c), s AS (SELECT doc_id, h % 64 AS bucket, sum((CASE WHEN (h // 64) % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) * (1 + ln(n))) AS x FROM h GROUP BY 1, 2), m AS (SELECT doc_id, sqrt(sum(x * x)) AS norm FROM s GROUP BY 1) SELECT doc_id, bucket, round(x / norm, 6) + 0.0::DOUBLE AS weight FROM s JOIN m USING (doc_id) WHERE norm > 0",
-    "embed_once": "SELECT sha256(coalesce(text, '')) AS key, count(*) AS rows, bool_or(doc_id % 3 = 0) AS hit FROM documents GROUP BY 1",
 }
