@@ -1,6 +1,7 @@
 """N-gram Jaccard join by set-relation skipping.
 
-A text's set holds its word n-grams. Equal sets are one class, found by a 128-bit fingerprint.
+A text's set holds its word n-grams. Equal sets are one class, found by a 128-bit fingerprint and the size; a
+class has an id of its own, so that no two are ever taken for one by a shorter hash.
 
 *Index lists by position.* The ordered universe of hashed n-grams is cut into blocks. Two sets within
 the threshold differ in at most d elements, so of d + 1 (and a few more) blocks at least one holds
@@ -35,19 +36,21 @@ is null); an empty table gives no rows. Extra columns are ignored, or kept by `d
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolemesh.llm.common import hashes, mix, slices, split_words, texts, written
 
 #: Entries of index lists held by a task before they are handed on; sets, and sketches, in a chunk of comparisons.
 HELD, CHUNK, SKETCHED = 1_500_000, 256, 2048
+#: Documents for each bucket of lists, and sets that a task remembers to list once.
+BUCKET_DOCS, LISTED = 20_000, 1_000_000
 #: Up to so many ids (8 bytes each) are broadcast to pick texts; beyond that the texts are shuffled.
 MOST_IDS = 2_000_000
 NO_ID = -(2**63)
@@ -182,16 +185,18 @@ def _unpack48(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def sets_and_stars(docs: DataFrame, n_words: int, percent: int) -> DataFrame:
-    """One table of two kinds of rows: documents (doc_id, row, n, fp1, fp2), and stars (leader, member, k) of 48-bit set keys that share k lists.
+def sets_and_stars(docs: DataFrame, n_words: int, percent: int, fingerprint: Callable = fingerprints) -> DataFrame:
+    """One table of two kinds of rows: documents (doc_id, row, row2, n, fp1, fp2), and stars (leader, member, k) of 48-bit set keys that share k lists.
 
-    docs has doc_id, text and row (a number for its content). List entries are handed on as packed bytes, dealt by the hash of the list.
+    docs has doc_id, text, row and row2 (numbers for its content). A task lists a set once, however many of its texts have it. List entries are
+    handed on as packed bytes, dealt by the hash of the list over buckets whose number follows that of the documents.
     """
-    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // BUCKET_DOCS))
     names, types = ["bucket", "a", "b", "docs"], [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        seen: set[tuple[int, int, int]] = set()
 
         def flush() -> pa.RecordBatch:
             keys, ids = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -206,13 +211,21 @@ def sets_and_stars(docs: DataFrame, n_words: int, percent: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 sizes, elements = shingle_sets(texts(part), n_words)
-                fp1, fp2 = fingerprints(sizes, elements)
+                fp1, fp2 = fingerprint(sizes, elements)
                 doc = part.column("doc_id").cast(pa.int64()).fill_null(NO_ID).to_numpy()
-                row = part.column("row").to_numpy()
-                told = np.stack([doc, row, sizes, fp1, fp2]).astype("<i8").tobytes()
+                row, row2 = (part.column(c).to_numpy() for c in ("row", "row2"))
+                told = np.stack([doc, row, row2, sizes, fp1, fp2]).astype("<i8").tobytes()
                 where = int(np.abs(row[0]) % buckets)
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((where, None, None, told), types, strict=True)], names=names)
-                sets, keys = listed(sizes, elements, percent)
+                new = np.zeros(len(sizes), dtype=bool)
+                for k, of in enumerate(zip(fp1.tolist(), fp2.tolist(), sizes.tolist(), strict=True)):
+                    if of not in seen:
+                        seen.add(of)
+                        new[k] = True
+                if len(seen) > LISTED:
+                    seen.clear()
+                sets, keys = listed(sizes[new], elements[np.repeat(new, sizes)], percent)
+                sets = np.flatnonzero(new)[sets]
                 held.append((keys, fp1.view(np.uint64)[sets] & np.uint64(LOW48)))
                 if sum(len(k) for k, _ in held) >= HELD:
                     yield flush()
@@ -220,14 +233,14 @@ def sets_and_stars(docs: DataFrame, n_words: int, percent: int) -> DataFrame:
         if held:
             yield flush()
 
-    columns = ["doc_id", "row", "n", "fp1", "fp2", "leader", "member", "k"]
+    columns = ["doc_id", "row", "row2", "n", "fp1", "fp2", "leader", "member", "k"]
 
     def rows_of(values: np.ndarray, first: int) -> pa.Table:
         none = pa.nulls(values.shape[1], pa.int64())
         return pa.table([pa.array(values[k - first]) if first <= k < first + len(values) else none for k in range(len(columns))], names=columns)
 
     def read(bucket: pa.Table) -> pa.Table:
-        out = [rows_of(np.frombuffer(told, dtype="<i8").reshape(5, -1), 0) for told in bucket.column("docs").drop_null().to_pylist()]
+        out = [rows_of(np.frombuffer(told, dtype="<i8").reshape(6, -1), 0) for told in bucket.column("docs").drop_null().to_pylist()]
         keys, ids = (_unpack48(b"".join(bucket.column(c).drop_null().to_pylist())) for c in ("a", "b"))
         if len(keys):
             order = np.lexsort((ids, keys))
@@ -238,15 +251,15 @@ def sets_and_stars(docs: DataFrame, n_words: int, percent: int) -> DataFrame:
             order = np.lexsort((ids, leader))
             leader, ids = leader[order], ids[order]
             new = np.flatnonzero(np.concatenate([[True], (leader[1:] != leader[:-1]) | (ids[1:] != ids[:-1])])[: len(ids)])
-            out.append(rows_of(np.stack([leader[new], ids[new], np.diff([*new, len(ids)])]).astype(np.int64), 5))
+            out.append(rows_of(np.stack([leader[new], ids[new], np.diff([*new, len(ids)])]).astype(np.int64), 6))
         return pa.concat_tables(out)
 
-    packed = docs.select("doc_id", "text", "row").mapInArrow(index, "bucket long, a binary, b binary, docs binary")
+    packed = docs.select("doc_id", "text", "row", "row2").mapInArrow(index, "bucket long, a binary, b binary, docs binary")
     return packed.groupBy("bucket").applyInArrow(read, ", ".join(f"{c} long" for c in columns))
 
 
-def tokens_of(docs: DataFrame, n_words: int, sketched: bool = False) -> DataFrame:
-    """(fp1, n, tokens) of each row: the set's elements, ascending unsigned 64-bit integers, as bytes; or (fp1, n, sketch)."""
+def tokens_of(docs: DataFrame, n_words: int, sketched: bool = False, fingerprint: Callable = fingerprints) -> DataFrame:
+    """(fp1, fp2, n, tokens) of each row: the set's elements, ascending unsigned 64-bit integers, as bytes; or (fp1, fp2, n, sketch)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,17 +270,18 @@ def tokens_of(docs: DataFrame, n_words: int, sketched: bool = False) -> DataFram
                 else:
                     data, ends = elements.tobytes(), (8 * np.cumsum(sizes)).tolist()
                     held = [data[e - 8 * n : e] for e, n in zip(ends, sizes.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(fingerprints(sizes, elements)[0]), pa.array(sizes), pa.array(held, pa.binary())], names=["fp1", "n", name])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, fingerprint(sizes, elements)), pa.array(sizes), pa.array(held, pa.binary())], names=["fp1", "fp2", "n", name])
 
     name = "sketch" if sketched else "tokens"
-    return docs.select("text").mapInArrow(make, f"fp1 long, n long, {name} binary")
+    return docs.select("text").mapInArrow(make, f"fp1 long, fp2 long, n long, {name} binary")
 
 
-def of_sets(docs: DataFrame, sets: DataFrame, n_words: int, sketched: bool = False) -> DataFrame:
-    """The tokens, or sketches, of the sets (fp1, a_row), from the texts of their rows: a written table with a row for each set."""
+def of_sets(docs: DataFrame, sets: DataFrame, n_words: int, sketched: bool = False, fingerprint: Callable = fingerprints) -> DataFrame:
+    """(id, n, tokens or sketch) of the sets (id, fp1, fp2, n, a_row), from the texts of their rows: a written table with a row for each set."""
     ids = sets.select(F.col("a_row").alias("row"))
     picked = docs.select("row", "text").join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, "row", "left_semi")
-    return written(tokens_of(picked, n_words, sketched).dropDuplicates(["fp1"]), "sketches" if sketched else "tokens")
+    made = tokens_of(picked, n_words, sketched, fingerprint).join(sets.select("id", "fp1", "fp2", "n"), ["fp1", "fp2", "n"]).drop("fp1", "fp2")
+    return written(made.dropDuplicates(["id"]), "sketches" if sketched else "tokens")
 
 
 def near(overlap, a, b, percent: int):
@@ -323,7 +337,7 @@ def components(edges: DataFrame) -> DataFrame:
 def in_cells(members: DataFrame, things: DataFrame, chunk: int) -> DataFrame:
     """Cells (leader, oc, mc) of at most about chunk sets that ask and chunk sets that are held: (member, root, asks, both, columns of things).
 
-    members: (leader, member, root, tested: was compared with this leader), all of a leader's sets or those still open; things has fp1. Sets outside
+    members: (leader, member, root, tested: was compared with this leader), all of a leader's sets or those still open; things has id. Sets outside
     the main component of a leader ask all its sets. Leaders with nothing more to tell have no cells.
     """
     by_root = members.groupBy("leader", "root").agg(F.count("*").alias("k"), F.count_if(~F.col("tested")).alias("untested"), F.count_if(F.col("member") == F.col("leader")).alias("led"))
@@ -331,9 +345,9 @@ def in_cells(members: DataFrame, things: DataFrame, chunk: int) -> DataFrame:
     # a leader and one other set, which were compared before, have nothing more to tell; two sets left without their leader have
     groups = groups.where("roots > 1 AND (size > 2 OR untested > 0 OR led = 0)").select("leader", "main", F.ceil(F.col("size") / chunk).alias("chunks"), F.ceil((F.col("size") - F.col("most")) / chunk).alias("out_chunks"))
     groups = written(groups, "groups")  # a table of its own, so that the join may split a leader of very many sets
-    told = [c for c in things.columns if c != "fp1"]
+    told = [c for c in things.columns if c != "id"]
     rows = members.join(groups, "leader").withColumn("outside", F.col("root") != F.col("main"))
-    rows = rows.join(things, F.col("member") == F.col("fp1")).select("leader", "member", "root", "outside", "chunks", "out_chunks", *told)
+    rows = rows.join(things, F.col("member") == F.col("id")).select("leader", "member", "root", "outside", "chunks", "out_chunks", *told)
     place = F.xxhash64("member")
     every = [F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1)) for c in ("out_chunks", "chunks")]
     inside = rows.select("*", F.pmod(place, "chunks").alias("mc")).select("*", every[0].alias("oc")).withColumn("asks", F.lit(False))
@@ -366,7 +380,7 @@ def open_members(members: DataFrame, sketches_: DataFrame, percent: int) -> Data
 
 def further_links(members: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between sets of different components that stand under one leader, as many as unite them (no link that others of its cell imply)."""
-    cells = in_cells(members, tokens.select("fp1", "tokens"), CHUNK)
+    cells = in_cells(members, tokens.select("id", "tokens"), CHUNK)
 
     def compare(cell: pd.DataFrame) -> pd.DataFrame:
         asks, held = cell[cell["asks"] | cell["both"]], cell[~cell["asks"]]
@@ -409,25 +423,29 @@ def further_links(members: DataFrame, tokens: DataFrame, percent: int) -> DataFr
     return cells.groupBy("leader", "oc", "mc").applyInPandas(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, row, n_shingles, component_id) for every row of docs (doc_id, text, row)."""
+def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, fingerprint: Callable = fingerprints) -> DataFrame:
+    """(doc_id, row, row2, n_shingles, component_id, root) for every row of docs (doc_id, text, row, row2)."""
     spark: SparkSession = docs.sparkSession
-    table = written(sets_and_stars(docs, n_words, percent), "sets-and-stars")
-    rows = table.where("fp1 IS NOT NULL").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "row", "n", "fp1", "fp2")
+    table = written(sets_and_stars(docs, n_words, percent, fingerprint), "sets-and-stars")
+    rows = table.where("fp1 IS NOT NULL").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "row", "row2", "n", "fp1", "fp2")
     classes = rows.where("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("first"), F.min("row").alias("a_row"))
-    classes = written(classes, "classes")
-    keyed = classes.select("fp1", F.col("fp1").bitwiseAND(F.lit(LOW48)).alias("key"))
+    classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    keyed = classes.select("id", F.col("fp1").bitwiseAND(F.lit(LOW48)).alias("key"))
     stars = table.where("leader IS NOT NULL").groupBy("leader", "member").agg(F.sum("k").alias("k"))
-    stars = stars.join(keyed.select(F.col("key").alias("leader"), F.col("fp1").alias("l")), "leader").join(keyed.select(F.col("key").alias("member"), F.col("fp1").alias("m")), "member")
-    stars = written(stars.where("l <> m").select(F.col("l").alias("leader"), F.col("m").alias("member"), "k"), "stars")
-
-    picked = written(stars.select(F.explode(F.array("leader", "member")).alias("fp1")).distinct().join(classes, "fp1").select("fp1", "a_row"), "picked")
-    drawn = of_sets(docs, picked, n_words, sketched=True)
+    leaders, members = (keyed.select(F.col("key").alias(k), F.col("id").alias(i)) for k, i in (("leader", "l"), ("member", "m")))
+    stars = stars.join(leaders, "leader").join(members, "member")
+    # classes whose list keys are equal count as one in the lists, so they are compared anyway
+    same = leaders.join(members, F.col("leader") == F.col("member")).where("l < m").withColumn("k", F.lit(1).cast("long"))
+    stars = stars.where("l <> m").select("l", "m", "k").union(same.select("l", "m", "k")).groupBy("l", "m").agg(F.sum("k").alias("k"))
+    stars = written(stars.select(F.col("l").alias("leader"), F.col("m").alias("member"), "k"), "stars")
+
+    picked = written(stars.select(F.explode(F.array("leader", "member")).alias("id")).distinct().join(classes, "id").select("id", "fp1", "fp2", "n", "a_row"), "picked")
+    drawn = of_sets(docs, picked, n_words, True, fingerprint)
     one = written(stars.groupBy("member").agg(F.max_by("leader", F.struct("k", "leader")).alias("leader")), "first-leaders")
-    pairs = one.join(drawn.select(F.col("fp1").alias("member"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "member").join(drawn.select(F.col("fp1").alias("leader"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "leader")
+    pairs = one.join(drawn.select(F.col("id").alias("member"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "member").join(drawn.select(F.col("id").alias("leader"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "leader")
     pairs = written(maybe_near(pairs.withColumnsRenamed({"leader": "a", "member": "b"}), percent), "maybe-links")
-    tokens = of_sets(docs, picked.join(pairs.select(F.explode(F.array("a", "b")).alias("fp1")).distinct(), "fp1", "left_semi"), n_words)
-    both = pairs.join(tokens.select(F.col("fp1").alias("b"), F.col("tokens").alias("tb")), "b").join(tokens.select(F.col("fp1").alias("a"), F.col("tokens").alias("ta")), "a")
+    tokens = of_sets(docs, picked.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"), n_words, False, fingerprint)
+    both = pairs.join(tokens.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b").join(tokens.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a")
     links = written(verified(both, percent), "links")
     roots = components(links)
     tested = stars.join(one.select("member", F.col("leader").alias("first")), "member").select("leader", "member", (F.col("leader") == F.col("first")).alias("tested"))
@@ -435,35 +453,45 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80) -> Dat
     members = written(members.select("leader", "member", F.coalesce("root", "member").alias("root"), "tested"), "members")
     members = open_members(members, drawn, percent)
     if members.take(1):
-        tokens = of_sets(docs, picked.join(members.select(F.col("member").alias("fp1")).distinct(), "fp1", "left_semi"), n_words)
+        tokens = of_sets(docs, picked.join(members.select(F.col("member").alias("id")).distinct(), "id", "left_semi"), n_words, False, fingerprint)
         roots = components(links.union(written(further_links(members, tokens, percent), "links")))
     roots = written(roots, "roots")
 
-    of_class = classes.join(roots.select(F.col("node").alias("fp1"), "root"), "fp1", "left").select("fp1", "first", F.coalesce("root", "fp1").alias("root"))
+    of_class = classes.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("fp1", "fp2", "n", "first", F.coalesce("root", "id").alias("root"))
     least = of_class.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = written(of_class.join(least, "root").select("fp1", "component_id", "root"), "components")
-    joined = rows.join(named, "fp1", "left")
-    return joined.select("doc_id", "row", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("root")).alias("root"))
+    named = written(of_class.join(least, "root").select("fp1", "fp2", "n", "component_id", "root"), "components")
+    joined = rows.join(named, ["fp1", "fp2", "n"], "left")
+    return joined.select("doc_id", "row", "row2", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("root")).alias("root"))
+
+
+def _numbers(doc: str, text: str) -> dict[str, Column]:
+    """Two independent 64-bit numbers for a row's content."""
+    return {"row": F.xxhash64(doc, text), "row2": F.xxhash64(F.lit("second"), F.reverse(F.coalesce(F.col(text), F.lit(""))), F.col(text).isNull(), doc)}
 
 
 def with_row(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, row): row is a number for the content of doc_id and text."""
-    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+    """(doc_id, text, row, row2)."""
+    return docs.select("doc_id", "text").withColumns(_numbers("doc_id", "text"))
 
 
 def deduplicated(docs: DataFrame, n_words: int = 5, percent: int = 80) -> DataFrame:
-    """docs without all but one row of each component (that with the least doc_id); texts without words all stay. Columns as given."""
+    """docs without all but one row of each component (that with the least doc_id); texts without words all stay. Columns as given.
+
+    Rows are told apart by 128 bits of their content; of rows that agree in doc_id and text, one stays.
+    """
     names = [f"c{k}" for k in range(len(docs.columns))]
     doc, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
-    keyed = docs.toDF(*names).withColumn("row", F.xxhash64(doc, text))
-    found = written(near_duplicates(keyed.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"), "row"), n_words, percent), "near-duplicates").where("root IS NOT NULL")
-    kept = found.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), "row"))["row"].alias("row"), F.count("*").alias("k")).where("k > 1")
-    gone = written(found.join(kept.select("root"), "root", "left_semi").select("row").distinct().join(kept.select("row"), "row", "left_anti"), "removed")
-    twice = written(found.groupBy("row").agg(F.count("*").alias("k")).where("k > 1").select("row"), "repeated")
+    keys = ["row", "row2"]
+    keyed = docs.toDF(*names).withColumns(_numbers(doc, text))
+    found = written(near_duplicates(keyed.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"), *keys), n_words, percent), "near-duplicates").where("root IS NOT NULL")
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), *keys)).alias("f")
+    kept = found.groupBy("root").agg(first, F.count("*").alias("k")).where("k > 1").select("root", "f.row", "f.row2")
+    gone = written(found.join(kept.select("root"), "root", "left_semi").select(*keys).distinct().join(kept.select(*keys), keys, "left_anti"), "removed")
+    twice = written(found.groupBy(*keys).agg(F.count("*").alias("k")).where("k > 1").select(*keys), "repeated")
     gone, twice = (F.broadcast(x) if x.count() <= MOST_IDS else x for x in (gone, twice))
-    left = keyed.join(gone, "row", "left_anti")
-    single = left.join(twice, "row", "left_anti")
-    once = left.join(twice, "row", "left_semi").dropDuplicates(["row"])
+    left = keyed.join(gone, keys, "left_anti")
+    single = left.join(twice, keys, "left_anti")
+    once = left.join(twice, keys, "left_semi").dropDuplicates(keys)
     return single.union(once).select(*names).toDF(*docs.columns)
 
 

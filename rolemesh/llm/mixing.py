@@ -35,7 +35,7 @@ from rolemesh.llm.common import written
 
 OTHER = "other"
 #: About so many rows are ordered together.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 5_000
 
 
 def period(weights: dict[str, int]) -> dict[str, list[int]]:

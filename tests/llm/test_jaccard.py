@@ -106,3 +106,16 @@ def test_two_sets_left_without_their_leader(spark):
     docs = jj.with_row(spark.createDataFrame(rows, "doc_id long, text string"))
     got = jj.near_duplicates(docs, 3, 90).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got), key=str) == plain(rows, 3, 90)
+
+
+def test_classes_with_one_short_hash(spark):
+    """Unlike sets whose first 64 bits agree stay apart, are compared, and keep their rows once each."""
+
+    def weak(sizes, elements):
+        fp1, fp2 = jj.fingerprints(sizes, elements)
+        return fp1 % 3, fp2
+
+    rows = [(i, t) for i, t in table(3) if len(t) < 2000]
+    docs = jj.with_row(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    got = jj.near_duplicates(docs, 3, 90, weak).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got), key=str) == plain(rows, 3, 90)
