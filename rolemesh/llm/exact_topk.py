@@ -6,14 +6,18 @@ coordinates: a partial sum over those, and Cauchy-Schwarz on the lengths of the
 score from above. A block, and then a vector, is skipped once its bound is below the k-th score that
 the query already has; scores themselves are exact integers.
 
-Queries meet candidates block by block: groups of candidate blocks and groups of query blocks are
-paired, each group of bounded size. The thresholds start from the longest vectors (one block of
-bounded size, broadcast).
+Candidate blocks are numbered by descending length and dealt to groups of neighbours, so that a group's
+longest vector bounds all that it holds. A query block is paired only with the groups whose bound reaches
+the threshold of one of its queries; which those are is decided from the groups' bounds (a number each)
+before any vector is copied. There are two rounds: the thresholds start from the longest vectors (one block
+of bounded size, sent to all tasks), the first round searches the LEAD longest groups, and the second
+takes its thresholds from the first round's answers. What is copied grows with the pairs that survive.
 
 Defined cases: vectors that are null or hold null, NaN or infinite components, and rows without
 an id, take no part; a shorter vector counts as filled up with zeros; each repeated row is a
 candidate, and a query for itself if its id says so; a query's own id is never its answer; ties go
-to the smaller id; an empty table gives no rows. Extra columns are ignored.
+to the smaller id; an empty table gives no rows. Scores are 64-bit integers: with components below 1,000 in size
+(a million after scaling) a sum of a million products fits. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,8 +35,8 @@ from rolemesh.llm.common import written
 
 #: Vectors in a block, blocks in a group of candidates, queries in a group.
 BLOCK, GROUP_BLOCKS, QUERIES = 2048, 4, 4096
-#: Rotated coordinates in a partial sum.
-HEAD = 16
+#: Rotated coordinates in a partial sum; groups of candidates in the first round.
+HEAD, LEAD = 16, 8
 
 
 def integers(table: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -139,6 +143,12 @@ def _unpacked(row, width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(row.ids, dtype=np.int64), np.frombuffer(row.v, dtype=np.int64).reshape(-1, width)
 
 
+def reached(search: Search, tops: np.ndarray) -> int:
+    """How many of the first groups (their longest lengths, descending) a query block must see: beyond them no vector reaches any of its thresholds."""
+    need = np.where(search.norm > 0, (search.floor - 1) / np.maximum(search.norm * (1 + 1e-9), 1e-300), np.where(search.floor > 1, np.inf, -np.inf))
+    return int(np.searchsorted(-tops, -need.min(), side="right")) if len(need) else 0
+
+
 def top_k(table: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query row's k best candidates. is_query is a condition on a column `id`."""
     spark = table.sparkSession
@@ -150,24 +160,29 @@ def top_k(table: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id
     ordered = vectors.withColumn("length", length).repartitionByRange(parts, F.col("length").desc(), "id").sortWithinPartitions(F.col("length").desc(), "id").select("id", "v")
     packed = written(blocks(ordered, width, BLOCK), "vector-blocks")
     asked = written(blocks(vectors.where(is_query), width, min(QUERIES, BLOCK)), "query-blocks")
-    n_blocks, n_asked = packed.count(), asked.count()
     longest = packed.orderBy(F.col("top").desc(), "part", "seq").limit(1).collect()  # one block
-    groups, query_groups = max(1, -(-n_blocks // GROUP_BLOCKS)), max(1, -(-n_asked * min(QUERIES, BLOCK) // QUERIES))
+    # parts are in descending order of length, and so are the blocks of a part
+    numbered = packed.select("part", "seq", "top", F.floor((F.row_number().over(Window.orderBy("part", "seq")) - 1) / GROUP_BLOCKS).alias("g"))  # a row for each block
+    numbered = written(numbered, "block-groups")
+    tops = np.array([r.top for r in numbered.groupBy("g").agg(F.max("top").alias("top")).orderBy("g").collect()])  # a number for each group
+    tops = np.maximum.accumulate(tops[::-1])[::-1] if len(tops) else tops
+    grouped = packed.join(numbered.select("part", "seq", "g"), ["part", "seq"])
 
     def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            frame, out = batch.to_pandas(), []
+            frame, out, upto = batch.to_pandas(), [], []
             for row in frame.itertuples():
-                search = Search(*_unpacked(row, width), axes, k, np.full(row.n, -np.inf))
-                for other in longest:
-                    search.over(*_unpacked(other, width), other.top)
+                known = np.frombuffer(row.floor, dtype=float) if row.floor is not None else np.full(row.n, -np.inf)
+                search = Search(*_unpacked(row, width), axes, k, known.copy())
+                if row.floor is None:
+                    for other in longest:
+                        search.over(*_unpacked(other, width), other.top)
                 out.append(search.floor.tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "floor"])
+                upto.append(reached(search, tops))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(out, pa.binary()), pa.array(upto, pa.int64())], names=[*names, "floor", "upto"])
 
-    begun = asked.mapInArrow(floors, "part long, seq long, n long, top double, ids binary, v binary, floor binary")
-    own = F.pmod(F.xxhash64("part", "seq"), F.lit(groups)).alias("g")
-    right = packed.select("*", own, F.explode(F.sequence(F.lit(0), F.lit(query_groups - 1))).alias("h"))
-    left = begun.select("*", F.pmod(F.xxhash64("part", "seq"), F.lit(query_groups)).cast("int").alias("h"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"))
+    names = ["part", "seq", "n", "top", "ids", "v"]
+    told = "part long, seq long, n long, top double, ids binary, v binary, floor binary, upto long"
 
     def search(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -180,9 +195,41 @@ def top_k(table: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id
                 out.append(pd.DataFrame({"part": row.part, "seq": row.seq, "at": at, "query_id": found.ids[at], "vec_id": ids, "score": scores}))
         return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("part", "seq", "at", "query_id", "vec_id", "score")})
 
-    answers = left.groupBy("h", "g").cogroup(right.groupBy("h", "g")).applyInPandas(search, "part long, seq long, at long, query_id long, vec_id long, score long")
+    def answers(begun: DataFrame, first: int, last: int) -> DataFrame:
+        """Best k of each query over the groups from first to last that its block must see."""
+        ends = F.least(F.col("upto"), F.lit(last)) - 1
+        shares = max(1, -(-begun.count() * min(QUERIES, BLOCK) // QUERIES))  # a group meets the query blocks in shares of about QUERIES queries
+        share = F.pmod(F.xxhash64("part", "seq"), F.lit(shares)).cast("int").alias("h")
+        left = begun.where(ends >= first).select("*", share, F.explode(F.sequence(F.lit(first).cast("long"), ends.cast("long"))).alias("g"))
+        wanted = written(left.select("g", "h").distinct(), "block-pairs")  # a group is copied to the shares that must see it
+        right = grouped.where(F.col("g").between(first, last - 1)).join(wanted, "g")
+        return left.groupBy("g", "h").cogroup(right.groupBy("g", "h")).applyInPandas(search, "part long, seq long, at long, query_id long, vec_id long, score long")
+
     best = Window.partitionBy("part", "seq", "at").orderBy(F.col("score").desc(), "vec_id")
-    return answers.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+    begun = written(asked.withColumn("floor", F.lit(None).cast("binary")).select(*names, "floor").mapInArrow(floors, told), "query-floors")
+    lead = written(ranked(answers(begun, 0, min(LEAD, len(tops)))).drop("rank"), "first-answers")
+    if len(tops) <= LEAD:
+        return ranked(lead).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    # the k-th score of each query so far: of the longest block (in begun) or of the first round, whichever is higher
+    kth = ranked(lead).where(F.col("rank") == k).groupBy("part", "seq").agg(F.collect_list(F.struct("at", "score")).alias("kth"))  # BLOCK entries at most
+
+    def raised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for floor, found in zip(batch.column("floor").to_pylist(), batch.column("kth").to_pylist(), strict=True):
+                x = np.frombuffer(floor, dtype=float).copy()
+                for y in found or []:
+                    x[y["at"]] = max(x[y["at"]], y["score"])
+                out.append(x.tobytes())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(out, pa.binary())], names=[*names, "floor"])
+
+    again = begun.drop("upto").join(kth, ["part", "seq"], "left").select(*names, "floor", "kth").mapInArrow(raised, told.removesuffix(", upto long")).mapInArrow(floors, told)
+    rest = answers(written(again, "query-floors"), LEAD, len(tops))
+    return ranked(lead.union(rest)).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op9_exact_topk(spark, sf_dir: str) -> DataFrame:

@@ -11,8 +11,9 @@ ways: the most frequent words (at most MOST_WORDS, each of at most MOST_BYTES by
 and all others are joined by a shuffle on the word.
 
 Defined cases: null and empty texts hold the end alone; repeated rows and doc_ids are each scored;
-a null doc_id counts as the empty id text (so it trains); without training rows all counts are 0;
-characters outside the vocabulary are spelt by UTF-8 bytes. Extra columns are ignored.
+a null doc_id counts as the empty id text (so it trains); without training rows all counts are 0; an empty table
+gives no rows; characters outside the vocabulary are spelt by UTF-8 bytes; a very long word (a text without white
+space) is scored whole, its pieces looked up for all positions at once, in blocks of BLOCK. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ MOST_WORDS, MOST_BYTES = 400_000, 32
 #: Probability kept for spelling by bytes; added to each piece's expected count.
 BYTE_SHARE, FLOOR = 1e-4, 0.05
 ROUNDS = 2
+#: Words of more code points are scored alone, so many positions at a time.
+LONG, BLOCK = 512, 65_536
 #: Words counted in a task before they are handed on.
 HELD_WORDS = 400_000
 
@@ -87,8 +90,64 @@ class Lattice:
             out.append(at_end)
         return out
 
+    def _long_edges(self, codes: np.ndarray, backwards: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Of one word, block after block: (first end, piece ids, log probabilities); row j of a block holds the pieces of 1, 2, ... code points that end there."""
+        base, width = np.uint64(self.BASE), min(self.longest, len(codes))
+        n_bytes = 1 + (codes > 0x7F).astype(int) + (codes > 0x7FF) + (codes > 0xFFFF)
+        for first in range(0, len(codes), BLOCK)[:: -1 if backwards else 1]:
+            last, back = min(first + BLOCK, len(codes)), max(0, first - width)
+            part = codes[back:last].astype(np.uint64) + np.uint64(1)
+            ends = np.arange(first - back, last - back)
+            pieces, lps = np.full((len(ends), width), -1), np.full((len(ends), width), -np.inf)
+            h = np.zeros(len(part), dtype=np.uint64)  # of the piece that begins at each position, made longer by one code point a round
+            for length in range(1, width + 1):
+                h = h[: len(part) - length + 1] * base + part[length - 1 :]
+                whole = ends >= length - 1
+                key = h[ends[whole] - length + 1] ^ np.uint64(length << 57)
+                k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                found = self.keys[k] == key
+                pieces[whole, length - 1] = np.where(found, self.order[k], -1)
+                lps[whole, length - 1] = np.where(found, self.logp[self.order[k]], -np.inf)
+            lps[:, 0] = np.logaddexp(lps[:, 0], n_bytes[first:last] * self.byte)
+            yield first, pieces, lps
+
+    def _long_alpha(self, codes: np.ndarray) -> np.ndarray:
+        width = min(self.longest, len(codes))
+        alpha = np.full(len(codes) + 1 + width, -np.inf)  # width places before the first
+        alpha[width] = 0
+        for first, _, lps in self._long_edges(codes):
+            for j in range(len(lps)):
+                at = first + j + width  # pieces of 1, 2, ... code points begin at places at, at - 1, ...
+                x = alpha[at - width + 1 : at + 1][::-1] + lps[j]
+                top = x.max()
+                alpha[at + 1] = top + np.log(np.exp(x - top).sum())
+        return alpha[width:]
+
+    def long_forward(self, codes: np.ndarray) -> float:
+        """As `forward`, of one long word."""
+        return float(self._long_alpha(codes)[-1])
+
+    def long_expected(self, codes: np.ndarray, count: float) -> np.ndarray:
+        """As `expected`, of one long word."""
+        alpha, width = self._long_alpha(codes), min(self.longest, len(codes))
+        beta = np.full(len(codes) + 1 + width, -np.inf)  # beta[j + width] of place j
+        beta[-1] = 0
+        out = np.zeros(len(self.pieces))
+        for first, pieces, lps in self._long_edges(codes, backwards=True):
+            for j in range(len(lps) - 1, -1, -1):
+                end = first + j + 1
+                into = beta[end : end + width][::-1]  # places end - 1, end - 2, ...
+                np.logaddexp(into, lps[j] + beta[end + width], out=into)
+            j, k = np.nonzero(pieces >= 0)
+            start, end, used = first + j - k, first + j + 1, pieces[j, k]
+            share = np.exp(alpha[start] + self.logp[used] + beta[end + width] - alpha[-1]) * count
+            out += np.bincount(used, weights=share, minlength=len(out))
+        return out
+
     def forward(self, codes: np.ndarray) -> np.ndarray:
         """Natural log of the marginal probability of each row."""
+        if codes.shape[1] > LONG:
+            return np.array([self.long_forward(row) for row in codes])
         alpha = self._forward(self._edges(codes), codes)
         return alpha[-1]
 
@@ -103,6 +162,8 @@ class Lattice:
 
     def expected(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Expected number of uses of each piece in words that occur `counts` times."""
+        if codes.shape[1] > LONG:
+            return sum((self.long_expected(row, c) for row, c in zip(codes, counts, strict=True)), np.zeros(len(self.pieces)))
         edges = self._edges(codes)
         alpha = self._forward(edges, codes)
         beta = np.full(alpha.shape, -np.inf)

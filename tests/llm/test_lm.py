@@ -76,3 +76,35 @@ def test_scores(spark, most, monkeypatch):
 def test_no_rows(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert lm.scores(docs, public_tokenizers.path("piece_bpe_32k.model"), ~lm.held_out(5, 1)).count() == 0
+
+
+def test_long_words(monkeypatch):
+    """Words beyond LONG are scored by blocks of positions, with the same probabilities and expected counts."""
+    model = lm.Lattice(PIECES, LOGP)
+    codes = np.array([ord(c) for c in "▁" + "abébab🙂a" * 40], dtype=np.uint32)
+    want, counts = model.forward(codes[None, :])[0], model.expected(codes[None, :], np.array([2.0]))
+    for block in (7, 64, 65_536):
+        monkeypatch.setattr(lm, "BLOCK", block)
+        assert model.long_forward(codes) == pytest.approx(want, rel=1e-12)
+        assert model.long_expected(codes, 2.0) == pytest.approx(counts, abs=1e-9)
+
+
+def test_scores_are_sums_over_words_and_the_end(spark):
+    """A text's score is the sum of its words' log probabilities by the fitted lattice, and that of the end."""
+    from pyspark.sql import functions as F
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    texts = ["the cat sat", "the dog", None, "", "x" * 700 + " the", "The THE the", "🙂 never seen"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm.scores(docs, path, F.col("doc_id") < 5).collect()}
+    words = lm.word_counts(docs.select("doc_id", "text", (F.col("doc_id") < 5).alias("trains")))
+    pieces, start = lm.vocabulary(path)
+    logp, end = lm.fit(words, 5, pieces, start)
+    model = lm.Lattice(pieces, logp)
+
+    def of(word):
+        return model.forward(np.array([[ord(c) for c in "▁" + word]], dtype=np.uint32))[0]
+
+    for i, t in enumerate(texts):
+        want = end + sum(of(w) for w in (t or "").lower().split())
+        assert got[i] == pytest.approx(want / math.log(10), rel=1e-9)

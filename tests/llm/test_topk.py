@@ -38,3 +38,26 @@ def test_few_and_no_rows(spark):
     assert [tuple(x) for x in exact_topk.top_k(table, F.col("id") == 0).collect()] == [(0, 1, 1, 2 * 1024 * 1024)]
     assert exact_topk.top_k(table.where("false"), F.col("id") == 0).count() == 0
     assert exact_topk.top_k(table, F.col("id") == 5).count() == 0
+
+
+def test_short_groups_are_not_copied():
+    """A query block that already has high thresholds sees only the groups whose longest vector reaches them."""
+    import numpy as np
+
+    v = np.array([[10, 0], [0, 10]])
+    search = exact_topk.Search(np.array([1, 2]), v, np.eye(2), 1, np.array([500.0, 900.0]))
+    assert exact_topk.reached(search, np.array([100.0, 60.0, 49.0, 10.0])) == 2  # 10 * 49 doesn't reach 500
+    none_yet = exact_topk.Search(np.array([1, 2]), v, np.eye(2), 1, np.array([-np.inf, 900.0]))
+    assert exact_topk.reached(none_yet, np.array([100.0, 60.0])) == 2
+
+
+def test_two_rounds(spark, monkeypatch):
+    """Vectors of very different lengths in many groups: the second round takes the first one's thresholds, and the answers are those of all pairs."""
+    import random
+
+    for name, value in (("BLOCK", 16), ("GROUP_BLOCKS", 1), ("QUERIES", 8), ("HEAD", 2), ("LEAD", 3)):
+        monkeypatch.setattr(exact_topk, name, value)
+    r = random.Random(2)
+    rows = [(i, [r.gauss(0, 1) * 2 ** (-i / 40) for _ in range(5)]) for i in range(400)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert sorted(map(tuple, exact_topk.top_k(table, F.col("id") % 40 == 0, k=3).collect())) == plain(rows, 3, 40)
