@@ -5,8 +5,8 @@ rules read. A policy is a versioned mask over those bits: to apply another polic
 a rule costs, nothing is measured again. Ablations group by the mask first (at most 2^rules rows,
 whatever the corpus) and take every rule's share from those rows by bit operations.
 
-Defined cases: a null text has no words; repeated rows are each a row of the ledger; nothing is
-joined or shuffled to measure, so one source or one text may hold any share of the rows.
+Defined cases: a null text has no words; an empty table gives an empty ledger; a very long text is measured whole,
+in time proportional to n log n of its words; repeated rows are each a row of the ledger; nothing is joined or shuffled to measure, so one source or one text may hold any share of the rows.
 Columns of docs other than doc_id and text are ignored, or kept by `filtered` whatever their names.
 """
 
@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rolemesh.llm.common import written
+
 #: White space between words.
 SPACE = "[\\x20\\x09-\\x0D]"
 SYMBOLS = "[#*$%&|<>]"
@@ -128,11 +130,16 @@ POLICY = 3
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
-    rows = apply_policy(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")), POLICY)
+    rows = apply_policy(written(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")), "rule-ledger"), POLICY)
     base = ~passes(BASE)
     return rows.select("doc_id", *MEASURES, base.alias("base_failed"), "kept", "failed")
 
 
+def rule_ablation(spark, sf_dir: str) -> DataFrame:
+    """What each rule of the production policy costs, from the ledger alone."""
+    return ablation(written(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")), "rule-ledger"), POLICY)
+
+
 ORACLE = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, doc_id, t, [x FOR x IN string_split_regex(t, '[\\x20\\x09-\\x0D]+') IF x <> ''] AS ws,
@@ -149,3 +156,6 @@ f AS (SELECT *, ((n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_wor
   + 32 * (word_chars < 2 * n_words OR word_chars > 20 * n_words)::BIGINT)::BIGINT AS failed FROM m)
 SELECT *, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept FROM f
 """
+_EACH = ", ".join(f"('{name}', {bit})" for name, bit in BIT.items())
+ABLATION_ORACLE = f"""WITH o AS ({ORACLE}), r AS (SELECT * FROM (VALUES {_EACH}) t(rule, bit))
+SELECT rule, count(*) FILTER ((failed & bit) <> 0) AS n_failed, count(*) FILTER (failed = bit) AS n_alone, count(*) FILTER ((failed & ~bit) = 0) AS n_kept_without FROM o, r GROUP BY rule"""

@@ -18,5 +18,7 @@ QUERIES = {
     "op8_quality_classifier": quality_classifier.op8_quality_classifier,
     "op9_exact_topk": exact_topk.op9_exact_topk,
     "op10_token_files": op10_token_files,
+    "rule_ablation": quality_rules.rule_ablation,
+    "secret_versions": secret_scans.secret_versions,
 }
-ORACLES = {"op2_quality_rules": quality_rules.ORACLE, "op9_exact_topk": exact_topk.ORACLE, "op6_secret_scans": secret_scans.ORACLE}
+ORACLES = {"op2_quality_rules": quality_rules.ORACLE, "op9_exact_topk": exact_topk.ORACLE, "op6_secret_scans": secret_scans.ORACLE, "rule_ablation": quality_rules.ABLATION_ORACLE, "secret_versions": secret_scans.VERSIONS_ORACLE}
