@@ -31,7 +31,7 @@ def scan(spark: SparkSession, folder: str, names: tuple[str, ...] = tuple(SCHEMA
 
 
 def corpus(spark: SparkSession, folder: str, expected_schema: str) -> DataFrame:
-    """(slug, text, expected) of a folder with <slug>.txt files, each with its <slug>.expected.json if there is one."""
+    """(slug, text, expected) of a folder with <slug>.txt files, each with its <slug>.expected.json if there is one; empty files give no row."""
     slug = lambda ending: F.regexp_extract(F.col("_metadata.file_name"), f"^(.*)\\.{ending}$", 1)
     texts = spark.read.text(f"{folder}/*.txt", wholetext=True).select(slug("txt").alias("slug"), F.col("value").alias("text"))
     answers = spark.read.text(f"{folder}/*.expected.json", wholetext=True).select(slug("expected\\.json").alias("slug"), F.from_json("value", expected_schema).alias("expected"))

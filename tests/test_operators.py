@@ -26,18 +26,68 @@ def test_overlap_minutes(spark):
     assert got == {(r, z, d): m for r, z, _, _, d, m in OVERLAPS}
 
 
-def test_each_filter_drops_the_one_who_misses_it(spark):
+def pool(spark):
+    """Candidates who each miss one thing: profile, certificate, software, years, answers, hours, overlap, a known zone; 8 misses nothing, 9 is archived."""
     day = datetime.date(2026, 1, 1)
-    roles = spark.createDataFrame([(1, ["x"], ["s"], 3, day, 20, "Europe/London", 2, "open", True)], "role_id int, required_certifications array<string>, required_software array<string>, min_years int, starts_on date, hours_per_week int, timezone string, min_overlap_hours int, status string, accept_equivalents boolean")
+    roles = spark.createDataFrame(
+        [(1, ["x"], ["s"], 3, day, 20, "Europe/London", 2, "open", True), (2, [], ["s"], None, None, None, None, None, "open", None), (3, [], [], None, None, None, None, 2, "open", True), (4, ["nobody"], [], None, None, None, None, None, "open", True), (5, [], [], 0, None, None, None, None, "open", False), (6, [], [], None, None, None, None, None, "closed", True)],
+        "role_id int, required_certifications array<string>, required_software array<string>, min_years int, starts_on date, hours_per_week int, timezone string, min_overlap_hours int, status string, accept_equivalents boolean",
+    )
     people = spark.createDataFrame([(k, f"n{k}", "archived" if k == 9 else "active") for k in range(10)], "candidate_id int, full_name string, status string")
     profiles = spark.createDataFrame([(k, ["y"] if k == 1 else ["x"], [] if k == 2 else ["s", "t"], None if k == 3 else 3) for k in range(1, 10)], "candidate_id int, certifications array<string>, software array<string>, years_experience int")
-    answers = spark.createDataFrame([(k, "Asia/Manila" if k == 6 else "XYZ5" if k == 7 else "Europe/London", 540, 1020, 10 if k == 5 else 40, day) for k in range(10) if k != 4], "candidate_id int, timezone string, work_start int, work_end int, hours_per_week int, available_from date")
+    late = datetime.date(2031, 1, 1)
+    answers = spark.createDataFrame([(k, "Asia/Manila" if k == 6 else "XYZ5" if k == 7 else "Europe/London", 540, 1020, 10 if k == 5 else 40, late if k == 3 else day) for k in range(10) if k != 4], "candidate_id int, timezone string, work_start int, work_end int, hours_per_week int, available_from date")
     terms = spark.createDataFrame([("x", "g", None), ("y", "h", None)], "id string, grp string, variant_of string")
     zones = spark.createDataFrame([("Europe/London",), ("Asia/Manila",)], "zone string")
+    return roles, people, profiles, answers, terms, zones
+
+
+def test_each_filter_drops_the_one_who_misses_it(spark):
+    roles, people, profiles, answers, terms, zones = pool(spark)
     stages = funnel.checked(roles, people, profiles, answers, terms, zones, "2026-01-01").cache()
-    assert {r.candidate_id: r.cleared for r in stages.collect()} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 4, 6: 5, 7: 5, 8: 6}
-    r = funnel.funnel(roles, stages).first()
-    assert (r.pool, r.after_profile, r.after_overlap, r.top_filter, r.top_excluded) == (9, 8, 1, "availability", 2)
+    # 0 has no profile and 1 not the certificate that role 1 is looked up by, so neither is paired with it
+    assert {r.candidate_id: r.cleared for r in stages.where("role_id = 1").collect()} == {2: 2, 3: 3, 4: 4, 5: 4, 6: 5, 7: 5, 8: 6}
+    # without a start date anyone who has answered is in time, however late they are free
+    assert {r.candidate_id: r.cleared for r in stages.where("role_id = 2").collect()} == {1: 6, 3: 6, 4: 4, 5: 6, 6: 6, 7: 6, 8: 6}
+    assert {r.cleared for r in stages.where("role_id = 3").collect()} == {4, 5}  # an overlap in no zone can't be met
+    assert stages.where("role_id = 4 OR role_id = 6").count() == 0
+    counts = {r.role_id: r for r in funnel.funnel(roles, stages, people, profiles).collect()}
+    r = counts[1]
+    assert (r.pool, r.after_profile, r.after_certifications, r.after_overlap, r.top_filter, r.top_excluded) == (9, 8, 7, 1, "availability", 2)
+    assert (counts[4].after_profile, counts[4].after_certifications, counts[4].top_filter) == (8, 0, "certifications")
+    assert (counts[5].after_software, counts[5].after_overlap) == (8, 7)
+    spread = {x.cleared: x.n for x in funnel.cleared_counts(funnel.funnel(roles, stages, people, profiles)).where("role_id = 1").collect()}
+    assert spread == {0: 1, 1: 1, 2: 1, 3: 1, 4: 2, 5: 2, 6: 1}
+
+
+def test_equal_to_the_naive_pairs(spark):
+    """The counts equal those of all pairs, tested one by one, whatever roles ask for."""
+    import random
+
+    _, _, _, answers, terms, zones = pool(spark)
+    r = random.Random(4)
+    some = lambda of: r.sample(of, r.randrange(len(of)))
+    asked = [(k, some("xy"), some(["s", "t", "u"]), r.choice([None, 0, 2, 5])) for k in range(30)]
+    held = [(k, some("xyz"), some(["s", "t", "u"]), r.choice([None, 1, 4])) for k in range(40)]
+    roles = spark.createDataFrame([(*x, None, None, None, None, "open", True) for x in asked], "role_id int, required_certifications array<string>, required_software array<string>, min_years int, starts_on date, hours_per_week int, timezone string, min_overlap_hours int, status string, accept_equivalents boolean")
+    people = spark.createDataFrame([(k, f"n{k}", "active") for k in range(45)], "candidate_id int, full_name string, status string")
+    profiles = spark.createDataFrame(held, "candidate_id int, certifications array<string>, software array<string>, years_experience int")
+    stages = funnel.checked(roles, people, profiles, answers, terms, zones, "2026-01-01")
+    got = {x.role_id: (x.after_profile, x.after_certifications, x.after_software, x.after_experience) for x in funnel.funnel(roles, stages, people, profiles).collect()}
+    for k, certs, soft, years in asked:
+        a = [h for h in held if set(certs) <= set(h[1])]
+        b = [h for h in a if set(soft) <= set(h[2])]
+        c = [h for h in b if not years or (h[3] or 0) >= years]
+        assert got[k] == (40, len(a), len(b), len(c))
+
+
+def test_shortlist_and_unranked(spark):
+    stages = spark.createDataFrame([(1, c, f"n{9 - c}", 6) for c in range(6)] + [(2, 0, "n9", 6)], "role_id int, candidate_id int, full_name string, cleared int")
+    roles = spark.createDataFrame([(1, None, [1.0, 0.0]), (2, "a", None)], "role_id int, model string, v array<double>")
+    people = spark.createDataFrame([(0, None, [1.0, 1.0]), (1, None, [2.0, 0.0]), (2, "a", [1.0, 0.0]), (3, None, [0.0, 0.0]), (4, None, None)], "candidate_id int, model string, v array<double>")
+    assert [(r.candidate_id, r.similarity) for r in funnel.shortlist(stages, roles, people).orderBy("role_id", "rank").collect()] == [(1, 1.0), (0, 0.707107)]
+    left = {(r.role_id, r.candidate_id, r.role_embedded) for r in funnel.unranked(stages, roles, people).collect()}
+    assert left == {(1, 2, True), (1, 3, True), (1, 4, True), (1, 5, True), (2, 0, False)}
 
 
 def test_acceptable_ids(spark):
@@ -54,11 +104,6 @@ def test_scores(spark, levels, score):
     assert matches.scored(rows).first().score == score
 
 
-def test_alias_keys(spark):
-    rows = spark.createDataFrame([("A & B (UK) Certified",), ("a-and-b",)], "t string")
-    assert [tuple(r) for r in rows.select(text.alias_key(F.col("t")), text.alias_key(F.col("t"), True)).collect()] == [("aandbcertified", "aandb"), ("aandb", "aandb")]
-
-
 def test_retries(spark):
     rows = [(k, "a", k, "failed", k, 9) for k in range(1, 7)] + [(7, "b", 1, "failed", 1, 9), (8, "b", 1, "queued", 0, 9), (9, "c", 1, "failed", 3, 3)]
     got = {r.id: (r.next_status, r.wait_s) for r in jobs.retry_schedule(spark.createDataFrame(rows, "id int, kind string, payload int, status string, attempts int, max_attempts int")).collect()}
