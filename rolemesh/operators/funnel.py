@@ -96,7 +96,8 @@ def checked(roles: DataFrame, candidates: DataFrame, profiles: DataFrame, availa
     c = F.col
     # one row a pair: of the keys that a pair shares, the first counts
     pairs = pool.select("*", F.explode("held").alias("key")).join(asked.select("*", F.explode("keys").alias("key")), "key")
-    pairs = pairs.where(c("key") == F.get(F.array_intersect("keys", "held"), F.lit(0))).drop("key", "keys", "held")
+    once = c("key").startswith("any:") | (c("key") == F.get(F.array_intersect("keys", "held"), F.lit(0)))  # a salt is shared once anyway
+    pairs = pairs.where(once).drop("key", "keys", "held")
     first = [
         F.forall("sets", lambda s: F.coalesce(F.arrays_overlap(s, c("certifications")), F.lit(False))),
         F.size(F.array_except("required_software", "software")) == 0,
@@ -104,7 +105,7 @@ def checked(roles: DataFrame, candidates: DataFrame, profiles: DataFrame, availa
         c("answered") & (c("starts_on").isNull() | (c("available_from") <= c("starts_on"))) & (c("asked_hours").isNull() | (c("hours_per_week") >= c("asked_hours"))),
     ]
     early = reduce(lambda rest, k: F.when(~F.coalesce(first[k], F.lit(False)), k + 1).otherwise(rest), range(3, -1, -1), F.lit(5))
-    tested = pairs.select("role_id", "candidate_id", "full_name", early.alias("early"), "role_zone", "day", "min_overlap_hours", "zone", "work_start", "work_end")
+    tested = pairs.select("role_id", "candidate_id", "full_name", early.alias("early"), "role_zone", "day", "min_overlap_hours", F.when(early == 5, c("zone")).alias("zone"), "work_start", "work_end")  # who is out already looks up no overlap
     tested = tested.join(minutes, ["role_zone", "day", "zone", "work_start", "work_end"], "left")
     last = F.when(c("role_zone").isNull(), c("min_overlap_hours").isNull()).otherwise(c("minutes") >= 60 * F.coalesce("min_overlap_hours", F.lit(0)))
     return tested.select("role_id", "candidate_id", "full_name", F.when((c("early") == 5) & F.coalesce(last, F.lit(False)), 6).otherwise(c("early")).alias("cleared"))
@@ -126,6 +127,15 @@ def funnel(roles: DataFrame, stages: DataFrame, candidates: DataFrame, profiles:
     return rows.withColumns({"top_filter": F.when(top["n"] > 0, top["filter"]), "top_excluded": F.when(top["n"] > 0, top["n"])})
 
 
+#: What a role asks for.
+ASKS = ("required_certifications", "required_software", "accept_equivalents", "min_years", "starts_on", "hours_per_week", "timezone", "min_overlap_hours", "status")
+
+
+def represented(roles: DataFrame) -> DataFrame:
+    """(role_id, rep): the least role that asks for exactly the same. The filters need be counted for that one only."""
+    return roles.select("role_id", F.min("role_id").over(Window.partitionBy(*ASKS)).alias("rep"))
+
+
 def cleared_counts(counts: DataFrame) -> DataFrame:
     """(role_id, cleared, n): how many candidates of the pool got past exactly so many filters; zeros left out."""
     names = ["pool", *(f"after_{s}" for s in STAGES)]

@@ -20,8 +20,17 @@ def _funnel(spark, d, s):
     return fn.funnel(b.roles(spark, d), s, b.candidates(spark, d), b.profiles(spark, d))
 
 
+def funnel_of(spark, d, roles):
+    """The funnel of roles, counted once for all that ask for the same."""
+    people, held = b.candidates(spark, d), b.profiles(spark, d)
+    same = fn.represented(roles.where("status = 'open'"))
+    reps = roles.join(same.where("role_id = rep").select("role_id"), "role_id", "left_semi")
+    counts = fn.funnel(reps, fn.checked(reps, people, held, b.availability(spark, d), b.terms(spark), zones(spark), b.TODAY), people, held)
+    return same.join(counts.withColumnRenamed("role_id", "rep"), "rep").drop("rep")
+
+
 def role_funnel(spark, d):
-    return _funnel(spark, d, stages(spark, d))
+    return funnel_of(spark, d, b.roles(spark, d))
 
 
 def acceptable(spark, d):
