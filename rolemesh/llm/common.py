@@ -67,6 +67,7 @@ def stage(f: Callable) -> Callable:
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut an Arrow batch so that each part holds about `most` bytes of text (one row at least)."""
+    pa.default_memory_pool().release_unused()  # what the last batch needed goes back to the system: workers share an executor's memory
     if not batch.num_rows:
         return
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)

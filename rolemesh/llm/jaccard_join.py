@@ -50,7 +50,7 @@ from rolemesh.llm.common import hashes, mix, slices, split_words, texts, written
 #: Entries of index lists held by a task before they are handed on; sets, and sketches, in a chunk of comparisons.
 HELD, CHUNK, SKETCHED = 1_500_000, 256, 2048
 #: Documents for each bucket of lists, and sets that a task remembers to list once.
-BUCKET_DOCS, LISTED = 20_000, 1_000_000
+BUCKET_DOCS, LISTED = 20_000, 200_000
 #: Up to so many ids (8 bytes each) are broadcast to pick texts; beyond that the texts are shuffled.
 MOST_IDS = 2_000_000
 NO_ID = -(2**63)
@@ -434,9 +434,10 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, finger
     stars = table.where("leader IS NOT NULL").groupBy("leader", "member").agg(F.sum("k").alias("k"))
     leaders, members = (keyed.select(F.col("key").alias(k), F.col("id").alias(i)) for k, i in (("leader", "l"), ("member", "m")))
     stars = stars.join(leaders, "leader").join(members, "member")
-    # classes whose list keys are equal count as one in the lists, so they are compared anyway
-    same = leaders.join(members, F.col("leader") == F.col("member")).where("l < m").withColumn("k", F.lit(1).cast("long"))
-    stars = stars.where("l <> m").select("l", "m", "k").union(same.select("l", "m", "k")).groupBy("l", "m").agg(F.sum("k").alias("k"))
+    # classes whose list keys are equal count as one in the lists, so these few are compared anyway
+    twins = written(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key", "left_semi"), "equal-keys")
+    same = twins.select("key", F.col("id").alias("l")).join(twins.select("key", F.col("id").alias("m")), "key").where("l < m").select("l", "m", F.lit(1).cast("long").alias("k"))
+    stars = stars.where("l <> m").select("l", "m", "k").union(same)
     stars = written(stars.select(F.col("l").alias("leader"), F.col("m").alias("member"), "k"), "stars")
 
     picked = written(stars.select(F.explode(F.array("leader", "member")).alias("id")).distinct().join(classes, "id").select("id", "fp1", "fp2", "n", "a_row"), "picked")
