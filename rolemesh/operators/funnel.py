@@ -19,6 +19,12 @@ STAGES = ("profile", "certifications", "software", "experience", "availability",
 SALTS = 64
 
 
+def with_each(rows: DataFrame, few: DataFrame) -> DataFrame:
+    """rows with each row of a few distinct ones (shifts of work, which recur however many people have them), as an array that is worked out once."""
+    packed = few.agg(F.collect_set(F.struct(*few.columns)).alias("few")).scalar()
+    return rows.select("*", F.explode(packed).alias("_few")).select(*rows.columns, "_few.*")
+
+
 def acceptable_ids(terms: DataFrame) -> DataFrame:
     """(required, accept_equivalents, id): an id is acceptable for itself and its variants, and with equivalents for the unambiguous members of its group."""
     ambiguous = terms.where("variant_of IS NOT NULL").select(F.col("variant_of").alias("id")).distinct()
@@ -92,7 +98,7 @@ def checked(roles: DataFrame, candidates: DataFrame, profiles: DataFrame, availa
     asked, pool = asked_of(roles, terms, today), pool_of(candidates, profiles, availability)
     shifts = pool.where("answered").select("zone", "work_start", "work_end").distinct()
     days = asked.where("role_zone IS NOT NULL").select("role_zone", "day").distinct()
-    minutes = overlap_minutes(days.join(shifts, how="cross"), known_zones)  # distinct days of roles against distinct shifts: few, however many people
+    minutes = overlap_minutes(with_each(days, shifts), known_zones)
     c = F.col
     # one row a pair: of the keys that a pair shares, the first counts
     pairs = pool.select("*", F.explode("held").alias("key")).join(asked.select("*", F.explode("keys").alias("key")), "key")
@@ -117,9 +123,9 @@ def funnel(roles: DataFrame, stages: DataFrame, candidates: DataFrame, profiles:
     The pool, and who has a profile, are counted once for all roles; a role that asks for no certification loses nobody to that filter.
     """
     active = candidates.where("status = 'active'").select("candidate_id")
-    whole = active.join(profiles.select("candidate_id", F.lit(1).alias("p")), "candidate_id", "left").agg(F.count("*").alias("pool"), F.count("p").alias("after_profile"))
+    pool, held = active.agg(F.count("*")).scalar(), active.join(profiles.select("candidate_id"), "candidate_id").agg(F.count("*")).scalar()
     paired = stages.groupBy("role_id").agg(*[F.count_if(F.col("cleared") > k).alias(f"n_{s}") for k, s in enumerate(STAGES) if k])
-    rows = roles.where("status = 'open'").select("role_id", (F.size(F.coalesce("required_certifications", _none())) > 0).alias("certs")).join(paired, "role_id", "left").na.fill(0).join(whole, how="cross")  # whole is one row
+    rows = roles.where("status = 'open'").select("role_id", (F.size(F.coalesce("required_certifications", _none())) > 0).alias("certs")).join(paired, "role_id", "left").na.fill(0).withColumns({"pool": pool, "after_profile": held})
     rows = rows.select("role_id", "pool", "after_profile", F.when(F.col("certs"), F.col("n_certifications")).otherwise(F.col("after_profile")).alias("after_certifications"), *[F.col(f"n_{s}").alias(f"after_{s}") for s in STAGES[2:]])
     names = ["pool", *(f"after_{s}" for s in STAGES)]
     gone = [F.struct((F.col(names[k]) - F.col(names[k + 1])).alias("n"), F.lit(-k).alias("k"), F.lit(s).alias("filter")) for k, s in enumerate(STAGES) if k]

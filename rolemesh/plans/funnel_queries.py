@@ -40,7 +40,7 @@ def acceptable(spark, d):
 def overlaps(spark, d):
     days = b.roles(spark, d).where("timezone IS NOT NULL").select(F.col("timezone").alias("role_zone"), F.coalesce("starts_on", F.lit(b.TODAY).cast("date")).alias("day")).distinct()
     shifts = b.availability(spark, d).select(F.col("timezone").alias("zone"), "work_start", "work_end").distinct()
-    return fn.overlap_minutes(days.join(shifts, how="cross"), zones(spark))  # distinct days and shifts: few
+    return fn.overlap_minutes(fn.with_each(days, shifts), zones(spark))
 
 
 def shortlists(spark, d):
