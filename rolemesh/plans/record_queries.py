@@ -298,7 +298,7 @@ UNION ALL SELECT 'distinct certifications', dc::DOUBLE, dc >= 5 FROM x UNION ALL
 SELECT role_id, candidate_id, m0 IS NULL AND m1 IS NULL AS levels_unchanged, candidate_id % 7 <> 0 AS score_not_raised, concat_ws('; ', m0, m1) AS moved FROM y""",
     "profile_upserts": f"""WITH {b.SQL}, o AS (SELECT candidate_id, software, years_experience, CASE WHEN candidate_id % 3 = 0 THEN 'v' END AS embedding, true AS there FROM prof), n AS (SELECT candidate_id FROM cand WHERE candidate_id % 2 = 0),
 j AS (SELECT coalesce(n.candidate_id, o.candidate_id) AS id, o.*, n.candidate_id IS NOT NULL AS new FROM o FULL JOIN n ON n.candidate_id = o.candidate_id)
-SELECT id AS candidate_id, 'Analyst ' || id AS headline, CASE WHEN new AND id % 4 = 0 THEN 'new' ELSE array_to_string(coalesce(software, []), ',') END AS software, CASE WHEN new THEN 9 ELSE years_experience END AS years_experience, CASE WHEN NOT new OR id % 4 <> 0 OR software = ['new'] THEN embedding END AS embedding, CASE WHEN new AND there THEN 'replaced' WHEN new THEN 'inserted' ELSE 'kept' END AS change FROM j""",
+SELECT id AS candidate_id, 'Analyst ' || id AS headline, CASE WHEN new AND id % 4 = 0 THEN 'new' ELSE array_to_string(coalesce(software, []), ',') END AS software, (CASE WHEN new THEN 9 ELSE years_experience END)::INTEGER AS years_experience, CASE WHEN NOT new OR id % 4 <> 0 OR software = ['new'] THEN embedding END AS embedding, CASE WHEN new AND there THEN 'replaced' WHEN new THEN 'inserted' ELSE 'kept' END AS change FROM j""",
     "role_updates": f"WITH {b.SQL} SELECT role_id, CASE WHEN role_id % 6 = 0 THEN upper(title) ELSE title END AS title, CASE WHEN role_id % 3 = 0 THEN 30 ELSE hours_per_week END AS hours_per_week, CASE WHEN role_id % 6 <> 0 OR upper(title) = title THEN 'v' END AS embedding, CASE WHEN role_id % 3 = 0 THEN 'replaced' ELSE 'kept' END AS change FROM role",
     "guarded_upserts": "SELECT doc_id, 'parsed' AS profile FROM documents WHERE doc_id % 5 <> 0 OR text IS NULL",
     "appended_rows": f"WITH {b.SQL} SELECT candidate_id, CASE WHEN candidate_id % 3 = 0 THEN lower(full_name) ELSE full_name END AS full_name FROM cand",
