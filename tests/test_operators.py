@@ -4,7 +4,7 @@ import datetime
 
 import pytest
 from pyspark.sql import functions as F
-from rolemesh.operators import funnel, jobs, matches, text
+from rolemesh.operators import funnel, jobs, matches
 
 #: role zone, candidate zone, start, end, day, minutes of the role's day 09:00-17:00 in the candidate's hours.
 OVERLAPS = [
