@@ -11,7 +11,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Text bytes that a Python task works on at a time.
 SLICE_BYTES = 4 << 20
@@ -29,16 +30,29 @@ def scratch_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Cut the lineage of df with a Parquet table in the shared folder: a lost executor costs no recomputation of what is above."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/rolemesh/{label}-{uuid.uuid4().hex}"
     if _RECORDING is not None:
         _RECORDING.append(path)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ranked(df: DataFrame, label: str, *order, most: int = 1 << 63) -> DataFrame:
+    """df, written, with `id`: its place from 0 in the given order, which must tell all rows apart. Rows are sorted by ranges; only a count for each partition meets in one task."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = written(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), label)
+    if placed.count() > most:
+        raise ValueError(f"more than {most} rows to rank")
+    part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    bases = parts.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))  # a row for each partition
+    return placed.join(F.broadcast(bases), part == F.col("_part")).withColumn("id", F.col("_base") + within).drop("_at", "_part", "_base")
+
+
 #: Tables written while a stage runs, and those of the stage before it.
 _RECORDING: list[str] | None = None
 _OF_LAST_STAGE: list[str] = []
