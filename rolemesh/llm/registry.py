@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rolemesh.llm import collocations, exact_topk, jaccard_join, lm_scoring, mixing, quality_classifier, quality_rules, secret_scans, warc
+from rolemesh.llm import collocations, exact_topk, jaccard_join, lm_scoring, mixing, prefix_trie, quality_classifier, quality_rules, secret_scans, warc
 from rolemesh.llm.packing import op4_packing
 from rolemesh.llm.token_counts import op7_token_counts
 from rolemesh.llm.token_files import op10_token_files
@@ -18,6 +18,7 @@ QUERIES = {
     "op8_quality_classifier": quality_classifier.op8_quality_classifier,
     "op9_exact_topk": exact_topk.op9_exact_topk,
     "op10_token_files": op10_token_files,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op12_warc": warc.op12_warc,
     "op13_collocations": collocations.op13_collocations,
     "rule_ablation": quality_rules.rule_ablation,
