@@ -208,12 +208,14 @@ def rebuilt(conversations: DataFrame, borrowed: int = 6, family: int = 100) -> D
     return paths.select("conv_id", F.unhex(F.array_join(F.transform("s", lambda x: F.hex(x["key"])), "")).alias("path"), F.transform("s", lambda x: x["chars"]).alias("chars"))
 
 
-def trie(paths: DataFrame) -> DataFrame:
+def trie(paths: DataFrame, shard_turns: int = SHARD_TURNS) -> DataFrame:
     """(conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256) of every node of the trie of (conv_id, path, chars)."""
     spark = paths.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     paths = written(paths, "paths")  # ranges are found by a look at all of it
 
+    step = min(10_000, shard_turns)  # paths looked at together
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held, turns = TaskContext.get().partitionId() << 20, [], 0
 
@@ -225,10 +227,10 @@ def trie(paths: DataFrame) -> DataFrame:
             return shard_nodes(shard, convs, keys, lengths, chars)
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 10_000):
-                held.append(batch.slice(k, 10_000))
+            for k in range(0, batch.num_rows, step):
+                held.append(batch.slice(k, step))
                 turns += len(held[-1].column("chars").flatten())
-                if turns >= SHARD_TURNS:
+                if turns >= shard_turns:
                     yield nodes()
                     shard, held, turns = shard + 1, [], 0
         if held:
@@ -286,3 +288,19 @@ def ends_digests(spines: DataFrame) -> DataFrame:
 
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie(rebuilt(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+ORACLE = """
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+c AS MATERIALIZED (SELECT conv_id, xor(list_reduce([4294967295::BIGINT] || [ascii(x)::BIGINT FOR x IN string_split(conv_id::VARCHAR, '')], lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda s, z: CASE WHEN s & 1 = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END)), 4294967295) % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, pos, role, text FROM c JOIN t b ON b.conv_id = c.conv_id - c.conv_id % 100 AND pos <= h UNION ALL SELECT conv_id, pos, role, text FROM c JOIN t USING (conv_id) WHERE pos > h),
+k AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS depth, text, md5(length(role) || ':' || role || text) AS key FROM r),
+p AS MATERIALIZED (SELECT conv_id, depth, length(text) AS tokens, string_agg(key, '') OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM k UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+ends AS (SELECT path, sha256(string_agg(conv_id, ',' ORDER BY conv_id)) AS ends_sha256 FROM (SELECT conv_id, arg_max(path, depth) AS path FROM p GROUP BY 1) GROUP BY 1),
+n AS MATERIALIZED (SELECT path, depth, any_value(tokens) AS tokens, min(conv_id) AS conv_id, count(*) AS n_convs FROM p GROUP BY ALL),
+kids AS (SELECT path[:-33] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+f AS MATERIALIZED (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (path)),
+under AS (SELECT p.path, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * f.tokens)::BIGINT AS saved_tokens FROM f JOIN p ON p.conv_id = f.conv_id AND p.depth <= f.depth GROUP BY 1)
+SELECT f.conv_id, f.depth, up.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM f JOIN under USING (path) LEFT JOIN ends USING (path) LEFT JOIN n up ON f.depth > 0 AND up.path = f.path[:-33]
+"""

@@ -24,4 +24,4 @@ QUERIES = {
     "rule_ablation": quality_rules.rule_ablation,
     "secret_versions": secret_scans.secret_versions,
 }
-ORACLES = {"op12_warc": warc.ORACLE, "op13_collocations": collocations.ORACLE, "op2_quality_rules": quality_rules.ORACLE, "op9_exact_topk": exact_topk.ORACLE, "op6_secret_scans": secret_scans.ORACLE, "rule_ablation": quality_rules.ABLATION_ORACLE, "secret_versions": secret_scans.VERSIONS_ORACLE}
+ORACLES = {"op11_prefix_trie": prefix_trie.ORACLE, "op12_warc": warc.ORACLE, "op13_collocations": collocations.ORACLE, "op2_quality_rules": quality_rules.ORACLE, "op9_exact_topk": exact_topk.ORACLE, "op6_secret_scans": secret_scans.ORACLE, "rule_ablation": quality_rules.ABLATION_ORACLE, "secret_versions": secret_scans.VERSIONS_ORACLE}
