@@ -1,28 +1,27 @@
 """Six ordered hard filters over all roles and candidates, their funnel, and exact retrieval of the nearest survivors.
 
-Roles and candidates are never paired all with all. A role's *lead* requirement (its first required
-certification, else its first required software) is met by an equi-join on exploded ids, so that only pairs which
-agree in it are tested further; a role that asks for neither is joined to the candidates under SALTS salted keys.
-What the pairs leave out is counted by subtraction: nobody who lacks the lead gets past its stage.
-Joins are left to Spark, which broadcasts by measured size. What is not known is false: every test is coalesced.
+Roles are never paired with all candidates to be counted. What roles require of skills (sets of certifications, software) is taken once
+for each distinct *skill*; candidates meet skills by an equi-join on the skill's rarest requirement, chosen by counts of who holds what, and
+holders are then counted by *signature* (years, answers, shift). Who is in time for an ask is a running sum over the start dates of
+signatures, so that a funnel makes rows in proportion to distinct asks and shifts, however many people there are.
+Shortlists multiply blocks of role vectors with blocks of vectors of their skill's holders under a mask of who passes.
+Joins are left to Spark, which broadcasts by measured size. What is not known is false.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STAGES = ("profile", "certifications", "software", "experience", "availability", "overlap")
-#: Parts into which the candidates are dealt for roles that ask for no certification and no software.
-SALTS = 64
-
-
-def with_each(rows: DataFrame, few: DataFrame) -> DataFrame:
-    """rows with each row of a few distinct ones (shifts of work, which recur however many people have them), as an array that is worked out once."""
-    packed = few.agg(F.collect_set(F.struct(*few.columns)).alias("few")).scalar()
-    return rows.select("*", F.explode(packed).alias("_few")).select(*rows.columns, "_few.*")
+#: Rows of a block of roles and of candidates in retrieval, about.
+BLOCK = 1024
+#: What stands for an ask without a start date, and for one without hours.
+LATEST, NO_HOURS = "9999-12-31", -(1 << 31)
+#: Minutes of a role's day, from 09:00 to 17:00.
+BEGIN, LENGTH = 540, 480
 
 
 def acceptable_ids(terms: DataFrame) -> DataFrame:
@@ -44,102 +43,178 @@ def acceptable_sets(roles: DataFrame, terms: DataFrame) -> DataFrame:
     return per.groupBy("role_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"]).alias("sets"))
 
 
-def overlap_minutes(tuples: DataFrame, known_zones: DataFrame) -> DataFrame:
-    """tuples (role_zone, day, zone, work_start, work_end) with minutes: how much of the role's day 09:00-17:00 lies in the candidate's hours, exact over daylight saving; null for a zone that isn't known by exactly that name.
+def clocks(days: DataFrame, known_zones: DataFrame) -> DataFrame:
+    """(role_zone, day, zone, pieces) of distinct days (role_zone, day) with every known zone: what the clock of the zone shows over the role's day, as two pieces (start and next in minutes after midnight, length and rest).
 
-    An unknown zone is replaced before it is used and its result dropped after: guarding with a condition alone isn't enough, as expressions may be hoisted out of it.
+    Two clocks run alike but where one is changed; such a minute is found by halving. Both zones must be known by exactly that name.
     """
     known = known_zones.select("zone").distinct()
-    # the clock of a zone is converted once for a role's day, not once for each shift
-    days = tuples.select("role_zone", "day", "zone").distinct().join(known.select(F.col("zone").alias("role_zone"), F.lit(True).alias("k1")), "role_zone", "left").join(known.withColumn("k2", F.lit(True)), "zone", "left")
-    safe = days.withColumns({"_r": F.when(F.col("k1"), F.col("role_zone")).otherwise("UTC"), "_c": F.when(F.col("k2"), F.col("zone")).otherwise("UTC")})
-    start = F.col("day").cast("timestamp")
+    every = known.agg(F.collect_set("zone")).scalar()  # the zones of the world, some 600
+    rows = days.distinct().join(known.select(F.col("zone").alias("role_zone")), "role_zone", "left_semi").select("role_zone", "day", F.explode(every).alias("zone"))
+    begin = F.col("day").cast("timestamp")
 
-    def local(i: Column) -> Column:
-        there = F.from_utc_timestamp(F.to_utc_timestamp(F.timestamp_add("MINUTE", (i + 540).cast("int"), start), F.col("_r")), F.col("_c"))
+    def shows(i: Column) -> Column:
+        there = F.from_utc_timestamp(F.to_utc_timestamp(F.timestamp_add("MINUTE", (i + BEGIN).cast("int"), begin), F.col("role_zone")), F.col("zone"))
         return F.hour(there) * 60 + F.minute(there)
 
-    clocks = safe.select("role_zone", "day", "zone", (F.col("k1") & F.col("k2")).alias("known"), F.transform(F.sequence(F.lit(0), F.lit(479)), local).alias("at"))
-    works = F.filter("at", lambda m: F.when(F.col("work_end") > F.col("work_start"), (m >= F.col("work_start")) & (m < F.col("work_end"))).otherwise((m >= F.col("work_start")) | (m < F.col("work_end"))))
-    joined = tuples.distinct().join(clocks, ["role_zone", "day", "zone"], "left")
-    return joined.select("role_zone", "day", "zone", "work_start", "work_end", F.when(F.col("known"), F.size(works)).alias("minutes"))
+    def ahead(i: Column) -> Column:
+        return F.pmod(shows(i) - i, F.lit(1440))
+
+    rows = rows.withColumn("first", ahead(F.lit(0))).withColumn("last", ahead(F.lit(LENGTH - 1)))
+    halved = F.aggregate(  # low shows the first clock, high the last
+        F.sequence(F.lit(1), F.lit(9)),
+        F.struct(F.lit(0).alias("low"), F.lit(LENGTH - 1).alias("high")),
+        lambda s, _: F.when(s["high"] - s["low"] <= 1, s).when(ahead(((s["low"] + s["high"]) / 2).cast("int")) == F.col("first"), F.struct(((s["low"] + s["high"]) / 2).cast("int").alias("low"), s["high"].alias("high"))).otherwise(F.struct(s["low"].alias("low"), ((s["low"] + s["high"]) / 2).cast("int").alias("high"))),
+    )
+    cut = F.when(F.col("first") == F.col("last"), F.lit(LENGTH)).otherwise(halved["high"])
+    rows = rows.withColumn("cut", cut)
+    pieces = F.struct(F.col("first").alias("start"), F.col("cut").alias("length"), F.pmod(F.col("last") + F.col("cut"), F.lit(1440)).alias("next"), (LENGTH - F.col("cut")).alias("rest"))
+    return rows.select("role_zone", "day", "zone", pieces.alias("pieces"))
+
+
+def worked(pieces: Column, start: Column, end: Column) -> Column:
+    """Minutes of the pieces that lie in the hours from start to end, which may go over midnight; null without hours."""
+
+    def inside(a: Column, length: Column) -> Column:
+        b = a + length
+        part = lambda x, y: F.greatest(F.lit(0), F.least(b, y) - F.greatest(a, x))
+        day = part(start, end) + part(start + 1440, end + 1440)
+        night = part(F.lit(0), end) + part(start, end + 1440) + part(start + 1440, F.lit(2880))
+        return F.when(end > start, day).otherwise(night)
+
+    return F.when(pieces.isNotNull() & start.isNotNull() & end.isNotNull(), inside(pieces["start"], pieces["length"]) + inside(pieces["next"], pieces["rest"]))
+
+
+def overlap_minutes(tuples: DataFrame, known_zones: DataFrame) -> DataFrame:
+    """Distinct tuples (role_zone, day, zone, work_start, work_end) with minutes: how much of the role's day 09:00-17:00 lies in the candidate's hours, exact over daylight saving; null for a zone that isn't known by exactly that name."""
+    met = tuples.distinct().join(clocks(tuples.select("role_zone", "day"), known_zones), ["role_zone", "day", "zone"], "left")
+    return met.select("role_zone", "day", "zone", "work_start", "work_end", worked(F.col("pieces"), F.col("work_start"), F.col("work_end")).alias("minutes"))
 
 
 def _none() -> Column:
     return F.array().cast("array<string>")
 
 
+def skill(sets: Column, software: Column) -> Column:
+    """A name for what is required: equal for equal requirements."""
+    return F.md5(F.to_json(F.struct(sets.alias("sets"), software.alias("software"))))
+
+
+#: What tells asks apart besides the role.
+ASK = ("skill", "years", "hours", "start", "anywhere", "role_zone", "day", "overlap")
+
+
 def asked_of(roles: DataFrame, terms: DataFrame, today: str) -> DataFrame:
-    """Open roles with their acceptable sets, the day their overlap is worked out for, and `keys`: what a candidate must hold one of to be looked at."""
+    """Open roles with what they ask for: (role_id, sets, software, skill, certs, and the other columns of ASK without nulls); certs is the skill without software, day the one that overlap is worked out for."""
     asked = roles.where("status = 'open'").join(acceptable_sets(roles, terms), "role_id", "left")
-    sets = F.coalesce("sets", F.array().cast("array<array<string>>"))
-    asked = asked.select("role_id", sets.alias("sets"), F.coalesce("required_software", _none()).alias("required_software"), "min_years", "starts_on", F.coalesce("starts_on", F.lit(today).cast("date")).alias("day"), F.col("hours_per_week").alias("asked_hours"), F.col("timezone").alias("role_zone"), "min_overlap_hours")
-    certs = F.transform(F.get("sets", F.lit(0)), lambda x: F.concat(F.lit("c:"), x))
-    soft = F.array(F.concat(F.lit("s:"), F.get("required_software", F.lit(0))))
-    anyone = F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.concat(F.lit("any:"), k.cast("string")))
-    return asked.withColumn("keys", F.when(F.size("sets") > 0, certs).when(F.size("required_software") > 0, soft).otherwise(anyone))
+    sets = F.array_sort(F.array_distinct(F.coalesce("sets", F.array().cast("array<array<string>>"))))
+    asked = asked.select("*", F.array_sort(F.array_distinct(F.coalesce("required_software", _none()))).alias("software")).withColumn("sets", sets)
+    return asked.select(
+        "role_id", "sets", "software", skill(F.col("sets"), F.col("software")).alias("skill"), skill(F.col("sets"), _none()).alias("certs"),
+        F.coalesce("min_years", F.lit(0)).alias("years"), F.coalesce("hours_per_week", F.lit(NO_HOURS)).alias("hours"), F.coalesce("starts_on", F.lit(LATEST).cast("date")).alias("start"),
+        F.col("timezone").isNull().alias("anywhere"), F.coalesce("timezone", F.lit("")).alias("role_zone"), F.coalesce("starts_on", F.lit(today).cast("date")).alias("day"), F.coalesce("min_overlap_hours", F.lit(-1)).alias("overlap"),
+    )
+
+
+#: What a signature consists of, besides the skill.
+SIGNATURE = ("has_years", "answered", "free_from", "has_hours", "zone", "work_start", "work_end")
 
 
 def pool_of(candidates: DataFrame, profiles: DataFrame, availability: DataFrame) -> DataFrame:
-    """Active candidates that have a profile, with it and their answers, and `keys`: all they hold."""
-    profile = profiles.select("candidate_id", F.coalesce("certifications", _none()).alias("certifications"), F.coalesce("software", _none()).alias("software"), "years_experience")
-    answers = availability.select("candidate_id", F.col("timezone").alias("zone"), "work_start", "work_end", "hours_per_week", "available_from", F.lit(True).alias("answered"))
-    pool = candidates.where("status = 'active'").select("candidate_id", "full_name").join(profile, "candidate_id").join(answers, "candidate_id", "left")
-    salt = F.pmod(F.xxhash64("candidate_id"), F.lit(SALTS)).cast("string")
-    held = F.concat(F.transform("certifications", lambda x: F.concat(F.lit("c:"), x)), F.transform("software", lambda x: F.concat(F.lit("s:"), x)), F.array(F.concat(F.lit("any:"), salt)))
-    return pool.withColumn("held", F.array_distinct(held))
+    """Active candidates that have a profile: (candidate_id, full_name, held, and the columns of SIGNATURE); held: all certifications (c:) and software (s:). Who is free at no stated time is free latest of all."""
+    held = F.array_distinct(F.concat(F.transform(F.coalesce("certifications", _none()), lambda x: F.concat(F.lit("c:"), x)), F.transform(F.coalesce("software", _none()), lambda x: F.concat(F.lit("s:"), x))))
+    profile = profiles.select("candidate_id", held.alias("held"), F.col("years_experience").alias("has_years"))
+    answers = availability.select("candidate_id", F.lit(True).alias("answered"), F.coalesce("available_from", F.lit(LATEST).cast("date")).alias("free_from"), F.coalesce("hours_per_week", F.lit(NO_HOURS)).alias("has_hours"), F.col("timezone").alias("zone"), "work_start", "work_end")
+    return candidates.where("status = 'active'").select("candidate_id", "full_name").join(profile, "candidate_id").join(answers, "candidate_id", "left")
 
 
-def checked(roles: DataFrame, candidates: DataFrame, profiles: DataFrame, availability: DataFrame, terms: DataFrame, known_zones: DataFrame, today: str) -> DataFrame:
-    """(role_id, candidate_id, full_name, cleared): how many filters in order a candidate has cleared, 1 to 6, for every pair that agrees in the role's lead requirement.
+def skills_of(asked: DataFrame) -> DataFrame:
+    """(skill, wants) of every distinct skill, and of each without its software: an array of requirements, each an array of what meets it."""
+    both = asked.select("skill", "sets", "software").union(asked.select("certs", "sets", _none())).distinct()
+    certs = F.transform("sets", lambda x: F.transform(x, lambda y: F.concat(F.lit("c:"), y)))
+    return both.select("skill", F.concat(certs, F.transform("software", lambda x: F.array(F.concat(F.lit("s:"), x)))).alias("wants"))
 
-    All other pairs have cleared less: 0 without a profile, 1 or 2 with one (see `funnel`).
-    """
-    asked, pool = asked_of(roles, terms, today), pool_of(candidates, profiles, availability)
-    shifts = pool.where("answered").select("zone", "work_start", "work_end").distinct()
-    days = asked.where("role_zone IS NOT NULL").select("role_zone", "day").distinct()
-    minutes = overlap_minutes(with_each(days, shifts), known_zones)
-    c = F.col
-    # one row a pair: of the keys that a pair shares, the first counts
-    pairs = pool.select("*", F.explode("held").alias("key")).join(asked.select("*", F.explode("keys").alias("key")), "key")
-    once = c("key").startswith("any:") | (c("key") == F.get(F.array_intersect("keys", "held"), F.lit(0)))  # a salt is shared once anyway
-    pairs = pairs.where(once).drop("key", "keys", "held")
-    first = [
-        F.forall("sets", lambda s: F.coalesce(F.arrays_overlap(s, c("certifications")), F.lit(False))),
-        F.size(F.array_except("required_software", "software")) == 0,
-        (F.coalesce("min_years", F.lit(0)) == 0) | F.coalesce(c("years_experience") >= c("min_years"), F.lit(False)),
-        c("answered") & (c("starts_on").isNull() | (c("available_from") <= c("starts_on"))) & (c("asked_hours").isNull() | (c("hours_per_week") >= c("asked_hours"))),
-    ]
-    early = reduce(lambda rest, k: F.when(~F.coalesce(first[k], F.lit(False)), k + 1).otherwise(rest), range(3, -1, -1), F.lit(5))
-    tested = pairs.select("role_id", "candidate_id", "full_name", early.alias("early"), "role_zone", "day", "min_overlap_hours", F.when(early == 5, c("zone")).alias("zone"), "work_start", "work_end")  # who is out already looks up no overlap
-    tested = tested.join(minutes, ["role_zone", "day", "zone", "work_start", "work_end"], "left")
-    last = F.when(c("role_zone").isNull(), c("min_overlap_hours").isNull()).otherwise(c("minutes") >= 60 * F.coalesce("min_overlap_hours", F.lit(0)))
-    return tested.select("role_id", "candidate_id", "full_name", F.when((c("early") == 5) & F.coalesce(last, F.lit(False)), 6).otherwise(c("early")).alias("cleared"))
-
-
-def funnel(roles: DataFrame, stages: DataFrame, candidates: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Per open role: pool, after_<filter> counts, and the filter after `profile` that excludes most (the earliest of equals, null if none).
-
-    The pool, and who has a profile, are counted once for all roles; a role that asks for no certification loses nobody to that filter.
+
+def leads(skills: DataFrame, pool: DataFrame) -> DataFrame:
+    """(skill, wants, keys): what meets the requirement that the fewest candidates can meet, by counts of who holds what. Skills that require nothing have no row."""
+    support = pool.select(F.explode("held").alias("key")).groupBy("key").count()
+    each = skills.select("skill", F.posexplode("wants").alias("at", "keys")).select("skill", "at", "keys", F.explode_outer("keys").alias("key"))
+    cost = each.join(support, "key", "left").groupBy("skill", "at", "keys").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("cost"))
+    return skills.join(cost.groupBy("skill").agg(F.min(F.struct("cost", "at", "keys"))["keys"].alias("keys")), "skill")
+
+
+def holders(asked: DataFrame, pool: DataFrame) -> DataFrame:
+    """(skill, candidate_id, full_name, SIGNATURE) for every skill that is asked for, with or without its software, and everybody who meets all of it."""
+    skills = skills_of(asked)
+    own = ("candidate_id", "full_name", *SIGNATURE)
+    led = leads(skills, pool).select("skill", "wants", "keys", F.explode("keys").alias("key"))
+    pairs = pool.select(*own, "held", F.explode("held").alias("key")).join(led, "key")
+    once = (F.size("keys") == 1) | (F.col("key") == F.get(F.array_intersect("keys", "held"), F.lit(0)))  # one row a pair
+    pairs = pairs.where(once & ((F.size("wants") == 1) | F.forall("wants", lambda w: F.arrays_overlap(w, F.col("held")))))
+    nothing = skills.where(F.size("wants") == 0).agg(F.max("skill")).scalar()  # one skill, or null
+    return pairs.select("skill", *own).union(pool.withColumn("skill", nothing).where("skill IS NOT NULL").select("skill", *own))
+
+
+def signatures(held: DataFrame) -> DataFrame:
+    """(skill, SIGNATURE, n): how many holders of each skill have each signature."""
+    return held.groupBy("skill", *SIGNATURE).agg(F.count("*").alias("n"))
+
+
+def _experienced() -> Column:
+    return (F.col("years") == 0) | F.coalesce(F.col("has_years") >= F.col("years"), F.lit(False))
+
+
+def _overlapping() -> Column:
+    """Whether the hours of the row overlap the role's day enough (pieces: the zone's clock over that day)."""
+    minutes = worked(F.col("pieces"), F.col("work_start"), F.col("work_end"))
+    return F.when(F.col("anywhere"), F.col("overlap") == -1).otherwise(F.coalesce(minutes >= 60 * F.greatest("overlap", F.lit(0)), F.lit(False)))
+
+
+def funnel(asked: DataFrame, signed: DataFrame, candidates: DataFrame, profiles: DataFrame, known_zones: DataFrame) -> DataFrame:
+    """Per open role: pool, after_<filter> counts, and the filter after `profile` that excludes most (the earliest of equals, null if none). signed: `signatures`, best written before.
+
+    Nobody is paired with a role: signatures that are experienced and free for enough hours are laid beside the distinct start dates
+    asked of their skill and summed in the order of dates; each sum is then tested for overlap by shift.
     """
     active = candidates.where("status = 'active'").select("candidate_id")
     pool, held = active.agg(F.count("*")).scalar(), active.join(profiles.select("candidate_id"), "candidate_id").agg(F.count("*")).scalar()
-    paired = stages.groupBy("role_id").agg(*[F.count_if(F.col("cleared") > k).alias(f"n_{s}") for k, s in enumerate(STAGES) if k])
-    rows = roles.where("status = 'open'").select("role_id", (F.size(F.coalesce("required_certifications", _none())) > 0).alias("certs")).join(paired, "role_id", "left").na.fill(0).withColumns({"pool": pool, "after_profile": held})
-    rows = rows.select("role_id", "pool", "after_profile", F.when(F.col("certs"), F.col("n_certifications")).otherwise(F.col("after_profile")).alias("after_certifications"), *[F.col(f"n_{s}").alias(f"after_{s}") for s in STAGES[2:]])
+    skilled = signed.groupBy("skill").agg(F.sum("n").alias("n"))
+    level, shift = ["skill", "years", "hours"], ["zone", "work_start", "work_end"]
+    of_years = signed.groupBy("skill", "has_years").agg(F.sum("n").alias("n"))
+    experienced = asked.select("skill", "years").distinct().join(of_years, "skill").where(_experienced()).groupBy("skill", "years").agg(F.sum("n").alias("after_experience"))
+    answered = signed.where("answered").groupBy("skill", "has_years", "has_hours", "free_from", *shift).agg(F.sum("n").alias("n"))
+    able = asked.select(*level).distinct().join(answered, "skill").where(_experienced() & (F.col("has_hours") >= F.col("hours")))
+    able = able.groupBy(*level, *shift, F.col("free_from").alias("start")).agg(F.sum("n").alias("n"))
+    dates = asked.select(*level, "start").distinct().join(signed.where("answered").select("skill", *shift).distinct(), "skill")
+    by_date = able.select(*level, *shift, "start", "n", F.lit(False).alias("asks")).union(dates.select(*level, *shift, "start", F.lit(0), F.lit(True)))
+    so_far = Window.partitionBy(*level, *shift).orderBy("start", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    in_time = by_date.withColumn("n", F.sum("n").over(so_far)).where("asks AND n > 0").drop("asks")
+    asks = asked.select(*ASK).distinct()
+    zoned = asks.join(in_time, [*level, "start"]).join(clocks(asks.where("NOT anywhere").select("role_zone", "day"), known_zones), ["role_zone", "day", "zone"], "left")
+    answering = zoned.groupBy(*ASK).agg(F.sum("n").alias("after_availability"), F.sum(F.when(_overlapping(), F.col("n")).otherwise(0)).alias("after_overlap"))
+    rows = asked.select("role_id", "certs", *ASK, (F.size("sets") > 0).alias("certified"))
+    rows = rows.join(skilled.withColumnRenamed("n", "after_software"), "skill", "left").join(skilled.select(F.col("skill").alias("certs"), F.col("n").alias("held_certs")), "certs", "left")
+    rows = rows.join(experienced, ["skill", "years"], "left").join(answering, list(ASK), "left")
+    rows = rows.na.fill(0, [f"after_{s}" for s in STAGES[2:]] + ["held_certs"]).withColumns({"pool": pool, "after_profile": held})
+    rows = rows.withColumn("after_certifications", F.when(F.col("certified"), F.col("held_certs")).otherwise(F.col("after_profile"))).select("role_id", "pool", *[f"after_{s}" for s in STAGES])
     names = ["pool", *(f"after_{s}" for s in STAGES)]
     gone = [F.struct((F.col(names[k]) - F.col(names[k + 1])).alias("n"), F.lit(-k).alias("k"), F.lit(s).alias("filter")) for k, s in enumerate(STAGES) if k]
     top = F.array_max(F.array(*gone))
     return rows.withColumns({"top_filter": F.when(top["n"] > 0, top["filter"]), "top_excluded": F.when(top["n"] > 0, top["n"])})
 
 
-#: What a role asks for.
-ASKS = ("required_certifications", "required_software", "accept_equivalents", "min_years", "starts_on", "hours_per_week", "timezone", "min_overlap_hours", "status")
-
+def checked(asked: DataFrame, held: DataFrame, known_zones: DataFrame, where: Column | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    """(role_id, candidate_id, full_name, cleared): how many filters in order a candidate has cleared, 3 to 6, for every pair of a role and a holder of all its skills (held: `holders`). All other pairs have cleared less.
 
-def represented(roles: DataFrame) -> DataFrame:
-    """(role_id, rep): the least role that asks for exactly the same. The filters need be counted for that one only."""
-    return roles.select("role_id", F.min("role_id").over(Window.partitionBy(*ASKS)).alias("rep"))
+    where: which pairs to look at, by columns of asked and held; also: columns of these to keep.
+    """
+    pairs = asked.join(held, "skill")
+    pairs = pairs if where is None else pairs.where(where)
+    free = F.col("answered") & (F.col("free_from") <= F.col("start")) & (F.col("has_hours") >= F.col("hours"))
+    early = F.when(~_experienced(), 3).when(~F.coalesce(free, F.lit(False)), 4).otherwise(5)
+    tested = pairs.withColumn("early", early).withColumn("zone", F.when(F.col("early") == 5, F.col("zone")))  # who is out already looks up no clock
+    tested = tested.join(clocks(asked.where("NOT anywhere").select("role_zone", "day"), known_zones), ["role_zone", "day", "zone"], "left")
+    return tested.select("role_id", "candidate_id", "full_name", F.when((F.col("early") == 5) & _overlapping(), 6).otherwise(F.col("early")).alias("cleared"), *also)
 
 
 def cleared_counts(counts: DataFrame) -> DataFrame:
@@ -161,36 +236,110 @@ def rendered(counts: DataFrame) -> DataFrame:
     return counts.select("role_id", F.concat_ws(" -> ", F.concat(F.col("pool"), F.lit(" active")), *[F.concat(F.col(f"after_{s}"), F.lit(f" {s}")) for s in STAGES]).alias("line"))
 
 
-def cosine_distance(a: Column, b: Column) -> Column:
-    """1 - cosine in doubles; null for a missing or zero vector."""
-    def total(x: Column) -> Column:
-        return F.aggregate(x, F.lit(0.0), lambda s, y: s + y)
-
-    norm = F.sqrt(total(F.transform(a, lambda x: x * x))) * F.sqrt(total(F.transform(b, lambda x: x * x)))
-    return 1 - F.try_divide(total(F.zip_with(a, b, lambda x, y: x * y)), F.nullif(norm, F.lit(0.0)))
-
-
-def shortlist(stages: DataFrame, role_vectors: DataFrame, candidate_vectors: DataFrame, limit: int = 20) -> DataFrame:
-    """(role_id, rank, candidate_id, similarity) of the nearest candidates that passed all filters, vectors of one model only (or both of none); limit is held to 1..50."""
+def _total(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda s, y: s + y)
+
+
+def comparable(vectors: DataFrame, key: str) -> DataFrame:
+    """(key, space, v, norm) of vectors that can be compared: neither missing nor zero. Those of one space (model, or none, and length) can be compared with each other."""
+    norm = F.sqrt(_total(F.transform("v", lambda x: x * x)))
+    space = F.concat_ws("|", F.size("v"), "model")
+    return vectors.where("v IS NOT NULL").select(key, space.alias("space"), "v", norm.alias("norm")).where("norm > 0 AND norm < double('infinity')")
+
+
+def _dealt(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """rows with `block` (their part of a group of equal skill and space, by a hash of the key) and `blocks` (how many parts the group has)."""
+    group = ["skill", "space"]
+    sizes = rows.groupBy(*group).agg(F.ceil(F.count("*") / size).alias("blocks"))
+    return rows.join(sizes, group).withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks")))
+
+
+def _mask(roles: pa.Table, people: pa.Table) -> np.ndarray:
+    """Which people (columns) clear the last three filters of which roles (rows)."""
+    column = lambda t, name, kind=np.float64: np.array(t.column(name).to_pylist(), dtype=kind)  # noqa: E731 - null is nan
+    days = lambda t, name: t.column(name).cast(pa.date32()).cast(pa.int32()).to_numpy(zero_copy_only=False)[:, None]
+    years = column(roles, "years")[:, None]
+    passed = (years == 0) | (column(people, "has_years")[None, :] >= years)
+    answered = np.array([bool(x) for x in people.column("answered").to_pylist()])
+    passed &= answered & (np.nan_to_num(days(people, "free_from").T.astype(np.float64), nan=np.inf) <= days(roles, "start")) & (column(people, "has_hours")[None, :] >= column(roles, "hours")[:, None])
+    # the clock of each zone over each distinct day, laid on everybody's hours
+    zones = {z: k for k, z in enumerate(dict.fromkeys(people.column("zone").to_pylist()))}
+    names, plans = list(zip(roles.column("role_zone").to_pylist(), roles.column("day").to_pylist(), strict=True)), roles.column("clocks").to_pylist()
+    distinct = {name: k for k, name in enumerate(dict.fromkeys(names))}
+    pieces = np.full((len(distinct), len(zones), 2, 2), np.nan)
+    for name, plan in dict(zip(names, plans, strict=True)).items():
+        for clock in plan or []:
+            if clock["zone"] in zones:
+                p = clock["pieces"]
+                pieces[distinct[name], zones[clock["zone"]]] = [(p["start"], p["length"]), (p["next"], p["rest"])]
+    own = pieces[:, [zones[z] for z in people.column("zone").to_pylist()]]
+    a, b = own[..., 0], own[..., 0] + own[..., 1]
+    start, end = (column(people, c)[None, :, None] for c in ("work_start", "work_end"))
+    part = lambda x, y: np.maximum(0, np.minimum(b, y) - np.maximum(a, x))
+    minutes = np.where(end > start, part(start, end) + part(start + 1440, end + 1440), part(0, end) + part(start, end + 1440) + part(start + 1440, 2880)).sum(axis=2)
+    anywhere, overlap = column(roles, "anywhere", bool)[:, None], column(roles, "overlap")[:, None]
+    enough = minutes[[distinct[n] for n in names]] >= 60 * np.maximum(overlap, 0)  # nan is not enough
+    return passed & np.where(anywhere, overlap == -1, enough)
+
+
+def _nearest(k: int):
+    def nearest(roles: pa.Table, people: pa.Table) -> pa.Table:
+        kinds = [("role_id", roles.schema.field("role_id").type), ("candidate_id", people.schema.field("candidate_id").type), ("full_name", pa.string()), ("distance", pa.float64())]
+        if not roles.num_rows or not people.num_rows:
+            return pa.table([pa.array([], t) for _, t in kinds], names=[n for n, _ in kinds])
+        matrix = lambda t: np.stack([np.asarray(x, dtype=np.float64) for x in t.column("v").to_pylist()])
+        a, b = matrix(roles), matrix(people)
+        norms = [t.column("norm").to_numpy() for t in (roles, people)]
+        about = 1 - (a @ b.T) / np.outer(*norms)
+        about[~_mask(roles, people)] = np.inf
+        most = np.partition(about, k - 1, axis=1)[:, k - 1] if about.shape[1] > k else np.full(len(about), np.inf)
+        i, j = np.nonzero((about <= most[:, None] + 1e-9) & np.isfinite(about))
+        exact = np.zeros(len(i))
+        for d in range(a.shape[1]):  # term after term, as columns are summed
+            exact += b[j, d] * a[i, d]
+        exact = 1 - exact / (norms[1][j] * norms[0][i])
+        names, ids = people.column("full_name").to_pylist(), people.column("candidate_id").to_pylist()
+        place = np.empty(len(ids), dtype=np.int64)
+        place[sorted(range(len(ids)), key=lambda x: (names[x] is not None, (names[x] or "").encode(), ids[x]))] = np.arange(len(ids))
+        order = np.lexsort((place[j], exact, i))
+        i, j, exact = i[order], j[order], exact[order]
+        first = np.searchsorted(i, i)
+        kept = np.arange(len(i)) - first < k
+        return pa.table([roles.column("role_id").combine_chunks().take(pa.array(i[kept])), people.column("candidate_id").combine_chunks().take(pa.array(j[kept])), people.column("full_name").combine_chunks().cast(pa.string()).take(pa.array(j[kept])), pa.array(exact[kept])], names=[n for n, _ in kinds])
+
+    return nearest
+
+
+def shortlist(asked: DataFrame, held: DataFrame, role_vectors: DataFrame, candidate_vectors: DataFrame, known_zones: DataFrame, limit: int = 20, block: int = BLOCK) -> DataFrame:
+    """(role_id, rank, candidate_id, similarity) of the nearest candidates that passed all filters, by their exact distance, then name and id; vectors of one model only (or both of none); limit is held to 1..50.
+
+    Roles and holders of one skill and space meet in blocks of about `block` rows each, so that a vector is copied for a block, not for a pair. In a
+    block, products find who may be among the nearest, and their distances are then summed term by term.
+    """
     k = max(1, min(50, limit))
-    passed = stages.where("cleared = 6").select("role_id", "candidate_id", "full_name")
-    near = passed.join(candidate_vectors.where("v IS NOT NULL").select("candidate_id", "model", "v"), "candidate_id").join(role_vectors.select("role_id", F.col("model").alias("role_model"), F.col("v").alias("rv")), "role_id")
-    near = near.where(F.col("model").eqNullSafe(F.col("role_model")))
-    scored = near.select("role_id", "candidate_id", "full_name", F.round(cosine_distance(F.col("v"), F.col("rv")), 6).alias("distance")).where("distance IS NOT NULL")
+    per_day = clocks(asked.where("NOT anywhere").select("role_zone", "day"), known_zones).groupBy("role_zone", "day").agg(F.collect_list(F.struct("zone", "pieces")).alias("clocks"))  # a row for each zone
+    r = asked.select("role_id", *ASK).join(comparable(role_vectors, "role_id"), "role_id").join(per_day, ["role_zone", "day"], "left")
+    c = held.join(asked.select("skill").distinct(), "skill", "left_semi").join(comparable(candidate_vectors, "candidate_id"), "candidate_id")
+    r, c = _dealt(r, "role_id", block), _dealt(c, "candidate_id", block)
+    group = ["skill", "space"]
+    sizes = [x.groupBy(*group).agg(F.max("blocks").alias("others")) for x in (r, c)]
+    spread = lambda rows, others: rows.join(others, group).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)))
+    r = spread(r, sizes[1]).withColumnsRenamed({"block": "rows", "other": "columns"}).drop("blocks", "others")
+    c = spread(c, sizes[0]).withColumnsRenamed({"block": "columns", "other": "rows"}).drop("blocks", "others")
+    meet = [*group, "rows", "columns"]
+    kinds = dict(asked.dtypes) | dict(held.dtypes)
+    r, c = r.toDF(*r.columns), c.toDF(*c.columns)  # columns of their own, also where both come of one table
+    near = r.groupBy(*meet).cogroup(c.groupBy(*meet)).applyInArrow(_nearest(k), f"role_id {kinds['role_id']}, candidate_id {kinds['candidate_id']}, full_name string, distance double")
     order = Window.partitionBy("role_id").orderBy("distance", "full_name", "candidate_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("role_id", "rank", "candidate_id", F.round(1 - F.col("distance"), 6).alias("similarity"))
-
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("role_id", "rank", "candidate_id", F.round(1 - F.col("distance"), 6).alias("similarity"))
 
-def unranked(stages: DataFrame, role_vectors: DataFrame, candidate_vectors: DataFrame) -> DataFrame:
-    """(role_id, candidate_id, full_name, role_embedded) of those who passed all filters but have no vector to compare with the role's: none, a zero one, or one of another model. List them by full_name."""
-    def usable(v: DataFrame) -> DataFrame:
-        return v.where(F.exists("v", lambda x: x != 0))
 
-    people = usable(candidate_vectors).select("candidate_id", "model", F.lit(True).alias("there"))
-    wanted = usable(role_vectors).select("role_id", F.col("model").alias("role_model"), F.lit(True).alias("embedded"))
-    pairs = stages.where("cleared = 6").select("role_id", "candidate_id", "full_name").join(people, "candidate_id", "left").join(wanted, "role_id", "left")
-    compared = F.coalesce(F.col("there") & F.col("embedded") & F.col("model").eqNullSafe(F.col("role_model")), F.lit(False))
-    return pairs.where(~compared).select("role_id", "candidate_id", "full_name", F.coalesce("embedded", F.lit(False)).alias("role_embedded"))
+def unranked(asked: DataFrame, held: DataFrame, role_vectors: DataFrame, candidate_vectors: DataFrame, known_zones: DataFrame) -> DataFrame:
+    """(role_id, candidate_id, full_name, role_embedded) of those who passed all filters but have no vector to compare with the role's: none, a zero one, or one of another model. Only these are paired. List them by full_name."""
+    r = asked.join(comparable(role_vectors, "role_id").select("role_id", F.col("space").alias("role_space")), "role_id", "left").withColumn("role_embedded", F.col("role_space").isNotNull())
+    c = held.join(comparable(candidate_vectors, "candidate_id").select("candidate_id", "space"), "candidate_id", "left")
+    apart = ~F.coalesce(F.col("space") == F.col("role_space"), F.lit(False))
+    return checked(r, c, known_zones, apart, ("role_embedded",)).where("cleared = 6").drop("cleared")
 
 
 def passed_in_order(stages: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a profile: certifications and software as sorted sets, years of experience or null."""
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_partkey")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     parts = table(spark, sf_dir, "part").select("p_partkey", F.lower("p_type").alias("cert"), F.lower("p_brand").alias("soft"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", F.year("o_orderdate").alias("y"))
     facts = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
@@ -97,7 +97,7 @@ def role_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LIST = ", ".join(repr(z) for z in ZONES)
 SQL = f"""
 cand AS MATERIALIZED (SELECT c_custkey AS candidate_id, c_name AS full_name, lower(c_name) || '@example.com' AS email, CASE WHEN c_custkey % 20 = 0 THEN 'archived' ELSE 'active' END AS status FROM customer),
-facts AS MATERIALIZED (SELECT o_custkey, o_orderpriority, year(o_orderdate) AS y, lower(p_type) AS cert, lower(p_brand) AS soft FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND l_linenumber = 1 JOIN part ON l_partkey = p_partkey),
+facts AS MATERIALIZED (SELECT o_custkey, o_orderpriority, year(o_orderdate) AS y, lower(p_type) AS cert, lower(p_brand) AS soft FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey),
 held AS MATERIALIZED (SELECT o_custkey, list_sort(list(DISTINCT cert) FILTER (o_orderpriority IN ('1-URGENT', '2-HIGH'))) AS c, list_sort(list(DISTINCT soft)) AS s, max(y) - min(y) AS years FROM facts GROUP BY 1),
 prof AS MATERIALIZED (SELECT c_custkey AS candidate_id, coalesce(c, []::VARCHAR[]) AS certifications, coalesce(s, []::VARCHAR[]) AS software, CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE years END AS years_experience FROM customer LEFT JOIN held ON c_custkey = o_custkey WHERE c_custkey % 13 <> 0),
 avail AS MATERIALIZED (SELECT c_custkey AS candidate_id, CASE WHEN c_custkey % 31 = 0 THEN 'XYZ5' ELSE [{_LIST}][c_nationkey % 8 + 1] END AS timezone,

@@ -6,27 +6,34 @@ from pyspark.sql import functions as F
 
 from rolemesh.operators import funnel as fn
 from rolemesh.plans import bindings as b
+from rolemesh.sources.scratch import kept
 
 
 def zones(spark):
     return spark.createDataFrame([(z,) for z in b.ZONES], "zone string")
 
 
+def asked_and_held(spark, d, roles=None):
+    """What open roles ask for, and who holds their skills; each written once."""
+    asked = kept(fn.asked_of(b.roles(spark, d) if roles is None else roles, b.terms(spark), b.TODAY), "asked")
+    return asked, kept(fn.holders(asked, _pool(spark, d)), "holders")
+
+
+def _pool(spark, d):
+    return fn.pool_of(b.candidates(spark, d), b.profiles(spark, d), b.availability(spark, d))
+
+
 def stages(spark, d):
-    return fn.checked(b.roles(spark, d), b.candidates(spark, d), b.profiles(spark, d), b.availability(spark, d), b.terms(spark), zones(spark), b.TODAY)
+    return fn.checked(*asked_and_held(spark, d), zones(spark))
 
 
-def _funnel(spark, d, s):
-    return fn.funnel(b.roles(spark, d), s, b.candidates(spark, d), b.profiles(spark, d))
+def _counts(spark, d, asked, held):
+    return fn.funnel(asked, kept(fn.signatures(held), "signatures"), b.candidates(spark, d), b.profiles(spark, d), zones(spark))
 
 
 def funnel_of(spark, d, roles):
-    """The funnel of roles, counted once for all that ask for the same."""
-    people, held = b.candidates(spark, d), b.profiles(spark, d)
-    same = fn.represented(roles.where("status = 'open'"))
-    reps = roles.join(same.where("role_id = rep").select("role_id"), "role_id", "left_semi")
-    counts = fn.funnel(reps, fn.checked(reps, people, held, b.availability(spark, d), b.terms(spark), zones(spark), b.TODAY), people, held)
-    return same.join(counts.withColumnRenamed("role_id", "rep"), "rep").drop("rep")
+    asked = kept(fn.asked_of(roles, b.terms(spark), b.TODAY), "asked")
+    return _counts(spark, d, asked, fn.holders(asked, _pool(spark, d)))
 
 
 def role_funnel(spark, d):
@@ -40,20 +47,25 @@ def acceptable(spark, d):
 def overlaps(spark, d):
     days = b.roles(spark, d).where("timezone IS NOT NULL").select(F.col("timezone").alias("role_zone"), F.coalesce("starts_on", F.lit(b.TODAY).cast("date")).alias("day")).distinct()
     shifts = b.availability(spark, d).select(F.col("timezone").alias("zone"), "work_start", "work_end").distinct()
-    return fn.overlap_minutes(fn.with_each(days, shifts), zones(spark))
+    every = days.agg(F.collect_set(F.struct("role_zone", "day"))).scalar()  # zones of the world by days of the calendar
+    return fn.overlap_minutes(shifts.select("*", F.explode(every).alias("x")).select("x.*", *shifts.columns), zones(spark))
 
 
-def shortlists(spark, d):
-    return fn.shortlist(stages(spark, d), b.role_vectors(spark, d), b.candidate_vectors(spark, d))
+def shortlist_of(spark, d, asked, held):
+    return fn.shortlist(asked, held, b.role_vectors(spark, d), b.candidate_vectors(spark, d), zones(spark))
+
 
+def unranked_of(spark, d, asked, held):
+    return fn.unranked(asked, held, b.role_vectors(spark, d), b.candidate_vectors(spark, d), zones(spark))
 
-def unranked(spark, d):
-    return fn.unranked(stages(spark, d), b.role_vectors(spark, d), b.candidate_vectors(spark, d))
+
+def shortlists(spark, d):
+    return shortlist_of(spark, d, *asked_and_held(spark, d))
 
 
 def run_records(spark, d):
-    s, rv, cv = stages(spark, d), b.role_vectors(spark, d), b.candidate_vectors(spark, d)
-    return fn.run_record(_funnel(spark, d, s), fn.asked_of(b.roles(spark, d), b.terms(spark), b.TODAY), fn.shortlist(s, rv, cv), fn.unranked(s, rv, cv), rv)
+    asked, held = asked_and_held(spark, d)
+    return fn.run_record(_counts(spark, d, asked, held), asked, shortlist_of(spark, d, asked, held), unranked_of(spark, d, asked, held), b.role_vectors(spark, d))
 
 
 QUERIES = {
@@ -64,7 +76,7 @@ QUERIES = {
     "acceptable_sets": acceptable,
     "overlap_minutes": overlaps,
     "shortlists": shortlists,
-    "unranked_candidates": unranked,
+    "unranked_candidates": lambda s, d: unranked_of(s, d, *asked_and_held(s, d)),
     "passed_candidates": lambda s, d: fn.passed_in_order(stages(s, d)),
     "run_records": run_records,
 }
@@ -97,8 +109,10 @@ excl AS (SELECT role_id, unnest([1, 2, 3, 4, 5, 6])::INTEGER AS stage, unnest(['
 topf AS (SELECT role_id, filter AS top_filter, excluded AS top_excluded FROM (SELECT *, row_number() OVER (PARTITION BY role_id ORDER BY excluded DESC, stage) AS k FROM excl WHERE stage > 1) WHERE k = 1 AND excluded > 0)
 """
 RANKED = f"""{STAGES},
-near AS MATERIALIZED (SELECT s.role_id, s.candidate_id, s.full_name, CASE WHEN c.model IS NOT DISTINCT FROM r.model THEN round(1 - list_inner_product(c.v, r.v) / nullif(sqrt(list_inner_product(c.v, c.v)) * sqrt(list_inner_product(r.v, r.v)), 0), 6) END AS distance
-  FROM staged s LEFT JOIN cvec c USING (candidate_id) LEFT JOIN rvec r ON r.role_id = s.role_id WHERE cleared = 6),
+cnorm AS MATERIALIZED (SELECT *, sqrt(list_reduce([x * x FOR x IN v], lambda s, x: s + x)) AS norm FROM cvec),
+rnorm AS MATERIALIZED (SELECT *, sqrt(list_reduce([x * x FOR x IN v], lambda s, x: s + x)) AS norm FROM rvec),
+near AS MATERIALIZED (SELECT s.role_id, s.candidate_id, s.full_name, CASE WHEN c.model IS NOT DISTINCT FROM r.model THEN 1 - list_reduce([x * r.v[i] FOR x, i IN c.v], lambda s, x: s + x) / nullif(c.norm * r.norm, 0) END AS distance
+  FROM staged s LEFT JOIN cnorm c USING (candidate_id) LEFT JOIN rnorm r ON r.role_id = s.role_id WHERE cleared = 6),
 ranked AS (SELECT role_id, (row_number() OVER (PARTITION BY role_id ORDER BY distance, full_name, candidate_id))::INTEGER AS rank, candidate_id, round(1 - distance, 6) AS similarity FROM near WHERE distance IS NOT NULL),
 listed AS MATERIALIZED (SELECT * FROM ranked WHERE rank <= 20),
 unr AS (SELECT role_id, candidate_id, full_name, EXISTS (SELECT 1 FROM rvec r WHERE r.role_id = near.role_id AND list_inner_product(v, v) > 0) AS role_embedded FROM near WHERE distance IS NULL)

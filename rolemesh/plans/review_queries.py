@@ -8,13 +8,21 @@ from rolemesh.operators import funnel as fn
 from rolemesh.operators import matches as mt
 from rolemesh.operators import review as rv
 from rolemesh.plans import bindings as b
-from rolemesh.plans.funnel_queries import RANKED, shortlists, stages
+from rolemesh.plans.funnel_queries import RANKED, asked_and_held, role_funnel, shortlist_of, unranked_of
+from rolemesh.sources.scratch import kept
 
 
-def _judged(spark, d):
+def _basis(spark, d):
+    """(asked, held, shortlist), each written once."""
+    asked, held = asked_and_held(spark, d)
+    return asked, held, kept(shortlist_of(spark, d, asked, held), "shortlist")
+
+
+def _judged(spark, d, listed=None):
     """A judgement for each shortlisted pair, with levels from its keys."""
+    listed = _basis(spark, d)[2] if listed is None else listed
     roles = b.roles(spark, d).select("role_id", (F.size("required_software") > 0).alias("soft"))
-    pairs = shortlists(spark, d).join(roles, "role_id")
+    pairs = listed.join(roles, "role_id")
     level = lambda k: ((3 * F.col("candidate_id") + 5 * F.col("role_id") + 7 * k) % 5).cast("int")
     return pairs.select("role_id", "candidate_id", *[(F.when(F.col("soft"), level(k)) if k == 1 else level(k)).alias(f"l{k}") for k in range(5)])
 
@@ -51,30 +59,32 @@ def _there(spark, d):
     return b.candidates(spark, d).where("candidate_id % 37 <> 5")
 
 
-def _scored(spark, d):
-    return mt.scored(_judged(spark, d))
+def _scored(spark, d, listed=None):
+    return mt.scored(_judged(spark, d, listed))
 
 
 def rubric_scores(spark, d):
     return _scored(spark, d).withColumn("before_cap", F.round("before_cap", 6))
 
 
-def review_queue(spark, d):
-    return mt.queued(_scored(spark, d), matches_before(spark, d), _there(spark, d))
+def review_queue(spark, d, listed=None, before=None):
+    return mt.queued(_scored(spark, d, listed), matches_before(spark, d) if before is None else before, _there(spark, d))
 
 
-def _merged(spark, d):
-    s = stages(spark, d)
-    listed = fn.shortlist(s, b.role_vectors(spark, d), b.candidate_vectors(spark, d)).select("role_id", "candidate_id")
-    seen = listed.union(fn.unranked(s, b.role_vectors(spark, d), b.candidate_vectors(spark, d)).select("role_id", "candidate_id"))
-    history = _events(spark, d).select("match_id").distinct().join(matches_before(spark, d), "match_id")
-    return mt.merged(matches_before(spark, d), review_queue(spark, d), seen, history, b.roles(spark, d).where("status = 'open'").select("role_id"))
+def _merged(spark, d, basis=None):
+    asked, held, listed = basis or _basis(spark, d)
+    before = kept(matches_before(spark, d), "matches")
+    pair = ("role_id", "candidate_id")
+    seen = listed.select(*pair).union(unranked_of(spark, d, asked, held).select(*pair))
+    history = _events(spark, d).select("match_id").distinct().join(before, "match_id")
+    return mt.merged(before, review_queue(spark, d, listed, before), seen, history, b.roles(spark, d).where("status = 'open'").select("role_id"))
 
 
 def run_outcomes(spark, d):
-    passed = stages(spark, d).groupBy("role_id").agg(F.count_if(F.col("cleared") == 6).alias("passed"))
+    basis = _basis(spark, d)
+    passed = role_funnel(spark, d).select("role_id", F.col("after_overlap").alias("passed"))
     rows = b.roles(spark, d).where("status = 'open'").select("role_id", (F.col("role_id") % 7 == 0).alias("partial")).join(passed, "role_id", "left").na.fill({"passed": 0})
-    return mt.run_outcomes(_scored(spark, d), _merged(spark, d), rows)
+    return mt.run_outcomes(_scored(spark, d, basis[2]), _merged(spark, d, basis), rows)
 
 
 def _failures(spark, d):

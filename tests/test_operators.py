@@ -15,6 +15,8 @@ OVERLAPS = [
     ("America/New_York", "Asia/Manila", 1260, 360, "2026-06-15", 480),  # a night shift
     ("America/New_York", "XYZ5", 540, 1020, "2026-06-15", None),
     ("Nowhere", "Asia/Manila", 540, 1020, "2026-06-15", None),
+    ("Asia/Manila", "America/New_York", 60, 240, "2026-03-08", 120),  # 20:00 to 05:00, where the clock goes from 02:00 to 03:00
+    ("Asia/Manila", "America/New_York", 60, 120, "2026-11-01", 120),  # 21:00 to 04:00, where the hour from 01:00 comes twice
 ]
 
 
@@ -42,52 +44,147 @@ def pool(spark):
     return roles, people, profiles, answers, terms, zones
 
 
+def basis(spark, case):
+    roles, people, profiles, answers, terms, zones = case
+    asked = funnel.asked_of(roles, terms, "2026-01-01").cache()
+    held = funnel.holders(asked, funnel.pool_of(people, profiles, answers)).cache()
+    return asked, held, {r.role_id: r for r in funnel.funnel(asked, funnel.signatures(held), people, profiles, zones).collect()}
+
+
 def test_each_filter_drops_the_one_who_misses_it(spark):
-    roles, people, profiles, answers, terms, zones = pool(spark)
-    stages = funnel.checked(roles, people, profiles, answers, terms, zones, "2026-01-01").cache()
-    # 0 has no profile and 1 not the certificate that role 1 is looked up by, so neither is paired with it
-    assert {r.candidate_id: r.cleared for r in stages.where("role_id = 1").collect()} == {2: 2, 3: 3, 4: 4, 5: 4, 6: 5, 7: 5, 8: 6}
+    case = pool(spark)
+    asked, held, counts = basis(spark, case)
+    stages = funnel.checked(asked, held, case[-1]).cache()
+    # 0 has no profile, 1 not the certificate and 2 not the software of role 1, so none of them is paired with it
+    assert {r.candidate_id: r.cleared for r in stages.where("role_id = 1").collect()} == {3: 3, 4: 4, 5: 4, 6: 5, 7: 5, 8: 6}
     # without a start date anyone who has answered is in time, however late they are free
     assert {r.candidate_id: r.cleared for r in stages.where("role_id = 2").collect()} == {1: 6, 3: 6, 4: 4, 5: 6, 6: 6, 7: 6, 8: 6}
     assert {r.cleared for r in stages.where("role_id = 3").collect()} == {4, 5}  # an overlap in no zone can't be met
     assert stages.where("role_id = 4 OR role_id = 6").count() == 0
-    counts = {r.role_id: r for r in funnel.funnel(roles, stages, people, profiles).collect()}
     r = counts[1]
-    assert (r.pool, r.after_profile, r.after_certifications, r.after_overlap, r.top_filter, r.top_excluded) == (9, 8, 7, 1, "availability", 2)
+    assert (r.pool, r.after_profile, r.after_certifications, r.after_software, r.after_experience, r.after_availability, r.after_overlap, r.top_filter, r.top_excluded) == (9, 8, 7, 6, 5, 3, 1, "availability", 2)
     assert (counts[4].after_profile, counts[4].after_certifications, counts[4].top_filter) == (8, 0, "certifications")
     assert (counts[5].after_software, counts[5].after_overlap) == (8, 7)
-    spread = {x.cleared: x.n for x in funnel.cleared_counts(funnel.funnel(roles, stages, people, profiles)).where("role_id = 1").collect()}
+    spread = {x.cleared: x.n for x in funnel.cleared_counts(spark.createDataFrame([counts[1]])).collect()}
     assert spread == {0: 1, 1: 1, 2: 1, 3: 1, 4: 2, 5: 2, 6: 1}
 
 
-def test_equal_to_the_naive_pairs(spark):
-    """The counts equal those of all pairs, tested one by one, whatever roles ask for."""
+def chance(spark):
+    """Roles and people that ask for and have anything, nothing or unknown things."""
     import random
 
-    _, _, _, answers, terms, zones = pool(spark)
     r = random.Random(4)
     some = lambda of: r.sample(of, r.randrange(len(of)))
-    asked = [(k, some("xy"), some(["s", "t", "u"]), r.choice([None, 0, 2, 5])) for k in range(30)]
-    held = [(k, some("xyz"), some(["s", "t", "u"]), r.choice([None, 1, 4])) for k in range(40)]
-    roles = spark.createDataFrame([(*x, None, None, None, None, "open", True) for x in asked], "role_id int, required_certifications array<string>, required_software array<string>, min_years int, starts_on date, hours_per_week int, timezone string, min_overlap_hours int, status string, accept_equivalents boolean")
-    people = spark.createDataFrame([(k, f"n{k}", "active") for k in range(45)], "candidate_id int, full_name string, status string")
+    day = lambda: datetime.date(2026, r.randint(1, 12), 15)
+    zone = lambda: r.choice(["Europe/London", "Asia/Manila", "XYZ5", None])
+    asked = [(k, some("xy"), some(["s", "t", "u"]), r.choice([None, 0, 2, 5]), r.choice([None, day()]), r.choice([None, None, 0, 20, 40]), zone(), r.choice([None, 0, 2, 8]), "open", r.choice([None, True, False])) for k in range(60)]
+    held = [(k, some("xyz"), some(["s", "t", "u"]), r.choice([None, 1, 4, 6])) for k in range(70)]
+    said = [(k, zone(), *r.choice([(540, 1020), (1260, 360), (None, 3), (600, 600)]), r.choice([None, 10, 20, 40]), r.choice([None, day()])) for k in range(5, 75)]
+    roles = spark.createDataFrame(asked, "role_id int, required_certifications array<string>, required_software array<string>, min_years int, starts_on date, hours_per_week int, timezone string, min_overlap_hours int, status string, accept_equivalents boolean")
+    people = spark.createDataFrame([(k, f"n{k % 9}", "active") for k in range(80)], "candidate_id int, full_name string, status string")
     profiles = spark.createDataFrame(held, "candidate_id int, certifications array<string>, software array<string>, years_experience int")
-    stages = funnel.checked(roles, people, profiles, answers, terms, zones, "2026-01-01")
-    got = {x.role_id: (x.after_profile, x.after_certifications, x.after_software, x.after_experience) for x in funnel.funnel(roles, stages, people, profiles).collect()}
-    for k, certs, soft, years in asked:
-        a = [h for h in held if set(certs) <= set(h[1])]
-        b = [h for h in a if set(soft) <= set(h[2])]
-        c = [h for h in b if not years or (h[3] or 0) >= years]
-        assert got[k] == (40, len(a), len(b), len(c))
-
-
-def test_shortlist_and_unranked(spark):
-    stages = spark.createDataFrame([(1, c, f"n{9 - c}", 6) for c in range(6)] + [(2, 0, "n9", 6)], "role_id int, candidate_id int, full_name string, cleared int")
-    roles = spark.createDataFrame([(1, None, [1.0, 0.0]), (2, "a", None)], "role_id int, model string, v array<double>")
-    people = spark.createDataFrame([(0, None, [1.0, 1.0]), (1, None, [2.0, 0.0]), (2, "a", [1.0, 0.0]), (3, None, [0.0, 0.0]), (4, None, None)], "candidate_id int, model string, v array<double>")
-    assert [(r.candidate_id, r.similarity) for r in funnel.shortlist(stages, roles, people).orderBy("role_id", "rank").collect()] == [(1, 1.0), (0, 0.707107)]
-    left = {(r.role_id, r.candidate_id, r.role_embedded) for r in funnel.unranked(stages, roles, people).collect()}
-    assert left == {(1, 2, True), (1, 3, True), (1, 4, True), (1, 5, True), (2, 0, False)}
+    answers = spark.createDataFrame(said, "candidate_id int, timezone string, work_start int, work_end int, hours_per_week int, available_from date")
+    _, _, _, _, terms, zones = pool(spark)
+    return (roles, people, profiles, answers, terms, zones), asked, {h[0]: h for h in held}, {a[0]: a for a in said}
+
+
+def clock_minutes(role_zone, day, zone, start, end):
+    from zoneinfo import ZoneInfo
+
+    if not {role_zone, zone} <= {"Europe/London", "Asia/Manila"} or start is None:
+        return None
+    at = [datetime.datetime(day.year, day.month, day.day, 9 + k // 60, k % 60, tzinfo=ZoneInfo(role_zone)).astimezone(ZoneInfo(zone)) for k in range(480)]
+    clock = [t.hour * 60 + t.minute for t in at]
+    return sum(start <= m < end if end > start else m >= start or m < end for m in clock)
+
+
+def passes(role, profile, answer):
+    """How many filters are cleared, by the rules one after the other."""
+    _, certs, soft, years, start, hours, zone, overlap, _, _ = role
+    if profile is None:
+        return 0
+    if not set(certs) <= set(profile[1]):
+        return 1
+    if not set(soft) <= set(profile[2]):
+        return 2
+    if years and not (profile[3] is not None and profile[3] >= years):
+        return 3
+    if not (answer and (start is None or answer[5] is not None and answer[5] <= start) and (hours is None or answer[4] is not None and answer[4] >= hours)):
+        return 4
+    if zone is None:
+        return 6 if overlap is None else 5
+    minutes = clock_minutes(zone, start or datetime.date(2026, 1, 1), answer[1], answer[2], answer[3])
+    return 6 if minutes is not None and minutes >= 60 * (overlap or 0) else 5
+
+
+def test_equal_to_the_naive_pairs(spark):
+    """Counts and pairs equal those of all pairs, tested one by one, whatever roles ask for."""
+    case, asked, held, said = chance(spark)
+    plan, holding, counts = basis(spark, case)
+    want = {(role[0], c): passes(role, held.get(c), said.get(c)) for role in asked for c in range(80)}
+    got = {(r.role_id, r.candidate_id): r.cleared for r in funnel.checked(plan, holding, case[-1]).collect()}
+    assert got == {k: v for k, v in want.items() if v > 2}
+    for role in asked:
+        mine = [v for (k, _), v in want.items() if k == role[0]]
+        assert [counts[role[0]][f"after_{s}"] for s in funnel.STAGES] == [sum(v > k for v in mine) for k in range(6)]
+
+
+def test_shortlists_equal_the_naive_order(spark):
+    """Exact distances decide, however close; blocks of a few rows and of many give the same."""
+    import random
+
+    case, asked, held, said = chance(spark)
+    plan, holding, _ = basis(spark, case)
+    r = random.Random(2)
+    close = {k: [1.0, k * 1e-7 if k % 2 else (80 - k) * 1e-7, 0.0] for k in range(80)} | {3: [0.0, 0.0, 0.0], 6: [1.0, 2.0]}
+    people = spark.createDataFrame([(k, r.choice([None, "a"]), v) for k, v in close.items() if k != 9], "candidate_id int, model string, v array<double>").cache()
+    roles = spark.createDataFrame([(k, r.choice([None, "a"]), None if k == 4 else [1.0, 0.0, 1e-9 * k]) for k in range(60)], "role_id int, model string, v array<double>").cache()
+    ours = {x.role_id: (x.model, x.v) for x in roles.collect()}
+    theirs = {x.candidate_id: (x.model, x.v) for x in people.collect()}
+    want, rest = {}, set()
+    for role in asked:
+        model, a = ours[role[0]]
+        near = []
+        for c in range(80):
+            if passes(role, held.get(c), said.get(c)) < 6:
+                continue
+            kind, b = theirs.get(c, (None, None))
+            if a is None or b is None or not any(b) or kind != model or len(b) != len(a):
+                rest.add((role[0], c))
+                continue
+            dot, aa, bb = 0.0, 0.0, 0.0
+            for x, y in zip(a, b, strict=True):
+                dot, aa, bb = dot + y * x, aa + x * x, bb + y * y
+            near.append((1 - dot / (bb**0.5 * aa**0.5), f"n{c % 9}", c))
+        for k, x in enumerate(sorted(near)[:5]):
+            want[role[0], k + 1] = x[2]
+    for block in (3, 1024):
+        got = {(x.role_id, x["rank"]): x.candidate_id for x in funnel.shortlist(plan, holding, roles, people, case[-1], 5, block).collect()}
+        assert got == want
+    left = {(x.role_id, x.candidate_id) for x in funnel.unranked(plan, holding, roles, people, case[-1]).collect()}
+    assert left == rest
+
+
+def test_farther_by_a_ten_millionth_is_behind(spark):
+    """Two distances that agree to six places are ordered by themselves, not by name."""
+    case = pool(spark)
+    plan, holding, _ = basis(spark, case)
+    roles = spark.createDataFrame([(2, None, [1.0, 0.0])], "role_id int, model string, v array<double>")
+    people = spark.createDataFrame([(1, None, [1.0, 0.0005]), (3, None, [1.0, 0.0001])], "candidate_id int, model string, v array<double>")
+    got = funnel.shortlist(plan.where("role_id = 2"), holding, roles, people, case[-1]).orderBy("rank").collect()
+    assert [(r.candidate_id, r.similarity) for r in got] == [(3, 1.0), (1, 1.0)]
+
+
+def test_the_rarest_requirement_leads(spark):
+    """Candidates meet a skill by what the fewest of them hold."""
+    case = list(pool(spark))
+    case[0] = spark.createDataFrame([(1, ["x"], ["s", "rare"], "open")], "role_id int, required_certifications array<string>, required_software array<string>, status string").selectExpr("*", "CAST(NULL AS int) AS min_years", "CAST(NULL AS date) AS starts_on", "CAST(NULL AS int) AS hours_per_week", "CAST(NULL AS string) AS timezone", "CAST(NULL AS int) AS min_overlap_hours", "true AS accept_equivalents")
+    case[2] = case[2].withColumn("software", F.expr("if(candidate_id = 5, array('rare', 's'), software)"))
+    asked = funnel.asked_of(case[0], case[4], "2026-01-01")
+    people = funnel.pool_of(case[1], case[2], case[3])
+    lead = {len(r.wants): r["keys"] for r in funnel.leads(funnel.skills_of(asked), people).collect()}
+    assert lead == {3: ["s:rare"], 1: ["c:x"]}
+    assert {r.candidate_id for r in funnel.holders(asked, people).where(F.col("skill") == asked.first().skill).collect()} == {5}
 
 
 def test_acceptable_ids(spark):
