@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolemesh.operators import taxonomy as tax
+from rolemesh.operators.names import spans
 
 #: Words that say how far along the holder is, not which qualification it is.
 STATUS_WORDS = "(?i)\\b(?:part[- ]qualified|fully[- ]qualified|newly[- ]qualified|qualified|finalist|candidate|student|trainee|member|fellow|in progress|studying(?: for| towards?)?|pursuing|working towards?)\\b"
@@ -19,12 +20,18 @@ def families(names: DataFrame, index: DataFrame) -> DataFrame:
     return rows.join(whole, "_k1", "left").join(bare, "_k2", "left").withColumn("base", F.coalesce("_i1", "_i2")).drop("_k1", "_k2", "_i1", "_i2")
 
 
-def bodies_in(texts: DataFrame, bodies: DataFrame, variants: DataFrame) -> DataFrame:
-    """(row_id, id, body): of the awarding bodies of each row's id or its variants, the one with the longest name that its text names. texts: (row_id, id, text); bodies: (id, body)."""
-    own = bodies.select("id", F.col("id").alias("of"), "body").union(variants.join(bodies, "id").select(F.col("variant_of"), "id", "body"))
-    met = texts.join(own, "id").where(F.concat(F.lit(" "), F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "), F.lit(" ")).contains(F.concat(F.lit(" "), F.lower("body"), F.lit(" "))))
-    best = F.row_number().over(Window.partitionBy("row_id", "id").orderBy(F.length("body").desc(), "of", "body"))
-    return met.withColumn("k", best).where("k = 1").select("row_id", "id", "of", "body")
+def bodies_in(texts: DataFrame, bodies: DataFrame, variants: DataFrame, own_first: bool = True) -> DataFrame:
+    """(row_id, id, of, body): the awarding body of each row's id, or of a variant of it (of), that its text names, as the text writes it. texts: (row_id, id, text); bodies: (id, body).
+
+    own_first: the id itself is asked before its variants, in order of their ids, and each by its longest name; else the longest name of all wins.
+    """
+    own = bodies.select("id", F.col("id").alias("of"), F.col("body").alias("term")).union(variants.join(bodies, "id").select(F.col("variant_of"), "id", "body"))
+    docs = texts.select(F.struct("row_id", "id").alias("doc_id"), "text")
+    found = spans(docs, own.select(F.col("term").alias("name"), "term").distinct(), 0)
+    met = found.select("doc_id.*", "term", "start", "surface").join(own, ["id", "term"])
+    order = [F.col("of") != F.col("id"), "of"] if own_first else []
+    best = F.row_number().over(Window.partitionBy("row_id", "id").orderBy(*order, F.length("term").desc(), "of", "start", "term"))
+    return met.withColumn("k", best).where("k = 1").select("row_id", "id", "of", F.col("surface").alias("body"))
 
 
 def settled(records: DataFrame, index: DataFrame, terms: DataFrame, variants: DataFrame, bodies: DataFrame, places: DataFrame) -> DataFrame:
@@ -36,7 +43,7 @@ def settled(records: DataFrame, index: DataFrame, terms: DataFrame, variants: Da
     rows = tax.placed(families(records, index), places, "jurisdiction").withColumn("where", F.coalesce("place", F.nullif(F.trim("jurisdiction"), F.lit("")))).withColumn("at", F.coalesce("place", "hint"))
     v = variants.join(terms.select("id", F.col("place").alias("v_place")), "id").groupBy(F.col("variant_of").alias("base")).agg(F.collect_list(F.struct("id", F.col("v_place"))).alias("vs"))
     text = F.concat_ws(" ", "name", F.coalesce("issuing_body", F.lit("")))
-    named = bodies_in(rows.where("base IS NOT NULL").select("row_id", F.col("base").alias("id"), text.alias("text")), bodies.join(variants.select("id").distinct(), "id", "left_semi"), variants).select("row_id", F.col("of").alias("named"))
+    named = bodies_in(rows.where("base IS NOT NULL").select("row_id", F.col("base").alias("id"), text.alias("text")), bodies.join(variants.select("id").distinct(), "id", "left_semi"), variants, own_first=False).select("row_id", F.col("of").alias("named"))
     rows = rows.join(v, "base", "left").join(named, "row_id", "left")
     ids, local = F.transform("vs", lambda x: x["id"]), F.filter("vs", lambda x: x["v_place"] == F.col("at"))
     given = F.when(F.array_contains(ids, F.col("canonical")), F.col("canonical"))
@@ -74,9 +81,9 @@ def synced_ids(rows: DataFrame) -> DataFrame:
     return rows.withColumn("ids", F.aggregate("records", F.col("ids"), step))
 
 
-def localised(requirements: DataFrame, index: DataFrame, terms: DataFrame, variants: DataFrame, bodies: DataFrame, places: DataFrame, place_zones: DataFrame) -> DataFrame:
+def localised(requirements: DataFrame, index: DataFrame, terms: DataFrame, variants: DataFrame, bodies: DataFrame, places: DataFrame, place_zones: DataFrame, regions: DataFrame | None = None) -> DataFrame:
     """requirements (row_id, name, canonical, quote, timezone) settled by the place their words name first, else by that of the role's time zone."""
-    said = tax.first_place(requirements.select(F.col("row_id").alias("doc_id"), F.concat_ws(" ", "name", "quote").alias("text")), places).select(F.col("doc_id").alias("row_id"), F.col("place").alias("stated"))
+    said = tax.first_place(requirements.select(F.col("row_id").alias("doc_id"), F.concat_ws(" ", "name", "quote").alias("text")), places, regions).select(F.col("doc_id").alias("row_id"), F.col("place").alias("stated"))
     rows = tax.place_of_zone(requirements, place_zones).withColumnRenamed("place", "zone_place").join(said, "row_id", "left")
     none = F.lit(None).cast("string")
     asked = rows.select("row_id", "name", "canonical", none.alias("issuing_body"), none.alias("jurisdiction"), F.coalesce("stated", "zone_place").alias("hint"))

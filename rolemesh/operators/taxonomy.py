@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rolemesh.operators.names import spans
+
 #: Words that say a credential is held rather than which it is (certifications only).
 CREDENTIAL_WORDS = ("certified", "certification", "certifications", "certificate", "credential", "license", "licensed", "licence")
 #: A parenthetical that stands apart from a word; one glued to a word is part of the name.
@@ -86,13 +88,18 @@ def place_of_zone(values: DataFrame, place_zones: DataFrame) -> DataFrame:
     return values.join(place_zones.groupBy("timezone").agg(F.min("id").alias("place")), "timezone", "left")
 
 
-def first_place(texts: DataFrame, places: DataFrame) -> DataFrame:
-    """(doc_id, place) of the jurisdiction that a text names first, as a whole word in its own case; texts that name none are left out."""
-    from rolemesh.operators.text import grams
+#: What a region's code ends a location with, and what stands before it ("Austin, TX 78701").
+REGION_ENDS, REGION_FOLLOWS = "^[ \\t]*(?:$|\\n|[|\u2022\u00b7]|[0-9]{5})", ", "
+
 
-    words = grams(texts, (1, 2))
-    named = words.join(places.select("id", F.explode(F.array("id", "name")).alias("surface")).distinct(), "surface")
-    return named.groupBy("doc_id").agg(F.min(F.struct("at", "id"))["id"].alias("place"))
+def first_place(texts: DataFrame, places: DataFrame, regions: DataFrame | None = None) -> DataFrame:
+    """(doc_id, place) of the jurisdiction that a text names first: by id or alias as a whole word in its own case, or by the code of a region (id, region) that ends a location. Texts that name none are left out."""
+    every = 1 << 31
+    named = spans(texts, places.select(F.explode(F.array("id", "name")).alias("name"), F.col("id").alias("term")), every).select("doc_id", "start", "term")
+    if regions is not None:
+        codes = spans(texts, regions.select(F.col("region").alias("name"), F.col("id").alias("term")), every, whole=False)
+        named = named.union(codes.where(F.col("ahead").endswith(REGION_FOLLOWS) & F.col("behind").rlike(REGION_ENDS)).select("doc_id", "start", "term"))
+    return named.groupBy("doc_id").agg(F.min(F.struct("start", "term"))["term"].alias("place"))
 
 
 def problems(terms: DataFrame, names: DataFrame, variants: DataFrame, groups: DataFrame) -> DataFrame:

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from rolemesh.operators.names import spans
 
 #: Patterns of addresses, numbers and the end of a name, and words that say nothing.
 EMAIL = "[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+(?:\\.[A-Za-z0-9_-]+)+"
@@ -65,54 +71,16 @@ def head_line(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.trim(F.get(F.split(first_line(F.col("text")), "[\\x20\\x09]+[(|–—-]"), F.lit(0))).alias("title"))
 
 
-PIECES = "([A-Za-z0-9]+|[^A-Za-z0-9]+)"
-
-
-def grams(docs: DataFrame, sizes: tuple[int, ...] = (1, 2)) -> DataFrame:
-    """(doc_id, at, upto, surface): every run of n words of a text as it is written, marks and spaces between them included.
-
-    The pieces of a text are its words and what stands between them, numbered from 0 (at: the first piece of the run, upto: the one behind
-    its last), so that equality with a name is a match on whole words.
-    """
-    rows = docs.select("doc_id", F.regexp_extract_all("text", F.lit(PIECES), F.lit(0)).alias("p"))
-
-    def run(n: int) -> Column:
-        found = F.transform("p", lambda x, i: F.struct(i.alias("at"), (i + 2 * n - 1).alias("upto"), F.array_join(F.slice("p", i + 1, 2 * n - 1), "").alias("surface"), x.rlike("^[A-Za-z0-9]").alias("word")))
-        return F.filter(found, lambda r: r["word"] & (r["upto"] <= F.size("p")))
-
-    return rows.select("doc_id", F.explode(F.concat(*[run(n) for n in sizes])).alias("r")).select("doc_id", "r.at", "r.upto", "r.surface")
-
-
-def spans(docs: DataFrame, names: DataFrame, sizes: tuple[int, ...] = (1, 2)) -> DataFrame:
-    """(doc_id, at, upto, surface, term): whole-word mentions of names (name, term) of so many words, by piece numbers. Names of up to four characters match in their own case only.
-
-    Word runs meet names by an equi-join, not every text with every name. Names begin and end with a letter or digit.
-    """
-    wanted = names.select(F.lower("name").alias("low"), "name", "term").distinct()
-    met = grams(docs, sizes).withColumn("low", F.lower("surface")).join(wanted, "low").where((F.length("name") > 4) | (F.col("surface") == F.col("name")))
-    return met.select("doc_id", "at", "upto", "surface", "term").distinct()
-
-
-def located(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """Spans with start and end as code points of their texts, and the 40 characters before and behind them. doc_id is a key of docs."""
-    texts = docs.select("doc_id", "text", F.regexp_extract_all("text", F.lit(PIECES), F.lit(0)).alias("p"))
-    start = F.length(F.array_join(F.slice("p", 1, F.col("at")), ""))
-    rows = found.join(texts, "doc_id").withColumn("start", start).withColumn("end", F.col("start") + F.length("surface"))
-    ahead = F.substring(F.col("text"), F.greatest(F.col("start") - 39, F.lit(1)), F.least(F.col("start"), F.lit(40)))
-    return rows.select("doc_id", "at", "upto", "start", "end", "surface", "term", ahead.alias("ahead"), F.substring(F.col("text"), F.col("end") + 1, F.lit(40)).alias("behind"))
-
-
-def mentions(docs: DataFrame, names: DataFrame, sizes: tuple[int, ...] = (1, 2)) -> DataFrame:
-    """(doc_id, term, n, first_at): which terms each text names, how often, and the number of the piece where first."""
-    return spans(docs, names, sizes).groupBy("doc_id", "term").agg(F.count_distinct("at").alias("n"), F.min("at").alias("first_at"))
+def mentions(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """(doc_id, term, n, first_at): which terms each text names, how often, and where first (code points before it)."""
+    return spans(docs, names).groupBy("doc_id", "term").agg(F.count_distinct("start").alias("n"), F.min("start").alias("first_at"))
 
 
 def maximal(found: DataFrame) -> DataFrame:
-    """Spans without those that lie inside a longer span of their text: of all that begin no later, none may reach as far."""
-    places = found.select("doc_id", "at", "upto").distinct()
-    before = Window.partitionBy("doc_id").orderBy("at", F.col("upto").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    kept = places.withColumn("reach", F.max("upto").over(before)).where("reach IS NULL OR reach < upto").drop("reach")
-    return found.join(kept, ["doc_id", "at", "upto"], "left_semi")
+    """Spans without those that lie inside a longer span of their text: of all that begin earlier, or there and end later, none may reach as far."""
+    before = Window.partitionBy("doc_id").orderBy("start", F.col("end").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    longest = F.max(F.struct("end", (-F.col("start")).alias("before"))).over(before)  # the longest of those that reach farthest
+    return found.withColumn("reach", longest).where("reach.end = end AND reach.before = -start").drop("reach")
 
 
 def hashed_embedding(docs: DataFrame, dim: int = 64) -> DataFrame:
@@ -224,11 +192,9 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.col("line").rlike("[^\\x20\\x09-\\x0D]"))
 
 
-def on_lines(docs: DataFrame, names: DataFrame, sizes: tuple[int, ...] = (1, 2)) -> DataFrame:
-    """(doc_id, pos, line, at, upto, surface, term, ahead, behind): mentions with the line they stand on, longest names only."""
-    lines = lines_of(docs).select(F.struct("doc_id", "pos").alias("doc_id"), F.col("line").alias("text"))
-    found = located(maximal(spans(lines, names, sizes)), lines)
-    return found.join(lines, "doc_id").select("doc_id.doc_id", "doc_id.pos", F.col("text").alias("line"), "at", "upto", "surface", "term", "ahead", "behind")
+def on_lines(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """(doc_id, start, end, surface, term, ahead, behind, pos, line): mentions with the line they begin on."""
+    return spans(docs, names, lines=True)
 
 
 def qualification_status(line: Column, name: Column) -> Column:
@@ -239,12 +205,15 @@ def qualification_status(line: Column, name: Column) -> Column:
 
 
 def qualification_records(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """(doc_id, term, name, status, year, quote): one record for each certification a text names: its first held mention, else its first; quote is the line, year one that follows the name closely."""
-    found = in_context(on_lines(docs, names)).where("reading = 'holding'")
+    """(doc_id, term, name, status, year, quote): one record for each certification a text names: its first held mention, else its first; quote is the line, year one that follows the name closely.
+
+    Mentions that aren't holdings are dropped before longer names take the place of those inside them.
+    """
+    found = maximal(in_context(on_lines(docs, names)).where("reading = 'holding'"))
     quote = F.trim(F.regexp_replace("line", BULLET, ""))
     rows = found.withColumn("quote", quote).withColumn("status", qualification_status(F.col("quote"), F.col("surface")))
-    best = F.row_number().over(Window.partitionBy("doc_id", "term").orderBy(F.col("status") != "qualified", "pos", "at"))
-    year = F.regexp_extract("behind", YEAR_AFTER, 1)
+    best = F.row_number().over(Window.partitionBy("doc_id", "term").orderBy(F.col("status") != "qualified", "start", "end"))
+    year = F.regexp_extract(F.substring_index("behind", "\n", 1), YEAR_AFTER, 1)
     return rows.withColumn("k", best).where("k = 1").select("doc_id", "term", F.col("surface").alias("name"), "status", F.nullif(year, F.lit("")).cast("int").alias("year"), "quote")
 
 
@@ -260,20 +229,35 @@ def positions(docs: DataFrame) -> DataFrame:
 def read_off(docs: DataFrame, known: DataFrame, names: DataFrame) -> DataFrame:
     """(doc_id, term, line, year) for terms known to be held (doc_id, term): the line under CERTIFICATIONS that names it, else a held line anywhere; year only if the line has exactly one."""
     listed = docs.select("doc_id", F.split(F.regexp_extract("text", "(?s)(?:^|\\n)CERTIFICATIONS\\n(.*?)(?:\\n[A-Z]{4,}(?:\\n|$)|$)", 1), "\n").alias("section"))
-    found = on_lines(docs, names).join(known, ["doc_id", "term"], "left_semi").join(listed, "doc_id")
+    found = maximal(on_lines(docs, names)).join(known, ["doc_id", "term"], "left_semi").join(listed, "doc_id")
     held = qualification_status(F.col("line"), F.col("surface")) == "qualified"
-    best = F.row_number().over(Window.partitionBy("doc_id", "term").orderBy(F.array_contains("section", F.col("line")).desc(), held.desc(), "pos", "at"))
+    best = F.row_number().over(Window.partitionBy("doc_id", "term").orderBy(F.array_contains("section", F.col("line")).desc(), held.desc(), "start", "end"))
     years = F.filter(F.regexp_extract_all("line", F.lit("[0-9]+"), F.lit(0)), lambda x: x.rlike("^(19|20)[0-9][0-9]$"))
     return found.withColumn("k", best).where("k = 1").select("doc_id", "term", "line", F.when(F.size(years) == 1, F.get(years, F.lit(0))).cast("int").alias("year"))
 
 
+#: What is left out of clean text, ligatures with what they stand for, white space at the end of a line.
+UNPRINTABLE = "[\\x00-\\x08\\x0B-\\x1F\\x7F-\\x9F\\xAD\\u200B-\\u200D\\u2060\\uFEFF\\x{E0000}-\\x{E007F}]"
+SPACE = "[\\t \\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
+LIGATURES = (("\ufb00", "ff"), ("\ufb01", "fi"), ("\ufb02", "fl"), ("\ufb03", "ffi"), ("\ufb04", "ffl"), ("\ufb05", "st"), ("\ufb06", "st"))
+
+
+@F.pandas_udf(StringType())
+def composed(text: pd.Series) -> pd.Series:
+    """Composed characters (NFC); texts that are composed already are handed on as they are."""
+    return text.map(lambda x: x if x is None or unicodedata.is_normalized("NFC", x) else unicodedata.normalize("NFC", x))
+
+
 def cleaned(text: Column) -> Column:
-    """Line ends as line feeds, unprintable characters dropped, ligatures written out, lines trimmed at the right, blank ends dropped (composed characters are left as they are)."""
-    same = F.regexp_replace(text, "\\r\\n?", "\n")
-    for one, two in (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
-        same = F.replace(same, F.lit(one), F.lit(two))
-    plain = F.regexp_replace(same, "[\\x00-\\x08\\x0B-\\x1F\\x7F]", "")
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, "[ \\t]+(\\n|$)", "$1"), "^\n+", ""), "\n+$", "")
+    """Line ends as line feeds, unprintable characters dropped, characters composed, ligatures written out, lines trimmed at the right, blank ends dropped.
+
+    No character before the combining marks changes by composing, so that only texts with later ones go to Python.
+    """
+    plain = F.regexp_replace(F.regexp_replace(text, "\\r\\n?", "\n"), UNPRINTABLE, "")
+    whole = F.coalesce(composed(F.when(plain.rlike("[^\\x00-\\u02FF]"), plain)), plain)
+    for one, two in LIGATURES:
+        whole = F.replace(whole, F.lit(one), F.lit(two))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(whole, f"{SPACE}+(\\n|$)", "$1"), "^\n+", ""), "\n+$", "")
 
 
 def embed_once(docs: DataFrame, cached: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from rolemesh.operators import text as tx
 from rolemesh.plans import bindings as b
 from rolemesh.plans import documents as dc
 from rolemesh.plans.record_queries import JOBS, _jobs
-from rolemesh.plans.text_queries import CERTS
+from rolemesh.plans.text_queries import PIECES, CERTS
 from rolemesh.plans.vocabulary_queries import SQL as VOCABULARY
 from rolemesh.plans.vocabulary_queries import vocabulary
 
@@ -24,7 +24,7 @@ def _names(spark, d):
 
 def _quotes(spark, d):
     """A passage of five words of each text with its case, spaces and dashes changed; every fifth text doesn't have it."""
-    p = F.regexp_extract_all("text", F.lit(tx.PIECES), F.lit(0))
+    p = F.regexp_extract_all("text", F.lit(PIECES), F.lit(0))
     first = F.when(F.get("p", F.lit(0)).rlike("^[A-Za-z0-9]"), 11).otherwise(12)
     rows = b.table(spark, d, "documents").select("doc_id", "text", p.alias("p")).where("size(p) > 30 AND text RLIKE '^[ -~\\\\s]*$'").withColumn("passage", F.array_join(F.slice("p", first, 9), ""))
     quote = F.concat(F.lit(" "), F.replace(F.regexp_replace(F.upper("passage"), "\\s+", "  "), F.lit("-"), F.lit("–")), F.when(F.col("doc_id") % 5 == 0, " zzqq").otherwise(""))

@@ -9,6 +9,8 @@ from rolemesh.operators import text as tx
 from rolemesh.plans import bindings as b
 from rolemesh.plans import documents as dc
 
+#: A letter and a mark that compose, a soft hyphen, ligatures, a zero-width space, wide spaces.
+UNCLEAN = "e\u0301\u00ad\ufb01\ufb05\u200b \u2003\n\n"
 CERTS = ("economy", "standard", "small", "medium", "large", "promo")
 
 
@@ -21,12 +23,21 @@ def alias_keys(spark, d):
     return b.table(spark, d, "part").select("p_partkey", tax.alias_key(name).alias("key"), tax.alias_key(name, True).alias("cert_key"))
 
 
+#: Names are taken from neighbouring pieces (words, and what stands between them) of a text.
+PIECES = "([A-Za-z0-9]+|[^A-Za-z0-9]+)"
+
+
 def _names(spark, d):
-    """Names from all passages of benchmark: words of five letters or more, neighbouring words with one space between, short words in their own case."""
-    p = b.table(spark, d, "benchmark").select(F.regexp_extract_all("text", F.lit(tx.PIECES), F.lit(0)).alias("p"))
+    """Names from all passages of benchmark: words of five letters or more, runs of two and of three with one space between, words with the comma behind them, short words in their own case."""
+    p = b.table(spark, d, "benchmark").select(F.regexp_extract_all("text", F.lit(PIECES), F.lit(0)).alias("p"))
+    long = lambda w: w.rlike("^[A-Za-z]{4,}$")
+    next_ = lambda i, k: F.get("p", i + k)
+    pick = lambda f: F.filter(F.transform("p", f), lambda w: w.isNotNull())
     one = F.filter("p", lambda w: w.rlike("^[A-Za-z]+$"))
-    two = F.filter(F.transform("p", lambda w, i: F.when(w.rlike("^[A-Za-z]{4,}$") & (F.get("p", i + 1) == " ") & F.get("p", i + 2).rlike("^[A-Za-z]{4,}$"), F.array_join(F.slice("p", i + 1, 3), ""))), lambda w: w.isNotNull())
-    rows = p.select(F.explode(F.concat(one, two)).alias("w")).select(F.when(F.length("w") > 4, F.lower("w")).otherwise(F.col("w")).alias("name"))
+    two = pick(lambda w, i: F.when(long(w) & (next_(i, 1) == " ") & long(next_(i, 2)), F.array_join(F.slice("p", i + 1, 3), "")))
+    three = pick(lambda w, i: F.when(long(w) & (next_(i, 1) == " ") & long(next_(i, 2)) & (next_(i, 3) == " ") & long(next_(i, 4)), F.array_join(F.slice("p", i + 1, 5), "")))
+    marked = pick(lambda w, i: F.when(long(w) & next_(i, 1).startswith(","), F.concat(w, F.lit(","))))
+    rows = p.select(F.explode(F.concat(one, two, three, marked)).alias("w")).select(F.when(F.length("w") > 4, F.lower("w")).otherwise(F.col("w")).alias("name"))
     return rows.where("length(name) > 4 OR name RLIKE '^[A-Z]'").distinct().select("name", F.col("name").alias("term"))
 
 
@@ -42,7 +53,7 @@ def jd_qualifications(spark, d):
     docs = dc.descriptions(spark, d)
     must = tx.sections(docs).select("doc_id", F.posexplode("must").alias("pos", "line"))
     lines = must.select(F.struct("doc_id", "pos").alias("doc_id"), F.col("line").alias("text"))
-    found = tx.spans(lines, _cert_names(spark)).join(lines, "doc_id").select("doc_id.doc_id", "doc_id.pos", F.col("text").alias("line"), "at", "term")
+    found = tx.spans(lines, _cert_names(spark), lines=True).select("doc_id.doc_id", "doc_id.pos", "line", F.col("start").alias("at"), "term")
     return tx.equivalents(found).select("doc_id", "term", "accept_equivalents", "stated")
 
 
@@ -51,14 +62,14 @@ def reading_of_spans(spark, d):
 
 
 def longest_spans(spark, d):
-    """Spans of one- and two-word names of benchmark in documents, longest only."""
+    """Spans of names of benchmark in documents, longest only."""
     found = tx.spans(_docs(spark, d), _names(spark, d))
-    return tx.maximal(found).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("at").alias("places"))
+    return tx.maximal(found).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("start").alias("places"))
 
 
 def span_places(spark, d):
     docs = dc.resumes(spark, d)
-    return tx.located(tx.spans(docs, _cert_names(spark), (1,)), docs).select("doc_id", "start", "end", "surface", "term")
+    return tx.spans(docs, _cert_names(spark)).select("doc_id", "start", "end", "surface", "term")
 
 
 def read_off(spark, d):
@@ -86,7 +97,7 @@ QUERIES = {
     "qualification_records": lambda s, d: tx.qualification_records(dc.resumes(s, d), _cert_names(s)),
     "position_history": lambda s, d: tx.positions(dc.resumes(s, d)).drop("pos"),
     "certificates_read_off": read_off,
-    "cleaned_texts": lambda s, d: _docs(s, d).select("doc_id", F.sha2(tx.cleaned(F.concat(F.lit("\r\n\n"), F.replace("text", F.lit(". "), F.lit(".  \r\n")), F.lit("ﬁ \n\n"))), 256).alias("sha")),
+    "cleaned_texts": lambda s, d: _docs(s, d).select("doc_id", F.sha2(tx.cleaned(F.concat(F.lit("\r\n\n"), F.replace("text", F.lit(". "), F.lit(".  \r\n")), F.lit(UNCLEAN))), 256).alias("sha")),
     "comparison_forms": lambda s, d: _docs(s, d).select("doc_id", F.sha2(tx.comparison_form(F.concat(F.col("text"), F.lit(" — It’s"))), 256).alias("sha")),
     "hashed_embeddings": lambda s, d: tx.hashed_embedding(_docs(s, d)).drop("row"),
     "embed_once": lambda s, d: tx.embed_once(_docs(s, d), _docs(s, d).where("doc_id % 3 = 0").select(F.sha2("text", 256).alias("key")).distinct()),
@@ -101,11 +112,14 @@ def key_sql(name: str, certification: bool) -> str:
 
 _PIECES = "regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9]+')"
 _STOP = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
-_NAME_SQL = f"""bp AS (SELECT {_PIECES} AS p FROM benchmark),
-nm AS (SELECT DISTINCT CASE WHEN length(w) > 4 THEN lower(w) ELSE w END AS name FROM (SELECT unnest([w FOR w IN p IF regexp_matches(w, '^[A-Za-z]+$')] || [array_to_string(p[i:i + 2], '') FOR i IN range(1, len(p) - 1) IF regexp_matches(p[i], '^[A-Za-z]{{4,}}$') AND p[i + 1] = ' ' AND regexp_matches(p[i + 2], '^[A-Za-z]{{4,}}$')]) AS w FROM bp) WHERE length(w) > 4 OR regexp_matches(w, '^[A-Z]')),
-dp AS (SELECT doc_id, {_PIECES} AS p FROM documents), ix AS (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM dp),
-g AS (SELECT doc_id, (i - 1)::INTEGER AS at_, i::INTEGER AS upto, p[i] AS surface FROM ix WHERE regexp_matches(p[i], '^[A-Za-z0-9]') UNION ALL SELECT doc_id, (i - 1)::INTEGER, (i + 2)::INTEGER, array_to_string(p[i:i + 2], '') FROM ix WHERE i + 2 <= len(p) AND regexp_matches(p[i], '^[A-Za-z0-9]')),
-sp AS MATERIALIZED (SELECT DISTINCT doc_id, at_, upto, surface, name AS term FROM g JOIN nm ON lower(surface) = lower(name) AND (length(name) > 4 OR surface = name))"""
+_NAME_SQL = f"""bp AS (SELECT {_PIECES} AS p FROM benchmark), bi AS (SELECT p, unnest(range(1, len(p) + 1)) AS i FROM bp),
+bn AS (SELECT p[i] AS w, p[i + 1] AS l1, p[i + 2] AS l2, p[i + 3] AS l3, p[i + 4] AS l4, regexp_matches(p[i], '^[A-Za-z]{{4,}}$') AS a, p[i + 1] = ' ' AND regexp_matches(p[i + 2], '^[A-Za-z]{{4,}}$') AS b, p[i + 3] = ' ' AND regexp_matches(p[i + 4], '^[A-Za-z]{{4,}}$') AS c FROM bi),
+nw AS (SELECT w FROM bn WHERE regexp_matches(w, '^[A-Za-z]+$') UNION ALL SELECT w || l1 || l2 FROM bn WHERE a AND b UNION ALL SELECT w || l1 || l2 || l3 || l4 FROM bn WHERE a AND b AND c UNION ALL SELECT w || ',' FROM bn WHERE a AND l1[1] = ','),
+nm AS MATERIALIZED (SELECT DISTINCT CASE WHEN length(w) > 4 THEN lower(w) ELSE w END AS name FROM nw WHERE length(w) > 4 OR regexp_matches(w, '^[A-Z]')),
+dp AS (SELECT doc_id, unnest({_PIECES}) AS w, generate_subscripts({_PIECES}, 1) AS i FROM documents),
+dx AS MATERIALIZED (SELECT doc_id, w, lead(w, 1) OVER o AS l1, lead(w, 2) OVER o AS l2, lead(w, 3) OVER o AS l3, lead(w, 4) OVER o AS l4, (sum(length(w)) OVER o - length(w))::INTEGER AS start_ FROM dp WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT doc_id, start_, w AS surface FROM dx UNION ALL SELECT doc_id, start_, w || l1 || l2 FROM dx WHERE l1 = ' ' AND l2 IS NOT NULL UNION ALL SELECT doc_id, start_, w || l1 || l2 || l3 || l4 FROM dx WHERE l1 = ' ' AND l3 = ' ' AND l4 IS NOT NULL UNION ALL SELECT doc_id, start_, w || ',' FROM dx WHERE l1[1] = ',' AND (length(l1) > 1 OR l2 IS NULL)),
+sp AS MATERIALIZED (SELECT DISTINCT doc_id, start_, start_ + length(surface) AS end_, name AS term FROM g JOIN nm ON lower(surface) = lower(name) AND (length(name) > 4 OR surface = name))"""
 _CERT_LINES = """cl AS (SELECT doc_id, i, c, (doc_id + i - 1) % 5 AS w, doc_id + i - 1 AS ki FROM (SELECT doc_id, unnest(range(1, len(certifications) + 1)) AS i, unnest(certifications) AS c FROM rs))"""
 
 ORACLES = {
@@ -114,8 +128,8 @@ ORACLES = {
     "document_contacts": f"""WITH l AS (SELECT doc_id, text, trim([x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '[^\\x20\\x09-\\x0D]')][1]) AS line FROM documents), n AS (SELECT *, trim(string_split_regex(line, '{tx.NAME_END}')[1]) AS name FROM l)
 SELECT doc_id, nullif(CASE WHEN name = upper(name) AND name <> lower(name) THEN array_to_string([upper(w[1]) || lower(w[2:]) FOR w IN string_split(name, ' ')], ' ') ELSE name END, '') AS full_name, nullif(regexp_extract(text, '{tx.EMAIL}'), '') AS email, trim([x FOR x IN regexp_extract_all(text, '{tx.PHONE}') IF length(regexp_replace(x, '[^0-9]', '', 'g')) BETWEEN 10 AND 13][1]) AS phone FROM n""",
     "head_lines": f"WITH {dc.SQL} SELECT doc_id, trim(string_split_regex([x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '[^\\x20\\x09-\\x0D]')][1], '[\\x20\\x09]+[(|–—-]')[1]) AS title FROM jd",
-    "term_mentions": f"WITH {_NAME_SQL} SELECT doc_id, term, count(DISTINCT at_) AS n, min(at_) AS first_at FROM sp GROUP BY doc_id, term",
-    "longest_spans": f"WITH {_NAME_SQL} SELECT doc_id, count(*) AS n, sum(at_)::BIGINT AS places FROM sp a WHERE NOT EXISTS (SELECT 1 FROM sp o WHERE o.doc_id = a.doc_id AND o.at_ <= a.at_ AND o.upto >= a.upto AND o.upto - o.at_ > a.upto - a.at_) GROUP BY doc_id",
+    "term_mentions": f"WITH {_NAME_SQL} SELECT doc_id, term, count(DISTINCT start_) AS n, min(start_) AS first_at FROM sp GROUP BY doc_id, term",
+    "longest_spans": f"WITH {_NAME_SQL} SELECT doc_id, count(*) AS n, sum(start_)::BIGINT AS places FROM sp a WHERE NOT EXISTS (SELECT 1 FROM sp o WHERE o.doc_id = a.doc_id AND o.start_ <= a.start_ AND o.end_ >= a.end_ AND o.end_ - o.start_ > a.end_ - a.start_) GROUP BY doc_id",
     "span_places": f"""WITH {dc.SQL}, p AS (SELECT doc_id, {_PIECES} AS p FROM rs), x AS (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM p)
 SELECT doc_id, length(array_to_string(p[1:i - 1], ''))::INTEGER AS start, length(array_to_string(p[1:i], ''))::INTEGER AS end, p[i] AS surface, lower(p[i]) AS term FROM x WHERE lower(p[i]) IN {CERTS!r}""",
     "reading_of_spans": f"WITH {dc.SQL}, {_CERT_LINES}, r AS (SELECT c AS term, CASE w WHEN 2 THEN 'employer' WHEN 3 THEN 'other' ELSE 'holding' END AS reading FROM cl UNION ALL SELECT 'promo', 'holding' FROM cl WHERE w = 4) SELECT term, reading, count(*) AS n FROM r GROUP BY ALL",
@@ -137,7 +151,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, term ORDER BY status <>
 l AS (SELECT doc_id, c AS term, i, w, ki, CASE w WHEN 0 THEN '- ' || upper(c) || ' licence, ' || (2000 + ki % 20) WHEN 1 THEN '- Studying for ' || c WHEN 2 THEN '* Audited a ' || c || ' firm' WHEN 3 THEN '- their ' || c ELSE '- ' || c || ' and part-qualified promo' END AS line FROM cl),
 a AS (SELECT doc_id, term, i, line, CASE WHEN w = 1 OR w = 4 AND term = 'promo' THEN 1 ELSE 0 END AS open, CASE WHEN w = 0 THEN (2000 + ki % 20)::INTEGER END AS year FROM l UNION ALL SELECT o.doc_id, 'promo', o.i, o.line, 1, NULL FROM l o JOIN l p ON p.doc_id = o.doc_id AND p.term = 'promo' WHERE o.w = 4 AND o.term <> 'promo'),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, term ORDER BY open, i) AS n FROM a) SELECT doc_id, term, line, year FROM r WHERE n = 1""",
-    "cleaned_texts": "SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(text, '. ', '.' || chr(10)) || 'fi' || chr(10) || chr(10), '[\\x00-\\x08\\x0B-\\x1F\\x7F]', '', 'g'), '[ \\t]+(\\n|$)', '\\1', 'g'), '^\\n+', ''), '\\n+$', '')) AS sha FROM documents",
+    "cleaned_texts": f"""WITH t AS (SELECT doc_id, regexp_replace(chr(13) || chr(10) || chr(10) || replace(text, '. ', '.  ' || chr(13) || chr(10)) || '{UNCLEAN}', '\\r\\n?', chr(10), 'g') AS t FROM documents),
+p AS (SELECT doc_id, nfc_normalize(regexp_replace(t, '[\\x00-\\x08\\x0B-\\x1F\\x7F-\\x{{9F}}\\x{{AD}}\\x{{200B}}-\\x{{200D}}\\x{{2060}}\\x{{FEFF}}\\x{{E0000}}-\\x{{E007F}}]', '', 'g')) AS t FROM t)
+SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(replace(replace(t, 'ﬁ', 'fi'), '\ufb05', 'st'), '[\\t \\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+(\\n|$)', '\\1', 'g'), '^\\n+', ''), '\\n+$', '')) AS sha FROM p""",
     "comparison_forms": "SELECT doc_id, sha256(trim(regexp_replace(lower(translate(text || ' — It’s', '‐‑‒–—−‘’', '------''''')), '[\\x20\\x09-\\x0D]+', ' ', 'g'))) AS sha FROM documents",
     "hashed_embeddings": f"""WITH r AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents), s AS (SELECT row, unnest(string_split_regex(lower(text), '[\\n;:,()]|\\.[\\x20\\x09-\\x0D]')) AS s FROM r),
 w AS (SELECT row, [w FOR w IN regexp_extract_all(s, '[\\p{{L}}\\p{{N}}]+') IF w NOT IN ({_STOP})] AS ws FROM s), t AS (SELECT row, unnest(ws || [ws[i] || ' ' || ws[i + 1] FOR i IN range(1, len(ws))]) AS t FROM w),

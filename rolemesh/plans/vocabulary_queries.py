@@ -192,7 +192,7 @@ UNION ALL SELECT 'unknown group', 'certifications', 'promo' UNION ALL SELECT 'va
     "first_records": f"WITH o AS (SELECT o_custkey AS row_id, o_orderkey AS pos, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN lower(o_orderstatus) END, '?' || {key_sql('o_orderpriority', True)}) AS k FROM orders) SELECT row_id, min(pos) AS pos FROM o GROUP BY row_id, k",
     "content_keys": f"WITH {SQL} SELECT candidate_id, sha256('{{\"email\":\"' || email || '\",\"kind\":\"profile\",\"name\":\"' || full_name || '\"}}') AS key FROM cand",
     "name_families": f"WITH {SQL} SELECT row_id, {_BASE} AS base FROM rec",
-    "named_bodies": f"WITH {SQL} SELECT row_id, CASE row_id % 4 WHEN 0 THEN 'small' ELSE 'economy' END AS of, CASE row_id % 4 WHEN 0 THEN 'Sma Institute' ELSE 'Eco Board' END AS body FROM rec WHERE row_id % 4 < 2",
+    "named_bodies": f"WITH {SQL} SELECT row_id, CASE row_id % 4 WHEN 0 THEN 'small' ELSE 'economy' END AS of, CASE row_id % 4 WHEN 0 THEN 'SMA Institute' ELSE 'Eco Board' END AS body FROM rec WHERE row_id % 4 < 2",
     "settled_records": f"WITH {SQL}, {_SET} SELECT * FROM se",
     "displayed_records": f"""WITH {SQL}, {_SET}, n AS (SELECT *, CASE WHEN name = 'Part-qualified Standard' THEN 'Standard' ELSE name END AS bare FROM se), d AS (SELECT row_id, bare, concat_ws(', ', issuing_body, jurisdiction) AS detail FROM n)
 SELECT row_id, CASE WHEN detail <> '' THEN bare || ' (' || detail || ')' ELSE bare END AS shown FROM d""",

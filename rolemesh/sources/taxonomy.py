@@ -23,11 +23,12 @@ def exploded(kinds: DataFrame) -> dict[str, DataFrame]:
 
 
 def read(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The tables of `exploded`, with places (id, name) and place_zones (id, timezone), from a JSON file with a list for each kind and one of jurisdictions."""
+    """The tables of `exploded`, with places (id, name), regions (id, region) and place_zones (id, timezone), from a JSON file with a list for each kind and one of jurisdictions."""
     doc = spark.read.schema(SCHEMA).json(path, multiLine=True)
     parts = [doc.select(F.lit(k).alias("kind"), F.col(k).alias("terms")).where(F.col(k).isNotNull()) for k in KINDS]
     j = doc.select(F.explode("jurisdictions").alias("j"))
     return exploded(parts[0].union(parts[1]).union(parts[2])) | {
         "places": j.select("j.id", F.explode("j.aliases").alias("name")),
+        "regions": j.select("j.id", F.explode("j.regions").alias("region")),
         "place_zones": j.select("j.id", F.explode("j.timezones").alias("timezone")),
     }

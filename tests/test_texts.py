@@ -47,11 +47,80 @@ def test_mentions_and_spans(spark):
     assert found.where("doc_id = 1").count() == 1  # two spaces are another surface
     kept = text.maximal(found)
     assert kept.where("doc_id = 0 AND term = 'cpa'").count() == 2  # the one inside US CPA is gone; Cpa isn't written as the short name is
-    readings = {(r.term, r.reading) for r in text.in_context(text.located(kept, d)).where("doc_id = 0").collect()}
+    readings = {(r.term, r.reading) for r in text.in_context(kept).where("doc_id = 0").collect()}
     assert readings == {("cpa", "employer"), ("cpa", "other"), ("ca", "place"), ("cpa_us", "holding")}
     assert text.mentions(docs(spark), names).count() == 0
 
 
+def test_names_of_any_length_and_spelling(spark):
+    d = docs(spark, "A Certified Public Accountant knows C++, c++ and 501(c)(3) law; Certified Public Accountants don't", "SQL, sql, MySQL; R&D", "É CPAÉ xCPA CPA1 CPA", "a a a", "İİ Master of Laws\r\nmaster of laws")
+    names = ["Certified Public Accountant", "C++", "501(c)(3)", "SQL", "R", "R&D", "CPA", "a a", "Master of Laws", ""]
+    frame = spark.createDataFrame([(n, n.lower()) for n in names], "name string, term string")
+    want = {(0, "certified public accountant", 2), (0, "c++", 36), (0, "501(c)(3)", 49), (1, "sql", 0), (1, "r", 17), (1, "r&d", 17), (2, "cpa", 2), (2, "cpa", 17), (3, "a a", 0), (3, "a a", 2), (4, "master of laws", 3), (4, "master of laws", 19)}
+    for most in (100, 3):  # with the task, and in parts that meet the texts
+        found = text.spans(d, frame, lines=True, most=most).collect()
+        assert {(r.doc_id, r.term, r.start) for r in found} == want and len(found) == len(want)
+        assert [(r.pos, r.line) for r in found if r.start == 19] == [(1, "master of laws")]
+
+
+def test_names_equal_patterns(spark):
+    """Every mention is what a search by pattern finds, whatever the letters and marks."""
+    import random
+    import re
+
+    r = random.Random(6)
+    some = lambda n: "".join(r.choice("aAbB1 é+(\n") for _ in range(n))
+    texts, names = [some(60) for _ in range(40)] + [None, ""], {some(r.randint(1, 7)) for _ in range(60)}
+    names = {n for n in names if n}
+    want = set()
+    for k, page in enumerate(texts):
+        for n in names:
+            pattern = re.compile("(?<![A-Za-z0-9])(?=" + re.escape(n) + "(?![A-Za-z0-9]))", 0 if len(n) <= 4 else re.IGNORECASE)
+            want |= {(k, n, m.start()) for m in pattern.finditer(page or "")}
+    found = text.spans(docs(spark, *texts), spark.createDataFrame([(n, n) for n in names], "name string, term string")).collect()
+    assert {(x.doc_id, x.term, x.start) for x in found} == want and len(found) == len(want)
+    assert all(texts[x.doc_id][x.start : x.end] == x.surface for x in found)
+
+
+def test_context_is_read_before_longer_names_win(spark):
+    """A longer name that isn't held doesn't hide the shorter one inside it; names over two lines and firms on the next line are seen."""
+    names = spark.createDataFrame([("CPA", "cpa"), ("CPA firm member", "member"), ("US CPA", "us"), ("ACCA", "acca")], "name string, term string")
+    d = docs(spark, "CPA firm member firm, US CPA", "their CPA; ACCA\nfirm", "- ACCA, 2019\n- 2020 CPA")
+    got = {(r.doc_id, r.term): (r.name, r.year) for r in text.qualification_records(d, names).collect()}
+    assert got == {(0, "us"): ("US CPA", None), (2, "acca"): ("ACCA", 2019), (2, "cpa"): ("CPA", None)}
+    inside = docs(spark, "their US CPA, CPA")
+    assert {r.term for r in text.qualification_records(inside, names).collect()} == {"cpa"}
+
+
+@pytest.mark.parametrize(
+    ("raw", "clean"),
+    [
+        ("e\u0301tude \u212b", "étude Å"), ("so\u00adft\u200b \ufeffx\u0085", "soft x"), ("\ufb00\ufb01\ufb02\ufb03\ufb04\ufb05\ufb06", "fffiflffifflstst"), ("\r\n\r a \u2003\rb\t\n\n", " a\nb"), ("x\U000e0041y", "xy"), (None, None), ("", ""), ("²½", "²½"),
+    ],
+)
+def test_clean_text(spark, raw, clean):
+    assert spark.createDataFrame([(raw,)], "t string").select(text.cleaned(F.col("t"))).first()[0] == clean
+
+
+def test_places(spark):
+    places = spark.createDataFrame([("united_states", "United States"), ("uae", "United Arab Emirates"), ("uk", "UK"), ("canada", "Canada")], "id string, name string")
+    regions = spark.createDataFrame([("united_states", "TX"), ("united_states", "CA"), ("canada", "ON")], "id string, region string")
+    rows = {"Austin, TX": "united_states", "Austin, TX 78701": "united_states", "Toronto, ON | UK": "canada", "CPA, CA, CIA": None, "in the United Arab Emirates": "uae", "CANADA": None, "ON, UK": "uk", "Dallas, TX\nUK": "united_states", "Austin, TXT": None, "": None, "Austin,  TX": None}
+    got = {r.doc_id: r.place for r in taxonomy.first_place(docs(spark, *rows), places, regions).collect()}
+    assert got == {k: p for k, p in enumerate(rows.values()) if p}
+
+
+def test_bodies(spark):
+    """The id itself is asked before its variants, each by its longest name, and the text's own writing is kept."""
+    bodies = spark.createDataFrame([("ca", "Institute"), ("ca_in", "ICAI"), ("ca_uk", "Institute of Scotland"), ("ca_uk", "ICAS")], "id string, body string")
+    variants = spark.createDataFrame([("ca_in", "ca"), ("ca_uk", "ca")], "id string, variant_of string")
+    rows = spark.createDataFrame([(1, "ca", "the institute of scotland"), (2, "ca", "icas and Icai"), (3, "ca_uk", "ICAI, ICAS, Institute of SCOTLAND"), (4, "ca", None), (5, "ca_uk", "ICASX")], "row_id int, id string, text string")
+    got = {r.row_id: (r.of, r.body) for r in settle.bodies_in(rows, bodies, variants).collect()}
+    assert got == {1: ("ca", "institute"), 2: ("ca_in", "Icai"), 3: ("ca_uk", "Institute of SCOTLAND")}
+    longest = {r.row_id: r.of for r in settle.bodies_in(rows, bodies, variants, own_first=False).collect()}
+    assert longest == {1: "ca_uk", 2: "ca_in", 3: "ca_uk"}
+
+
 def test_sections(spark):
     jd = "Clerk\nRequirements:\n- 5+ years of work, 3 years here.\n1. Xero\nNice to have\n* Excel.\nAbout us\n- Fun"
     d = docs(spark, jd, "no sections", None)
