@@ -5,26 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rolemesh.sources.scratch import placed
+
 
 def queued_once(jobs: DataFrame) -> DataFrame:
     """Queued jobs without those whose kind and payload an earlier queued one has."""
     return jobs.where("status = 'queued'").groupBy("kind", "payload").agg(F.min("id").alias("id"), (F.count("*") - 1).alias("suppressed"))
 
 
-def ready_order(jobs: DataFrame, now: Column, kinds: list[str] | None = None, most: int = 1000) -> DataFrame:
-    """The first `most` ready jobs of each kind that may be run: higher priority first, then earlier, then id. (Spark cuts each partition to `most` before it shuffles.)"""
-    order = Window.partitionBy("kind").orderBy(F.col("priority").desc(), "run_at", "id")
+def ready_order(jobs: DataFrame, now: Column, kinds: list[str] | None = None) -> DataFrame:
+    """(id, kind, place): every ready job in the order in which its kind may be run: higher priority first, then earlier, then id."""
     ready = jobs.where((F.col("status") == "queued") & (F.col("run_at") <= now))
     if kinds is not None:
         ready = ready.where(F.col("kind").isin(kinds))
-    return ready.select("id", "kind", F.row_number().over(order).alias("place")).where(F.col("place") <= most)
+    return placed(ready.select("id", "kind", "priority", "run_at"), "kind", F.col("priority").desc(), F.col("run_at"), F.col("id")).select("id", "kind", "place")
 
 
 def retry_schedule(jobs: DataFrame) -> DataFrame:
-    """Failed jobs: wait of 5 s times 4 for each attempt after the first, 10 minutes at most; `failed` for good if the attempts are spent or a twin is queued."""
+    """Failed jobs (with `permanent`: trying again can't help): wait of 5 s times 4 for each attempt after the first, 10 minutes at most; `failed` for good if permanent, the attempts are spent or a twin is queued."""
     twin = jobs.where("status = 'queued'").select("kind", "payload").distinct().withColumn("twin", F.lit(True))
     rows = jobs.where("status = 'failed'").join(twin, ["kind", "payload"], "left")
-    final = (F.col("attempts") >= F.col("max_attempts")) | F.col("twin").isNotNull()
+    final = F.coalesce("permanent", F.lit(False)) | (F.col("attempts") >= F.col("max_attempts")) | F.col("twin").isNotNull()
     wait = F.least(F.lit(600), (5 * F.pow(F.lit(4), F.least(F.greatest(F.col("attempts") - 1, F.lit(0)), F.lit(9)))).cast("int"))
     return rows.select("id", F.when(final, "failed").otherwise("queued").alias("next_status"), F.when(~final, wait).alias("wait_s"))
 
@@ -42,10 +43,18 @@ def latest(jobs: DataFrame) -> DataFrame:
     return jobs.groupBy("kind", "payload").agg(F.max("id").alias("id"), F.max_by("status", "id").alias("status"))
 
 
-def pending(jobs: DataFrame, ids: DataFrame, kinds: list[str]) -> DataFrame:
-    """(payload, state) for each id: `wait` if a job of those kinds is queued or running, else `now`."""
-    busy = jobs.where(F.col("kind").isin(kinds) & F.col("status").isin("queued", "running")).select("payload").distinct().withColumn("busy", F.lit(True))
-    return ids.join(busy, "payload", "left").select("payload", F.when(F.col("busy"), "wait").otherwise("now").alias("state"))
+def pending(jobs: DataFrame, runs: DataFrame, unranked: DataFrame, role_kinds: list[str], candidate_kinds: list[str]) -> DataFrame:
+    """(role_id, state) of runs (role_id, embedded): what a run can do while embeddings are on their way.
+
+    `wait` if the role has no embedding but a job of role_kinds is queued or running for it, `not_ready` if there is none; `partial` if such a job
+    of candidate_kinds is on its way for one of those it couldn't rank (role_id, candidate_id), so that it hasn't seen everybody; else `whole`.
+    """
+    on_its_way = jobs.where(F.col("status").isin("queued", "running"))
+    busy = lambda kinds, key: on_its_way.where(F.col("kind").isin(kinds)).select(F.col("payload").alias(key)).distinct()
+    role = busy(role_kinds, "role_id").withColumn("role_busy", F.lit(True))
+    some = unranked.join(busy(candidate_kinds, "candidate_id"), "candidate_id").select("role_id").distinct().withColumn("some", F.lit(True))
+    rows = runs.join(role, "role_id", "left").join(some, "role_id", "left")
+    return rows.select("role_id", F.when(~F.col("embedded"), F.when(F.col("role_busy"), "wait").otherwise("not_ready")).when(F.col("some"), "partial").otherwise("whole").alias("state"))
 
 
 def owned(completions: DataFrame, claims: DataFrame) -> DataFrame:
@@ -112,15 +121,18 @@ def cache_effect(calls: DataFrame) -> DataFrame:
     return calls.groupBy("kind", "model").agg(F.count("*").alias("calls"), F.count_if("hit").alias("hits"), F.round(F.count_if("hit") / F.count("*"), 4).alias("hit_rate"))
 
 
-def request_trace(lines: DataFrame, most: int = 100) -> DataFrame:
-    """Lines (ts, service, request_id, job_id, duration, calls, tokens) of all services by valid request id: counts, sums, attempts of jobs, and the services of the first `most` lines in order of time.
+#: Fixed value: what a request's id may look like.
+REQUEST_ID = "^[A-Za-z0-9._:-]{1,64}$"
 
-    The path is cut by a window before lines are gathered, so that one busy request stays a bounded row; counts and sums cover all its lines.
-    """
-    ok = lines.where(F.col("request_id").rlike("^[A-Za-z0-9._:-]{1,64}$"))
-    sums = ok.groupBy("request_id").agg(
+
+def request_trace(lines: DataFrame) -> DataFrame:
+    """Lines (ts, service, request_id, job_id, duration, calls, tokens) of all services by valid request id: counts, sums, attempts of jobs."""
+    return lines.where(F.col("request_id").rlike(REQUEST_ID)).groupBy("request_id").agg(
         F.count("*").alias("lines"), F.count_if(F.col("service") == "ai").alias("ai_lines"), F.round(F.sum("duration"), 4).alias("duration"),
         F.sum("calls").alias("calls"), F.sum("tokens").alias("tokens"), F.count_distinct("job_id").alias("jobs"))
-    first = ok.withColumn("k", F.row_number().over(Window.partitionBy("request_id").orderBy("ts", "service"))).where(F.col("k") <= most)
-    path = first.groupBy("request_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "service"))), lambda x: x["service"]), ">").alias("path"))
-    return sums.join(path, "request_id")
+
+
+def request_path(lines: DataFrame) -> DataFrame:
+    """(request_id, place, ts, service): every line of a valid request in order of time, a row each, however many there are."""
+    ok = lines.where(F.col("request_id").rlike(REQUEST_ID)).select("request_id", "ts", "service")
+    return placed(ok, "request_id", F.col("ts"), F.col("service"))

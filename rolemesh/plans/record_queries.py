@@ -11,6 +11,7 @@ from rolemesh.operators import evaluate as ev
 from rolemesh.operators import jobs as jb
 from rolemesh.operators import matches as mt
 from rolemesh.operators import quality as ql
+from rolemesh.operators import text as tx
 from rolemesh.plans import bindings as b
 from rolemesh.plans import documents as dc
 from rolemesh.plans import funnel_queries as fq
@@ -25,10 +26,10 @@ FREE = ["fake"]
 
 
 def _jobs(spark, d):
-    return b.table(spark, d, "events").selectExpr("event_id AS id", "event_type AS kind", "user_id AS payload", "element_at(array('queued', 'running', 'succeeded', 'failed'), cast(event_id % 4 + 1 AS int)) AS status", "event_id % 3 AS priority", "ts AS run_at", "(event_id DIV 4) % 4 AS attempts", "3 AS max_attempts")
+    return b.table(spark, d, "events").selectExpr("event_id AS id", "event_type AS kind", "user_id AS payload", "element_at(array('queued', 'running', 'succeeded', 'failed'), cast(event_id % 4 + 1 AS int)) AS status", "event_id % 3 AS priority", "ts AS run_at", "(event_id DIV 4) % 4 AS attempts", "3 AS max_attempts", "event_id % 11 = 3 AS permanent")
 
 
-JOBS = "job AS (SELECT event_id AS id, event_type AS kind, user_id AS payload, ['queued', 'running', 'succeeded', 'failed'][event_id % 4 + 1] AS status, event_id % 3 AS priority, ts AS run_at, (event_id // 4) % 4 AS attempts, 3 AS max_attempts FROM events)"
+JOBS = "job AS (SELECT event_id AS id, event_type AS kind, user_id AS payload, ['queued', 'running', 'succeeded', 'failed'][event_id % 4 + 1] AS status, event_id % 3 AS priority, ts AS run_at, (event_id // 4) % 4 AS attempts, 3 AS max_attempts, event_id % 11 = 3 AS permanent FROM events)"
 
 
 def _runs(spark, d):
@@ -56,6 +57,12 @@ def _log_text(spark, d):
     return _lines(spark, d).select(F.when(F.col("event_id") % 50 == 3, "plain text").otherwise(F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("time"), "service", "request_id", F.col("duration").alias("duration_ms"), F.struct(F.col("tokens").alias("n")).alias("extra")))).alias("value"))
 
 
+def pending(spark, d):
+    """Every fifth role lacks its embedding; those who ordered a part and have no vector couldn't be ranked for its role."""
+    runs = b.roles(spark, d).selectExpr("role_id", "role_id % 5 <> 0 AS embedded")
+    return jb.pending(_jobs(spark, d), runs, rq.matches_before(spark, d).where("candidate_id % 19 = 0"), ["signup"], ["click", "view"])
+
+
 def _all(rules) -> DataFrame:
     return ql.violations(rules)
 
@@ -211,7 +218,7 @@ QUERIES = {
     "retry_schedule": lambda s, d: jb.retry_schedule(_jobs(s, d)),
     "stale_running": lambda s, d: jb.stale_running(_jobs(s, d), F.lit("2024-01-15").cast("timestamp_ntz"), 300),
     "latest_jobs": lambda s, d: jb.latest(_jobs(s, d)),
-    "pending_dependencies": lambda s, d: jb.pending(_jobs(s, d), _jobs(s, d).select("payload").distinct(), ["signup"]),
+    "pending_dependencies": pending,
     "owned_completions": lambda s, d: jb.owned(b.table(s, d, "events").selectExpr("user_id AS job_id", "event_id % 3 AS worker", "event_id AS attempt"), b.table(s, d, "events").where("event_id % 2 = 0").selectExpr("user_id AS job_id", "event_id % 3 AS worker", "event_id AS attempt")),
     "run_costs": lambda s, d: _runs(s, d),
     "runs_per_model": lambda s, d: jb.per_model(_runs(s, d)),
@@ -220,13 +227,14 @@ QUERIES = {
     "call_counts": lambda s, d: jb.call_counts(b.table(s, d, "conversations").selectExpr("conv_id", "turn", "2 + turn % 3 AS completions", "turn % 2 AS cache_hits", "text AS prompt", "role AS answer")),
     "cache_effect": lambda s, d: jb.cache_effect(b.table(s, d, "events").selectExpr("event_type AS kind", "user_id % 3 AS model", "event_id % 4 = 0 AS hit")),
     "request_traces": lambda s, d: jb.request_trace(_lines(s, d)),
+    "request_paths": lambda s, d: jb.request_path(_lines(s, d)),
     "log_lines": lambda s, d: tb.log_lines(_log_text(s, d)).select("time", "service", "request_id", "duration_ms", F.expr("variant_get(rest, '$.extra.n', 'long')").alias("n")),
     "domain_violations": domain_violations,
     "uniqueness_violations": uniqueness,
     "orphan_references": orphans,
     "funnel_invariants": funnel_invariants,
     "outcome_invariants": outcome_invariants,
-    "population_checks": lambda s, d: ql.population(b.profiles(s, d), b.candidates(s, d), b.availability(s, d)),
+    "population_checks": lambda s, d: ql.population(b.profiles(s, d), b.candidates(s, d), b.availability(s, d), tx.availability(dc.resumes(s, d)), b.roles(s, d).join(dc.descriptions(s, d).selectExpr("doc_id AS role_id", "text AS description"), "role_id")),
     "role_selectivity": lambda s, d: ql.selectivity(fq.role_funnel(s, d)),
     "role_completeness": role_completeness,
     "population_summary": population_summary,
@@ -263,11 +271,12 @@ _SUMMARY = f"""WITH {b.SQL}, e AS (SELECT 'software' AS attribute, unnest(CASE W
 c AS (SELECT attribute, value, count(*) AS n, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM prof), 4) AS percent FROM e GROUP BY 1, 2), p AS (SELECT *, (row_number() OVER (PARTITION BY attribute, value = '(none)' ORDER BY n DESC, value))::INTEGER AS place FROM c) SELECT * FROM p WHERE place <= 10 OR value = '(none)'"""
 ORACLES = {
     "queued_once": f"WITH {JOBS} SELECT kind, payload, min(id) AS id, count(*) - 1 AS suppressed FROM job WHERE status = 'queued' GROUP BY kind, payload",
-    "ready_jobs": f"WITH {JOBS} SELECT * FROM (SELECT id, kind, row_number() OVER (PARTITION BY kind ORDER BY priority DESC, run_at, id)::INTEGER AS place FROM job WHERE status = 'queued' AND run_at <= TIMESTAMP '{NOW}' AND kind IN ('click', 'error', 'signup')) WHERE place <= 1000",
-    "retry_schedule": f"WITH {JOBS}, f AS (SELECT *, attempts >= max_attempts OR EXISTS (SELECT 1 FROM job q WHERE q.status = 'queued' AND q.kind = j.kind AND q.payload = j.payload) AS final FROM job j WHERE status = 'failed') SELECT id, CASE WHEN final THEN 'failed' ELSE 'queued' END AS next_status, CASE WHEN NOT final THEN least(600, 5 * pow(4, greatest(attempts - 1, 0)))::INTEGER END AS wait_s FROM f",
+    "ready_jobs": f"WITH {JOBS} SELECT * FROM (SELECT id, kind, row_number() OVER (PARTITION BY kind ORDER BY priority DESC, run_at, id) AS place FROM job WHERE status = 'queued' AND run_at <= TIMESTAMP '{NOW}' AND kind IN ('click', 'error', 'signup'))",
+    "retry_schedule": f"WITH {JOBS}, f AS (SELECT *, permanent OR attempts >= max_attempts OR EXISTS (SELECT 1 FROM job q WHERE q.status = 'queued' AND q.kind = j.kind AND q.payload = j.payload) AS final FROM job j WHERE status = 'failed') SELECT id, CASE WHEN final THEN 'failed' ELSE 'queued' END AS next_status, CASE WHEN NOT final THEN least(600, 5 * pow(4, greatest(attempts - 1, 0)))::INTEGER END AS wait_s FROM f",
     "stale_running": f"WITH {JOBS}, o AS (SELECT * FROM job WHERE status = 'running' AND run_at + INTERVAL 300 SECOND < TIMESTAMP '2024-01-15') SELECT id, CASE WHEN attempts >= max_attempts OR EXISTS (SELECT 1 FROM job q WHERE q.status = 'queued' AND q.kind = o.kind AND q.payload = o.payload) OR EXISTS (SELECT 1 FROM o p WHERE p.kind = o.kind AND p.payload = o.payload AND p.id < o.id AND p.attempts < p.max_attempts) THEN 'failed' ELSE 'queued' END AS next_status FROM o",
     "latest_jobs": f"WITH {JOBS} SELECT kind, payload, max(id) AS id, arg_max(status, id) AS status FROM job GROUP BY kind, payload",
-    "pending_dependencies": f"WITH {JOBS} SELECT payload, CASE WHEN bool_or(kind = 'signup' AND status IN ('queued', 'running')) THEN 'wait' ELSE 'now' END AS state FROM job GROUP BY payload",
+    "pending_dependencies": f"""WITH {rq.MATCHES}, {JOBS}, busy AS (SELECT DISTINCT kind, payload FROM job WHERE status IN ('queued', 'running')), late AS (SELECT DISTINCT role_id FROM mt JOIN busy ON payload = candidate_id AND kind IN ('click', 'view') WHERE candidate_id % 19 = 0)
+SELECT role_id, CASE WHEN role_id % 5 = 0 THEN CASE WHEN EXISTS (SELECT 1 FROM busy WHERE payload = role_id AND kind = 'signup') THEN 'wait' ELSE 'not_ready' END WHEN role_id IN (SELECT role_id FROM late) THEN 'partial' ELSE 'whole' END AS state FROM role""",
     "owned_completions": "WITH c AS (SELECT user_id, max(event_id) AS a FROM events WHERE event_id % 2 = 0 GROUP BY 1) SELECT user_id AS job_id, event_id % 3 AS worker, event_id AS attempt, coalesce(event_id = a, false) AS counts FROM events LEFT JOIN c USING (user_id)",
     "run_costs": f"WITH {RUNS} SELECT * FROM rn",
     "runs_per_model": f"WITH {RUNS} SELECT model, count(*) AS runs, round(avg(candidates), 1) AS avg_candidates, round(avg(llm_calls), 1) AS avg_llm_calls, round(avg(tokens_in), 0) AS avg_tokens_in, round(avg(tokens_out), 0) AS avg_tokens_out, round(avg(rerank_ms), 0) AS avg_rerank_ms, round(avg(cost), 4) AS avg_cost, round(sum(cost) / nullif(sum(candidates), 0), 4) AS cost_per_candidate, round(avg(total_ms), 0) AS avg_total_ms, round(quantile_cont(total_ms, 0.5), 4) AS p50_ms, round(quantile_cont(total_ms, 0.95), 4) AS p95_ms FROM rn WHERE llm_calls > 0 GROUP BY model",
@@ -275,16 +284,19 @@ ORACLES = {
     "run_usage": f"WITH {RUNS} SELECT event_id % 1000 AS run_id, sum(llm_calls)::BIGINT AS llm_calls, sum(cache_hits)::BIGINT AS cache_hits, sum(tokens_in)::BIGINT AS tokens_in, sum(tokens_out)::BIGINT AS tokens_out, CASE WHEN NOT bool_or(cost IS NULL) THEN round(sum(cost), 6) END AS cost FROM rn GROUP BY 1",
     "call_counts": "SELECT conv_id, turn, 2 + turn % 3 AS completions, turn % 2 AS cache_hits, 2 + turn % 3 - turn % 2 AS llm_calls, (length(coalesce(text, '')) + 3) // 4 AS tokens_in, (length(coalesce(role, '')) + 3) // 4 AS tokens_out FROM conversations",
     "cache_effect": "SELECT event_type AS kind, user_id % 3 AS model, count(*) AS calls, count(*) FILTER (event_id % 4 = 0) AS hits, round(count(*) FILTER (event_id % 4 = 0) / count(*), 4) AS hit_rate FROM events GROUP BY 1, 2",
-    "request_traces": f"WITH {_TRACE} SELECT request_id, count(*) AS lines, count(*) FILTER (service = 'ai') AS ai_lines, round(sum(duration), 4) AS duration, sum(calls)::BIGINT AS calls, sum(tokens)::BIGINT AS tokens, count(DISTINCT job_id) AS jobs, string_agg(service, '>' ORDER BY ts, service) AS path FROM l WHERE request_id <> 'bad id' GROUP BY request_id",
+    "request_traces": f"WITH {_TRACE} SELECT request_id, count(*) AS lines, count(*) FILTER (service = 'ai') AS ai_lines, round(sum(duration), 4) AS duration, sum(calls)::BIGINT AS calls, sum(tokens)::BIGINT AS tokens, count(DISTINCT job_id) AS jobs FROM l WHERE request_id <> 'bad id' GROUP BY request_id",
+    "request_paths": f"WITH {_TRACE} SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY ts, service) AS place, ts, service FROM l WHERE request_id <> 'bad id'",
     "log_lines": f"WITH {_TRACE} SELECT date_trunc('second', ts)::TIMESTAMP AS time, service, request_id, duration AS duration_ms, tokens AS n FROM l WHERE event_id % 50 <> 3",
     "domain_violations": " UNION ALL ".join([f"WITH {rq.MATCHES} " + _rule("years below 0", "candidate_id", "prof", "candidate_id % 90 = 4"), _rule("hours outside 1..80", "candidate_id", "avail", "candidate_id % 50 = 1"), _rule("start equals end", "candidate_id", "avail", "candidate_id % 60 = 2 OR work_start = work_end"), _rule("role status", "role_id", "role", "role_id % 80 = 1"), _rule("overlap outside 1..8", "role_id", "role", "role_id % 70 = 5"), _rule("overlap without zone", "role_id", "role", "role_id % 70 = 5 AND timezone IS NULL"), _rule("score outside 0..1", "match_id", "mt", "match_id % 100 = 3 AND score > 0")]),
     "uniqueness_violations": " UNION ALL ".join([f"WITH {b.SQL} " + _repeat("email", "'same@example.com'", "cand", "candidate_id % 40 = 3"), _repeat("role and candidate", "l_partkey || '/' || o_custkey", "lineitem JOIN orders ON l_orderkey = o_orderkey")]),
     "orphan_references": " UNION ALL ".join([f"WITH {rq.MATCHES} " + _orphan("profile of candidate", "prof", "candidate_id", "SELECT candidate_id FROM cand WHERE candidate_id % 10 <> 3"), _orphan("answers of candidate", "avail", "candidate_id", "SELECT candidate_id FROM cand WHERE candidate_id % 10 <> 3"), _orphan("match of candidate", "mt", "candidate_id", "SELECT candidate_id FROM cand WHERE candidate_id % 10 <> 3"), _orphan("match of role", "mt", "role_id", "SELECT role_id FROM role WHERE role_id % 10 <> 4"), _orphan("event of match", "ev", "match_id", "SELECT match_id FROM mt WHERE match_id % 10 <> 5"), _orphan("run of role", "run", "role_id", "SELECT role_id FROM role WHERE role_id % 10 <> 4")]),
     "funnel_invariants": f"WITH {fq.STAGES} SELECT 'counts rise' AS rule, role_id::VARCHAR AS id FROM fun WHERE role_id % 50 = 0 UNION ALL SELECT 'more listed and unranked than passed', role_id::VARCHAR FROM fun WHERE role_id % 50 = 1 UNION ALL SELECT 'lists of different length', role_id::VARCHAR FROM fun WHERE role_id % 50 = 2",
     "outcome_invariants": f"WITH {rq.MATCHES} SELECT 'reason and status disagree' AS rule, run_id::VARCHAR AS id FROM run WHERE run_id % 35 = 1 AND attention_reason IS NOT NULL UNION ALL SELECT 'detail without reason', run_id::VARCHAR FROM run WHERE run_id % 30 = 0 AND (attention_reason IS NULL OR run_id % 35 = 1)",
-    "population_checks": f"""WITH {b.SQL}, c AS (SELECT count(*) AS n, count(*) FILTER (len(certifications) > 0) AS c, count(*) FILTER (len(software) > 0) AS s, count(avail.candidate_id) AS a FROM cand LEFT JOIN prof USING (candidate_id) LEFT JOIN avail USING (candidate_id)),
+    "population_checks": f"""WITH {dc.SQL}, c AS (SELECT count(*) AS n, count(prof.candidate_id) AS p, count(*) FILTER (len(certifications) > 0) AS c, count(*) FILTER (len(software) > 0) AS s, count(avail.candidate_id) AS a, count(DISTINCT timezone) AS z FROM cand LEFT JOIN prof USING (candidate_id) LEFT JOIN avail USING (candidate_id)),
 x AS (SELECT (SELECT count(DISTINCT v) FROM (SELECT unnest(certifications) AS v FROM prof)) AS dc, (SELECT count(DISTINCT v) FROM (SELECT unnest(software) AS v FROM prof)) AS ds)
-SELECT 'population' AS check, n::DOUBLE AS value, n >= 100 AS ok FROM c UNION ALL SELECT 'share with certifications', round(c / n, 6), c / n >= 0.5 FROM c UNION ALL SELECT 'share with software', round(s / n, 6), s / n >= 0.5 FROM c UNION ALL SELECT 'share answered', round(a / n, 6), a / n BETWEEN 0.70 AND 0.95 FROM c
+SELECT 'population' AS check, n::DOUBLE AS value, n >= 150 AS ok FROM c UNION ALL SELECT 'profiles', p::DOUBLE, p = n FROM c UNION ALL SELECT 'distinct time zones', z::DOUBLE, z >= 6 FROM c UNION ALL
+SELECT 'roles described', count(*)::DOUBLE, count(*) >= 5 FROM jd UNION ALL SELECT 'roles with overlap', count(min_overlap_hours)::DOUBLE, count(min_overlap_hours) >= 3 FROM role UNION ALL SELECT 'distinct hours asked', count(DISTINCT hours_per_week)::DOUBLE, count(DISTINCT hours_per_week) >= 2 FROM role
+UNION ALL SELECT 'distinct availability', count(DISTINCT doc_id % 4)::DOUBLE, count(DISTINCT doc_id % 4) >= 4 FROM rs UNION ALL SELECT 'share with certifications', round(c / n, 6), c / n >= 0.5 FROM c UNION ALL SELECT 'share with software', round(s / n, 6), s / n >= 0.5 FROM c UNION ALL SELECT 'share answered', round(a / n, 6), a / n BETWEEN 0.70 AND 0.95 FROM c
 UNION ALL SELECT 'distinct certifications', dc::DOUBLE, dc >= 5 FROM x UNION ALL SELECT 'distinct software', ds::DOUBLE, ds >= 5 FROM x""",
     "role_selectivity": f"WITH {fq.STAGES} SELECT role_id, after_overlap AS passed, after_overlap >= 1 AND after_overlap <= 0.9 * pool AS ok, (SELECT count(DISTINCT after_overlap) FROM fun) AS sizes, (SELECT count(DISTINCT after_overlap) FROM fun) >= 4 AS sizes_ok FROM fun",
     "role_completeness": f"WITH {dc.SQL}, a AS (SELECT *, CASE WHEN doc_id % 44 = 0 THEN 10 WHEN doc_id % 45 = 0 THEN 0 END AS asked FROM jd) SELECT 'no time zone' AS rule, doc_id::VARCHAR AS id FROM a WHERE timezone IS NULL UNION ALL SELECT 'no must-haves', doc_id::VARCHAR FROM a WHERE soft IS NULL AND cert IS NULL AND min_years IS NULL UNION ALL SELECT 'no description', doc_id::VARCHAR FROM a WHERE doc_id % 33 = 0 UNION ALL SELECT 'hours both parsed and asked', doc_id::VARCHAR FROM a WHERE hours_per_week IS NOT NULL AND asked IS NOT NULL UNION ALL SELECT 'hours not positive', doc_id::VARCHAR FROM a WHERE asked <= 0",

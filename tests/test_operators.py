@@ -202,7 +202,33 @@ def test_scores(spark, levels, score):
 
 
 def test_retries(spark):
-    rows = [(k, "a", k, "failed", k, 9) for k in range(1, 7)] + [(7, "b", 1, "failed", 1, 9), (8, "b", 1, "queued", 0, 9), (9, "c", 1, "failed", 3, 3)]
-    got = {r.id: (r.next_status, r.wait_s) for r in jobs.retry_schedule(spark.createDataFrame(rows, "id int, kind string, payload int, status string, attempts int, max_attempts int")).collect()}
+    rows = [(k, "a", k, "failed", k, 9, None) for k in range(1, 7)] + [(7, "b", 1, "failed", 1, 9, False), (8, "b", 1, "queued", 0, 9, None), (9, "c", 1, "failed", 3, 3, False), (10, "d", 1, "failed", 1, 3, True)]
+    got = {r.id: (r.next_status, r.wait_s) for r in jobs.retry_schedule(spark.createDataFrame(rows, "id int, kind string, payload int, status string, attempts int, max_attempts int, permanent boolean")).collect()}
     assert [got[k][1] for k in range(1, 7)] == [5, 20, 80, 320, 600, 600]
-    assert got[7] == got[9] == ("failed", None)
+    assert got[7] == got[9] == got[10] == ("failed", None)
+
+
+def test_every_ready_job_has_a_place(spark):
+    """No cap, however many there are of a kind, and a kind that isn't named is one too."""
+    rows = [(k, None if k % 3 == 0 else "a", k % 2, "queued" if k % 5 else "running") for k in range(5000)]
+    df = spark.createDataFrame(rows, "id long, kind string, priority int, status string").withColumn("run_at", F.timestamp_seconds(F.pmod("id", F.lit(7))))
+    got = {(r.kind, r.place): r.id for r in jobs.ready_order(df, F.timestamp_seconds(F.lit(5))).collect()}
+    want = {}
+    for kind in (None, "a"):
+        ready = sorted((-p, k % 7, k) for k, x, p, s in rows if x == kind and s == "queued" and k % 7 <= 5)
+        want |= {(kind, n + 1): k for n, (*_, k) in enumerate(ready)}
+    assert got == want
+
+
+def test_paths_are_whole(spark):
+    lines = spark.createDataFrame([(f"r{k % 2}" if k % 50 else "bad id", k, "ai" if k % 3 else "api") for k in range(1000)], "request_id string, ts long, service string")
+    got = jobs.request_path(lines).where("request_id = 'r1'").orderBy("place").collect()
+    assert [r.ts for r in got] == [k for k in range(1000) if k % 2] and [r.place for r in got] == list(range(1, 501))
+
+
+def test_pending(spark):
+    work = spark.createDataFrame([("role", 1, "queued"), ("role", 2, "failed"), ("profile", 10, "running"), ("resume", 11, "succeeded")], "kind string, payload long, status string")
+    runs = spark.createDataFrame([(1, False), (2, False), (3, True), (4, True), (5, True)], "role_id long, embedded boolean")
+    unranked = spark.createDataFrame([(3, 10), (3, 11), (4, 11), (1, 10)], "role_id long, candidate_id long")
+    got = {r.role_id: r.state for r in jobs.pending(work, runs, unranked, ["role"], ["profile", "resume"]).collect()}
+    assert got == {1: "wait", 2: "not_ready", 3: "partial", 4: "whole", 5: "whole"}
