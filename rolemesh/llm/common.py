@@ -53,6 +53,22 @@ def ranked(df: DataFrame, label: str, *order, most: int = 1 << 63) -> DataFrame:
     return placed.join(F.broadcast(bases), part == F.col("_part")).withColumn("id", F.col("_base") + within).drop("_at", "_part", "_base")
 
 
+def running(df: DataFrame, label: str, order: list, **values) -> DataFrame:
+    """df with a column for each of values (F.sum or F.max, and a column): the aggregate over all rows that stand no later in the given order.
+
+    Rows are sorted by ranges, and each range is summed where it lies; only a row for each range meets in one task, and is sent to all.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = written(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), label)
+    own = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("_part").agg(*[f(c).alias(f"_t_{k}") for k, (f, c) in values.items()])
+    totals = totals.select("_part", *[f(F.col(f"_t_{k}")).over(before).alias(f"_b_{k}") for k, (f, _) in values.items()])
+    joined = rows.withColumns({f"_o_{k}": f(c).over(own) for k, (f, c) in values.items()}).join(F.broadcast(totals), "_part")
+    both = {k: F.coalesce(F.col(f"_o_{k}") + F.col(f"_b_{k}"), f"_o_{k}", f"_b_{k}") if f is F.sum else F.greatest(f"_o_{k}", f"_b_{k}") for k, (f, _) in values.items()}
+    return joined.withColumns(both).drop("_part", *[f"_{x}_{k}" for k in values for x in "ob"])
+
+
 #: Tables written while a stage runs, and those of the stage before it.
 _RECORDING: list[str] | None = None
 _OF_LAST_STAGE: list[str] = []

@@ -9,7 +9,7 @@ as positives times the prior.
 Features are shares and means over a whole text (letters, capitals, digits, marks, repeated
 words, line and word lengths), and the shares of its words and of its byte trigrams in hashed buckets, taken once
 for every document in one pass; what is fitted is a linear model on a bounded sample (about `MOST_ROWS`
-positives and as many unlabelled texts at most, chosen by the hash of doc_id alone). Labels, lang, source
+positives and as many unlabelled texts at most, chosen by a hash; see `sampled`). Labels, lang, source
 and doc_id are not inputs of a score.
 
 Defined cases: null and empty texts have all features 0 and a score as any other; very long texts are
@@ -170,9 +170,10 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, penalty: float = 1e-2) ->
 
 
 def sampled(rows: DataFrame, most: int) -> np.ndarray:
-    """Features of about `most` rows at most, by hash of doc_id."""
+    """Features of about `most` rows at most, those of least hash of doc_id and features, however many rows there are. Equal rows come together, so that a second bound holds what many of them may add."""
     n = rows.count()
-    part = rows if n <= most else rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * most / n))
+    least = F.xxhash64("doc_id", "f")
+    part = rows if n <= most else rows.withColumn("h", least).where(F.col("h") < F.lit(-(1 << 63) + (most << 64) // n)).orderBy("h").limit(2 * most)
     table = part.select("f").toArrow().column("f").combine_chunks()
     return table.flatten().to_numpy().astype(float).reshape(-1, len(NAMES))
 

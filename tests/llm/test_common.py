@@ -19,3 +19,22 @@ def test_words():
     low = [re.findall("[^\\x20\\x09-\\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r)) for r in rows]
     assert coded.to_pylist() == [w for x in low for w in x]
     assert counts.tolist() == [len(x) for x in low]
+
+
+def test_running_and_ranked(spark):
+    import random
+
+    from pyspark.sql import functions as F
+    from rolemesh.llm.common import ranked, running
+
+    r = random.Random(3)
+    rows = [(k, r.randrange(20), r.choice([None, 1, 5])) for k in range(500)]
+    df = spark.createDataFrame(rows, "k long, v long, x long").repartition(3)
+    got = {q.k: (q.total, q.most) for q in running(df, "t", [F.col("v").desc(), F.col("k")], total=(F.sum, F.col("x")), most=(F.max, F.col("x"))).collect()}
+    seen = []
+    for k, _, x in sorted(rows, key=lambda q: (-q[1], q[0])):
+        seen += [x] if x is not None else []
+        assert got[k] == ((sum(seen), max(seen)) if seen else (None, None))
+    places = {q.k: q.id for q in ranked(df, "t", F.desc("v"), "k").collect()}
+    assert places == {k: n for n, (k, *_) in enumerate(sorted(rows, key=lambda q: (-q[1], q[0])))}
+    assert ranked(df.where("false"), "t", "k").count() == 0
