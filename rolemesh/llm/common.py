@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from functools import wraps
@@ -34,8 +35,8 @@ def written(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame
     """Cut the lineage of df with a Parquet table in the shared folder: a lost executor costs no recomputation of what is above."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/rolemesh/{label}-{uuid.uuid4().hex}"
-    if _RECORDING is not None:
-        _RECORDING.append(path)
+    if _TABLES.now is not None:
+        _TABLES.now.append(path)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -69,28 +70,33 @@ def running(df: DataFrame, label: str, order: list, **values) -> DataFrame:
     return joined.withColumns(both).drop("_part", *[f"_{x}_{k}" for k in values for x in "ob"])
 
 
-#: Tables written while a stage runs, and those of the stage before it.
-_RECORDING: list[str] | None = None
-_OF_LAST_STAGE: list[str] = []
+class _Tables(threading.local):
+    """What the pipeline of this thread has written: while a stage runs (none: outside stages), and by the stage before it."""
 
+    now: list[str] | None = None
+    earlier: list[str] = []
 
-def stage(f: Callable) -> Callable:
-    """A pipeline stage (spark, docs, sf_dir): tables that the stage before wrote for itself are deleted as it begins, but for those that docs still reads."""
+
+_TABLES = _Tables()
+
+
+def stage(f: Callable | None = None, *, first: bool = False) -> Callable:
+    """A pipeline stage (spark, docs, sf_dir): tables that the stage before wrote for itself are deleted as it begins, but for those that docs still reads. The first stage begins a pipeline and deletes nothing."""
+    if f is None:
+        return lambda g: stage(g, first=first)
 
     @wraps(f)
     def staged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        global _RECORDING, _OF_LAST_STAGE
-        if _OF_LAST_STAGE:
-            read = docs.inputFiles()
-            for path in _OF_LAST_STAGE:
-                if not any(f"{path}/" in x for x in read):
-                    there = spark._jvm.org.apache.hadoop.fs.Path(path)
-                    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
-        _RECORDING = []
+        read = [] if first else docs.inputFiles() if _TABLES.earlier else []
+        for path in [] if first else _TABLES.earlier:
+            if not any(f"{path}/" in x for x in read):
+                there = spark._jvm.org.apache.hadoop.fs.Path(path)  # any store that Spark writes to
+                there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+        _TABLES.now = []
         try:
             return f(spark, docs, sf_dir)
         finally:
-            _OF_LAST_STAGE, _RECORDING = _RECORDING, None
+            _TABLES.earlier, _TABLES.now = _TABLES.now, None
 
     return staged
 

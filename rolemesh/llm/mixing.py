@@ -13,25 +13,26 @@ inside each source, whose totals are summed first, then order inside a range. A
 all rows, or very many rows without a doc_id, are as finely divided as their rows demand; only rows that
 agree in both doc_id and text stay together.
 
-`for_sources` divides the weight of OTHER equally among the sources that occur unnamed, so that each has
-a stream and deadlines of its own. The driver holds the schedule, which grows with the square of their number.
+With `apart`, each source that the weights don't name has a stream of its own inside OTHER. OTHER's turns go round among those that
+still have blocks, so that each has its equal part of them to within less than one block, as Pfair gives equal weights. Where a
+round begins follows from how many blocks all of them have: the sources are ranked, and rounds are found, by sorting ranges.
+The driver holds the schedule of the weights that it was given, and nothing for each source.
 
-Defined cases: in `scheduled`, sources that the weights don't name, and null ones, form the source OTHER together;
-in `for_sources`, null ones and those called OTHER are one of the unnamed;
+Defined cases: without `apart`, sources that the weights don't name, and null ones, form one stream OTHER together;
+with it, null ones and those called OTHER are one of the unnamed;
 a weight of 0 or a source without rows takes no part; sources of which only such weights are left
-follow at the end; null and empty texts count one unit; repeated rows are each placed, next to each
-other; an empty table gives no rows. Columns of docs may have any names.
+follow at the end; null and empty texts count one unit, and a very long text as many blocks as it fills, all in its first one's place;
+repeated rows are each placed, next to each other; an empty table gives no rows. Columns of docs may have any names.
 """
 
 from __future__ import annotations
 
 from heapq import heapify, heappop, heappush
-from math import gcd
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolemesh.llm.common import written
+from rolemesh.llm.common import ranked, running, written
 
 OTHER = "other"
 #: About so many rows are ordered together.
@@ -74,20 +75,19 @@ def phases(weights: dict[str, int], blocks: dict[str, int]) -> list[dict]:
     return out
 
 
-def for_sources(docs: DataFrame, weights: dict[str, int]) -> dict[str, int]:
-    """Weights in the same proportions that name every source of docs: that of OTHER is divided equally among those not named."""
-    found = [r[0] for r in docs.select(F.coalesce("source", F.lit(OTHER)).alias("s")).distinct().collect()]  # a row for each source
-    named = {s: w for s, w in weights.items() if s != OTHER}
-    others = sorted(s for s in found if s not in named)
-    if not others:
-        return weights
-    out = {s: w * len(others) for s, w in named.items()} | dict.fromkeys(others, weights.get(OTHER, 0))
-    unit = max(1, gcd(*out.values()))
-    return {s: w // unit for s, w in out.items()}
+def rounds(blocks: DataFrame, streams: DataFrame) -> DataFrame:
+    """blocks (stream, block) with `turn`: their places when streams (stream, blocks) take turns, a block each, as long as they have any."""
+    sized = ranked(streams, "stream-ranks", F.desc("blocks"), "stream").select("stream", "blocks", F.col("id").alias("rank"))  # those with a block left come first
+    n = streams.count()
+    events = streams.select(F.col("blocks").alias("at"), F.lit(0).alias("asks"), F.lit(1).cast("long").alias("over"), F.col("blocks").alias("used"), "stream")
+    asked = blocks.select("block").distinct().select(F.col("block").alias("at"), F.lit(1), F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(None).cast("string"))
+    upto = running(events.union(asked), "rounds", [F.col("at"), F.col("asks"), F.col("stream")], gone=(F.sum, F.col("over")), spent=(F.sum, F.col("used"))).where("asks = 1")
+    begins = upto.select(F.col("at").alias("block"), (F.col("spent") + F.col("at") * (F.lit(n) - F.col("gone"))).alias("begins"))  # blocks of all streams in the rounds before
+    return blocks.join(begins, "block").join(sized.select("stream", "rank"), "stream").select("stream", "block", (F.col("begins") + F.col("rank")).alias("turn"))
 
 
-def scheduled(docs: DataFrame, weights: dict[str, int], block_units: int, units: Column) -> DataFrame:
-    """docs with `_class`, `_block`, `_slot` (place of its block in the mix) and `_start` (units before it in its source).
+def scheduled(docs: DataFrame, weights: dict[str, int], block_units: int, units: Column, apart: bool = False) -> DataFrame:
+    """docs with `_class` (its stream: a weight's name, or with `apart` the source), `_block`, `_slot` (place of its block in the mix) and `_start` (units before it in its stream).
 
     docs needs doc_id and source; units is the size of a row. Rows of one doc_id are told apart by `_hash`, a hash of their content (of text if there is no such column).
     """
@@ -95,31 +95,39 @@ def scheduled(docs: DataFrame, weights: dict[str, int], block_units: int, units:
     named = [s for s in weights if s != OTHER]
     docs = docs if "_hash" in docs.columns else docs.withColumn("_hash", F.xxhash64("text") if "text" in docs.columns else F.lit(0).cast("long"))
     place = F.xxhash64("doc_id", "_hash")
-    rows = docs.withColumns({"_class": F.when(F.col("source").isin(named), F.col("source")).otherwise(F.lit(OTHER)), "_units": F.greatest(F.lit(1), F.coalesce(units, F.lit(1))).cast("long"), "_place": place})
+    known = F.col("source").isin(named)
+    stream = F.coalesce("source", F.lit(OTHER)) if apart else F.when(known, F.col("source")).otherwise(F.lit(OTHER))
+    rows = docs.withColumns({"_weight": F.when(known, F.col("source")).otherwise(F.lit(OTHER)), "_class": stream, "_units": F.greatest(F.lit(1), F.coalesce(units, F.lit(1))).cast("long"), "_place": place})
     n = max(1, -(-docs.count() // RANGE_ROWS))
     rows = rows.withColumn("_range", F.floor((F.shiftrightunsigned("_place", 33) * F.lit(n)) / F.lit(float(2**31))).cast("long"))
-    totals = written(rows.groupBy("_class", "_range").agg(F.sum("_units").alias("total")), "range-totals")
+    totals = written(rows.groupBy("_weight", "_class", "_range").agg(F.sum("_units").alias("total")), "range-totals")
     before = Window.partitionBy("_class").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     bases = totals.select("_class", "_range", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("_base"))
-    blocks = {r["_class"]: -(-r["units"] // block_units) for r in totals.groupBy("_class").agg(F.sum("total").alias("units")).collect()}  # a row for each weight
+    streams = totals.groupBy("_weight", F.col("_class").alias("stream")).agg(F.ceil(F.sum("total") / block_units).cast("long").alias("blocks"))
     inside = Window.partitionBy("_class", "_range").orderBy("_place", "doc_id", "_hash").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("_within", F.coalesce(F.sum("_units").over(inside), F.lit(0))).join(bases, ["_class", "_range"])
     placed = placed.withColumn("_start", F.col("_base") + F.col("_within")).withColumn("_block", F.floor(F.col("_start") / block_units).cast("long"))
-    plan = phases(weights, blocks)
+    plan = phases(weights, {r["_weight"]: r["blocks"] for r in streams.groupBy("_weight").agg(F.sum("blocks").alias("blocks")).collect()})  # a row for each weight
     schema = "source string, first long, last long, base long, period long, weight long, places array<long>"
-    table = spark.createDataFrame([tuple(p.values()) for p in plan], schema)  # at most the square of the number of weights
-    joined = placed.join(F.broadcast(table.withColumnsRenamed({c: f"_p_{c}" for c in table.columns})), (F.col("_class") == F.col("_p_source")) & F.col("_block").between(F.col("_p_first"), F.col("_p_last")))
-    k = F.col("_block") - F.col("_p_first")
+    table = spark.createDataFrame([tuple(p.values()) for p in plan], schema)  # at most the square of the number of weights given
+    placed = placed.withColumn("_turn", F.col("_block"))
+    if apart:
+        ours = F.col("_weight") == OTHER
+        blocks = written(placed.where(ours).select(F.col("_class").alias("stream"), F.col("_block").alias("block")).distinct(), "blocks")
+        turns = rounds(blocks, written(streams.where(ours).select("stream", "blocks"), "streams")).select(F.col("stream").alias("_class"), F.col("block").alias("_block"), F.lit(OTHER).alias("_weight"), F.col("turn").alias("_own"))
+        placed = placed.join(turns, ["_class", "_block", "_weight"], "left").withColumn("_turn", F.coalesce("_own", "_turn")).drop("_own")
+    joined = placed.join(F.broadcast(table.withColumnsRenamed({c: f"_p_{c}" for c in table.columns})), (F.col("_weight") == F.col("_p_source")) & F.col("_turn").between(F.col("_p_first"), F.col("_p_last")))
+    k = F.col("_turn") - F.col("_p_first")
     slot = F.col("_p_base") + F.floor(k / F.col("_p_weight")) * F.col("_p_period") + F.get("_p_places", (k % F.col("_p_weight")).cast("int"))
-    return joined.withColumn("_slot", slot.cast("long")).drop("_units", "_hash", "_place", "_range", "_within", "_base", *[f"_p_{c}" for c in table.columns])
+    return joined.withColumn("_slot", slot.cast("long")).drop("_units", "_hash", "_place", "_range", "_within", "_base", "_weight", "_turn", *[f"_p_{c}" for c in table.columns])
 
 
-def mixed(docs: DataFrame, weights: dict[str, int], block_units: int) -> DataFrame:
+def mixed(docs: DataFrame, weights: dict[str, int], block_units: int, apart: bool = False) -> DataFrame:
     """docs in mixed order, columns as given: range-partitioned and sorted by place, so that files written from it hold the mix in order."""
     names = [f"c{k}" for k in range(len(docs.columns))]
     of = {c: names[docs.columns.index(c)] for c in ("doc_id", "source", "text")}
     plain = docs.toDF(*names).withColumns({"doc_id": F.col(of["doc_id"]), "source": F.col(of["source"]), "_hash": F.xxhash64(of["text"])})
-    rows = scheduled(plain, weights, block_units, F.length(of["text"]))
+    rows = scheduled(plain, weights, block_units, F.length(of["text"]), apart)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartitionByRange(parts, "_slot", "_start").sortWithinPartitions("_slot", "_start", "doc_id").select(*names).toDF(*docs.columns)
 
@@ -131,5 +139,5 @@ BLOCK_CHARS = 100_000
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", F.length("text").alias("n"), F.xxhash64("text").alias("_hash"))
-    rows = scheduled(docs, for_sources(docs, WEIGHTS), BLOCK_CHARS, F.col("n"))
+    rows = scheduled(docs, WEIGHTS, BLOCK_CHARS, F.col("n"), apart=True)
     return rows.select("doc_id", F.col("_class").alias("source_class"), F.col("_block").alias("block"), F.col("_slot").alias("slot"), F.col("_start").alias("units_before"))

@@ -38,3 +38,35 @@ def test_running_and_ranked(spark):
     places = {q.k: q.id for q in ranked(df, "t", F.desc("v"), "k").collect()}
     assert places == {k: n for n, (k, *_) in enumerate(sorted(rows, key=lambda q: (-q[1], q[0])))}
     assert ranked(df.where("false"), "t", "k").count() == 0
+
+
+def test_stages_delete_only_what_the_stage_before_wrote(spark):
+    import os
+    import threading
+
+    from rolemesh.llm import common
+
+    made = {}
+
+    def keeps(name):
+        def f(spark, docs, sf_dir):
+            common.written(spark.range(3), f"own-{name}")
+            made[name] = common._TABLES.now[-1]
+            return docs
+
+        return f
+
+    one, two, last = common.stage(first=True)(keeps("one")), common.stage(keeps("two")), common.stage(keeps("last"))
+    there = lambda name: os.path.exists(made[name].removeprefix("file:"))
+    docs = spark.range(2)
+    one(spark, docs, "")
+    two(spark, docs, "")
+    assert not there("one") and there("two")
+    other = threading.Thread(target=lambda: (common.stage(first=True)(keeps("their first"))(spark, docs, ""), common.stage(keeps("their second"))(spark, docs, "")))
+    other.start()
+    other.join()
+    assert there("two") and there("their second") and not there("their first")
+    last(spark, docs, "")
+    assert not there("two") and there("last")
+    one(spark, docs, "")  # another pipeline may begin while the last one's result isn't read yet
+    assert there("last")
