@@ -1,4 +1,10 @@
-"""From raw documents to packed sequences: five stages, each written as Parquet and read again by the next."""
+"""From raw documents to packed sequences: five stages, each written as Parquet and read again by the next.
+
+Defined cases, for every stage: a null text counts as empty and stays null until it is packed (the quality rules reject both, so that none gets
+further when the stages run in order); null languages, sources and ids are values as any other; repeated rows are judged and placed one by one, and
+of near-duplicates, repeated rows included, one row stays; a very long text is worked on whole in every stage; an empty table gives an empty
+result of the same columns; extra columns, whatever their names, go with their rows up to the last stage.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +15,7 @@ from rolemesh.llm import jaccard_join, mixing, packing, quality_rules, secret_sc
 from rolemesh.llm.common import stage, written
 
 
-@stage
+@stage(first=True)
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality policy in production keeps."""
     return quality_rules.filtered(docs, quality_rules.POLICY)
@@ -30,7 +36,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, in files that hold the sources mixed to their target weights."""
-    return mixing.mixed(docs, mixing.for_sources(docs, mixing.WEIGHTS), mixing.BLOCK_CHARS)
+    return mixing.mixed(docs, mixing.WEIGHTS, mixing.BLOCK_CHARS, apart=True)
 
 
 @stage
