@@ -5,48 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolemesh.operators.text import comparison_form, mentions
+from rolemesh.operators.quotes import in_text, line_of, passage_of
+from rolemesh.operators.text import mentions
 
-#: Groups of characters that stand for each other in a quote, number words, and what shows tenure or a role that goes on.
-DASHES, TICKS, MARKS = "-‐‑‒–—−", "'‘’", "\"“”"
+#: Number words, and what shows tenure or a role that goes on.
 NUMBERS = ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "twenty")
 TENURE = "(?<![0-9])(?:19|20)[0-9]{2}(?![0-9])|(?i)\\b(?:years?|yrs?)\\b"
 PRESENT = "(?i)\\b(?:present|current(?:ly)?|now|ongoing|to date)\\b"
 MOST_QUOTES, QUOTE_CHARS = 3, 300
-NOT_BEFORE, NOT_BEHIND = "(?<![\\p{L}\\p{N}_])", "(?![\\p{L}\\p{N}_])"
-
-
-def literal(text: Column) -> Column:
-    """A pattern for exactly this text."""
-    return F.regexp_replace(text, "([\\\\.\\[\\]{}()*+?^$|])", "\\\\$1")
-
-
-def in_text(fragment: Column, text: Column) -> Column:
-    """Whether the fragment stands in the text as whole words, whatever case, spaces and dashes."""
-    needle = comparison_form(fragment)
-    return F.coalesce((needle != "") & F.rlike(comparison_form(text), F.concat(F.lit(NOT_BEFORE), literal(needle), F.lit(NOT_BEHIND))), F.lit(False))
 
 
 def found_quote(docs: DataFrame, quote: str = "quote", text: str = "text") -> DataFrame:
     """docs with found: the passage that the quote copies, as the text writes it (case, white space, dashes and quotation marks may differ); null if there is none."""
-    words = literal(F.trim(F.regexp_replace(quote, "[\\x20\\x09-\\x0D]+", " ")))
-    for group in (DASHES, TICKS, MARKS):
-        words = F.regexp_replace(words, f"[{group}]", f"[{group}]")
-    pattern = F.regexp_replace(words, " ", "\\\\s+")
-    edge = lambda where, mark: F.when(F.rlike(F.trim(quote), F.lit(where)), mark).otherwise("")
-    whole = F.concat(F.lit("(?iu)"), edge("^[\\p{L}\\p{N}_]", NOT_BEFORE), pattern, edge("[\\p{L}\\p{N}_]$", NOT_BEHIND))
-    rows = docs.withColumn("_p", F.when(F.rlike(quote, F.lit("[\\p{L}\\p{N}_]")), whole))
-    return rows.withColumn("found", F.nullif(F.expr(f"regexp_extract({text}, _p, 0)"), F.lit(""))).drop("_p")
+    return docs.withColumn("found", passage_of(quote, text))
 
 
 def line_with(fragment: Column, text: Column) -> Column:
     """The first line that carries the fragment, without bullets; null if none does."""
-    line = F.get(F.filter(F.split(text, "\n"), lambda x: in_text(fragment, x)), F.lit(0))
-    return F.nullif(F.regexp_replace(F.trim(line), "^[-*•>\\s]+", ""), F.lit(""))
+    return F.nullif(F.regexp_replace(F.trim(line_of(fragment, text)), "^[-*•>\\s]+", ""), F.lit(""))
 
 
 def year_in_text(year: Column, text: Column) -> Column:
     """Whether the text writes the year: in full, as '23, or as month/year; the day of a date is none."""
+    # fixed values: how a year is written
     short = F.lpad((year % 100).cast("string"), 2, "0")
     pattern = F.concat(F.lit("(?<![0-9])(?:"), year.cast("string"), F.lit("|['’]"), short, F.lit("|(?<![0-9/])(?:0?[1-9]|1[0-2])/"), short, F.lit("(?![0-9/]))(?![0-9])"))
     return F.coalesce(F.rlike(text, pattern), F.lit(False))
@@ -58,8 +39,13 @@ def _word(number: Column) -> Column:
 
 def number_in_text(number: Column, text: Column) -> Column:
     """Whether the text writes the number, in digits that are no part of a longer one, or in words up to twenty."""
-    digits = F.rlike(text, F.concat(F.lit("(?<![0-9.,])"), number.cast("string"), F.lit("(?![0-9,]|\\.[0-9])")))
-    return F.coalesce(digits | F.coalesce(in_text(F.when(number.between(1, 20), _word(number)), text), F.lit(False)), F.lit(False))
+    digits = F.array_contains(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)), number.cast("string"))
+    words = F.array_contains(F.regexp_extract_all(F.lower(text), F.lit("[\\p{L}\\p{N}_]+"), F.lit(0)), F.when(number.between(1, 20), _word(number)))
+    return F.coalesce(digits, F.lit(False)) | F.coalesce(words, F.lit(False))
+
+
+#: A whole number that is no part of a longer one, and what an hour is called.
+NUMBER = "(?<![0-9.,])[0-9]+(?![0-9,]|\\.[0-9])"
 
 
 def _figure(number: Column) -> Column:
@@ -67,15 +53,18 @@ def _figure(number: Column) -> Column:
     return F.when(number.between(1, 20), F.concat(F.lit("(?:"), digits, F.lit("|\\b"), _word(number), F.lit("\\b)"))).otherwise(digits)
 
 
+#: Fixed value.
 HOURS = "\\s*\\+?\\s*(?:or more\\s+)?(?:hours?|hrs?)\\b"
 
 
 def weekly_hours_in_text(hours: Column, text: Column) -> Column:
+    # fixed values: how weekly hours are written
     pattern = F.concat(F.lit("(?i)"), _figure(hours), F.lit(f"(?:\\s*(?:to|[-–])\\s*[0-9]{{1,2}})?{HOURS}(?:\\s*(?:a|per|each|/)\\s*(?:week|wk)\\b|\\s+weekly\\b)"))
     return F.coalesce(F.rlike(text, pattern), F.lit(False))
 
 
 def overlap_hours_in_text(hours: Column, text: Column) -> Column:
+    # fixed values: how hours of overlap are written
     clause, n = "[^.;\\n]{0,60}", _figure(hours)
     return F.coalesce(F.rlike(text, F.concat(F.lit("(?i)"), n, F.lit(f"{HOURS}{clause}\\boverlap|\\boverlap{clause}"), n, F.lit(HOURS))), F.lit(False))
 
@@ -109,7 +98,8 @@ def audited(values: DataFrame, docs: DataFrame, names: DataFrame) -> DataFrame:
     terms = values.where("kind = 'term'").join(named, ["doc_id", "kind", "value"], "left").select("doc_id", "field", "kind", "value", F.coalesce("there", F.lit(False)).alias("grounded"))
     case = F.lit(False)
     for kind, check in CHECKS.items():
-        case = F.when(F.col("kind") == kind, check(F.when(F.col("kind") == kind, F.col("value")), F.col("text"))).otherwise(case)
+        own = [F.when(F.col("kind") == kind, F.col(c)) for c in ("value", "text")]  # so that Python sees no other rows
+        case = F.when(F.col("kind") == kind, check(*own)).otherwise(case)
     other = values.where("kind <> 'term'").join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "field", "kind", "value", case.alias("grounded"))
     return terms.union(other)
 

@@ -161,6 +161,40 @@ def test_quotes(spark):
     assert {r.quote: r.found for r in grounding.found_quote(d).collect()} == dict(rows)
 
 
+def test_quotes_equal_patterns(spark):
+    """Passages and whole words are what a search by pattern finds, whatever the marks, spaces and case."""
+    import random
+    import re
+
+    from rolemesh.operators import quotes
+
+    groups = (quotes.DASHES, quotes.TICKS, quotes.MARKS)
+
+    def pattern(quote):
+        words = quote.split()
+        if not re.search(r"\w", quote):
+            return None
+        body = r"\s+".join("".join(next((f"[{g}]" for g in groups if c in g), re.escape(c)) for c in w) for w in words)
+        return (r"(?<!\w)" if re.match(r"\w", words[0]) else "") + body + (r"(?!\w)" if re.search(r"\w$", words[-1]) else "")
+
+    r = random.Random(9)
+    some = lambda n: "".join(r.choice("aAbé1_ -–’'\"“\n\t\xa0.") for _ in range(n))
+    rows = [(k, some(r.randint(0, 6)), some(50)) for k in range(1500)] + [(1500, None, "a"), (1501, "a", None)]
+    # parts of a text are certain to be there
+    rows += [(2000 + k, t[a : a + 7].upper(), t) for k, (_, _, t) in enumerate(rows[:500]) for a in [r.randrange(40)]]
+    got = {x.k: (x.found, x.there) for x in grounding.found_quote(spark.createDataFrame(rows, "k long, quote string, text string")).withColumn("there", grounding.in_text("quote", "text")).collect()}
+    for k, quote, page in rows:
+        want = None
+        if quote and page and pattern(quote):
+            m = re.search(pattern(quote), page, re.IGNORECASE)
+            want = m.group() if m else None
+        there = False
+        if quote and page and quotes.normal(quote):
+            there = re.search(r"(?<!\w)" + re.escape(quotes.normal(quote)) + r"(?!\w)", quotes.normal(page)) is not None
+        assert got[k] == (want, there), (quote, page)
+    assert sum(x[0] is not None for x in got.values()) > 300
+
+
 @pytest.mark.parametrize(
     ("check", "value", "page", "there"),
     [
