@@ -31,7 +31,7 @@ sets or SKETCHED x SKETCHED sketches.
 Defined cases: texts without words (null, empty, blank) have no n-grams and no links; with fewer
 words than n, the whole sequence is the one n-gram; repeated rows and repeated doc_ids are rows of
 their own; null doc_ids take part and are never a component's id unless there is no other (then it
-is null); an empty table gives no rows. Extra columns are ignored, or kept by `deduplicated`.
+is null), and the least 64-bit integer is taken for a null one; a very long text is one set, read whole; an empty table gives no rows. Extra columns are ignored, or kept by `deduplicated`.
 """
 
 from __future__ import annotations

@@ -7,10 +7,10 @@ versions share it, and `findings` joins the ledger back to all of them.
 
 Spark's regular expressions give matches but not positions. A match starts where the text before
 it ends: `split` gives the gaps between the matches that `regexp_extract_all` gives, and running
-sums over both give code-point offsets. These sums run over rows of matches, so a text with very
-many secrets is no burden on one row.
+sums over both give code-point offsets.
 
-Defined cases: a null text is the empty text; repeated rows share a blob; an empty table gives an
+Defined cases: a null text is the empty text; repeated rows share a blob; a very long text is scanned whole, and its findings
+are gathered into one row, as its document's; an empty table gives an
 empty ledger; other columns of docs are ignored, or kept by `redacted` whatever their names.
 """
 

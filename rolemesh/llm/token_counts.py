@@ -6,7 +6,8 @@ of documents. The sums are taken in two levels (segments of lengths, then inside
 that no single task holds the whole histogram.
 
 Defined cases: null and empty texts have `end_id` alone (length 1) or no ids (length 0) without
-one; repeated rows count each; an empty table gives an empty histogram and zero totals.
+one; repeated rows count each; a very long text is encoded whole and is one length; an empty table gives an empty histogram and
+zero totals. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -46,3 +46,26 @@ def test_near_duplicates_and_quality(spark, docs):
     assert measured.count() == 5
     none = spark.createDataFrame([], "doc_id long, text string")
     assert quality_classifier.features(none).count() == 0 and quality_rules.ledger(none).count() == 0 and jaccard_join.deduplicated(none).count() == 0
+
+
+def test_token_files(docs, tmp_path, spark):
+    from rolemesh.llm import token_files
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    token_files.write_ids(docs.where("doc_id IS NOT NULL"), str(tmp_path / "ids"), path)
+    want = Tokenizer.from_file(path).encode(LONG, add_special_tokens=False).ids
+    got = {r.doc_id: r for r in token_files.read_ids(spark, str(tmp_path / "ids")).collect()}
+    assert got[1].start == 0 and got[1].n_tokens == len(want) + 1 and got[3].n_tokens == got[4].n_tokens == 1
+    import numpy as np
+
+    assert np.frombuffer(got[1].ids, dtype="<u4").tolist() == [*want, 2]
+
+
+def test_quality_of_nobody(spark, tmp_path):
+    """The query on empty tables, and on documents without any label."""
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "a" / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(str(tmp_path / "a" / "labels.parquet"))
+    assert quality_classifier.op8_quality_classifier(spark, str(tmp_path / "a")).count() == 0
+    spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "b" / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(str(tmp_path / "b" / "labels.parquet"))
+    assert {(r.doc_id, r.score, r.predicted) for r in quality_classifier.op8_quality_classifier(spark, str(tmp_path / "b")).collect()} == {(1, 0.5, 1), (2, 0.5, 1)}

@@ -64,3 +64,28 @@ def test_pipeline(spark):
         ends = np.cumsum([n for _, n in sorted(held)])
         assert [o for o, _ in sorted(held)] == [0, *ends[:-1]]
         assert ends[-1] == 2048 or k == len(places) - 1
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, id long, rank int, _slot string"
+
+
+def test_odd_rows_through_every_stage(spark, tmp_path):
+    """Nulls, repeated rows, a very long text and columns with the operators' own names go through all stages; an empty table gives an empty result."""
+    good = " ".join(f"word{k} and some other{k % 97} things, here" for k in range(60))
+    long = " ".join(f"word{k} thing{k * 3} here{k * 5}," for k in range(60_000))
+    rows = [(1, good, "en", None, None, 1, 1, "a"), (1, good, "en", None, None, 1, 1, "a"), (None, good + " more", None, "x", 3, 2, None, None), (3, None, None, None, None, None, None, None), (4, "", "en", "src0", 0, 1, 1, "b"), (5, long, "en", "src0", None, 1, 2, "c"), (6, long.replace("here", "there"), None, "other", None, 1, 2, "c")]
+    for name, given in (("odd", rows), ("none", [])):
+        spark.createDataFrame(given, ODD).write.parquet(str(tmp_path / name / "documents.parquet"))
+        docs = spark.read.parquet(str(tmp_path / name / "documents.parquet"))
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            docs = stage(spark, docs, str(tmp_path / name))
+            docs.write.parquet(str(tmp_path / name / f"stage{k}"))
+            docs = spark.read.parquet(str(tmp_path / name / f"stage{k}"))
+            if k < 4:
+                assert docs.columns == [c.split()[0] for c in ODD.split(", ")]
+        got = docs.groupBy("doc_id").sum("length").collect()
+        if not given:
+            assert got == []
+        else:
+            kept = [r.doc_id for r in got]
+            assert {5, 6} <= set(kept) and len([k for k in kept if k in (1, None)]) == 1 and not {3, 4} & set(kept)
