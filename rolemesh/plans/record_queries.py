@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -17,6 +18,7 @@ from rolemesh.plans import documents as dc
 from rolemesh.plans import funnel_queries as fq
 from rolemesh.plans import review_queries as rq
 from rolemesh.sources import tables as tb
+from rolemesh.sources.scratch import shared_dir
 
 NOW = "2024-01-31"
 _NOW = lambda: F.lit(NOW).cast("timestamp_ntz")
@@ -63,6 +65,24 @@ def pending(spark, d):
     return jb.pending(_jobs(spark, d), runs, rq.matches_before(spark, d).where("candidate_id % 19 = 0"), ["signup"], ["click", "view"])
 
 
+def entity_rows(spark, d):
+    """Candidates and profiles written as entities and scanned by their declared columns: those that a table lacks are null."""
+    folder = f"{shared_dir(spark).rstrip('/')}/rolemesh/entities-{uuid.uuid4().hex}"
+    b.candidates(spark, d).selectExpr("cast(candidate_id AS string) AS id", "full_name", "email", "status").write.parquet(f"{folder}/candidates")
+    b.profiles(spark, d).selectExpr("cast(candidate_id AS string) AS candidate_id", "cast(years_experience AS int) AS years_experience", "certifications", "software", "1 AS extra").write.parquet(f"{folder}/candidate_profiles")
+    t = tb.scan(spark, folder, ("candidates", "candidate_profiles"))
+    rows = t["candidates"].join(t["candidate_profiles"], F.col("id") == F.col("candidate_id"), "left")
+    return rows.select("id", "full_name", "status", F.coalesce("location", F.lit("-")).alias("location"), "years_experience", F.array_join("software", ";").alias("software"), F.col("embedding").isNull().alias("no_vector"))
+
+
+def report_rows(spark, d):
+    """Costs by model and provider written as a report with a folder for each model, and read again."""
+    folder = f"{shared_dir(spark).rstrip('/')}/rolemesh/reports-{uuid.uuid4().hex}"
+    sums = _runs(spark, d).groupBy("model", "provider").agg(F.count("*").alias("runs"), F.sum("tokens_in").alias("tokens_in"), F.count("cost").alias("priced"))
+    tb.write_reports({"costs": (sums, ["model"])}, folder)
+    return spark.read.parquet(f"{folder}/costs").select("model", "provider", "runs", "tokens_in", "priced")
+
+
 def _all(rules) -> DataFrame:
     return ql.violations(rules)
 
@@ -213,6 +233,8 @@ def deletions(spark, d):
 
 
 QUERIES = {
+    "entity_rows": entity_rows,
+    "report_rows": report_rows,
     "queued_once": lambda s, d: jb.queued_once(_jobs(s, d)),
     "ready_jobs": lambda s, d: jb.ready_order(_jobs(s, d), _NOW(), ["click", "error", "signup"]),
     "retry_schedule": lambda s, d: jb.retry_schedule(_jobs(s, d)),
@@ -270,6 +292,8 @@ _TRACE = "e AS (SELECT event_id, ts, value AS duration, CASE WHEN event_id % 100
 _SUMMARY = f"""WITH {b.SQL}, e AS (SELECT 'software' AS attribute, unnest(CASE WHEN len(software) = 0 THEN ['(none)'] ELSE software END) AS value FROM prof UNION ALL SELECT 'certification', unnest(CASE WHEN len(certifications) = 0 THEN ['(none)'] ELSE certifications END) FROM prof),
 c AS (SELECT attribute, value, count(*) AS n, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM prof), 4) AS percent FROM e GROUP BY 1, 2), p AS (SELECT *, (row_number() OVER (PARTITION BY attribute, value = '(none)' ORDER BY n DESC, value))::INTEGER AS place FROM c) SELECT * FROM p WHERE place <= 10 OR value = '(none)'"""
 ORACLES = {
+    "entity_rows": f"WITH {b.SQL} SELECT candidate_id::VARCHAR AS id, full_name, status, '-' AS location, years_experience::INTEGER AS years_experience, array_to_string(software, ';') AS software, true AS no_vector FROM cand LEFT JOIN prof USING (candidate_id)",
+    "report_rows": f"WITH {RUNS} SELECT model, provider, count(*) AS runs, sum(tokens_in)::BIGINT AS tokens_in, count(cost) AS priced FROM rn GROUP BY 1, 2",
     "queued_once": f"WITH {JOBS} SELECT kind, payload, min(id) AS id, count(*) - 1 AS suppressed FROM job WHERE status = 'queued' GROUP BY kind, payload",
     "ready_jobs": f"WITH {JOBS} SELECT * FROM (SELECT id, kind, row_number() OVER (PARTITION BY kind ORDER BY priority DESC, run_at, id) AS place FROM job WHERE status = 'queued' AND run_at <= TIMESTAMP '{NOW}' AND kind IN ('click', 'error', 'signup'))",
     "retry_schedule": f"WITH {JOBS}, f AS (SELECT *, permanent OR attempts >= max_attempts OR EXISTS (SELECT 1 FROM job q WHERE q.status = 'queued' AND q.kind = j.kind AND q.payload = j.payload) AS final FROM job j WHERE status = 'failed') SELECT id, CASE WHEN final THEN 'failed' ELSE 'queued' END AS next_status, CASE WHEN NOT final THEN least(600, 5 * pow(4, greatest(attempts - 1, 0)))::INTEGER END AS wait_s FROM f",
