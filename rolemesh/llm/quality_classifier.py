@@ -172,9 +172,9 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, penalty: float = 1e-2) ->
 def sampled(rows: DataFrame, most: int) -> np.ndarray:
     """Features of about `most` rows at most, those of least hash of doc_id and features, however many rows there are. Equal rows come together, so that a second bound holds what many of them may add."""
     n = rows.count()
-    least = F.xxhash64("doc_id", "f")
-    part = rows if n <= most else rows.withColumn("h", least).where(F.col("h") < F.lit(-(1 << 63) + (most << 64) // n)).orderBy("h").limit(2 * most)
-    table = part.select("f").toArrow().column("f").combine_chunks()
+    hashed = rows.select(F.xxhash64("doc_id", "f").alias("h"), "f")
+    part = hashed if n <= most else hashed.where(F.col("h") < F.lit(-(1 << 63) + (most << 64) // n)).orderBy("h").limit(2 * most)
+    table = part.toArrow().sort_by("h").column("f").combine_chunks()  # in the same order wherever rows lay
     return table.flatten().to_numpy().astype(float).reshape(-1, len(NAMES))
 
 
