@@ -32,8 +32,9 @@ def test_decisions_by_batches(spark, tmp_path):
     rows = [(100 * r[1] + r[0], *r[1:]) for r in events()]
     rows.sort(key=lambda r: (r[2], r[0]))
     begin = spark.createDataFrame(matches(), MATCHES)
-    refresh.kept_current(files(spark, tmp_path, [rows[:6], rows[6:14], rows[14:]], schema), begin, refresh.decided, str(tmp_path / "state"))
-    got = {r.match_id: (r.status, r.released) for r in refresh.current(spark, str(tmp_path / "state"), 3).collect()}
+    roles = begin.select("match_id", "role_id")
+    refresh.kept_current(files(spark, tmp_path, [rows[:6], rows[6:14], rows[14:]], schema), begin, refresh.decided, str(tmp_path / "state"), "role_id", 8, lambda batch: batch.join(roles, "match_id"))
+    got = {r.match_id: (r.status, r.released) for r in refresh.state(spark, str(tmp_path / "state"), begin).collect()}
     whole = review.decisions(begin, spark.createDataFrame(rows, schema)).where("match_id IS NOT NULL").collect()
     assert got == {r.match_id: (r.status, r.released) for r in whole}
     assert {s for s, _ in got.values()} >= {"approved", "swapped"}
@@ -51,13 +52,51 @@ def test_fold_rules(spark):
 def test_refresh(spark, tmp_path):
     begin = spark.createDataFrame([(1, "tax close", {0: 1.0}), (2, "audit", {1: 1.0}), (3, "old", None)], "candidate_id long, text string, vector map<long,double>")
     stream = files(spark, tmp_path, [[(1, "tax close", 1), (4, "new one", 1)], [(2, "audit of banks", 2)]], "candidate_id long, text string, n int")
-    refresh.kept_current(stream, begin, lambda a, b: refresh.refreshed(a, b, text.hashed_embedding), str(tmp_path / "state"))
-    got = {r.candidate_id: r for r in refresh.current(spark, str(tmp_path / "state"), 2).collect()}
+    refresh.kept_current(stream, begin, lambda a, b: refresh.refreshed(a, b, text.hashed_embedding), str(tmp_path / "state"), "candidate_id", 16)
+    got = {r.candidate_id: r for r in refresh.state(spark, str(tmp_path / "state"), begin).collect()}
     assert got[1].vector == {0: 1.0}  # unchanged text, vector kept
     want = {}
     for r in text.hashed_embedding(spark.createDataFrame([(2, "audit of banks"), (3, "old"), (4, "new one")], "doc_id long, text string")).collect():
         want.setdefault(r.doc_id, {})[r.bucket] = r.weight
-    assert {k: got[k].vector for k in (2, 3, 4)} == want
+    assert {k: got[k].vector for k in (2, 4)} == {k: want[k] for k in (2, 4)}
+    assert got[3].vector in (None, want[3])  # embedded once its bucket is touched
+    # buckets that nobody's change falls into have one version, the first
+    of = {r.candidate_id: r.b for r in spark.createDataFrame([(k,) for k in (1, 2, 3, 4)], "candidate_id long").select("candidate_id", refresh.bucket_of("candidate_id", 16).alias("b")).collect()}
+    written = {(r.batch, r.bucket) for r in spark.read.parquet(str(tmp_path / "state" / "written")).collect()}
+    assert written == {(-1, k) for k in range(16)} | {(0, of[1]), (0, of[4]), (1, of[2])}
+    assert {r.candidate_id: r.text for r in refresh.state(spark, str(tmp_path / "state"), begin, before=1).collect()} == {1: "tax close", 2: "audit", 3: "old", 4: "new one"}
+
+
+def test_a_bucket_may_become_empty(spark, tmp_path):
+    begin = spark.createDataFrame([(k, "x") for k in range(20)], "id long, v string")
+    stream = files(spark, tmp_path, [[(k,) for k in range(20)], [(5,)]], "id long")
+    gone = lambda rows, batch: rows.join(batch, "id", "left_anti")
+    refresh.kept_current(stream, begin, gone, str(tmp_path / "state"), "id", 4)
+    assert refresh.state(spark, str(tmp_path / "state"), begin).count() == 0
+    assert refresh.state(spark, str(tmp_path / "state"), begin, before=0).count() == 20
+
+
+def test_only_concerned_roles_are_matched_again(spark):
+    """After a change of people, new shortlists of the concerned roles and old ones of the others are the shortlists of all roles."""
+    from rolemesh.operators import funnel
+
+    asks = "role_id long, required_certifications array<string>, required_software array<string>, min_years int, starts_on date, hours_per_week int, timezone string, min_overlap_hours int, status string, accept_equivalents boolean"
+    roles = spark.createDataFrame([(k, [], [["s"], ["t"], ["s", "t"], ["u"]][k % 4], None, None, None, None, None, "open", True) for k in range(12)], asks)
+    terms = spark.createDataFrame([], "id string, grp string, variant_of string")
+    zones = spark.createDataFrame([("UTC",)], "zone string")
+    people = spark.createDataFrame([(k, f"n{k}", "active") for k in range(10)], "candidate_id long, full_name string, status string")
+    answers = spark.createDataFrame([(k, "UTC", 0, 600, 40, None) for k in range(10)], "candidate_id long, timezone string, work_start int, work_end int, hours_per_week int, available_from date")
+    vectors = lambda n, key, f: spark.createDataFrame([(k, None, f(k)) for k in range(n)], f"{key} long, model string, v array<double>")
+    rv, cv = vectors(12, "role_id", lambda k: [1.0, k / 10]), vectors(10, "candidate_id", lambda k: [1.0, k / 7])
+    skills = lambda new: spark.createDataFrame([(k, [], ["t"] if k == 3 and new else ["s"] if k % 2 else ["t"], 3) for k in range(10)], "candidate_id long, certifications array<string>, software array<string>, years_experience int")
+    asked = funnel.asked_of(roles, terms, "2026-01-01").cache()
+    before, after = (funnel.holders(asked, funnel.pool_of(people, skills(new), answers)).cache() for new in (False, True))
+    near = lambda a, h: funnel.shortlist(a, h, rv, cv, zones, 4)
+    again = refresh.to_match_again(asked, before, after, spark.createDataFrame([(3,)], "candidate_id long"))
+    assert {r.role_id % 4 for r in again.collect()} == {0, 1}  # nobody holds s and t, or u
+    merged = refresh.rematched(near(asked, before), again, near(again, after))
+    rows = lambda df: {(r.role_id, r["rank"], r.candidate_id) for r in df.collect()}
+    assert rows(merged) == rows(near(asked, after)) != rows(near(asked, before))
 
 
 def test_queued_once(spark, tmp_path):
