@@ -20,7 +20,7 @@ def asked_and_held(spark, d, roles=None):
 
 
 def _pool(spark, d):
-    return fn.pool_of(b.candidates(spark, d), b.profiles(spark, d), b.availability(spark, d))
+    return kept(fn.pool_of(b.candidates(spark, d), b.profiles(spark, d), b.availability(spark, d)), "pool")
 
 
 def stages(spark, d):
