@@ -3,7 +3,7 @@
 import datetime
 
 from rolemesh.operators import review, text
-from rolemesh.streaming import queue, refresh
+from rolemesh.streaming import decisions, queue, refresh
 
 MATCHES = "role_id long, match_id long, status string, released boolean, active boolean, score double, run_rank int"
 
@@ -40,6 +40,28 @@ def test_decisions_by_batches(spark, tmp_path):
     assert {s for s, _ in got.values()} >= {"approved", "swapped"}
 
 
+def test_decisions_as_keyed_state(spark, tmp_path):
+    """Three batches give what the whole gives; an event that comes again changes nothing, and one that comes late meets the state of its batch."""
+    schema = "event_id long, match_id long, ts timestamp, action string"
+    rows = [(100 * r[1] + r[0], *r[1:]) for r in events()]
+    rows.sort(key=lambda r: (r[2], r[0]))
+    begin = spark.createDataFrame(matches() + [(3, 300, "proposed", False, True, 0.9, None)], MATCHES)
+    late = (1, 104, datetime.datetime(2023, 1, 1), "reject")
+    parts = [rows[:6], [*rows[6:14], rows[2], rows[7]], [*rows[14:], rows[0]], [late, late, (2, 999, datetime.datetime(2024, 1, 2), "approve")]]
+    stream = files(spark, tmp_path, parts, schema)
+    decisions.decided(stream, begin).writeStream.format("memory").queryName("decided").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    out = spark.table("decided").collect()
+    whole = review.decisions(begin, spark.createDataFrame([*rows, (*late[:2], datetime.datetime(2025, 1, 1), late[3])], schema)).collect()
+    said = sorted((r.event_id, r.result) for r in out if r.event_id is not None)
+    assert said == sorted((r.event_id, r.result) for r in whole if r.event_id is not None)
+    got = {r[1]: (r[2], r[3]) for r in [*matches(), (3, 300, "proposed", False)]}
+    for r in out:  # batch by batch
+        if r.match_id is not None:
+            got[r.match_id] = (r.status, r.released)
+    assert got == {r.match_id: (r.status, r.released) for r in whole if r.match_id is not None}
+    assert not any(r.role_id == 3 for r in out)  # a list that no event concerns isn't touched
+
+
 def test_fold_rules(spark):
     begin = spark.createDataFrame(matches()[:5], MATCHES)
     day = datetime.datetime(2024, 1, 1)
