@@ -1,6 +1,9 @@
 """Streams give what the batch forms give on the same rows."""
 
 import datetime
+import random
+
+import pandas as pd
 
 from rolemesh.operators import review, text
 from rolemesh.streaming import decisions, queue, refresh
@@ -135,3 +138,44 @@ def test_stale_running(spark, tmp_path):
     stream = files(spark, tmp_path, parts, "id long, status string, ts timestamp")
     queue.stale_running(stream, 300).writeStream.format("memory").queryName("stale").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     assert [(r.id, r.began) for r in spark.table("stale").collect()] == [(1, at(0))]
+
+
+class Cell:
+    """A value of keyed state, held in memory."""
+
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+
+def test_queued_once_in_any_batches():
+    """Random events cut into random batches, against a plain walk over them."""
+    r = random.Random(3)
+    for _ in range(200):
+        rows = [(k, r.choice(["queued", "queued", "running", "failed"])) for k in range(r.randrange(1, 14))]
+        waiting, want = False, {}
+        for k, status in rows:
+            if status == "queued":
+                want[k], waiting = not waiting, True
+            elif status == "running":
+                waiting = False
+        step, got = queue.Waiting(), {}
+        step.queued = Cell()
+        while rows:
+            n = r.randrange(1, len(rows) + 1)
+            part, rows = r.sample(rows[:n], n), rows[n:]
+            for out in step.handleInputRows(("a", 1), iter([pd.DataFrame(part, columns=["id", "status"])]), None):
+                got |= dict(zip(out["id"].tolist(), out["kept"].tolist(), strict=True))
+        assert got == want
+        assert step.queued.exists() == waiting
