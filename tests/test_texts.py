@@ -234,3 +234,16 @@ def test_rerank_rules(spark):
 def test_logistics(spark):
     row = spark.createDataFrame([(["US GAAP; on-site in Chicago", "Visa needed", "Excel"],)], "e array<string>").select(embedtext.about_the_work(F.col("e"))).first()
     assert row[0] == ["US GAAP", "Excel"]
+
+
+def test_overlap_levels_of_odd_texts(spark):
+    """Nothing shared: the first line, even one without words; of lines that share as much, the first; no role words, no text."""
+    from rolemesh.operators import rerank
+
+    roles = spark.createDataFrame([(1, "ledger audit payroll treasury"), (2, "a b c"), (3, None)], "role_id int, text string")
+    people = spark.createDataFrame([(1, "--\n- audit of banks\n- ledger, audit\n- audit ledger"), (2, "\nnothing here"), (3, None), (4, "")], "candidate_id int, text string")
+    pairs = roles.select("role_id").crossJoin(people.select("candidate_id"))
+    got = {(r.role_id, r.candidate_id): (r.level, r.line) for r in rerank.overlap_levels(pairs, roles, people).collect()}
+    assert got[1, 1] == (4, "ledger, audit")
+    assert got[2, 1] == (0, "--") and got[1, 2] == (0, "") and got[1, 4] == (0, "")
+    assert got[1, 3] == (0, None) and len(got) == 12
