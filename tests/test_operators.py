@@ -232,3 +232,23 @@ def test_pending(spark):
     unranked = spark.createDataFrame([(3, 10), (3, 11), (4, 11), (1, 10)], "role_id long, candidate_id long")
     got = {r.role_id: r.state for r in jobs.pending(work, runs, unranked, ["role"], ["profile", "resume"]).collect()}
     assert got == {1: "wait", 2: "not_ready", 3: "partial", 4: "whole", 5: "whole"}
+
+
+def test_holders_never_broadcast_people(spark, tmp_path):
+    asked = spark.createDataFrame([(1, [["a"], ["b", "c"]], ["x"], "k1", "k2"), (2, [], [], "k0", "k0")], "role_id long, sets array<array<string>>, software array<string>, skill string, certs string")
+    rows = [(k, f"P{k}", ["c:a", "c:c", "c:b", "s:x"][: 2 + k % 3] + [f"c:{j}" for j in range(60)]) for k in range(300)]
+    pool = spark.createDataFrame(rows, "candidate_id long, full_name string, held array<string>")
+    pool = pool.selectExpr("*", "1 AS has_years", "true AS answered", "date '2026-01-01' AS free_from", "40 AS has_hours", "'UTC' AS zone", "0 AS work_start", "60 AS work_end")
+    pool.write.parquet(str(tmp_path / "pool"))  # lists that pack to a fraction of their size
+    held = funnel.holders(asked, spark.read.parquet(str(tmp_path / "pool")))
+    plan, deeper = held._jdf.queryExecution().executedPlan().toString().split("\n"), None
+    for x in plan:
+        at = len(x) - len(x.lstrip(" :+-"))
+        deeper = None if deeper is not None and at <= deeper else deeper
+        deeper = at if deeper is None and "BroadcastExchange" in x else deeper
+        assert deeper is None or "candidate_id" not in x, x
+    got = {}
+    for r in held.collect():
+        got.setdefault(r.skill, []).append(r.candidate_id)
+    assert {s: len(x) for s, x in got.items()} == {"k0": 300, "k1": 100, "k2": 300} and all(len(set(x)) == len(x) for x in got.values())
+    assert set(got["k1"]) == {k for k in range(300) if k % 3 == 2}
