@@ -25,11 +25,15 @@ def line_with(fragment: Column, text: Column) -> Column:
     return F.nullif(F.regexp_replace(F.trim(line_of(fragment, text)), "^[-*•>\\s]+", ""), F.lit(""))
 
 
+#: Fixed value: what the last four digits of a phone number follow.
+PHONE = "(?<![0-9]{3}(?:\\) ?|[-. ])[0-9]{3}[-. ])"
+
+
 def year_in_text(year: Column, text: Column) -> Column:
-    """Whether the text writes the year: in full, as '23, or as month/year; the day of a date is none."""
+    """Whether the text writes the year: in full, as '23, or as month/year; the day of a date and the end of a phone number are none."""
     # fixed values: how a year is written
     short = F.lpad((year % 100).cast("string"), 2, "0")
-    pattern = F.concat(F.lit("(?<![0-9])(?:"), year.cast("string"), F.lit("|['’]"), short, F.lit("|(?<![0-9/])(?:0?[1-9]|1[0-2])/"), short, F.lit("(?![0-9/]))(?![0-9])"))
+    pattern = F.concat(F.lit(f"(?<![0-9])(?:{PHONE}"), year.cast("string"), F.lit("|['’]"), short, F.lit("|(?<![0-9/])(?:0?[1-9]|1[0-2])/"), short, F.lit("(?![0-9/]))(?![0-9])"))
     return F.coalesce(F.rlike(text, pattern), F.lit(False))
 
 

@@ -247,3 +247,9 @@ def test_overlap_levels_of_odd_texts(spark):
     assert got[1, 1] == (4, "ledger, audit")
     assert got[2, 1] == (0, "--") and got[1, 2] == (0, "") and got[1, 4] == (0, "")
     assert got[1, 3] == (0, None) and len(got) == 12
+
+
+def test_the_end_of_a_phone_number_is_no_year(spark):
+    pages = [("Tel: +1 (555) 901-1901", False), ("555-901-1901", False), ("555.901.1901", False), ("(555) 901-1901, since 1901", True), ("1899-1901", True), ("1899 - 1901", True), ("call 555-0123 (1901)", True)]
+    d = spark.createDataFrame(pages, "text string, there boolean")
+    assert [r.got for r in d.select(grounding.year_in_text(F.lit(1901), F.col("text")).alias("got"), "text").collect()] == [x for _, x in pages]
