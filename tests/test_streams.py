@@ -179,3 +179,24 @@ def test_queued_once_in_any_batches():
                 got |= dict(zip(out["id"].tolist(), out["kept"].tolist(), strict=True))
         assert got == want
         assert step.queued.exists() == waiting
+
+
+def test_roles_are_folded_as_they_come(spark):
+    """Batches of a few rows, so that roles go over their ends; each role as by its own fold."""
+    rows = [(r, 1000 * r + m, ["proposed", "pending_review", "approved", "swapped"][(r + m) % 4], (r * m) % 11 == 0, m % 5 > 0, None if m % 7 == 0 else (m * 13 % 10) / 10, None if m % 3 == 0 else m % 4) for r in range(40) for m in range(r % 9 + 1)]
+    matches = spark.createDataFrame(rows, "role_id long, match_id long, status string, released boolean, active boolean, score double, run_rank int")
+    asked = [(k, 1000 * (k % 40) + k % (k % 40 % 9 + 1), datetime.datetime(2025, 1, 1) + datetime.timedelta(minutes=k * 37 % 101), ["approve", "reject", "swap", "release", "unrelease"][k * 7 % 5]) for k in range(600)]
+    events = spark.createDataFrame(asked, "event_id long, match_id long, ts timestamp, action string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        found = review.decisions(matches, events)
+        assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()  # no call for each role
+        got = {(r.role_id, r.match_id, r.status, r.released, r.event_id, r.result) for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    m, e, want = matches.toPandas(), events.toPandas(), set()
+    for role, own in m.groupby("role_id"):
+        ends, log = review.fold(own, e[e["match_id"] // 1000 == role])
+        want |= {(role, x, s, bool(r), None, None) for x, s, r in ends.itertuples(index=False)} | {(role, None, None, None, k, s) for k, s in log.itertuples(index=False)}
+    assert got == want and len(got) == len(rows) + 600
