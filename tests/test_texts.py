@@ -253,3 +253,16 @@ def test_the_end_of_a_phone_number_is_no_year(spark):
     pages = [("Tel: +1 (555) 901-1901", False), ("555-901-1901", False), ("555.901.1901", False), ("(555) 901-1901, since 1901", True), ("1899-1901", True), ("1899 - 1901", True), ("call 555-0123 (1901)", True)]
     d = spark.createDataFrame(pages, "text string, there boolean")
     assert [r.got for r in d.select(grounding.year_in_text(F.lit(1901), F.col("text")).alias("got"), "text").collect()] == [x for _, x in pages]
+
+
+def test_terms_of_a_pair_stay_one_row(spark):
+    pairs = spark.createDataFrame([(1, 5), (1, 6), (2, 5), (1, 7)], "role_id int, candidate_id int")
+    wanted, named = spark.createDataFrame([(1, "b"), (1, "a"), (1, "c")], "role_id int, term string"), spark.createDataFrame([(5, "c"), (5, "a"), (5, "z"), (6, "z")], "candidate_id int, term string")
+    found = rerank.term_levels(pairs, wanted, named)
+    assert {tuple(r) for r in found.select("role_id", "candidate_id", "level", F.array_join("has", ";"), F.array_join("lacks", ";")).collect()} == {(1, 5, 3, "a;c", "b"), (1, 6, 0, "", "a;b;c"), (1, 7, 0, "", "a;b;c"), (2, 5, None, "", "")}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2  # the pairs are met once
+
+
+def test_many_texts_are_composed_whole(spark):
+    d = spark.createDataFrame([(k, ("éЖ" if k % 70 == 0 else "éЖ") + str(k) if k % 9 else None) for k in range(1000)], "k int, t string").coalesce(1)
+    assert [r.c for r in d.select(text.composed("t").alias("c"), "k").orderBy("k").collect()] == [f"éЖ{k}" if k % 9 else None for k in range(1000)]
