@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -242,10 +242,21 @@ SPACE = "[\\t \\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
 LIGATURES = (("\ufb00", "ff"), ("\ufb01", "fi"), ("\ufb02", "fl"), ("\ufb03", "ffi"), ("\ufb04", "ffl"), ("\ufb05", "st"), ("\ufb06", "st"))
 
 
-@F.pandas_udf(StringType())
-def composed(text: pd.Series) -> pd.Series:
-    """Composed characters (NFC); texts that are composed already are handed on as they are."""
-    return text.map(lambda x: x if x is None or unicodedata.is_normalized("NFC", x) else unicodedata.normalize("NFC", x))
+#: Texts that are Python strings at a time.
+COMPOSED = 64
+
+
+@F.arrow_udf(StringType())
+def composed(text: pa.Array) -> pa.Array:
+    """Composed characters (NFC), a few texts at a time; texts that are composed already are handed on as they are."""
+    parts = []
+    for k in range(0, len(text), COMPOSED):
+        part = text.slice(k, COMPOSED)
+        rows = part.to_pylist()
+        if not all(x is None or unicodedata.is_normalized("NFC", x) for x in rows):
+            part = pa.array([x if x is None else unicodedata.normalize("NFC", x) for x in rows], text.type)
+        parts.append(part)
+    return pa.concat_arrays(parts) if parts else text
 
 
 def cleaned(text: Column) -> Column:
