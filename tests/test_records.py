@@ -121,3 +121,15 @@ def test_evaluation(spark):
     ranked = spark.createDataFrame([(1, c, c) for c in range(1, 5)], "role_id int, candidate_id int, rank int")
     got = evaluate.precision_at_truth(ranked, spark.createDataFrame([(1, 1), (1, 4)], "role_id int, candidate_id int")).first()
     assert (got.k, got.hits, got["precision"]) == (2, 1, 0.5)
+
+
+def test_matches_are_dealt_by_a_count_of_lines(spark, monkeypatch):
+    from rolemesh.plans import review_queries
+
+    d = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").count()
+    few = review_queries.matches_before(spark, d)
+    monkeypatch.setattr(review_queries, "LINES", 500)
+    many = review_queries.matches_before(spark, d)
+    assert few.rdd.getNumPartitions() == 1 and many.rdd.getNumPartitions() == 1 + lines // 500 > 10  # however well keys pack
+    assert not few.exceptAll(many).count() and not many.exceptAll(few).count()
