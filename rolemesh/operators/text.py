@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
+from collections.abc import Iterator
+from hashlib import md5
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -83,28 +88,50 @@ def maximal(found: DataFrame) -> DataFrame:
     return found.withColumn("reach", longest).where("reach.end = end AND reach.before = -start").drop("reach")
 
 
+def _sums(words: str, text: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, weights) of one text. words: its segments as lines, all but letters and digits as spaces; text: the term of a text without words."""
+    counts: Counter[str] = Counter()
+    for segment in words.split("\n"):
+        ws = [w for w in segment.split() if w not in _STOPS]
+        counts.update(ws)
+        counts.update(map(" ".join, pairwise(ws)))
+    terms = [t.encode() for t in counts] or [text]
+    n = np.fromiter(counts.values() or [1], np.float64, len(terms))
+    h = np.frombuffer(b"".join([md5(t).digest()[:4] for t in terms]), dtype=">u4").astype(np.int64)
+    sums = np.bincount(h % dim, np.where(h // dim % 2 == 0, 1.0, -1.0) * (1 + np.log(n)))
+    norm = np.sqrt(sums @ sums)
+    if norm <= 1e-12:
+        return np.zeros(1, np.int64), np.ones(1)
+    there = np.unique(h % dim)
+    return there, sums[there] / norm
+
+
+_STOPS = frozenset(STOP_WORDS)
+#: Texts that a batch of embeddings is made from.
+EMBEDDED = 64
+
+
 def hashed_embedding(docs: DataFrame, dim: int = 64) -> DataFrame:
     """(row, doc_id, bucket, weight): signed hashing of words and of neighbouring words within a segment, each worth 1 + ln(count), scaled to unit length.
 
     Empty buckets are left out; a text without words is a term itself, and a vector whose terms cancel is the first unit vector, so that none is zero.
-    Terms are counted inside the row (sorted, then by runs); only the sums of buckets are shuffled, at most dim a text.
+    Case, segments and words are Spark's; terms are counted and hashed a text at a time, where the text lies: nothing is sorted, exploded or shuffled.
     """
-    segments = F.split(F.lower(F.coalesce("text", F.lit(""))), "[\n;:,()]|\\.[\\x20\\x09-\\x0D]")
-    words = F.transform(segments, lambda s: F.filter(F.regexp_extract_all(s, F.lit("([\\p{L}\\p{N}]+)"), F.lit(0)), lambda w: ~w.isin(*STOP_WORDS)))
-    pairs = F.transform(words, lambda ws: F.slice(F.transform(ws, lambda w, i: F.concat_ws(" ", w, F.get(ws, i + 1))), 1, F.greatest(F.size(ws) - 1, F.lit(0))))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), words.alias("w"), pairs.alias("p"), F.monotonically_increasing_id().alias("row"))
-    terms = rows.select("row", "doc_id", F.concat(F.flatten("w"), F.flatten("p")).alias("t"), "text")
-    terms = terms.select("row", "doc_id", F.sort_array(F.when(F.size("t") > 0, F.col("t")).otherwise(F.array("text"))).alias("t"))
-    begins = F.filter(F.transform("t", lambda x, i: F.when((i == 0) | (x != F.get("t", i - 1)), i)), lambda i: i.isNotNull())
-    counted = terms.select("row", "doc_id", "t", begins.alias("b"))
-    each = F.transform("b", lambda i, k: F.struct(F.get("t", i).alias("term"), (F.coalesce(F.get("b", k + 1), F.size("t")) - i).alias("n")))
-    hashed = counted.select("row", "doc_id", F.explode(each).alias("x")).select("row", "doc_id", F.conv(F.substring(F.md5("x.term"), 1, 8), 16, 10).cast("long").alias("h"), "x.n")
-    sums = hashed.groupBy("row", "doc_id", (F.col("h") % dim).alias("bucket")).agg(F.sum(F.when(F.floor(F.col("h") / dim) % 2 == 0, 1.0).otherwise(-1.0) * (1 + F.log("n"))).alias("x"))
-    full = sums.groupBy("row", "doc_id").agg(F.collect_list(F.struct("bucket", "x")).alias("v"))  # dim entries at most
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, y: s + y["x"] * y["x"]))
-    unit = F.array(F.struct(F.lit(0).cast("long").alias("bucket"), F.lit(1.0).alias("x")))
-    scaled = full.select("row", "doc_id", F.inline(F.when(norm > 1e-12, F.transform("v", lambda y: F.struct(y["bucket"], (y["x"] / norm).alias("x")))).otherwise(unit)))
-    return scaled.select("row", "doc_id", "bucket", (F.round("x", 6) + 0.0).alias("weight"))
+    text = F.coalesce("text", F.lit(""))
+    words = F.regexp_replace(F.regexp_replace(F.lower(text), "[\n;:,()]|\\.[\\x20\\x09-\\x0D]", "\n"), "[^\\p{L}\\p{N}\n]+", " ")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words.alias("words"), text.cast("binary").alias("text"))
+    schema = f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, bucket long, weight double"
+
+    def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for begin in range(0, whole.num_rows, EMBEDDED):
+                batch = whole.slice(begin, EMBEDDED)
+                found = [_sums(ws.as_py(), t.as_py(), dim) for ws, t in zip(batch.column("words"), batch.column("text"), strict=True)]
+                of = pa.array(np.repeat(np.arange(len(found)), [len(x) for x, _ in found]))
+                values = [pa.array(np.concatenate(x)) for x in zip(*found, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("row").take(of), batch.column("doc_id").take(of), *values], names=["row", "doc_id", "bucket", "weight"])
+
+    return rows.mapInArrow(embed, schema).withColumn("weight", F.round("weight", 6) + 0.0)
 
 
 def in_context(found: DataFrame) -> DataFrame:

@@ -154,6 +154,31 @@ def test_embedding(spark):
     assert len(within) > len(across)  # a pair of words counts only on one side of a break
 
 
+def test_embedding_by_definition(spark):
+    """Every text alone gives what the definition says, and no row is shuffled for it."""
+    import re
+    from hashlib import md5
+    from math import log, sqrt
+
+    texts = ["Tax close. tax", "Ünïcode—naïve ǅ x²; the of and", "the of and", "", None, " . ", "a_b 1/2\u00a0x", "tax close tax close, tax"] + ["w%d of w%d. " % (k % 7, k % 5) * k for k in range(130)]
+    got = text.hashed_embedding(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for k, t in enumerate(texts):
+        terms = []
+        for s in re.split(r"[\n;:,()]|\.[\x20\x09-\x0D]", (t or "").lower()):
+            ws = [w for w in re.findall(r"[^\W_]+", s) if w not in text.STOP_WORDS]
+            terms += ws + [f"{a} {b}" for a, b in zip(ws, ws[1:], strict=False)]
+        sums = {}
+        for x in set(terms or [t or ""]):
+            h = int(md5(x.encode()).hexdigest()[:8], 16)
+            sums[h % 64] = sums.get(h % 64, 0) + (1 - 2 * (h // 64 % 2)) * (1 + log(max(1, terms.count(x))))
+        norm = sqrt(sum(x * x for x in sums.values()))
+        want |= {(k, b): x / norm for b, x in sums.items()} if norm > 1e-12 else {(k, 0): 1.0}
+    rows = {(r.doc_id, r.bucket): r.weight for r in got.collect()}
+    assert rows.keys() == want.keys() and all(abs(rows[k] - want[k]) < 1e-6 for k in want)
+
+
 def test_quotes(spark):
     page = 'He said: “Closed the\n books — on time” (IAS 16), R in QuickBooks'
     rows = [("closed  THE books - on time", "Closed the\n books — on time"), ("ias 1", None), ("R", "R"), ("uickBooks", None), ("...", None), ("(IAS 16)", "(IAS 16)"), ('"closed', "“Closed")]
