@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rolemesh.operators.names import spans
 from rolemesh.operators.quotes import in_text, line_of, passage_of
 from rolemesh.operators.text import mentions
 
@@ -127,7 +128,7 @@ def coverage(plan: DataFrame, docs: DataFrame, names: DataFrame, least_words: in
     """(doc_id, problem) of planned documents: terms (doc_id, term, ...) that the text never names, too few words or positions, and a name that isn't there. plan: (doc_id, full_name, terms)."""
     from rolemesh.operators.text import positions
 
-    named = mentions(docs, names).select("doc_id", "term")
+    named = spans(docs, names).select("doc_id", "term")
     lost = plan.select("doc_id", F.explode("terms").alias("term")).join(named, ["doc_id", "term"], "left_anti").select("doc_id", F.concat(F.lit("never names "), F.col("term")).alias("problem"))
     jobs = positions(docs).groupBy("doc_id").agg(F.count("*").alias("jobs"))
     rows = plan.join(docs.select("doc_id", "text"), "doc_id").join(jobs, "doc_id", "left")

@@ -16,6 +16,7 @@ from rolemesh.plans.record_queries import JOBS, _jobs
 from rolemesh.plans.text_queries import PIECES, CERTS
 from rolemesh.plans.vocabulary_queries import SQL as VOCABULARY
 from rolemesh.plans.vocabulary_queries import vocabulary
+from rolemesh.sources.scratch import kept
 
 
 def _names(spark, d):
@@ -81,7 +82,7 @@ def fragments(spark, d):
 
 
 def plan_coverage(spark, d):
-    r = dc.resumes(spark, d)
+    r = kept(dc.resumes(spark, d), "resumes")
     plan = r.select("doc_id", F.when(F.col("doc_id") % 9 == 0, "Someone Else").otherwise(F.replace("full_name", F.lit("#"), F.lit(" "))).alias("full_name"), F.concat("certifications", F.when(F.col("doc_id") % 8 == 0, F.array(F.lit("brand#99"))).otherwise(F.array().cast("array<string>"))).alias("terms"))
     return gr.coverage(plan, r, _names(spark, d), 20, 2)
 

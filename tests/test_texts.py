@@ -291,3 +291,10 @@ def test_terms_of_a_pair_stay_one_row(spark):
 def test_many_texts_are_composed_whole(spark):
     d = spark.createDataFrame([(k, ("éЖ" if k % 70 == 0 else "éЖ") + str(k) if k % 9 else None) for k in range(1000)], "k int, t string").coalesce(1)
     assert [r.c for r in d.select(text.composed("t").alias("c"), "k").orderBy("k").collect()] == [f"éЖ{k}" if k % 9 else None for k in range(1000)]
+
+
+def test_plan_coverage_renders_once(spark):
+    """Resumes are written once, however many checks read them."""
+    from rolemesh.plans.grounding_queries import plan_coverage
+
+    assert "lineitem.parquet" not in "".join(plan_coverage(spark, "/root/testdata/sf0.001").inputFiles())
