@@ -293,6 +293,30 @@ def test_many_texts_are_composed_whole(spark):
     assert [r.c for r in d.select(text.composed("t").alias("c"), "k").orderBy("k").collect()] == [f"éЖ{k}" if k % 9 else None for k in range(1000)]
 
 
+def test_overlap_levels_by_definition(spark):
+    """Lines are looked up by the words that a pair shares; no line is compared with a pair."""
+    import random
+    import re
+
+    from rolemesh.operators import rerank
+
+    rnd = random.Random(4)
+    page = lambda n: "\n".join(rnd.choice(("- ", "", "  ")) + " ".join(rnd.choice(("audit", "Bank", "close", "cash", "of", "ledger", "r&d+", "x")) for _ in range(rnd.randrange(5))) for _ in range(n))
+    roles, people = {k: page(k % 3) for k in range(12)}, {k: page(k % 6) for k in range(40)}
+    roles[12], people[40] = None, None
+    got = rerank.overlap_levels(spark.createDataFrame([(a, b) for a in roles for b in people], "role_id long, candidate_id long"), spark.createDataFrame(list(roles.items()), "role_id long, text string"), spark.createDataFrame(list(people.items()), "candidate_id long, text string"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("array_intersect") == 1
+    words = lambda t: set(re.findall(rerank.WORD, t.lower()))
+    rows = {(r.role_id, r.candidate_id): (r.level, r.line) for r in got.collect()}
+    assert len(rows) == 13 * 41
+    for (a, b), (level, line) in rows.items():
+        if roles[a] is not None and people[b] is not None:
+            rw, lines = words(roles[a]), [re.sub(r"^\s*-\s+", "", x).strip(" ") for x in people[b].split("\n")]
+            share = len(rw & words(people[b])) / len(rw) if rw else 0
+            assert level == round(min(share * 2, 1) * 4)
+            assert line == max(lines, key=lambda x: len(rw & words(x)))  # the first of equals
+
+
 def test_plan_coverage_renders_once(spark):
     """Resumes are written once, however many checks read them."""
     from rolemesh.plans.grounding_queries import plan_coverage
