@@ -13,10 +13,14 @@ def zones(spark):
     return spark.createDataFrame([(z,) for z in b.ZONES], "zone string")
 
 
+def asked_held_pool(spark, d, roles=None):
+    """What open roles ask for, who holds their skills, and everybody they are taken from; each written once."""
+    asked, pool = kept(fn.asked_of(b.roles(spark, d) if roles is None else roles, b.terms(spark), b.TODAY), "asked"), _pool(spark, d)
+    return asked, kept(fn.holders(asked, pool), "holders"), pool
+
+
 def asked_and_held(spark, d, roles=None):
-    """What open roles ask for, and who holds their skills; each written once."""
-    asked = kept(fn.asked_of(b.roles(spark, d) if roles is None else roles, b.terms(spark), b.TODAY), "asked")
-    return asked, kept(fn.holders(asked, _pool(spark, d)), "holders")
+    return asked_held_pool(spark, d, roles)[:2]
 
 
 def _pool(spark, d):
@@ -27,13 +31,14 @@ def stages(spark, d):
     return fn.checked(*asked_and_held(spark, d), zones(spark))
 
 
-def _counts(spark, d, asked, held):
-    return fn.funnel(asked, kept(fn.signatures(held), "signatures"), b.candidates(spark, d), b.profiles(spark, d), zones(spark))
+def counts_of(spark, d, asked, held, pool):
+    """The funnel; who has a profile is read off the pool, which is written, and not worked out of all lines again."""
+    return fn.funnel(asked, kept(fn.signatures(held), "signatures"), b.candidates(spark, d), pool.select("candidate_id"), zones(spark))
 
 
 def funnel_of(spark, d, roles):
-    asked = kept(fn.asked_of(roles, b.terms(spark), b.TODAY), "asked")
-    return _counts(spark, d, asked, fn.holders(asked, _pool(spark, d)))
+    asked, pool = kept(fn.asked_of(roles, b.terms(spark), b.TODAY), "asked"), _pool(spark, d)
+    return counts_of(spark, d, asked, fn.holders(asked, pool), pool)
 
 
 def role_funnel(spark, d):
@@ -64,8 +69,8 @@ def shortlists(spark, d):
 
 
 def run_records(spark, d):
-    asked, held = asked_and_held(spark, d)
-    return fn.run_record(_counts(spark, d, asked, held), asked, shortlist_of(spark, d, asked, held), unranked_of(spark, d, asked, held), b.role_vectors(spark, d))
+    asked, held, pool = asked_held_pool(spark, d)
+    return fn.run_record(counts_of(spark, d, asked, held, pool), asked, shortlist_of(spark, d, asked, held), unranked_of(spark, d, asked, held), b.role_vectors(spark, d))
 
 
 QUERIES = {

@@ -5,6 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 from rolemesh.operators import funnel, jobs, matches
+from rolemesh.sources.scratch import kept
 
 #: role zone, candidate zone, start, end, day, minutes of the role's day 09:00-17:00 in the candidate's hours.
 OVERLAPS = [
@@ -69,6 +70,20 @@ def test_each_filter_drops_the_one_who_misses_it(spark):
     assert spread == {0: 1, 1: 1, 2: 1, 3: 1, 4: 2, 5: 2, 6: 1}
 
 
+def exchanges(df):
+    """How many exchanges the plan of df has, as it is before it runs. The driver's memory grows with the square of it."""
+    return sum("Exchange" in line for line in df._jdf.queryExecution().executedPlan().toString().splitlines())
+
+
+def test_plans_of_the_funnel_are_short(spark):
+    roles, people, profiles, answers, terms, zones = pool(spark)
+    asked, everybody = kept(funnel.asked_of(roles, terms, "2026-01-01"), "asked"), kept(funnel.pool_of(people, profiles, answers), "pool")
+    held = kept(funnel.holders(asked, everybody), "holders")
+    signed = kept(funnel.signatures(held), "signatures")
+    found = {"holders": exchanges(funnel.holders(asked, everybody)), "funnel": exchanges(funnel.funnel(asked, signed, people, profiles, zones))}
+    assert found["holders"] <= 8 and found["funnel"] <= 15, found  # 14 and 30 in one piece
+
+
 def chance(spark):
     """Roles and people that ask for and have anything, nothing or unknown things."""
     import random
