@@ -93,6 +93,20 @@ def test_totals_of_the_experienced_equal_their_pairs(spark):
     assert got == {tuple(r) for r in pairs.collect()} and (1, 5, 30) in got and len(got) == 4
 
 
+def test_unranked_among_given_pairs(spark):
+    """Of the given pairs those that all pairs would give, whether or not they pass, by a plan without other pairs."""
+    roles, people, profiles, answers, terms, zones = pool(spark)
+    asked = kept(funnel.asked_of(roles, terms, "2026-01-01"), "asked")
+    held = kept(funnel.holders(asked, funnel.pool_of(people, profiles, answers)), "holders")
+    rv = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, "b", [1.0, 1.0])], "role_id int, model string, v array<double>")
+    cv = spark.createDataFrame([(8, "a", [1.0, 0.0]), (3, "b", [0.0, 0.0])], "candidate_id int, model string, v array<double>")
+    every = {tuple(r) for r in funnel.unranked(asked, held, rv, cv, zones).collect()}
+    among = spark.createDataFrame([(2, 8), (2, 3), (2, 4), (1, 8), (5, 1), (6, 8), (9, 9)], "role_id int, candidate_id int")
+    got = {tuple(r) for r in funnel.unranked(asked, held, rv, cv, zones, among).collect()}
+    assert {r[:2] for r in got} == {(2, 8), (2, 3), (5, 1)}
+    assert got == {r for r in every if r[:2] in {tuple(x) for x in among.collect()}}
+
+
 def chance(spark):
     """Roles and people that ask for and have anything, nothing or unknown things."""
     import random
