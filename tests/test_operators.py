@@ -107,6 +107,16 @@ def test_unranked_among_given_pairs(spark):
     assert got == {r for r in every if r[:2] in {tuple(x) for x in among.collect()}}
 
 
+def test_plan_of_shortlists_is_short(spark):
+    roles, people, profiles, answers, terms, zones = pool(spark)
+    asked = kept(funnel.asked_of(roles, terms, "2026-01-01"), "asked")
+    held = kept(funnel.holders(asked, funnel.pool_of(people, profiles, answers)), "holders")
+    rv = spark.createDataFrame([(1, "a", [1.0, 0.0])], "role_id int, model string, v array<double>")
+    cv = spark.createDataFrame([(8, "a", [1.0, 0.0])], "candidate_id int, model string, v array<double>")
+    found = exchanges(funnel.shortlist(asked, held, rv, cv, zones))
+    assert found <= 12, found  # 32 in one piece
+
+
 def chance(spark):
     """Roles and people that ask for and have anything, nothing or unknown things."""
     import random
