@@ -300,3 +300,52 @@ def test_holders_never_broadcast_people(spark, tmp_path):
         got.setdefault(r.skill, []).append(r.candidate_id)
     assert {s: len(x) for s, x in got.items()} == {"k0": 300, "k1": 100, "k2": 300} and all(len(set(x)) == len(x) for x in got.values())
     assert set(got["k1"]) == {k for k in range(300) if k % 3 == 2}
+
+
+def written_basis(spark, case):
+    """What is asked and who holds it as written tables, as the queries have them."""
+    roles, people, profiles, answers, terms, zones = case
+    asked = kept(funnel.asked_of(roles, terms, "2026-01-01"), "asked")
+    return asked, kept(funnel.holders(asked, funnel.pool_of(people, profiles, answers)), "holders"), zones
+
+
+def test_shortlists_of_written_parts_are_planned_in_few_exchanges(spark):
+    asked, held, zones = written_basis(spark, pool(spark))
+    rv = spark.createDataFrame([(1, "a", [1.0, 0.0])], "role_id int, model string, v array<double>")
+    cv = spark.createDataFrame([(8, "a", [1.0, 0.0])], "candidate_id int, model string, v array<double>")
+    vectors = [kept(funnel.comparable(v, key), "vectors") for v, key in ((rv, "role_id"), (cv, "candidate_id"))]
+    ranked = funnel.ranked(asked, held, *vectors, funnel.days_of(funnel.asked_clocks(asked, zones)))
+    assert exchanges(ranked) <= 8 and [tuple(r) for r in ranked.select("role_id", "candidate_id").collect()] == [(1, 8)]
+
+
+def test_who_passed_is_listed_by_blocks(spark):
+    """Positions by name equal those of all pairs sorted, equal and missing names too, in blocks of a few people and of many; no pair is sorted."""
+    case, asked, held, said = chance(spark)
+    names = {k: None if k % 7 == 0 else f"n{k % 9}" for k in range(80)}
+    case = (case[0], spark.createDataFrame([(k, n, "active") for k, n in names.items()], "candidate_id int, full_name string, status string"), *case[2:])
+    plan, holding, zones = written_basis(spark, case)
+    want = set()
+    for role in asked:
+        mine = [c for c in range(80) if passes(role, held.get(c), said.get(c)) == 6]
+        want |= {(role[0], k + 1, c) for k, c in enumerate(sorted(mine, key=lambda c: (names[c] is not None, names[c] or "", c)))}
+    for block in (3, 1024):
+        listed = funnel.passed_in_order(plan, holding, zones, block)
+        assert {tuple(r) for r in listed.collect()} == want and len(want) == listed.count()
+    assert "Window" not in listed._jdf.queryExecution().executedPlan().toString().split("FlatMapCoGroupsInArrow")[0]
+
+
+def test_who_cannot_be_ranked_is_listed_and_counted_by_blocks(spark):
+    case, _, _, _ = chance(spark)
+    plan, holding, zones = written_basis(spark, case)
+    rv = spark.createDataFrame([(k, "ab"[k % 2], [1.0, 0.0]) for k in range(0, 60, 3)], "role_id int, model string, v array<double>")
+    cv = spark.createDataFrame([(k, "ab"[k % 2], [float(k % 5), 0.0]) for k in range(70)], "candidate_id int, model string, v array<double>")
+    spaces = [kept(funnel.comparable(v, key).select(key, "space"), "spaces") for v, key in ((rv, "role_id"), (cv, "candidate_id"))]
+    clock = funnel.asked_clocks(plan, zones)
+    every = funnel.checked(plan, holding, zones).where("cleared = 6").select("role_id", "candidate_id")
+    want = {tuple(r) for r in funnel.unranked_among(plan, holding, *spaces, clock, every).collect()}
+    days = funnel.days_of(clock)
+    for block in (3, 1024):
+        rows = [tuple(r) for r in funnel.apart(plan, holding, *spaces, days, block=block).collect()]
+        assert set(rows) == want and len(rows) == len(want) and {r[3] for r in rows} == {True, False}
+        counts = funnel.apart(plan, holding, *spaces, days, counts=True, block=block).groupBy("role_id").agg(F.sum("n").alias("n")).collect()
+        assert {r.role_id: r.n for r in counts} == {k: sum(w[0] == k for w in want) for k in {w[0] for w in want}}
