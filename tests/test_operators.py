@@ -349,3 +349,40 @@ def test_who_cannot_be_ranked_is_listed_and_counted_by_blocks(spark):
         assert set(rows) == want and len(rows) == len(want) and {r[3] for r in rows} == {True, False}
         counts = funnel.apart(plan, holding, *spaces, days, counts=True, block=block).groupBy("role_id").agg(F.sum("n").alias("n")).collect()
         assert {r.role_id: r.n for r in counts} == {k: sum(w[0] == k for w in want) for k in {w[0] for w in want}}
+
+
+def broadcast(df):
+    """What the plan of df, as it is before it runs, broadcasts."""
+    found, deeper = [], None
+    for x in df._jdf.queryExecution().executedPlan().toString().split("\n"):
+        at = len(x) - len(x.lstrip(" :+-"))
+        deeper = None if deeper is not None and at <= deeper else deeper
+        deeper = at if deeper is None and "BroadcastExchange" in x else deeper
+        found += [x] if deeper is not None else []
+    return found
+
+
+def test_shortlists_never_broadcast_holders_or_vectors(spark):
+    """Written holders pack to a fraction of their rows, so that Spark would take millions of them for small."""
+    asked, held, zones = written_basis(spark, pool(spark))
+    rv = spark.createDataFrame([(1, "a", [1.0, 0.0])], "role_id int, model string, v array<double>")
+    cv = spark.createDataFrame([(8, "a", [1.0, 0.0])], "candidate_id int, model string, v array<double>")
+    near = funnel.shortlist(asked, held, rv, cv, zones)
+    assert not [x for x in broadcast(near) if "candidate_id" in x or "role_id" in x]
+
+
+def test_merging_never_broadcasts_pairs(spark):
+    pairs = spark.createDataFrame([(1, 1, "proposed", False, False)], "role_id int, candidate_id int, status string, released boolean, by_hand boolean")
+    new = spark.createDataFrame([(1, 2, "proposed")], "role_id int, candidate_id int, new_status string")
+    merged = matches.merged(pairs, new, new, pairs, pairs.select("role_id"))
+    assert not broadcast(merged) and {(r.candidate_id, r.change) for r in merged.collect()} == {(1, "kept"), (2, "inserted")}
+    ranked = spark.createDataFrame([(1, 2, 1, 0.9)], "role_id int, candidate_id int, rank int, score double")
+    assert not broadcast(matches.queued(ranked, pairs, spark.createDataFrame([(2,)], "candidate_id int")))
+
+
+def test_bound_tables_that_grow_are_never_broadcast(spark):
+    from rolemesh.plans import bindings, documents
+
+    d = "/root/testdata/sf0.001"
+    for df in (bindings.profiles(spark, d), bindings.candidate_vectors(spark, d), bindings.role_vectors(spark, d), documents.resumes(spark, d), documents.descriptions(spark, d)):
+        assert not [x for x in broadcast(df) if "_custkey" in x or "_orderkey" in x or "_partkey" in x]
