@@ -129,9 +129,9 @@ def coverage(plan: DataFrame, docs: DataFrame, names: DataFrame, least_words: in
     from rolemesh.operators.text import positions
 
     named = spans(docs, names).select("doc_id", "term")
-    lost = plan.select("doc_id", F.explode("terms").alias("term")).join(named, ["doc_id", "term"], "left_anti").select("doc_id", F.concat(F.lit("never names "), F.col("term")).alias("problem"))
+    lost = plan.select("doc_id", F.explode("terms").alias("term")).join(named.hint("merge"), ["doc_id", "term"], "left_anti").select("doc_id", F.concat(F.lit("never names "), F.col("term")).alias("problem"))
     jobs = positions(docs).groupBy("doc_id").agg(F.count("*").alias("jobs"))
-    rows = plan.join(docs.select("doc_id", "text"), "doc_id").join(jobs, "doc_id", "left")
+    rows = plan.join(docs.select("doc_id", "text").hint("merge"), "doc_id").join(jobs.hint("merge"), "doc_id", "left")
     words = F.size(F.regexp_extract_all("text", F.lit("([^\\x20\\x09-\\x0D]+)"), F.lit(0)))
     checks = F.array(F.when(words < least_words, "too few words"), F.when(F.coalesce("jobs", F.lit(0)) < least_positions, "too few positions"), F.when(~in_text(F.col("full_name"), F.col("text")), "name is missing"))
     return lost.union(rows.select("doc_id", F.explode(F.filter(checks, lambda c: c.isNotNull()))))

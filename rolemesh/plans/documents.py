@@ -37,7 +37,7 @@ def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text, ...): a resume for each profile; doc_id is the candidate's key."""
     nation = b.table(spark, sf_dir, "nation")
     people = b.table(spark, sf_dir, "customer").selectExpr("c_custkey AS candidate_id", "c_nationkey", "(c_nationkey + 7) % 25 AS other", "c_mktsegment AS segment")
-    rows = b.profiles(spark, sf_dir).join(b.candidates(spark, sf_dir), "candidate_id").join(people, "candidate_id")
+    rows = b.profiles(spark, sf_dir).join(b.candidates(spark, sf_dir).hint("merge"), "candidate_id").join(people.hint("merge"), "candidate_id")
     rows = rows.join(nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("here")), "c_nationkey").join(nation.select(F.col("n_nationkey").alias("other"), F.col("n_name").alias("there")), "other")
     rows = rows.withColumns({"k": F.col("candidate_id"), "years": F.col("years_experience")})
     certs = f"concat(array('CERTIFICATIONS'), transform(certifications, (c, i) -> {LINE}))"
@@ -50,7 +50,7 @@ def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text, ...): a description for each role; doc_id is the role's key."""
     parts = b.table(spark, sf_dir, "part").selectExpr("p_partkey AS role_id", "p_name", "'Brand#' || cast(p_size % 25 + 1 AS string) AS nice_soft", "CASE lower(p_type) WHEN 'promo' THEN 'large' ELSE 'promo' END AS other")
-    rows = b.roles(spark, sf_dir).join(parts, "role_id").selectExpr("*", "get(required_software, 0) AS soft", "get(required_certifications, 0) AS cert")
+    rows = b.roles(spark, sf_dir).join(parts.hint("merge"), "role_id").selectExpr("*", "get(required_software, 0) AS soft", "get(required_certifications, 0) AS cert")
     text = f"concat_ws(chr(10), {TITLE}, 'Acme Co', '', {HOURS}, 'Requirements', CASE WHEN soft IS NOT NULL THEN {SOFT} END, CASE WHEN cert IS NOT NULL THEN {CERT} END, CASE WHEN min_years IS NOT NULL THEN {YEARS} END, 'Nice-to-haves', {NICE}, 'About us', '- Friendly people')"
     return rows.selectExpr("role_id AS doc_id", f"{text} AS text", "soft", "cert", "other", "nice_soft", "min_years", "hours_per_week", "min_overlap_hours", "p_name", "timezone")
 
